@@ -8,4 +8,12 @@ Sub-packages
     plans       the registered queries and the input recipes they share
 """
 
+import sys
+
+from pyspark import cloudpickle
+
+# Functions run on executors travel with the job, so the package need not be
+# installed there.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 __version__ = "0.1.0"

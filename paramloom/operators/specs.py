@@ -40,12 +40,15 @@ def _bound(position: int, default: str | None = None) -> Column:
     return item.try_cast(BOUND)
 
 
-START, STOP, STEP = _bound(0), _bound(1), _bound(2, "1")
+def _bounds() -> tuple[Column, Column, Column]:
+    """Start, end and step of an interval; the step defaults to 1."""
+    return _bound(0), _bound(1), _bound(2, "1")
 
 
 def with_reason(classified: DataFrame) -> DataFrame:
     """Adds ``reason``, NULL for a good parameter."""
     interval = F.col("kind") == "interval"
+    start, stop, step = _bounds()
     empty = F.size("items") == 0
     reason = (
         F.when(F.col("type") == "unreadable", F.lit("unreadable"))
@@ -54,9 +57,9 @@ def with_reason(classified: DataFrame) -> DataFrame:
         .when((F.col("kind") == "list") & empty, F.lit("empty"))
         .when(F.col("nested"), F.lit("nested"))
         .when(interval & (F.size("items") < 2), F.lit("short"))
-        .when(interval & (START.isNull() | STOP.isNull() | STEP.isNull()), F.lit("number"))
-        .when(interval & (STEP == 0), F.lit("step"))
-        .when(interval & (interval_length(START, STOP, STEP) == 0), F.lit("empty")))
+        .when(interval & (start.isNull() | stop.isNull() | step.isNull()), F.lit("number"))
+        .when(interval & (step == 0), F.lit("step"))
+        .when(interval & (interval_length(start, stop, step) == 0), F.lit("empty")))
     return classified.withColumn("reason", reason)
 
 
@@ -70,7 +73,7 @@ def spec_errors(raw: DataFrame, list_as_interval: bool = False) -> DataFrame:
 def expand_values(classified: DataFrame) -> DataFrame:
     """Adds ``values ARRAY<STRING>`` in declared order; a false flag has none."""
     values = (
-        F.when(F.col("kind") == "interval", interval_values(START, STOP, STEP))
+        F.when(F.col("kind") == "interval", interval_values(*_bounds()))
         .when(F.col("kind") == "flag",
               F.when(F.get(F.col("items"), F.lit(0)) == "True", F.array(F.lit("")))
               .otherwise(F.array().cast("array<string>")))

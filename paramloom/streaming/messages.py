@@ -8,7 +8,9 @@ own folder and overwrite it, so a batch that is run again leaves one copy.
 from __future__ import annotations
 
 from collections.abc import Callable
+from contextlib import contextmanager
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -90,23 +92,44 @@ def output_state(log: DataFrame, lines_per_piece: int = LINES_PER_PIECE) -> Data
     return accumulate(log, lines_per_piece)
 
 
+def _drop_near_copies(keys: list[str]):
+    """Task function: each key once per Arrow batch."""
+    def run(batches):
+        for batch in batches:
+            rows = pa.Table.from_batches([batch])
+            place = pa.array(range(len(rows)), pa.int64())
+            first = rows.select(keys).append_column("__place", place) \
+                .group_by(keys).aggregate([("__place", "min")])
+            yield from rows.take(first["__place_min"].sort()).combine_chunks().to_batches()
+    return run
+
+
 def without_redelivery(messages: DataFrame, horizon: str | None = None) -> DataFrame:
     """Each message once.
 
-    Exact by default: all keys stay in state, for which RocksDB on the executors'
-    disks is meant (``use_disk_state``). With ``horizon`` (as ``"1 hour"``) state is
-    dropped after that much event time, right only where no copy comes later.
+    Copies that arrive close together are dropped before the shuffle, so that many
+    copies of one message do not meet in one task. Exact by default: all keys stay in
+    state, for which ``disk_state`` is meant. With ``horizon`` (as ``"1 hour"``) state
+    is dropped after that much event time, right only where no copy comes later.
     """
+    keys = ["task_id", "seq"]
+    thinned = messages.mapInArrow(_drop_near_copies(keys), messages.schema)
     if horizon is None:
-        return messages.dropDuplicates(["task_id", "seq"])
-    return (messages.withColumn("ts", F.col("ts").cast("timestamp"))
-            .withWatermark("ts", horizon)
-            .dropDuplicatesWithinWatermark(["task_id", "seq"]))
-
-
-def use_disk_state(spark: SparkSession) -> None:
-    """Keeps stream state in RocksDB instead of executor memory."""
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+        return thinned.dropDuplicates(keys)
+    return (thinned.withColumn("ts", F.col("ts").cast("timestamp"))
+            .withWatermark("ts", horizon).dropDuplicatesWithinWatermark(keys))
+
+
+@contextmanager
+def disk_state(spark: SparkSession):
+    """Streams started inside keep their state in RocksDB, not in executor memory."""
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name)
+    spark.conf.set(name, ROCKSDB)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
 
 
 def ended_state(messages: DataFrame) -> DataFrame:
