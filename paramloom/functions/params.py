@@ -28,13 +28,21 @@ def interval_length(start: Column, stop: Column, step: Column) -> Column:
     return F.when(runs, whole + partial).otherwise(F.lit(0)).cast("bigint")
 
 
-def interval_values(start: Column, stop: Column, step: Column) -> Column:
-    """Values of ``[start, stop)`` as ``ARRAY<STRING>``, counting down for a negative step."""
+def interval_values(start: Column, stop: Column, step: Column,
+                    length: Column | None = None) -> Column:
+    """Values of ``[start, stop)`` as ``ARRAY<STRING>``, counting down for a negative step.
+
+    ``length`` is the number of values, where already known.
+    """
     start, stop, step = start.cast(BOUND), stop.cast(BOUND), step.cast(STEP)
-    n = interval_length(start, stop, step)
-    # sequence() is inclusive and raises on reversed bounds, hence the guard.
-    positions = F.when(n > 0, F.sequence(F.lit(0).cast("bigint"), F.greatest(n - 1, F.lit(0))))
+    n = interval_length(start, stop, step) if length is None else length
+    # sequence() is inclusive and raises on reversed bounds, hence the guards.
+    some = n > 0
+    whole = some & (start % 1 == 0) & (step % 1 == 0) & (F.abs(start) < 10 ** 15)
+    first, by = (F.when(whole, c.cast("bigint")) for c in (start, step))
+    positions = F.when(some, F.sequence(F.lit(0).cast("bigint"), F.greatest(n - 1, F.lit(0))))
     return F.coalesce(
+        F.sequence(first, first + (n - 1) * by, by).cast("array<string>"),
         F.transform(positions, lambda i: number_text(start + i.cast(INDEX) * step)),
         F.array().cast("array<string>"),
     )

@@ -5,28 +5,34 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 
-def hash_number(text: Column) -> Column:
-    """The first 32 bits of the MD5 of a text as a whole number."""
-    return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("bigint")
+# Hex digits that pick one symbol, and symbols picked by one MD5.
+DIGITS = 4
+PER_HASH = 32 // DIGITS
+
+
+def hex_number(digits: Column) -> Column:
+    return F.conv(digits, 16, 10).cast("bigint")
 
 
 def worker_rows(workers: DataFrame, rows: int, alphabet: str) -> DataFrame:
     """``(name, i, text)``: ``rows`` rows per worker, each text 1 to k symbols long.
 
-    k is the size of the alphabet. Symbols follow from name, row and position, so a
-    recomputed task gives the same rows.
+    k is the size of the alphabet. Length and symbols follow from the MD5 of name, row
+    and a counter, so a recomputed task gives the same rows.
     """
     size = len(alphabet)
     steps = workers.select(
         "name", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(rows - 1))).alias("i"))
     seed = F.concat_ws(":", "name", F.col("i").cast("string"))
-    length = F.pmod(hash_number(seed), F.lit(size)) + 1
-
-    def symbol(position):
-        pick = F.pmod(hash_number(F.concat_ws(":", "__seed", position.cast("string"))),
-                      F.lit(size))
-        return F.substring(F.lit(alphabet), pick.cast("int") + 1, F.lit(1))
-
-    letters = F.transform(F.sequence(F.lit(1).cast("bigint"), F.col("__n")), symbol)
-    return (steps.withColumn("__seed", seed).withColumn("__n", length)
-            .select("name", "i", F.array_join(letters, "").alias("text")))
+    hashes = F.concat(*[F.md5(F.concat(seed, F.lit(f":{block}")))
+                        for block in range(-(-(size + 1) // PER_HASH))])
+
+    def pick(position):
+        """Number below k out of the hash digits at a position."""
+        digits = F.substring("__hash", position * DIGITS + 1, F.lit(DIGITS))
+        return F.pmod(hex_number(digits), F.lit(size)).cast("int")
+
+    symbols = F.transform(F.sequence(F.lit(1), pick(F.lit(0)) + 1),
+                          lambda p: F.substring(F.lit(alphabet), pick(p) + 1, F.lit(1)))
+    return steps.withColumn("__hash", hashes).select(
+        "name", "i", F.array_join(symbols, "").alias("text"))

@@ -37,30 +37,39 @@ def _bound(position: int, default: str | None = None) -> Column:
     item = F.get(F.col("items"), F.lit(position))
     if default is not None:
         item = F.coalesce(item, F.lit(default))
-    return item.try_cast(BOUND)
+    return F.when(F.col("kind") == "interval", item.try_cast(BOUND))
 
 
-def _bounds() -> tuple[Column, Column, Column]:
-    """Start, end and step of an interval; the step defaults to 1."""
-    return _bound(0), _bound(1), _bound(2, "1")
+def _with_bounds(classified: DataFrame) -> DataFrame:
+    """Adds start, end, step (default 1) and length of intervals, parsed once."""
+    parsed = classified.withColumns({
+        "__start": _bound(0), "__stop": _bound(1), "__step": _bound(2, "1")})
+    return parsed.withColumn("__length", F.when(F.col("kind") == "interval", interval_length(
+        F.col("__start"), F.col("__stop"), F.col("__step"))))
 
 
-def with_reason(classified: DataFrame) -> DataFrame:
-    """Adds ``reason``, NULL for a good parameter."""
+def _reason() -> Column:
     interval = F.col("kind") == "interval"
-    start, stop, step = _bounds()
     empty = F.size("items") == 0
-    reason = (
+    unknown = F.col("__start").isNull() | F.col("__stop").isNull() | F.col("__step").isNull()
+    return (
         F.when(F.col("type") == "unreadable", F.lit("unreadable"))
         .when(F.col("kind") == "dict", F.lit("dict"))
         .when(F.col("kind") == "other", F.lit("type"))
         .when((F.col("kind") == "list") & empty, F.lit("empty"))
         .when(F.col("nested"), F.lit("nested"))
         .when(interval & (F.size("items") < 2), F.lit("short"))
-        .when(interval & (start.isNull() | stop.isNull() | step.isNull()), F.lit("number"))
-        .when(interval & (step == 0), F.lit("step"))
-        .when(interval & (interval_length(start, stop, step) == 0), F.lit("empty")))
-    return classified.withColumn("reason", reason)
+        .when(interval & unknown, F.lit("number"))
+        .when(interval & (F.col("__step") == 0), F.lit("step"))
+        .when(interval & (F.col("__length") == 0), F.lit("empty")))
+
+
+_BOUNDS = ["__start", "__stop", "__step", "__length"]
+
+
+def with_reason(classified: DataFrame) -> DataFrame:
+    """Adds ``reason``, NULL for a good parameter."""
+    return _with_bounds(classified).withColumn("reason", _reason()).drop(*_BOUNDS)
 
 
 def spec_errors(raw: DataFrame, list_as_interval: bool = False) -> DataFrame:
@@ -70,15 +79,22 @@ def spec_errors(raw: DataFrame, list_as_interval: bool = False) -> DataFrame:
             .select("spec_id", "param", "reason"))
 
 
-def expand_values(classified: DataFrame) -> DataFrame:
-    """Adds ``values ARRAY<STRING>`` in declared order; a false flag has none."""
-    values = (
-        F.when(F.col("kind") == "interval", interval_values(*_bounds()))
+def _values() -> Column:
+    return (
+        F.when(F.col("kind") == "interval", interval_values(
+            F.col("__start"), F.col("__stop"), F.col("__step"), F.col("__length")))
         .when(F.col("kind") == "flag",
-              F.when(F.get(F.col("items"), F.lit(0)) == "True", F.array(F.lit("")))
-              .otherwise(F.array().cast("array<string>")))
+              F.when(_is_off(), F.array().cast("array<string>")).otherwise(F.array(F.lit(""))))
         .otherwise(F.col("items")))
-    return classified.withColumn("values", values)
+
+
+def _is_off() -> Column:
+    return (F.col("kind") == "flag") & (F.get(F.col("items"), F.lit(0)) != "True")
+
+
+def expand_values(classified: DataFrame) -> DataFrame:
+    """Adds ``values ARRAY<STRING>`` in declared order; a false flag has none."""
+    return _with_bounds(classified).withColumn("values", _values()).drop(*_BOUNDS)
 
 
 def param_values(raw: DataFrame, list_as_interval: bool = False) -> DataFrame:
@@ -86,13 +102,12 @@ def param_values(raw: DataFrame, list_as_interval: bool = False) -> DataFrame:
 
     A spec is one parsed document, so its window group is as small as that text.
     """
-    checked = with_reason(classify(raw, list_as_interval))
+    checked = _with_bounds(classify(raw, list_as_interval)).withColumn("reason", _reason())
     bad = F.col("reason").isNotNull() & ~F.col("reason").isin(SKIPPED)
     whole = Window.partitionBy("spec_id")
     good = (checked.withColumn("__bad", F.max(bad).over(whole))
-            .where(~F.col("__bad") & F.col("reason").isNull()))
-    return (expand_values(good).where(F.size("values") > 0)
-            .select("spec_id", "ord", "param", "kind", "values"))
+            .where(~F.col("__bad") & F.col("reason").isNull() & ~_is_off()))
+    return good.select("spec_id", "ord", "param", "kind", _values().alias("values"))
 
 
 def value_rows(values: DataFrame) -> DataFrame:

@@ -8,41 +8,43 @@ from collections.abc import Callable, Iterable, Iterator
 import pandas as pd
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
-from pyspark.sql.types import StructType, _parse_datatype_string
+from pyspark.sql.types import StringType, StructField, StructType, _parse_datatype_string
 
 OUTPUT_ROWS = 10_000
 
 
 def run_map(tasks: DataFrame, fn: Callable[[dict], dict | Iterable[dict]], schema: str,
-            partitions: int | None = None) -> DataFrame:
+            partitions: int | None = None, keep: list[str] | None = None) -> DataFrame:
     """Calls ``fn(params)`` once per task; ``fn`` gives one result row or several.
 
-    Result: ``(task_id, status, error, <schema>)``. A task that raises gets one
+    Result: ``(task_id, status, error, <schema>)``, or with the columns ``keep`` of the
+    task instead of its id. A task that raises gets one
     FAILURE row with its error and does not disturb the others. ``partitions``
     sets how many tasks may run side by side; heavy functions want one each.
     """
-    fields = _result_fields(schema)
-    names = [field.split(" ", 1)[0] for field in fields]
-    columns = ["task_id", "status", "error", *names]
+    keep = keep or ["task_id"]
+    names = _parse_datatype_string(schema).names
+    columns = [*keep, "status", "error", *names]
 
-    def row(task_id, status, error, result):
-        return [task_id, status, error, *[result.get(n) for n in names]]
+    def row(task, status, error, result):
+        return [*task, status, error, *[result.get(n) for n in names]]
 
-    def run_task(task_id, params):
+    def run_task(task, params):
         try:
             results = fn(dict(params))
             if isinstance(results, dict):
                 results = [results]
             for result in results:
-                yield row(task_id, "SUCCESS", None, result)
+                yield row(task, "SUCCESS", None, result)
         except Exception as error:  # any failure belongs to this task only
-            yield row(task_id, "FAILURE", f"{type(error).__name__}: {error}", {})
+            yield row(task, "FAILURE", f"{type(error).__name__}: {error}", {})
 
     def run_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rows = []
         for batch in batches:
-            for task_id, params in zip(batch["task_id"], batch["params"]):
-                for output in run_task(task_id, params):
+            tasks_of_batch = zip(*[batch[c] for c in keep])
+            for task, params in zip(tasks_of_batch, batch["params"]):
+                for output in run_task(task, params):
                     rows.append(output)
                     if len(rows) >= OUTPUT_ROWS:
                         yield pd.DataFrame(rows, columns=columns, dtype=object)
@@ -50,18 +52,13 @@ def run_map(tasks: DataFrame, fn: Callable[[dict], dict | Iterable[dict]], schem
         if rows:
             yield pd.DataFrame(rows, columns=columns, dtype=object)
 
-    chosen = tasks.select("task_id", "params")
+    chosen = tasks.select(*keep, "params")
     if partitions:
         chosen = chosen.repartition(partitions)
-    return chosen.mapInPandas(
-        run_batches, ", ".join(["task_id string", "status string", "error string", *fields]))
-
-
-def _result_fields(schema: str) -> list[str]:
-    parsed = _parse_datatype_string(schema)
-    if not isinstance(parsed, StructType):
-        raise ValueError(f"not a row schema: {schema}")
-    return [f"{field.name} {field.dataType.simpleString()}" for field in parsed]
+    output = StructType([*chosen.schema.fields[:-1], StructField("status", StringType()),
+                         StructField("error", StringType()),
+                         *_parse_datatype_string(schema).fields])
+    return chosen.mapInPandas(run_batches, output)
 
 
 def placement(tasks: DataFrame, partitions: int) -> DataFrame:

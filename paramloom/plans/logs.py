@@ -299,15 +299,16 @@ ALPHABET = "qwertyuiopasdfghjkl"
 
 
 @query("gen_worker_rows", f"""
-    , steps AS (SELECT c_name AS name, i, c_name || ':' || i AS seed
-                FROM customer, range(0, 14) r(i)),
-    sized AS (SELECT *, cast('0x' || substr(md5(seed), 1, 8) AS bigint) % {len(ALPHABET)} + 1
-              AS n FROM steps)
-    SELECT name, i, array_to_string(list_transform(range(1, n + 1), lambda p: substr(
-        '{ALPHABET}', cast(cast('0x' || substr(md5(seed || ':' || p), 1, 8) AS bigint)
-        % {len(ALPHABET)} AS bigint) + 1, 1)), '') AS text
-    FROM sized
-""".replace("    , steps", "    WITH steps", 1))
+    WITH hashed AS (
+        SELECT c_name AS name, i, md5(c_name || ':' || i || ':0') || md5(c_name || ':' || i || ':1')
+               || md5(c_name || ':' || i || ':2') AS h
+        FROM customer, range(0, 14) r(i))
+    SELECT name, i, array_to_string(list_transform(
+        range(1, cast('0x' || substr(h, 1, 4) AS bigint) % {len(ALPHABET)} + 2),
+        lambda p: substr('{ALPHABET}', cast('0x' || substr(h, p * 4 + 1, 4) AS bigint)
+                         % {len(ALPHABET)} + 1, 1)), '') AS text
+    FROM hashed
+""")
 def gen_worker_rows(spark, sf_dir):
     workers = table(spark, sf_dir, "customer").select(F.col("c_name").alias("name"))
     return generate.worker_rows(workers, 14, ALPHABET)

@@ -45,7 +45,7 @@ def src_param_spec(spark, sf_dir):
 
 
 @query("sink_param_spec", r"""
-    SELECT '# spec p' || p_partkey || chr(10) || 'model: ["' || p_brand || '", "' || p_type
+    SELECT '# spec p' || p_partkey || chr(10) || 'model: ["' || p_brand || '","' || p_type
            || '"]' || chr(10) || 'verbose: '
            || CASE WHEN p_partkey % 2 = 0 THEN 'true' ELSE 'false' END || chr(10)
            || 'unit: ' || p_size || chr(10) || 'epoch: '

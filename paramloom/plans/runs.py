@@ -98,11 +98,10 @@ def _describe(params: dict) -> dict:
     FROM fx_grid
 """, ("fx_grid",))
 def run_map(spark, sf_dir):
-    combinations = grid.tasks(fx_grid(spark, sf_dir))
-    done = tasks.run_map(combinations, _describe, "options int, cost bigint, model string",
-                         partitions=8)
-    return done.join(combinations.select("task_id", "spec_id", "combo_id"), "task_id").select(
-        "spec_id", "combo_id", "status", "options", "cost", "model")
+    done = tasks.run_map(fx_grid(spark, sf_dir), _describe,
+                         "options int, cost bigint, model string",
+                         partitions=8, keep=["spec_id", "combo_id"])
+    return done.drop("error")
 
 
 def _fragile(params: dict) -> dict:
@@ -119,15 +118,10 @@ def _fragile(params: dict) -> dict:
     FROM fx_grid
 """, ("fx_grid",))
 def run_isolate_errors(spark, sf_dir):
-    combinations = fx_grid(spark, sf_dir).withColumn(
-        "task_id", F.concat_ws("/", "spec_id", F.col("combo_id").cast("string")))
-    done = tasks.run_map(combinations, _fragile, "share bigint")
-    place = F.split("task_id", "/")
-    return done.select(
-        F.get(place, F.lit(0)).alias("spec_id"),
-        F.get(place, F.lit(1)).cast("bigint").alias("combo_id"), "status",
-        F.col("error").startswith("ZeroDivisionError").alias("__zero"), "share",
-    ).withColumn("has_error", F.coalesce("__zero", F.lit(False))).drop("__zero")
+    done = tasks.run_map(fx_grid(spark, sf_dir), _fragile, "share bigint",
+                         keep=["spec_id", "combo_id"])
+    failed = F.coalesce(F.col("error").startswith("ZeroDivisionError"), F.lit(False))
+    return done.withColumn("has_error", failed).drop("error")
 
 
 @query("run_placement")

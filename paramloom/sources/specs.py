@@ -9,6 +9,7 @@ in splits, so a folder of specs needs neither one file per spec nor one task.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -27,13 +28,15 @@ def value_text(value) -> str:
     return str(value)
 
 
+@lru_cache(maxsize=1)
 def _loader():
+    """PyYAML and its safe loader (the compiled one if there), with the interval tag."""
     try:
         import yaml
     except ImportError as error:
         raise ImportError("reading parameter files needs PyYAML") from error
 
-    class SpecLoader(yaml.SafeLoader):
+    class SpecLoader(getattr(yaml, "CSafeLoader", yaml.SafeLoader)):
         """Safe loading, plus the tag for intervals."""
 
     SpecLoader.add_constructor(
@@ -75,39 +78,46 @@ def _parse_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def read_specs(spark: SparkSession, path: str) -> DataFrame:
-    """Raw parameter rows of every document under ``path``."""
+    """Raw parameter rows of every document under ``path``.
+
+    Parsing takes far longer than moving the text, so documents are spread evenly
+    first, whatever the files' sizes.
+    """
     documents = spark.read.option("lineSep", DIVIDER).text(path)
     named = F.regexp_extract("value", r"^(?:---\n)?# spec (.*)", 1)
     # An unnamed document is named by its file and, where a file has several, its place.
     place = F.concat_ws("#", F.col("_metadata.file_path"),
                         F.col("_metadata.file_block_start").cast("string"))
-    return documents.select(
-        F.when(named != "", named).otherwise(place).alias("spec_id"),
-        F.col("value").alias("text")).mapInPandas(_parse_batches, RAW_SCHEMA)
+    texts = documents.select(F.when(named != "", named).otherwise(place).alias("spec_id"),
+                             F.col("value").alias("text"))
+    return texts.repartition(int(spark.conf.get("spark.sql.shuffle.partitions"))) \
+        .mapInPandas(_parse_batches, RAW_SCHEMA)
 
 
-def _item_text(item: Column, type_: Column) -> Column:
-    """An item as YAML: bare numbers in intervals, whole numbers anywhere, else quoted."""
-    quoted = F.concat(F.lit('"'), F.regexp_replace(F.regexp_replace(
-        item, r"\\", r"\\\\"), '"', r'\\"'), F.lit('"'))
-    bare = (type_ == "tuple") & item.try_cast("double").isNotNull() \
-        | item.rlike(r"^(0|-?[1-9]\d{0,17})$") & (type_ != "str")
-    return F.when(bare, item).otherwise(quoted)
+def _yaml_list(items: Column, bare: Column) -> Column:
+    """Items in brackets, quoted like JSON unless ``bare``."""
+    return F.when(bare, F.concat(F.lit("["), F.array_join(items, ", "), F.lit("]"))) \
+        .otherwise(F.to_json(items))
 
 
 def spec_documents(raw: DataFrame) -> DataFrame:
-    """``(spec_id, text)``: one YAML document per spec, parameters in declared order."""
-    type_ = F.col("type")
-    listed = F.array_join(F.transform("items", lambda v: _item_text(v, type_)), ", ")
-    first = F.get(F.col("items"), F.lit(0))
+    """``(spec_id, text)``: one YAML document per spec, parameters in declared order.
+
+    Whole numbers are written bare, texts quoted.
+    """
+    type_, items = F.col("type"), F.col("items")
+    first = F.get(items, F.lit(0))
+    whole = F.forall(items, lambda v: v.rlike(r"^(0|-?[1-9]\d{0,17})$"))
+    numbers = F.forall(items, lambda v: v.try_cast("double").isNotNull())
+    quoted = F.to_json(F.array(first))
     value = (
-        F.when(type_ == "list", F.concat(F.lit("["), listed, F.lit("]")))
-        .when(type_ == "tuple", F.concat(F.lit("!!python/tuple ["), listed, F.lit("]")))
+        F.when(type_ == "list", _yaml_list(items, whole))
+        .when(type_ == "tuple", F.concat(F.lit("!!python/tuple "), _yaml_list(items, numbers)))
         .when(type_ == "bool", F.lower(first))
-        .when(type_ == "float", first)
+        .when(type_.isin("int", "float"), first)
         .when(type_ == "dict", F.lit("{}"))
-        .when(F.col("items").isNull(), F.lit("null"))
-        .otherwise(_item_text(first, type_)))
+        .when(items.isNull(), F.lit("null"))
+        .otherwise(F.substring(quoted, F.lit(2), F.length(quoted) - 2)))
     lines = F.array_sort(F.collect_list(F.struct(
         "ord", F.concat(F.col("param"), F.lit(": "), value).alias("line"))))
     return raw.groupBy("spec_id").agg(F.concat(
