@@ -23,7 +23,7 @@ def minibatches(df: DataFrame, row_id: str, batchsize: int,
     order = F.col(row_id)
     numbered = ordering.number_rows(df, [], [order], id_block(order, rows_per_block),
                                     "__pos", first=0)
-    return numbered.withColumn("batch", F.floor(F.col("__pos") / batchsize)).drop("__pos")
+    return numbered.withColumn("batch", ordering.whole(F.col("__pos"), batchsize)).drop("__pos")
 
 
 def epoch_batches(df: DataFrame, row_id: str, epochs: int, batchsize: int,
@@ -38,5 +38,5 @@ def epoch_batches(df: DataFrame, row_id: str, epochs: int, batchsize: int,
     block = F.substring("__key", 1, digits) if digits else F.lit("")
     numbered = ordering.number_rows(copies, ["epoch"], [F.col("__key"), F.col(row_id)],
                                     block, "__pos", first=0)
-    return numbered.withColumn("batch", F.floor(F.col("__pos") / batchsize)) \
+    return numbered.withColumn("batch", ordering.whole(F.col("__pos"), batchsize)) \
         .drop("__pos", "__key")

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from paramloom.operators import ordering
+
 
 # Hex digits that pick one symbol, and symbols picked by one MD5.
 DIGITS = 4
@@ -21,8 +23,7 @@ def worker_rows(workers: DataFrame, rows: int, alphabet: str) -> DataFrame:
     and a counter, so a recomputed task gives the same rows.
     """
     size = len(alphabet)
-    steps = workers.select(
-        "name", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(rows - 1))).alias("i"))
+    steps = ordering.positions(workers.select("name"), F.lit(rows), "i", ["name"])
     seed = F.concat_ws(":", "name", F.col("i").cast("string"))
     hashes = F.concat(*[F.md5(F.concat(seed, F.lit(f":{block}")))
                         for block in range(-(-(size + 1) // PER_HASH))])

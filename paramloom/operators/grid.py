@@ -47,20 +47,11 @@ def grid(values: DataFrame, block: int = BLOCK) -> DataFrame:
     """``(spec_id, combo_id, params MAP)``: every combination of every spec.
 
     Combination numbers are decoded as mixed-radix numbers, so nothing is joined.
-    They are cut into blocks which are spread over the cluster first: one spec may
-    hold most combinations. Block numbers per spec stay below a million.
+    They are produced in blocks spread over the cluster, as one spec may hold most
+    combinations.
     """
-    dims = dimensions(values).where(F.col("combinations") > 0)
-    width = F.greatest(F.lit(block), F.call_function("div", F.col("combinations"),
-                                                     F.lit(1_000_000)) + 1)
-    last = F.col("combinations") - 1
-    blocks = (dims.withColumn("__width", width)
-              .withColumn("__block", F.explode(F.sequence(
-                  F.lit(0).cast("bigint"), F.call_function("div", last, F.col("__width")))))
-              .repartition("spec_id", "__block"))
-    low = F.col("__block") * F.col("__width")
-    ids = blocks.withColumn("combo_id", F.explode(F.sequence(
-        low, F.least(low + F.col("__width") - 1, last))))
+    dims = dimensions(values)
+    ids = ordering.positions(dims, F.col("combinations"), "combo_id", ["spec_id"], block)
     return ids.select("spec_id", "combo_id", F.map_from_arrays(
         F.col("dims.param"),
         _decode(F.col("dims"), F.col("strides"), F.col("combo_id"))).alias("params"))
@@ -79,7 +70,7 @@ def grid_by_folding(values: DataFrame, parameters: int) -> DataFrame:
         F.array().cast("array<string>").alias("combination"))
     for position in range(parameters):
         if position and position == parameters - 1:
-            rows = rows.repartition("spec_id", "combo_id")
+            rows = ordering.spread(rows, "spec_id", "combo_id")
         side = F.get(F.col("dims"), F.lit(position))["values"]
         step = F.coalesce(F.transform(side, lambda v: F.array(v)),
                           F.array(F.array().cast("array<string>")))

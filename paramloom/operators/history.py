@@ -8,7 +8,7 @@ from paramloom.functions.text import command_arguments, command_name, command_te
 from paramloom.operators import ordering
 from paramloom.operators.ordering import ROWS_PER_BLOCK, id_block
 
-LINES_PER_PIECE = 10_000
+LINES_PER_PIECE = 1_000
 
 
 def _stream_rank() -> Column:
@@ -29,7 +29,7 @@ def accumulate(log: DataFrame, lines_per_piece: int = LINES_PER_PIECE) -> DataFr
     A task may have written any amount, so its text comes as numbered pieces of
     ``lines_per_piece`` line numbers each; joined in order they are the whole text.
     """
-    piece = F.floor(F.col("line_no") / lines_per_piece)
+    piece = ordering.whole(F.col("line_no"), lines_per_piece)
     ordered = F.array_sort(F.collect_list(F.struct("line_no", "line")))
     text = F.array_join(F.transform(ordered, lambda x: x["line"]), "\n")
     return log.groupBy("task_id", piece.alias("piece")).agg(text.alias("text"))
@@ -63,7 +63,7 @@ def interleave(log: DataFrame, burst: int = 257,
     counted = ordering.with_totals(
         log, ["task_id"], id_block(F.col("line_no"), rows_per_block),
         {"__n_out": is_out, "__n_err": 1 - is_out})
-    turn = F.floor(F.col("line_no") / burst)
+    turn = ordering.whole(F.col("line_no"), burst)
     other = F.when(F.col("stream") == "out", F.least(F.col("__n_err"), turn * burst)) \
         .otherwise(F.least(F.col("__n_out"), (turn + 1) * burst))
     return counted.withColumn("turn_no", F.col("line_no") + 1 + other).drop("__n_out", "__n_err")

@@ -28,12 +28,17 @@ MAX_SPLITS = 4096
 _BLOCK, _HEAD, _CARRY = "__block", "__head", "__carry"
 
 
+def whole(number: Column, by: int) -> Column:
+    """Whole-number quotient, exact for any 64-bit number."""
+    return F.call_function("div", number, F.lit(by))
+
+
 def id_block(order: Column, rows_per_block: int = ROWS_PER_BLOCK) -> Column:
     """Block of a whole-number order that is unique within its key.
 
     Uniqueness bounds a (key, block) group by ``rows_per_block`` rows.
     """
-    return F.floor(order / F.lit(rows_per_block))
+    return whole(order, rows_per_block)
 
 
 def quantile_block(df: DataFrame, order: Column,
@@ -132,6 +137,33 @@ def with_totals(df: DataFrame, keys: Sequence[str], block: Column,
     return both.where(F.col(_HEAD) == 0).drop(_BLOCK, _HEAD, *sums.values())
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Small rows that each stand for much work, dealt out to all tasks.
+
+    The number of partitions is given, as Spark would merge partitions that are small
+    in bytes. Without keys rows are dealt out one by one.
+    """
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(n, *keys)
+
+
+def positions(df: DataFrame, count: Column, name: str, keys: Sequence[str],
+              block: int = 1 << 16) -> DataFrame:
+    """Every row once per position 0 to ``count - 1``.
+
+    Positions are cut into blocks, spread before they are produced: one row may stand
+    for most of the output. A row has at most a million blocks.
+    """
+    zero, n = F.lit(0).cast("bigint"), F.col("__count")
+    blocks = (df.withColumn("__count", count.cast("bigint")).where(n > 0)
+              .withColumn("__width", F.greatest(F.lit(block), whole(n, 1_000_000) + 1))
+              .withColumn(_BLOCK, F.explode(F.sequence(
+                  zero, F.call_function("div", n - 1, F.col("__width"))))))
+    low = F.col(_BLOCK) * F.col("__width")
+    return spread(blocks, *keys, _BLOCK).withColumn(name, F.explode(F.sequence(
+        low, F.least(low + F.col("__width"), n) - 1))).drop("__count", "__width", _BLOCK)
+
+
 def last_rows(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int) -> DataFrame:
     """The last ``n`` rows of each key.
 

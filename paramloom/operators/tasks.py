@@ -10,6 +10,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StringType, StructField, StructType, _parse_datatype_string
 
+from paramloom.operators import ordering
+
 OUTPUT_ROWS = 10_000
 
 
@@ -79,15 +81,14 @@ def echo(tasks: DataFrame) -> DataFrame:
 
     ``(task_id, seq, status, text)``; the result names the last ``i`` if there is one.
     """
-    zero = F.lit(0).cast("bigint")
-    n = F.col("n").cast("bigint")
-    steps = F.when(n > 0, F.sequence(zero, F.greatest(n - 1, zero)))
-    messages = tasks.select("task_id", F.explode(steps).alias("seq")).select(
+    n = F.greatest(F.col("n"), F.lit(0)).cast("bigint")
+    steps = ordering.positions(tasks, n, "seq", ["task_id"])
+    messages = steps.select(
         "task_id", "seq", F.lit("MSG").alias("status"),
         F.concat(F.lit("i="), F.col("seq").cast("string")).alias("text"))
     results = tasks.select(
-        "task_id", F.greatest(n, zero).alias("seq"), F.lit("SUCCESS").alias("status"),
-        F.to_json(F.struct(n.alias("n"), F.when(n > 0, n - 1).alias("i"))).alias("text"))
+        "task_id", n.alias("seq"), F.lit("SUCCESS").alias("status"),
+        F.to_json(F.struct(F.col("n"), F.when(n > 0, n - 1).alias("i"))).alias("text"))
     return messages.unionByName(results)
 
 

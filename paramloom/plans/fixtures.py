@@ -294,7 +294,7 @@ def fx_worker_text(spark: SparkSession, sf_dir: str) -> DataFrame:
                        F.col("event_id").cast("string"))
     ordered = F.array_sort(F.collect_list(F.struct("event_id", "line")))
     return (table(spark, sf_dir, "events").withColumn("line", line)
-            .groupBy("user_id", F.floor(F.col("event_id") / PIECE).alias("piece"))
+            .groupBy("user_id", ordering.whole(F.col("event_id"), PIECE).alias("piece"))
             .agg(F.array_join(F.transform(ordered, lambda x: x["line"]), "\n").alias("text")))
 
 
@@ -360,7 +360,7 @@ FLEET = 1_000
 
 def fx_fleet(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``(record_id, line)``: the lines of one fleet file per nation and supplier range."""
-    nation, part = F.col("s_nationkey"), F.floor(F.col("s_suppkey") / FLEET)
+    nation, part = F.col("s_nationkey"), ordering.whole(F.col("s_suppkey"), FLEET)
     ordered = F.array_sort(F.collect_list(F.struct("s_suppkey", "s_name")))
     names = F.array_join(F.transform(ordered, lambda x: x["s_name"]), ",")
     records = table(spark, sf_dir, "supplier").groupBy(

@@ -14,6 +14,8 @@ from functools import lru_cache
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from paramloom.operators.ordering import spread
+
 DIVIDER = "\n---\n"
 
 RAW_SCHEMA = ("spec_id string, ord int, param string, type string, "
@@ -90,8 +92,7 @@ def read_specs(spark: SparkSession, path: str) -> DataFrame:
                         F.col("_metadata.file_block_start").cast("string"))
     texts = documents.select(F.when(named != "", named).otherwise(place).alias("spec_id"),
                              F.col("value").alias("text"))
-    return texts.repartition(int(spark.conf.get("spark.sql.shuffle.partitions"))) \
-        .mapInPandas(_parse_batches, RAW_SCHEMA)
+    return spread(texts).mapInPandas(_parse_batches, RAW_SCHEMA)
 
 
 def _yaml_list(items: Column, bare: Column) -> Column:
