@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 
 def fold_of(row_id: Column, folds: Column) -> Column:
@@ -39,12 +39,12 @@ def threshold_metric(df: DataFrame, row_id: str, score: str, target: str,
         .withColumn("fold", fold_of(F.col(row_id), F.col("nfolds")).cast("int"))
     sums = rows.groupBy("nfolds", "fold").agg(
         F.sum(score).alias("s"), F.count(score).alias("n"))
-    totals = sums.groupBy("nfolds").agg(F.sum("s").alias("all_s"), F.sum("n").alias("all_n"))
-    one = F.col("nfolds") == 1
-    trained = sums.join(totals, "nfolds").select(
-        "nfolds", "fold",
-        (F.when(one, F.col("all_s")).otherwise(F.col("all_s") - F.col("s"))
-         / F.when(one, F.col("all_n")).otherwise(F.col("all_n") - F.col("n"))).alias("threshold"))
+    every_fold = Window.partitionBy("nfolds")
+    # A single fold is its own training set.
+    left_out = (F.col("nfolds") > 1).cast("int")
+    trained = sums.select("nfolds", "fold", (
+        (F.sum("s").over(every_fold) - F.col("s") * left_out)
+        / (F.sum("n").over(every_fold) - F.col("n") * left_out)).alias("threshold"))
     # sum(fold_counts) rows, a number fixed by the caller.
     judged = rows.join(F.broadcast(trained), ["nfolds", "fold"])
     right = (F.col(score) > F.col("threshold")).cast("int") == F.col(target)

@@ -102,7 +102,7 @@ class _EchoSteps:
 
 def echo_by_table_function(spark: SparkSession, tasks: DataFrame) -> DataFrame:
     """``(task_id, seq, text)`` of the echo task, run as a Python table function."""
-    steps = F.udtf(_EchoSteps, returnType="seq bigint, text string")
+    steps = F.udtf(_EchoSteps, returnType="seq bigint, text string", useArrow=True)
     spark.udtf.register("paramloom_echo", steps)
     return spark.sql(
         "SELECT t.task_id, e.seq, e.text FROM {tasks} t, LATERAL paramloom_echo(t.n) e",
