@@ -19,15 +19,21 @@ def dimensions(values: DataFrame) -> DataFrame:
     """
     dims = F.array_sort(F.collect_list(F.struct("ord", "param", "values")))
     sizes = F.transform("dims", lambda d: F.size(d["values"]).cast("bigint"))
-    # Strides from the right: each step puts the running product in front.
-    strides = F.aggregate(
-        F.reverse(sizes), F.array(F.lit(1).cast("bigint")),
-        lambda acc, n: F.concat(F.array(F.try_multiply(F.get(acc, F.lit(0)), n)), acc))
+    one, too_many = F.lit(1).cast("bigint"), F.lit(-1).cast("bigint")
+
+    def multiply(products, n):
+        """Puts the next running product in front, from the last parameter to the first."""
+        product = F.get(products, F.lit(0))
+        longer = F.when(product > 0, F.coalesce(F.try_multiply(product, n), too_many))
+        return F.concat(F.array(F.coalesce(longer, too_many)), products)
+
+    products = F.aggregate(F.reverse(sizes), F.array(one), multiply)
+    total = F.get("__products", F.lit(0))
     return (values.groupBy("spec_id").agg(dims.alias("dims"))
-            .withColumn("__products", strides)
+            .withColumn("__products", products)
             .select("spec_id", "dims",
                     F.slice("__products", 2, F.size("dims")).alias("strides"),
-                    F.get("__products", F.lit(0)).alias("combinations")))
+                    F.when(total > 0, total).alias("combinations")))
 
 
 def cardinality(values: DataFrame) -> DataFrame:

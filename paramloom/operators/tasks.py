@@ -88,7 +88,7 @@ def echo(tasks: DataFrame) -> DataFrame:
         F.concat(F.lit("i="), F.col("seq").cast("string")).alias("text"))
     results = tasks.select(
         "task_id", n.alias("seq"), F.lit("SUCCESS").alias("status"),
-        F.to_json(F.struct(F.col("n"), F.when(n > 0, n - 1).alias("i"))).alias("text"))
+        F.to_json(F.struct("n", F.when(n > 0, n - 1).alias("i"))).alias("text"))
     return messages.unionByName(results)
 
 
