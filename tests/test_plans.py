@@ -11,6 +11,7 @@ EAGER = ("st_", "run_train", "ml_train", "train_")
 
 
 def plan_of(df):
+    df.sparkSession.conf.set("spark.sql.maxMetadataStringLength", "10000")
     return df._jdf.queryExecution().executedPlan().toString()
 
 
