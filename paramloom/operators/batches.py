@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, functions as F
 
 from paramloom.operators import ordering
-from paramloom.operators.ordering import ROWS_PER_BLOCK, id_block
+from paramloom.operators.ordering import ROWS_PER_BLOCK, Blocks, id_blocks
 
 
 def shuffle_key(epoch: Column, row_id: Column) -> Column:
@@ -21,7 +21,7 @@ def minibatches(df: DataFrame, row_id: str, batchsize: int,
     The position counts over the whole table without sorting it in one task.
     """
     order = F.col(row_id)
-    numbered = ordering.number_rows(df, [], [order], id_block(order, rows_per_block),
+    numbered = ordering.number_rows(df, [], [order], id_blocks(order, rows_per_block),
                                     "__pos", first=0)
     return numbered.withColumn("batch", ordering.whole(F.col("__pos"), batchsize)).drop("__pos")
 
@@ -32,11 +32,14 @@ def epoch_batches(df: DataFrame, row_id: str, epochs: int, batchsize: int,
 
     The order is a hash of epoch and id, so its leading hex digits are even blocks.
     """
-    digits = max(0, math.ceil(math.log(max(1, df.count() / rows_per_block), 16)))
+    def prefix(hot: DataFrame) -> Column:
+        per_epoch = hot.count() / epochs
+        digits = math.ceil(math.log(max(1, per_epoch / rows_per_block), 16))
+        return F.substring("__key", 1, digits)
+
     copies = df.withColumn("epoch", F.explode(F.sequence(F.lit(1), F.lit(epochs)))) \
         .withColumn("__key", shuffle_key(F.col("epoch"), F.col(row_id)))
-    block = F.substring("__key", 1, digits) if digits else F.lit("")
     numbered = ordering.number_rows(copies, ["epoch"], [F.col("__key"), F.col(row_id)],
-                                    block, "__pos", first=0)
+                                    Blocks(rows_per_block, prefix), "__pos", first=0)
     return numbered.withColumn("batch", ordering.whole(F.col("__pos"), batchsize)) \
         .drop("__pos", "__key")

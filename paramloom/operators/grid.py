@@ -133,6 +133,6 @@ def carry_forward(df: DataFrame, run: str, position: str, delta: str, base: int,
                   name: str = "n", rows_per_block: int = ordering.ROWS_PER_BLOCK) -> DataFrame:
     """Parameter that builds on the one before: ``n_c = n_(c-1) + delta_c``."""
     summed = ordering.running_sum(
-        df, [run], [F.col(position)], ordering.id_block(F.col(position), rows_per_block),
+        df, [run], [F.col(position)], ordering.id_blocks(F.col(position), rows_per_block),
         F.col(delta).cast("bigint"), name)
     return summed.withColumn(name, F.col(name) + F.lit(base))

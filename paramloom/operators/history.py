@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from paramloom.functions.text import command_arguments, command_name, command_text, exit_code
 from paramloom.operators import ordering
-from paramloom.operators.ordering import ROWS_PER_BLOCK, id_block
+from paramloom.operators.ordering import ROWS_PER_BLOCK, Blocks, id_blocks, quantile_blocks, whole
 
 LINES_PER_PIECE = 1_000
 
@@ -17,10 +17,10 @@ def _stream_rank() -> Column:
 
 def out_then_err(log: DataFrame, rows_per_block: int = ROWS_PER_BLOCK) -> DataFrame:
     """Adds ``emit_no``: all stdout of a task in order, then all its stderr."""
-    block = F.struct(_stream_rank().alias("stream"),
-                     id_block(F.col("line_no"), rows_per_block).alias("part"))
+    blocks = Blocks(rows_per_block, lambda _: F.struct(
+        _stream_rank().alias("stream"), whole(F.col("line_no"), rows_per_block).alias("part")))
     return ordering.number_rows(log, ["task_id"], [_stream_rank(), F.col("line_no")],
-                                block, "emit_no")
+                                blocks, "emit_no")
 
 
 def accumulate(log: DataFrame, lines_per_piece: int = LINES_PER_PIECE) -> DataFrame:
@@ -29,7 +29,7 @@ def accumulate(log: DataFrame, lines_per_piece: int = LINES_PER_PIECE) -> DataFr
     A task may have written any amount, so its text comes as numbered pieces of
     ``lines_per_piece`` line numbers each; joined in order they are the whole text.
     """
-    piece = ordering.whole(F.col("line_no"), lines_per_piece)
+    piece = whole(F.col("line_no"), lines_per_piece)
     ordered = F.array_sort(F.collect_list(F.struct("line_no", "line")))
     text = F.array_join(F.transform(ordered, lambda x: x["line"]), "\n")
     return log.groupBy("task_id", piece.alias("piece")).agg(text.alias("text"))
@@ -61,9 +61,9 @@ def interleave(log: DataFrame, burst: int = 257,
     """
     is_out = (F.col("stream") == "out").cast("bigint")
     counted = ordering.with_totals(
-        log, ["task_id"], id_block(F.col("line_no"), rows_per_block),
+        log, ["task_id"], id_blocks(F.col("line_no"), rows_per_block),
         {"__n_out": is_out, "__n_err": 1 - is_out})
-    turn = ordering.whole(F.col("line_no"), burst)
+    turn = whole(F.col("line_no"), burst)
     other = F.when(F.col("stream") == "out", F.least(F.col("__n_err"), turn * burst)) \
         .otherwise(F.least(F.col("__n_out"), (turn + 1) * burst))
     return counted.withColumn("turn_no", F.col("line_no") + 1 + other).drop("__n_out", "__n_err")
@@ -102,8 +102,8 @@ def history(commands: DataFrame, rows_per_block: int = ROWS_PER_BLOCK) -> DataFr
     A command appended twice counts once: copies are dropped first.
     """
     once = commands.dropDuplicates(["host", "id"])
-    block = ordering.quantile_block(commands, F.col("ts"), rows_per_block)
-    return ordering.number_rows(once, ["host"], [F.col("ts"), F.col("id")], block, "idx", first=0)
+    return ordering.number_rows(once, ["host"], [F.col("ts"), F.col("id")],
+                                quantile_blocks(F.col("ts"), rows_per_block), "idx", first=0)
 
 
 def history_lookup(commands: DataFrame, requests: DataFrame,
@@ -119,8 +119,8 @@ def tail(log: DataFrame, n: int = 10) -> DataFrame:
 
 def step_gaps(steps: DataFrame, rows_per_block: int = ROWS_PER_BLOCK) -> DataFrame:
     """Adds ``gap_us``, microseconds since the previous step of the same user."""
-    block = ordering.quantile_block(steps, F.col("ts"), rows_per_block)
-    ordered = ordering.previous(steps, ["user_id"], [F.col("ts"), F.col("event_id")], block,
-                                F.col("ts"), "__before")
+    ordered = ordering.previous(steps, ["user_id"], [F.col("ts"), F.col("event_id")],
+                                quantile_blocks(F.col("ts"), rows_per_block), F.col("ts"),
+                                "__before")
     gap = (F.col("ts") - F.col("__before")).cast("interval second").cast("decimal(20,6)")
     return ordered.withColumn("gap_us", (gap * 1000000).cast("bigint")).drop("__before")

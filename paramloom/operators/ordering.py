@@ -1,31 +1,47 @@
-"""Ordered computations within a key that never put one key into one task.
+"""Ordered computations within a key that never put a hot key into one task.
 
-A plain window sorts all rows of a key in one task, which a key holding a third
-of the data does not survive. Here each key is cut into ordered blocks:
+A plain window sorts all rows of a key in one task. That is the best plan for keys of
+ordinary size, but not for a key that holds a third of the data. So the rows per key
+are counted first (combined map-side, keys only). Without hot keys a plain window
+runs. Otherwise each hot key is cut into ordered blocks:
 
-1. one value per (key, block) is aggregated (combined map-side);
+1. one value per (key, block) is aggregated, map-side first;
 2. a window over those few rows gives what each block inherits from the earlier
    ones of its key;
 3. that inheritance goes back in as a *head* row in front of each block, and the
    ordered computation runs per (key, block).
 
-The rows are shuffled once, on (key, block). A key with a single block has no
-head row at all. No join is involved, so NULL keys are handled like any other.
+Rows are shuffled once either way. Other keys have one block and no head row. NULL
+keys are handled like any other.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from paramloom.functions.buckets import search_sorted
 
-ROWS_PER_BLOCK = 1 << 18
+ROWS_PER_BLOCK = 1 << 20
+# A key with more rows than this many blocks is hot.
+HOT_BLOCKS = 4
 MAX_SPLITS = 4096
 
-_BLOCK, _HEAD, _CARRY = "__block", "__head", "__carry"
+_BLOCK, _HEAD, _CARRY, _HOT = "__block", "__head", "__carry", "__hot"
+
+
+@dataclass(frozen=True)
+class Blocks:
+    """How hot keys are cut: rows aimed at per block, and the block of a row.
+
+    ``of`` is given the rows of the hot keys.
+    """
+
+    rows: int
+    of: Callable[[DataFrame], Column]
 
 
 def whole(number: Column, by: int) -> Column:
@@ -33,28 +49,24 @@ def whole(number: Column, by: int) -> Column:
     return F.call_function("div", number, F.lit(by))
 
 
-def id_block(order: Column, rows_per_block: int = ROWS_PER_BLOCK) -> Column:
-    """Block of a whole-number order that is unique within its key.
+def id_blocks(order: Column, rows: int = ROWS_PER_BLOCK) -> Blocks:
+    """Blocks of a whole-number order that is unique within its key.
 
-    Uniqueness bounds a (key, block) group by ``rows_per_block`` rows.
+    Uniqueness bounds a (key, block) group by ``rows``.
     """
-    return whole(order, rows_per_block)
+    return Blocks(rows, lambda _: whole(order, rows))
 
 
-def quantile_block(df: DataFrame, order: Column,
-                   rows_per_block: int = ROWS_PER_BLOCK) -> Column:
-    """Block by approximate quantiles of a timestamp or number over all rows.
+def quantile_blocks(order: Column, rows: int = ROWS_PER_BLOCK) -> Blocks:
+    """Blocks by approximate quantiles of a timestamp or number over the hot keys."""
+    def of(hot: DataFrame) -> Column:
+        blocks = min(MAX_SPLITS, math.ceil(hot.count() / rows))
+        number = _as_number(hot.select(order.alias("o")), order)
+        shares = F.array(*[F.lit(i / blocks) for i in range(1, blocks)])
+        splits = hot.agg(F.percentile_approx(number, shares, F.lit(20 * blocks))).first()[0]
+        return search_sorted(number, sorted(set(splits or [])))
 
-    Balanced whatever the distribution over keys or time. Counts the rows and, if
-    more than one block is needed, reads the order column once.
-    """
-    blocks = min(MAX_SPLITS, math.ceil(df.count() / rows_per_block))
-    if blocks <= 1:
-        return F.lit(0)
-    number = _as_number(df.select(order.alias("o")), order)
-    shares = [F.lit(i / blocks) for i in range(1, blocks)]
-    splits = df.agg(F.percentile_approx(number, F.array(*shares), F.lit(20 * blocks))).first()[0]
-    return search_sorted(number, sorted(set(splits or [])))
+    return Blocks(rows, of)
 
 
 def _as_number(typed: DataFrame, order: Column) -> Column:
@@ -68,10 +80,32 @@ def _as_number(typed: DataFrame, order: Column) -> Column:
     return order
 
 
-def _with_heads(df: DataFrame, keys: Sequence[str], block: Column, carry: Column,
-                combine, inherit) -> DataFrame:
-    """``df`` plus one head row per (key, block) that inherits something."""
-    rows = df.withColumn(_BLOCK, block).withColumn(_CARRY, carry)
+def _cut(df: DataFrame, keys: Sequence[str], blocks: Blocks) -> DataFrame | None:
+    """``df`` with the block of each row, or None if no key is hot.
+
+    There are at most (number of rows) / (hot size) hot keys, which bounds what is
+    collected and broadcast.
+    """
+    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
+    hot = counts.where(F.col("__n") > HOT_BLOCKS * blocks.rows).select(*keys, F.lit(True))
+    found = hot.collect()
+    if not found:
+        return None
+    if keys:
+        names = [f"__key_{i}" for i in range(len(keys))]
+        known = df.sparkSession.createDataFrame(found, hot.schema).toDF(*names, _HOT)
+        same = F.lit(True)
+        for key, name in zip(keys, names):
+            same = same & df[key].eqNullSafe(known[name])
+        marked = df.join(F.broadcast(known), same, "left").drop(*names)
+    else:
+        marked = df.withColumn(_HOT, F.lit(True))
+    block = blocks.of(marked.where(_HOT))
+    return marked.withColumn(_BLOCK, F.when(F.col(_HOT), block)).drop(_HOT)
+
+
+def _with_heads(rows: DataFrame, keys: Sequence[str], combine, inherit) -> DataFrame:
+    """``rows`` plus one head row per (key, block) that inherits something."""
     totals = rows.groupBy(*keys, _BLOCK).agg(combine(F.col(_CARRY)).alias(_CARRY))
     earlier = (Window.partitionBy(*keys).orderBy(_BLOCK)
                .rowsBetween(Window.unboundedPreceding, -1))
@@ -89,52 +123,60 @@ def _drop_heads(df: DataFrame) -> DataFrame:
     return df.where(F.col(_HEAD) == 0).drop(_BLOCK, _HEAD, _CARRY)
 
 
-def running_sum(df: DataFrame, keys: Sequence[str], order: Sequence[Column], block: Column,
+def running_sum(df: DataFrame, keys: Sequence[str], order: Sequence[Column], blocks: Blocks,
                 value: Column, name: str) -> DataFrame:
     """``sum(value)`` from the first row of the key up to the current one."""
+    rows = _cut(df, keys, blocks)
+    if rows is None:
+        window = Window.partitionBy(*keys).orderBy(*order)
+        return df.withColumn(name, F.sum(value).over(
+            window.rowsBetween(Window.unboundedPreceding, 0)))
+    scanned = _with_heads(rows.withColumn(_CARRY, value), keys, F.sum, F.sum)
     window = _block_window(keys, order).rowsBetween(Window.unboundedPreceding, 0)
-    scanned = _with_heads(df, keys, block, value, F.sum, F.sum)
     return _drop_heads(scanned.withColumn(name, F.sum(_CARRY).over(window)))
 
 
-def number_rows(df: DataFrame, keys: Sequence[str], order: Sequence[Column], block: Column,
+def number_rows(df: DataFrame, keys: Sequence[str], order: Sequence[Column], blocks: Blocks,
                 name: str, first: int = 1) -> DataFrame:
     """Position of each row within its key, starting at ``first``."""
     one = F.lit(1).cast("bigint")
-    numbered = running_sum(df, keys, order, block, one, name)
+    numbered = running_sum(df, keys, order, blocks, one, name)
     return numbered if first == 1 else numbered.withColumn(name, F.col(name) + (first - 1))
 
 
-def previous(df: DataFrame, keys: Sequence[str], order: Sequence[Column], block: Column,
+def previous(df: DataFrame, keys: Sequence[str], order: Sequence[Column], blocks: Blocks,
              value: Column, name: str) -> DataFrame:
     """``value`` of the row before, NULL for the first row of the key.
 
     ``value`` must not be NULL.
     """
-    def last(column):
-        return F.max_by(column, F.struct(*order))
-
-    scanned = _with_heads(df, keys, block, value, last,
+    rows = _cut(df, keys, blocks)
+    if rows is None:
+        return df.withColumn(name, F.lag(value).over(Window.partitionBy(*keys).orderBy(*order)))
+    scanned = _with_heads(rows.withColumn(_CARRY, value), keys,
+                          lambda column: F.max_by(column, F.struct(*order)),
                           lambda column: F.last(column, ignorenulls=True))
-    window = _block_window(keys, order)
-    return _drop_heads(scanned.withColumn(name, F.lag(_CARRY).over(window)))
+    return _drop_heads(scanned.withColumn(name, F.lag(_CARRY).over(_block_window(keys, order))))
 
 
-def with_totals(df: DataFrame, keys: Sequence[str], block: Column,
+def with_totals(df: DataFrame, keys: Sequence[str], blocks: Blocks,
                 values: dict[str, Column]) -> DataFrame:
     """Adds the sum of each value over the whole key to every row of it."""
-    rows = df.withColumn(_BLOCK, block)
+    rows = _cut(df, keys, blocks)
+    whole_key = Window.partitionBy(*keys)
+    if rows is None:
+        return df.withColumns({name: F.sum(value).over(whole_key)
+                               for name, value in values.items()})
     sums = {name: f"__sum_{name}" for name in values}
     totals = rows.groupBy(*keys, _BLOCK).agg(
         *[F.sum(value).alias(sums[name]) for name, value in values.items()])
-    whole = Window.partitionBy(*keys)
     heads = totals.select(*keys, _BLOCK, F.lit(1).alias(_HEAD),
-                          *[F.sum(s).over(whole).alias(s) for s in sums.values()])
+                          *[F.sum(s).over(whole_key).alias(s) for s in sums.values()])
     both = rows.withColumn(_HEAD, F.lit(0)).unionByName(heads, allowMissingColumns=True)
     window = _block_window(keys, []).rowsBetween(Window.unboundedPreceding, 0)
-    for name, total in sums.items():
-        both = both.withColumn(name, F.first(total, ignorenulls=True).over(window))
-    return both.where(F.col(_HEAD) == 0).drop(_BLOCK, _HEAD, *sums.values())
+    known = both.withColumns({name: F.first(total, ignorenulls=True).over(window)
+                              for name, total in sums.items()})
+    return known.where(F.col(_HEAD) == 0).drop(_BLOCK, _HEAD, *sums.values())
 
 
 def spread(df: DataFrame, *keys: str) -> DataFrame:

@@ -145,7 +145,7 @@ def fx_carry(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = table(spark, sf_dir, "orders").select(
         F.col("o_custkey").alias("run"), F.col("o_orderkey").alias("order_id"))
     return ordering.number_rows(orders, ["run"], [F.col("order_id")],
-                                ordering.id_block(F.col("order_id")), "c", first=0)
+                                ordering.id_blocks(F.col("order_id")), "c", first=0)
 
 
 recipe("fx_carry", """
@@ -252,7 +252,7 @@ def fx_log_line(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("role") == "assistant", "out").otherwise("err").alias("stream"),
         F.col("text").alias("line"))
     return ordering.number_rows(rows, ["task_id", "stream"], [F.col("turn")],
-                                ordering.id_block(F.col("turn")), "line_no", first=0).drop("turn")
+                                ordering.id_blocks(F.col("turn")), "line_no", first=0).drop("turn")
 
 
 recipe("fx_log_line", """

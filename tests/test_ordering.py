@@ -26,7 +26,7 @@ def same(left, right):
 @pytest.mark.parametrize("width", [1, 7, 100, 10 ** 6])
 def test_running_sum(rows, width):
     window = Window.partitionBy("k").orderBy("id").rowsBetween(Window.unboundedPreceding, 0)
-    same(ordering.running_sum(rows, ["k"], [F.col("id")], ordering.id_block(F.col("id"), width),
+    same(ordering.running_sum(rows, ["k"], [F.col("id")], ordering.id_blocks(F.col("id"), width),
                               F.col("v"), "s"),
          rows.withColumn("s", F.sum("v").over(window)))
 
@@ -34,41 +34,56 @@ def test_running_sum(rows, width):
 @pytest.mark.parametrize("keys", [["k"], []])
 def test_number_rows(rows, keys):
     window = Window.partitionBy(*keys).orderBy("id")
-    same(ordering.number_rows(rows, keys, [F.col("id")], ordering.id_block(F.col("id"), 64),
+    same(ordering.number_rows(rows, keys, [F.col("id")], ordering.id_blocks(F.col("id"), 64),
                               "n", first=0),
          rows.withColumn("n", F.row_number().over(window).cast("bigint") - 1))
 
 
 def test_previous(rows):
     window = Window.partitionBy("k").orderBy("id")
-    same(ordering.previous(rows, ["k"], [F.col("id")], ordering.id_block(F.col("id"), 10),
+    same(ordering.previous(rows, ["k"], [F.col("id")], ordering.id_blocks(F.col("id"), 10),
                            F.col("id"), "before"),
          rows.withColumn("before", F.lag("id").over(window)))
 
 
 def test_totals(rows):
     window = Window.partitionBy("k")
-    same(ordering.with_totals(rows, ["k"], ordering.id_block(F.col("id"), 100),
+    same(ordering.with_totals(rows, ["k"], ordering.id_blocks(F.col("id"), 100),
                               {"a": F.col("v"), "b": F.lit(1)}),
          rows.withColumn("a", F.sum("v").over(window))
          .withColumn("b", F.count("id").over(window)))
 
 
-@pytest.mark.parametrize("per_block", [9, 200, 10 ** 6])
-def test_quantile_blocks_keep_the_order(rows, per_block):
+@pytest.mark.parametrize("per_block", [2, 9, 50, 10 ** 6])
+def test_quantile_blocks(rows, per_block):
     """Also with more blocks than nested conditions allow, and with a timestamp."""
     timed = rows.withColumn(
         "ts", F.lit("2024-01-01").cast("timestamp_ntz")
         + F.make_dt_interval(secs=F.col("id").cast("decimal(18,6)") / 1000))
-    block = ordering.quantile_block(timed, F.col("ts"), per_block)
-    groups = timed.groupBy(block.alias("b")).agg(
+    blocks = ordering.quantile_blocks(F.col("ts"), per_block)
+    window = Window.partitionBy("k").orderBy("ts", "id")
+    same(ordering.number_rows(timed, ["k"], [F.col("ts"), F.col("id")], blocks, "n"),
+         timed.withColumn("n", F.row_number().over(window).cast("bigint")))
+
+
+def test_quantile_blocks_are_even_and_ordered(rows):
+    block = ordering.quantile_blocks(F.col("id"), 30).of(rows)
+    groups = rows.groupBy(block.alias("b")).agg(
         F.count("id").alias("n"), F.min("id").alias("low"), F.max("id").alias("high")
     ).orderBy("b").collect()
+    assert len(groups) == 30
     assert all(a["high"] < b["low"] for a, b in zip(groups, groups[1:]))
-    assert max(g["n"] for g in groups) <= 3 * per_block
-    window = Window.partitionBy("k").orderBy("ts", "id")
-    same(ordering.number_rows(timed, ["k"], [F.col("ts"), F.col("id")], block, "n"),
-         timed.withColumn("n", F.row_number().over(window).cast("bigint")))
+    assert max(g["n"] for g in groups) <= 60
+
+
+def test_only_hot_keys_are_cut(rows):
+    """Small keys keep one block, so they add no rows and no work."""
+    cut = ordering._cut(rows, ["k"], ordering.id_blocks(F.col("id"), 50))
+    blocks = dict(cut.groupBy("k").agg(F.count_distinct("__block").alias("n")).collect())
+    assert blocks.pop("hot") > 50
+    assert set(blocks.values()) == {0}
+    assert cut.count() == rows.count()
+    assert ordering._cut(rows, ["k"], ordering.id_blocks(F.col("id"), 1000)) is None
 
 
 def test_last_rows(rows):
@@ -97,3 +112,11 @@ def test_search_sorted(spark, n, right):
     side = bisect.bisect_right if right else bisect.bisect_left
     got = dict(df.select("v", search_sorted(F.col("v"), points, right)).collect())
     assert got == {v: None if v is None else side(points, v) for v in values}
+
+
+def test_hot_keys_are_found_by_hash(rows):
+    numbered = ordering.number_rows(rows, ["k"], [F.col("id")],
+                                    ordering.id_blocks(F.col("id"), 10), "n")
+    plan = numbered._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan
+    assert "NestedLoop" not in plan
