@@ -23,7 +23,8 @@ from paramloom.operators.batches import epoch_batches
 from paramloom.operators.network import Layer, forward, usable_rows
 from paramloom.session import work_path
 
-# Doubles of one slice of a gradient, and the most the driver may hold per array.
+# Doubles of one slice of a gradient, which with the number of tasks bounds a group, and
+# the most the driver may hold per array.
 SLICE = 1024
 MAX_STATE = 64_000_000
 
@@ -144,20 +145,20 @@ def _partial_sums(models, gradient: bool):
                     gradients[combo_id] = gradients.get(combo_id, 0.0) + sums
         part = TaskContext.get().partitionId()
         for combo_id, count in counts.items():
-            yield _partial_batch(combo_id, part, -1, [count])
+            yield _partial_batch(combo_id, part, -1, count)
             if gradient:
-                slices = [gradients[combo_id][i:i + SLICE]
-                          for i in range(0, len(gradients[combo_id]), SLICE)]
-                yield _partial_batch(combo_id, part, 0, slices)
+                yield _partial_batch(combo_id, part, 0, gradients[combo_id])
     return run
 
 
-def _partial_batch(combo_id: int, part: int, first: int, slices: list) -> pa.RecordBatch:
-    n = len(slices)
+def _partial_batch(combo_id: int, part: int, first: int, values: np.ndarray) -> pa.RecordBatch:
+    """``values`` cut into numbered slices."""
+    ends = np.append(np.arange(0, len(values), SLICE), len(values)).astype(np.int32)
+    n = len(ends) - 1
     return pa.RecordBatch.from_arrays(
         [pa.array([combo_id] * n, pa.int64()), pa.array(range(first, first + n), pa.int32()),
          pa.array([part] * n, pa.int32()),
-         pa.array([s.tolist() for s in slices], pa.list_(pa.float64()))],
+         pa.ListArray.from_arrays(pa.array(ends), pa.array(values))],
         names=["combo_id", "slice", "part", "sums"])
 
 
@@ -168,7 +169,8 @@ def _add_parts(table: pa.Table) -> pa.Table:
     for sums in table.column("sums"):
         total += sums.values.to_numpy()
     return pa.table({"combo_id": table.column("combo_id")[:1], "slice": table.column("slice")[:1],
-                     "sums": pa.array([total.tolist()], pa.list_(pa.float64()))})
+                     "sums": pa.ListArray.from_arrays(
+                         pa.array([0, len(total)], pa.int32()), pa.array(total))})
 
 
 def summed(rows: DataFrame, vector: str, label: str, models: dict, gradient: bool) -> dict:
