@@ -311,7 +311,7 @@ def fx_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 recipe("fx_report", """
-    SELECT date_diff('day', DATE '2024-01-01', cast(ts AS date)) AS epoch,
+    SELECT date_diff('day', DATE '2024-01-01', cast(ts AS date))::integer AS epoch,
            CASE WHEN event_id % 2 = 0 THEN 'main' ELSE 'validation' END AS split,
            value AS loss, CASE WHEN event_type = 'click' THEN 1 ELSE 0 END AS acc, ts
     FROM events
@@ -383,7 +383,7 @@ recipe("fx_fleet_record", f"""
 """)
 recipe("fx_keyed", """
     SELECT record_id, 'hosts' AS key, pos, value FROM (
-        SELECT record_id, unnest(range(0, len(names) + 1)) AS pos,
+        SELECT record_id, unnest(range(0, len(names) + 1))::integer AS pos,
                unnest(list_prepend('localhost', names)) AS value FROM fx_fleet_record)
     UNION ALL
     SELECT record_id, 'workers', pos, value FROM (

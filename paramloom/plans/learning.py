@@ -41,7 +41,7 @@ def _units(scored, column):
 
 
 UNITS_SQL = """
-    SELECT vec_id, unnest(range(0, len({0}))) AS unit,
+    SELECT vec_id, unnest(range(0, len({0})))::integer AS unit,
            unnest(list_transform({0}, lambda x: round(x, 6) + 0.0)) AS value FROM {1}
 """
 

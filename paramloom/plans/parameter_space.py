@@ -78,7 +78,7 @@ def ps_list(spark, sf_dir):
 
 
 @query("ps_interval", """
-    SELECT spec_id, unnest(range(0, len(range(start, stop, step)))) AS pos,
+    SELECT spec_id, unnest(range(0, len(range(start, stop, step))))::integer AS pos,
            cast(unnest(range(start, stop, step)) AS varchar) AS value
     FROM fx_interval
 """, ("fx_interval",))
@@ -89,7 +89,7 @@ def ps_interval(spark, sf_dir):
 
 
 @query("ps_interval_fraction", """
-    SELECT p_partkey AS part, i AS pos,
+    SELECT p_partkey AS part, i::integer AS pos,
            CASE WHEN tenths % 10 = 0 THEN cast(tenths // 10 AS varchar)
                 ELSE (tenths // 10) || '.' || (tenths % 10) END AS value
     FROM (SELECT p_partkey, i, p_size + i * (1 + p_partkey % 3) AS tenths
@@ -108,7 +108,7 @@ def ps_interval_fraction(spark, sf_dir):
 
 
 @query("ps_list_interval", """
-    SELECT spec_id, unnest(range(0, len(v))) AS pos, cast(unnest(v) AS varchar) AS value
+    SELECT spec_id, unnest(range(0, len(v)))::integer AS pos, cast(unnest(v) AS varchar) AS value
     FROM (SELECT spec_id, range(start, stop, CASE WHEN part % 5 = 0 AND step > 0 THEN 1
                                              ELSE step END) AS v FROM fx_interval)
 """, ("fx_interval",))

@@ -45,7 +45,7 @@ def run_sweep_agg(spark, sf_dir):
 
 @query("run_sweep_mixed", """
     WITH grid AS (
-        SELECT (a.i * 2 + b.i) * 3 + c.i AS combo_id, a.v AS flag, b.v AS size, c.v AS tax
+        SELECT cast((a.i * 2 + b.i) * 3 + c.i AS bigint) AS combo_id, a.v AS flag, b.v AS size, c.v AS tax
         FROM (SELECT unnest([0, 1]) AS i, unnest(['A', 'R']) AS v) a,
              (SELECT unnest([0, 1]) AS i, unnest([30.0, 10.0]) AS v) b,
              (SELECT unnest([0, 1, 2]) AS i, unnest([0.05, 0.01, 0.03]) AS v) c)
