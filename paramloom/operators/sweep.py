@@ -15,8 +15,9 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from paramloom.functions.buckets import search_sorted
 from paramloom.operators.grid import grid_range
 
-# Aggregate expressions per pass of predicate_sweep.
-EXPRESSIONS_PER_PASS = 128
+# Aggregate expressions per pass of predicate_sweep; with more than 100 columns Spark
+# gives up compiling the whole aggregation.
+EXPRESSIONS_PER_PASS = 90
 
 
 @dataclass(frozen=True)

@@ -114,12 +114,13 @@ def loss_and_gradient(sizes: list[int], theta: np.ndarray, rows: np.ndarray,
     return loss, correct, np.concatenate(parts)
 
 
-def adam(state: State, gradient: np.ndarray, alpha: float) -> None:
+def adam(state: State, gradient: np.ndarray, alpha: float = ALPHA, eps: float = EPS) -> None:
+    """One step of the optimizer, in place."""
     state.step += 1
     state.first += (1 - BETA1) * (gradient - state.first)
     state.second += (1 - BETA2) * (gradient * gradient - state.second)
     rate = alpha * math.sqrt(1 - BETA2 ** state.step) / (1 - BETA1 ** state.step)
-    state.theta = state.theta - rate * state.first / (np.sqrt(state.second) + EPS)
+    state.theta = state.theta - rate * state.first / (np.sqrt(state.second) + eps)
 
 
 _PARTIAL = "combo_id bigint, slice int, part int, sums array<double>"

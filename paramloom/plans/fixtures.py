@@ -343,7 +343,7 @@ recipe("fx_hidden2", f"""
     FROM (SELECT vec_id, label, list_transform(z, lambda x: greatest(x, 0.0)) AS h FROM fx_hidden)
 """, ("fx_hidden",))
 recipe("fx_logits", f"""
-    SELECT vec_id, label, {_layer_sql('h2', 16, 10, False)} AS z FROM fx_hidden2
+    SELECT vec_id, label, h2, {_layer_sql('h2', 16, 10, False)} AS z FROM fx_hidden2
 """, ("fx_hidden2",))
 recipe("fx_judged", """
     SELECT vec_id, label,
@@ -352,6 +352,16 @@ recipe("fx_judged", """
     FROM fx_logits
 """, ("fx_logits",))
 
+# The last layer's gradient of the loss; input 16 stands for the bias.
+recipe("fx_gradient", """
+    SELECT i::integer AS input, j::integer AS class, count(*) AS n,
+           sum(CASE WHEN i < 16 THEN h2[least(i, 15) + 1] ELSE 1.0 END
+               * (exp(z[j + 1]) / total - CASE WHEN label = j THEN 1 ELSE 0 END)) AS gradient
+    FROM (SELECT *, list_sum(list_transform(z, lambda x: exp(x))) AS total FROM fx_logits),
+         range(0, 17) a(i), range(0, 10) b(j)
+    GROUP BY i, j
+""", ("fx_logits",))
+
 # --- fleets -------------------------------------------------------------------
 
 # Suppliers of one fleet record, so that its hosts fit one line.

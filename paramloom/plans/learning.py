@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from paramloom.functions.vectors import relu
@@ -123,6 +124,46 @@ def ml_validation(spark, sf_dir):
                       F.count(F.lit(1)).alias("n_rows"))
 
 
+def _last_layer_sums(spark, sf_dir):
+    """Row count and gradient sums of the whole table under the given network."""
+    sizes = [DIMENSIONS, HIDDEN, HIDDEN, CLASSES]
+    theta = np.concatenate([part.ravel() for layer in _network() for part in layer])
+    _, _, n, gradient = training.summed(
+        _embeddings(spark, sf_dir), "embedding", "label", {0: (sizes, theta)}, gradient=True)[0]
+    return training.State(sizes, theta, 0 * theta, 0 * theta), n, gradient
+
+
+def _last_layer_frame(spark, values, name):
+    """The last layer of a parameter vector, which is model-sized, as rows."""
+    last = values[-(HIDDEN + 1) * CLASSES:].reshape(HIDDEN + 1, CLASSES)
+    rows = [(i, j, round(float(last[i, j]), 6) + 0.0)
+            for i in range(HIDDEN + 1) for j in range(CLASSES)]
+    return spark.createDataFrame(rows, f"input int, class int, {name} double")
+
+
+@query("ml_gradient", """
+    SELECT input, class, round(gradient, 6) + 0.0 AS gradient FROM fx_gradient
+""", ("fx_gradient",))
+def ml_gradient(spark, sf_dir):
+    """Gradient sums of the last layer, added up over the cluster."""
+    _, _, gradient = _last_layer_sums(spark, sf_dir)
+    return _last_layer_frame(spark, gradient, "gradient")
+
+
+@query("ml_adam_step", """
+    SELECT input, class, round(CASE WHEN input < 16
+               THEN ((input * 31 + class * 17) % 7 - 3) / 64.0 ELSE (class % 3 - 1) / 10.0 END
+           - 0.01 * sqrt(1 - 0.999) / (1 - 0.9) * 0.1 * g / (sqrt(0.001 * g * g) + 1e-4), 6) + 0.0
+           AS weight
+    FROM (SELECT input, class, gradient / n AS g FROM fx_gradient)
+""", ("fx_gradient",))
+def ml_adam_step(spark, sf_dir):
+    """The last layer after one full-batch step."""
+    state, n, gradient = _last_layer_sums(spark, sf_dir)
+    training.adam(state, gradient / n, alpha=0.01, eps=1e-4)
+    return _last_layer_frame(spark, state.theta, "weight")
+
+
 def _rounded(df, names):
     return df.withColumns({name: F.round(name, 6) for name in names})
 
