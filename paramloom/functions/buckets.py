@@ -12,7 +12,7 @@ MAX_CONDITIONS = 64
 def search_sorted(value: Column, points: list, right: bool = False) -> Column:
     """How many ``points`` lie below ``value`` (``right``: below or equal).
 
-    ``points`` must be sorted. NULL stays NULL.
+    ``points`` are sorted constants, plain or as columns. NULL stays NULL.
     """
     if len(points) <= MAX_CONDITIONS:
         found = _halve(value, points, 0, len(points), right)

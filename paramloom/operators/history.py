@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from paramloom.functions.text import command_arguments, command_name, command_text, exit_code
+from paramloom.functions.times import micros
 from paramloom.operators import ordering
 from paramloom.operators.ordering import ROWS_PER_BLOCK, Blocks, id_blocks, quantile_blocks, whole
 
@@ -121,6 +122,5 @@ def step_gaps(steps: DataFrame, rows_per_block: int = ROWS_PER_BLOCK) -> DataFra
     """Adds ``gap_us``, microseconds since the previous step of the same user."""
     ordered = ordering.previous(steps, ["user_id"], [F.col("ts"), F.col("event_id")],
                                 quantile_blocks(F.col("ts"), rows_per_block), F.col("ts"),
-                                "__before")
-    gap = (F.col("ts") - F.col("__before")).cast("interval second").cast("decimal(20,6)")
-    return ordered.withColumn("gap_us", (gap * 1000000).cast("bigint")).drop("__before")
+                                "__before", rising=True)
+    return ordered.withColumn("gap_us", micros(F.col("ts") - F.col("__before"))).drop("__before")

@@ -22,6 +22,7 @@ from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql.types import TimestampNTZType
 
 from paramloom.functions.buckets import search_sorted
 
@@ -61,25 +62,16 @@ def quantile_blocks(order: Column, rows: int = ROWS_PER_BLOCK) -> Blocks:
     """Blocks by approximate quantiles of a timestamp or number over the hot keys."""
     def of(hot: DataFrame) -> Column:
         blocks = min(MAX_SPLITS, math.ceil(hot.count() / rows))
-        number = _as_number(hot.select(order.alias("o")), order)
         shares = F.array(*[F.lit(i / blocks) for i in range(1, blocks)])
-        splits = hot.agg(F.percentile_approx(number, shares, F.lit(20 * blocks))).first()[0]
-        return search_sorted(number, sorted(set(splits or [])))
+        found = hot.agg(F.percentile_approx(order, shares, F.lit(20 * blocks)).alias("q"))
+        without_zone = found.schema["q"].dataType.elementType == TimestampNTZType()
+        splits = sorted(set(found.first()["q"] or []))
+        return search_sorted(order, [
+            F.lit(str(s)).cast("timestamp_ntz") if without_zone else F.lit(s) for s in splits])
 
     return Blocks(rows, of)
 
 
-def _as_number(typed: DataFrame, order: Column) -> Column:
-    kind = typed.schema[0].dataType.typeName()
-    if kind == "timestamp_ntz":
-        # A wall-clock difference, so the session time zone plays no part.
-        gap = order - F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
-        return (gap.cast("interval second").cast("decimal(20,6)") * 1000000).cast("bigint")
-    if kind == "timestamp":
-        return F.unix_micros(order)
-    return order
-
-
 def _cut(df: DataFrame, keys: Sequence[str], blocks: Blocks) -> DataFrame | None:
     """``df`` with the block of each row, or None if no key is hot.
 
@@ -145,16 +137,17 @@ def number_rows(df: DataFrame, keys: Sequence[str], order: Sequence[Column], blo
 
 
 def previous(df: DataFrame, keys: Sequence[str], order: Sequence[Column], blocks: Blocks,
-             value: Column, name: str) -> DataFrame:
+             value: Column, name: str, rising: bool = False) -> DataFrame:
     """``value`` of the row before, NULL for the first row of the key.
 
-    ``value`` must not be NULL.
+    ``value`` must not be NULL. ``rising`` says that it never falls along the order,
+    which makes the last value of a block its maximum.
     """
     rows = _cut(df, keys, blocks)
     if rows is None:
         return df.withColumn(name, F.lag(value).over(Window.partitionBy(*keys).orderBy(*order)))
     scanned = _with_heads(rows.withColumn(_CARRY, value), keys,
-                          lambda column: F.max_by(column, F.struct(*order)),
+                          F.max if rising else lambda c: F.max_by(c, F.struct(*order)),
                           lambda column: F.last(column, ignorenulls=True))
     return _drop_heads(scanned.withColumn(name, F.lag(_CARRY).over(_block_window(keys, order))))
 

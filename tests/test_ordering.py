@@ -39,11 +39,12 @@ def test_number_rows(rows, keys):
          rows.withColumn("n", F.row_number().over(window).cast("bigint") - 1))
 
 
-def test_previous(rows):
+@pytest.mark.parametrize("column, rising", [("id", False), ("id", True), ("v", False)])
+def test_previous(rows, column, rising):
     window = Window.partitionBy("k").orderBy("id")
     same(ordering.previous(rows, ["k"], [F.col("id")], ordering.id_blocks(F.col("id"), 10),
-                           F.col("id"), "before"),
-         rows.withColumn("before", F.lag("id").over(window)))
+                           F.col(column), "before", rising),
+         rows.withColumn("before", F.lag(column).over(window)))
 
 
 def test_totals(rows):
@@ -54,11 +55,12 @@ def test_totals(rows):
          .withColumn("b", F.count("id").over(window)))
 
 
-@pytest.mark.parametrize("per_block", [2, 9, 50, 10 ** 6])
-def test_quantile_blocks(rows, per_block):
+@pytest.mark.parametrize("kind", ["timestamp_ntz", "timestamp"])
+@pytest.mark.parametrize("per_block", [2, 50, 10 ** 6])
+def test_quantile_blocks(rows, per_block, kind):
     """Also with more blocks than nested conditions allow, and with a timestamp."""
     timed = rows.withColumn(
-        "ts", F.lit("2024-01-01").cast("timestamp_ntz")
+        "ts", F.lit("2024-01-01").cast(kind)
         + F.make_dt_interval(secs=F.col("id").cast("decimal(18,6)") / 1000))
     blocks = ordering.quantile_blocks(F.col("ts"), per_block)
     window = Window.partitionBy("k").orderBy("ts", "id")
