@@ -16,7 +16,7 @@ from paramloom.session import local_session
 
 SF_DIR = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
 CPUS = os.environ.get("BENCH_CPUS", "8")
-REPEATS = int(os.environ.get("BENCH_REPEATS", "2"))
+REPEATS = int(os.environ.get("BENCH_REPEATS", "3"))
 
 REGISTERED = [
     "run_sweep_agg", "run_sweep_mixed", "run_sweep_predicate", "run_kfold_metric", "run_map",

@@ -91,6 +91,13 @@ def unknown_calls(calls: DataFrame, entries: DataFrame) -> DataFrame:
     return calls.join(registry(entries).select("name"), "name", "left_anti")
 
 
+def call_paths(calls: DataFrame, entries: DataFrame, location: str) -> DataFrame:
+    """Adds ``path``, the file of the called command; NULL where it is not found."""
+    files = registry(entries).select(
+        "name", F.concat_ws("/", F.lit(location), "command").alias("path"))
+    return calls.join(files, "name", "left")
+
+
 def usages(entries: DataFrame) -> DataFrame:
     return registry(entries).select("name", "usage")
 

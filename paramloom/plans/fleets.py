@@ -171,6 +171,14 @@ def fl_unknown(spark, sf_dir):
     return fleet.unknown_calls(fx.fx_call(spark, sf_dir), fx.fx_registry(spark, sf_dir))
 
 
+@query("fl_call_path", """
+    SELECT call_id, name, 'scripts/' || command AS path FROM fx_call LEFT JOIN fx_registered
+    USING (name)
+""", ("fx_call", "fx_registered"))
+def fl_call_path(spark, sf_dir):
+    return fleet.call_paths(fx.fx_call(spark, sf_dir), fx.fx_registry(spark, sf_dir), "scripts")
+
+
 @query("fl_list", "SELECT name, usage FROM fx_registered", ("fx_registered",))
 def fl_list(spark, sf_dir):
     return fleet.usages(fx.fx_registry(spark, sf_dir))

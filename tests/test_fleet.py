@@ -7,45 +7,45 @@ from paramloom.functions import text
 from paramloom.operators import fleet, generate
 from paramloom.sources import records
 
-INFRA = """hosts,localhost,ubuntu@10.0.0.1,power,pwr321
+FLEET = """hosts,localhost,admin@10.0.0.1,north,south
 master,1
 broker,1
 workers,0,2,7,local
-remote_path,ML/proj
-folder,bow
+remote_path,jobs/proj
+folder,proj
 """
 
 
 @pytest.fixture()
 def keyed(spark, tmp_path):
-    (tmp_path / "infra.csv").write_text(INFRA)
+    (tmp_path / "fleet.csv").write_text(FLEET)
     return fleet.keyed_list(records.read_keyed_files(spark, str(tmp_path), "*.csv"))
 
 
 def test_keyed_lists_and_references(keyed):
     hosts = [r["value"] for r in keyed.where("key = 'hosts'").orderBy("pos").collect()]
-    assert hosts == ["localhost", "ubuntu@10.0.0.1", "power", "pwr321"]
+    assert hosts == ["localhost", "admin@10.0.0.1", "north", "south"]
     resolved = fleet.resolve_hosts(keyed).orderBy("pos").collect()
     assert [(r["ref"], r["host"]) for r in resolved] == [
-        (0, "localhost"), (2, "power"), (7, None), (0, "localhost")]
+        (0, "localhost"), (2, "north"), (7, None), (0, "localhost")]
     master = fleet.resolve_hosts(keyed, "master").first()
-    assert master["host"] == "ubuntu@10.0.0.1"
+    assert master["host"] == "admin@10.0.0.1"
 
 
 def test_required_fields_and_host_list(keyed):
     missing = fleet.missing_fields(keyed, ["remote_path", "folder", "key"]).first()["missing"]
     assert missing == ["key"]
-    assert fleet.host_list(keyed).first()["hosts"] == "ubuntu@10.0.0.1, power, pwr321"
+    assert fleet.host_list(keyed).first()["hosts"] == "admin@10.0.0.1, north, south"
 
 
 def test_settings(spark, tmp_path):
-    (tmp_path / "config_a.sh").write_text(
-        'REMOTE_PATH="ML/one"\nKEY=""\n# note\nSTART_WORKER="local,1,2"\nREMOTE_PATH="ML/two"')
-    settings = records.read_settings_files(spark, str(tmp_path), "config_*.sh")
+    (tmp_path / "settings_a.sh").write_text(
+        'REMOTE_PATH="jobs/one"\nKEY=""\n# note\nSTART_WORKER="local,1,2"\nREMOTE_PATH="jobs/two"')
+    settings = records.read_settings_files(spark, str(tmp_path), "settings_*.sh")
     assert {(r["key"], r["value"]) for r in settings.collect()} == {
-        ("REMOTE_PATH", "ML/two"), ("START_WORKER", "local,1,2")}
+        ("REMOTE_PATH", "jobs/two"), ("START_WORKER", "local,1,2")}
     lines = {r["line"] for r in records.settings_rows(settings).collect()}
-    assert lines == {'REMOTE_PATH="ML/two"', 'START_WORKER="local,1,2"'}
+    assert lines == {'REMOTE_PATH="jobs/two"', 'START_WORKER="local,1,2"'}
 
 
 def test_precedence(spark):
@@ -58,15 +58,18 @@ def test_precedence(spark):
 
 
 def test_registry_file(spark, tmp_path):
-    (tmp_path / "scripts.csv").write_text(
+    (tmp_path / "registry.csv").write_text(
         'test_gpu.sh,get_nv,"versions, all"\nls.sh,,List files.\nnew.sh,get_nv,newer\n')
-    entries = records.read_registry(spark, str(tmp_path / "scripts.csv"))
+    entries = records.read_registry(spark, str(tmp_path / "registry.csv"))
     known = {r["name"]: (r["command"], r["usage"]) for r in fleet.registry(entries).collect()}
     assert known == {"get_nv": ("new.sh", "newer"), "ls.sh": ("ls.sh", "List files.")}
     calls = spark.createDataFrame([(1, "get_nv"), (2, "rm"), (3, "ls.sh")], "id int, name string")
     assert {r["id"] for r in fleet.known_calls(calls, entries).collect()} == {1, 3}
     assert {r["id"] for r in fleet.unknown_calls(calls, entries).collect()} == {2}
     assert fleet.usages(entries).columns == ["name", "usage"]
+    paths = fleet.call_paths(calls, entries, "scripts")
+    assert {(r["id"], r["path"]) for r in paths.collect()} == {
+        (1, "scripts/new.sh"), (2, None), (3, "scripts/ls.sh")}
 
 
 def one(spark, column):
@@ -74,7 +77,7 @@ def one(spark, column):
 
 
 @pytest.mark.parametrize("given, host", [
-    ("ubuntu@52.0.0.1", "52.0.0.1"), ("power", "power"), ("", ""), ("a@b@c", "b")])
+    ("admin@10.0.0.2", "10.0.0.2"), ("north", "north"), ("", ""), ("a@b@c", "b")])
 def test_host_of_address(spark, given, host):
     assert one(spark, text.host_of(F.lit(given))) == host
 

@@ -66,7 +66,7 @@ def test_log_round_trip(spark, tmp_path):
 
 
 def test_odd_log_rows(spark, tmp_path):
-    (tmp_path / "output.csv").write_text("t,a=1,a=2,\nt,\nt,k=v\nt,x=1,\n,\n\n")
+    (tmp_path / "run.csv").write_text("t,a=1,a=2,\nt,\nt,k=v\nt,x=1,\n,\n\n")
     (tmp_path / "notes.txt").write_text("skip me\n")
     rows = [(r["task_id"], r["kind"], r["params"], r["text"])
             for r in runlog.read_log(spark, str(tmp_path), "*.csv").collect()]
