@@ -7,6 +7,7 @@ its cost does not grow with the number of combinations per row.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -62,6 +63,9 @@ class Measure:
     column: Column | None = None
 
 
+# Combinations that one task may add up; more are spread.
+SMALL_GRID = 100_000
+
 _MERGE = {"count": F.sum, "sum": F.sum, "min": F.min, "max": F.max}
 
 
@@ -98,9 +102,22 @@ def threshold_sweep(facts: DataFrame, thresholds: dict[str, Threshold],
         .groupBy(*ranks.values())
         .agg(*[getattr(F, kind)(part).alias(part) for part, (kind, _) in parts.items()]))
 
-    every_cell = grid_range(
-        spark, {ranks[n]: list(range(len(t.points))) for n, t in thresholds.items()})
-    summed = every_cell.drop("combo_id").join(cells, list(ranks.values()), "left")
+    # The grid in declared order, with the rank of each value.
+    total = math.prod(len(t.values) for t in thresholds.values())
+    positions = grid_range(spark, {n: list(range(len(t.values))) for n, t in thresholds.items()},
+                           partitions=1 if total <= SMALL_GRID else None)
+    columns = [F.col("combo_id")]
+    for name, threshold in thresholds.items():
+        order = [threshold.points.index(v) for v in threshold.values]
+        columns += [_lookup(threshold.values, name).alias(name),
+                    _lookup(order, name).alias(ranks[name])]
+    declared = positions.select(*columns)
+
+    # A value listed twice must not be added up twice.
+    repeated = any(len(t.points) < len(t.values) for t in thresholds.values())
+    every_cell = declared.select(*ranks.values()).distinct() if repeated else declared
+    kept = every_cell.columns
+    summed = every_cell.join(cells, list(ranks.values()), "left")
     for name, threshold in thresholds.items():
         if threshold.op == "=":
             continue
@@ -109,20 +126,15 @@ def threshold_sweep(facts: DataFrame, thresholds: dict[str, Threshold],
         along = (Window.partitionBy(*[r for n, r in ranks.items() if n != name])
                  .orderBy(rank.desc() if threshold.op in (">=", ">") else rank)
                  .rowsBetween(Window.unboundedPreceding, 0))
-        summed = summed.select(
-            *ranks.values(),
-            *[_MERGE[kind](part).over(along).alias(part) for part, (kind, _) in parts.items()])
+        summed = summed.select(*kept, *[
+            _MERGE[kind](part).over(along).alias(part) for part, (kind, _) in parts.items()])
+    if repeated:
+        summed = declared.join(summed, list(ranks.values()), "left")
+    return summed.select("combo_id", *thresholds, *_results(measures))
 
-    declared = grid_range(spark, {n: list(range(len(t.values))) for n, t in thresholds.items()})
-    columns = ["combo_id"]
-    for name, threshold in thresholds.items():
-        order = [threshold.points.index(v) for v in threshold.values]
-        columns += [
-            F.get(F.array(*[F.lit(v) for v in threshold.values]), F.col(name)).alias(name),
-            F.get(F.array(*[F.lit(r) for r in order]), F.col(name)).alias(ranks[name])]
-    return (declared.select(*columns)
-            .join(summed, list(ranks.values()), "left")
-            .select("combo_id", *thresholds, *_results(measures)))
+
+def _lookup(values: list, position: str) -> Column:
+    return F.get(F.array(*[F.lit(v) for v in values]), F.col(position))
 
 
 def _results(measures: dict[str, Measure]) -> list[Column]:
