@@ -214,35 +214,55 @@ def _batch_table(spark: SparkSession, rows: DataFrame, row_id: str, batchsize: i
 def train(train_rows: DataFrame, test_rows: DataFrame, row_id: str, vector: str, label: str,
           combinations: list[Combination], inputs: int, classes: int,
           resume: dict[int, State] | None = None,
-          after_epoch: Callable[[int, dict[int, State]], None] | None = None) -> Training:
+          after_epoch: Callable[[int, dict[int, State]], None] | None = None,
+          hand_over: Callable[[dict[int, State]], None] | None = None) -> Training:
     """Trains every combination and reports each epoch.
 
-    Combinations with equal ``batchsize`` and ``epochs`` share their passes. Batches
-    are fixed by a seeded shuffle; their order changes per epoch. ``resume`` gives
-    states to go on from, ``after_epoch`` sees the states after each epoch.
+    Combinations with equal ``batchsize`` and ``epochs`` share their passes, as many at
+    a time as the driver may hold. Batches are fixed by a seeded shuffle; their order
+    changes per epoch. ``resume`` gives states to go on from, ``after_epoch`` sees the
+    states after each epoch. ``hand_over`` takes the trained states, as to write them,
+    which then are not kept.
     """
     training = Training()
     resume = resume or {}
-    states = {}
-    for c in combinations:
-        states[c.combo_id] = resume.get(c.combo_id) or initial_state(
-            [inputs, c.unit, c.unit, classes], c.seed)
-    held = sum(len(s.theta) for s in states.values())
-    if held > MAX_STATE:
-        raise ValueError(f"{held} parameters in one run; train fewer combinations at a time")
+
+    def sizes(c: Combination) -> list[int]:
+        return [inputs, c.unit, c.unit, classes]
 
     groups = defaultdict(list)
     for c in combinations:
         groups[c.batchsize, c.epochs].append(c)
     for (batchsize, epochs), group in groups.items():
         table, batches = _batch_table(train_rows.sparkSession, train_rows, row_id, batchsize)
-        _train_group(training, states, group, table, batches, epochs, test_rows,
-                     vector, label, after_epoch)
-    training.states = states
+        for chunk in _chunks(group, sizes):
+            states = {c.combo_id: resume.get(c.combo_id) or initial_state(sizes(c), c.seed)
+                      for c in chunk}
+            _train_group(training, states, chunk, table, batches, epochs, test_rows,
+                         vector, label, after_epoch)
+            if hand_over:
+                hand_over(states)
+            else:
+                training.states.update(states)
     training.report.sort()
     return training
 
 
+def _chunks(group: list[Combination], sizes) -> list[list[Combination]]:
+    """Combinations whose parameters together fit the driver."""
+    chunks, held = [[]], 0
+    for c in group:
+        n = sum((i + 1) * o for i, o in zip(sizes(c), sizes(c)[1:]))
+        if n > MAX_STATE:
+            raise ValueError(f"a network of {n} parameters does not fit the driver")
+        if chunks[-1] and held + n > MAX_STATE:
+            chunks.append([])
+            held = 0
+        chunks[-1].append(c)
+        held += n
+    return chunks
+
+
 def _train_group(training, states, group, table, batches, epochs, test_rows, vector, label,
                  after_epoch) -> None:
     began = time.monotonic()

@@ -132,8 +132,9 @@ def test_callback_gets_tasks_and_parameters(spark, events, source, paths):
     assert set().union(*[c[2] for c in calls]) == ended
 
 
-def test_poll_runs_until_stopped(spark, source, paths):
-    lines = messages.route(fx.message_columns(source))
+def test_poll_runs_until_stopped(spark, events, paths):
+    everything = stream.read_messages(spark, events, spark.read.parquet(events).schema, None)
+    lines = messages.route(fx.message_columns(everything))
     query = stream.append_files(lines, *paths, until_done=False)
     try:
         query.processAllAvailable()

@@ -98,7 +98,22 @@ def test_snapshots_after_each_epoch(split):
     assert seen == [(1, 1), (2, 2)]
 
 
-def test_run_too_large_for_the_driver_is_refused(split, monkeypatch):
+def test_many_combinations_are_trained_in_turns(split, monkeypatch):
+    combinations = [Combination(i, unit=4, alpha=0.01 * (i + 1), batchsize=1000, epochs=2)
+                    for i in range(3)]
+    at_once = run(split, combinations)
+    handed = []
+    monkeypatch.setattr(training, "MAX_STATE", 700)
+    in_turns = run(split, combinations, hand_over=handed.append)
+    assert [set(states) for states in handed] == [{0, 1}, {2}]
+    assert in_turns.states == {}
+    assert [r[:6] for r in in_turns.report] == [r[:6] for r in at_once.report]
+    for states in handed:
+        for combo_id, state in states.items():
+            assert np.array_equal(state.theta, at_once.states[combo_id].theta)
+
+
+def test_network_too_large_for_the_driver_is_refused(split, monkeypatch):
     monkeypatch.setattr(training, "MAX_STATE", 1000)
     with pytest.raises(ValueError):
         run(split, [Combination(0, unit=100)])
