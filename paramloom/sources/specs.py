@@ -9,7 +9,6 @@ in splits, so a folder of specs needs neither one file per spec nor one task.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -30,7 +29,6 @@ def value_text(value) -> str:
     return str(value)
 
 
-@lru_cache(maxsize=1)
 def _loader():
     """PyYAML and its safe loader (the compiled one if there), with the interval tag."""
     try:
@@ -47,9 +45,8 @@ def _loader():
     return yaml, SpecLoader
 
 
-def parse_document(spec_id: str, text: str) -> list[tuple]:
+def parse_document(spec_id: str, text: str, yaml, loader) -> list[tuple]:
     """Raw parameter rows of one document; one ``unreadable`` row if it is not a mapping."""
-    yaml, loader = _loader()
     try:
         data = yaml.load(text, Loader=loader)
     except yaml.YAMLError:
@@ -73,9 +70,10 @@ def parse_document(spec_id: str, text: str) -> list[tuple]:
 
 def _parse_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     columns = ["spec_id", "ord", "param", "type", "items", "nested"]
+    yaml, loader = _loader()
     for batch in batches:
         rows = [row for spec_id, text in zip(batch["spec_id"], batch["text"])
-                for row in parse_document(spec_id, text)]
+                for row in parse_document(spec_id, text, yaml, loader)]
         yield pd.DataFrame(rows, columns=columns)
 
 
