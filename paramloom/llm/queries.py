@@ -6,17 +6,24 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from paramloom.llm import near
+from paramloom.llm import exact, near
 from paramloom.llm.tables import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact.exact_duplicates(documents(spark, sf_dir))
+
+
 def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near.near_duplicates(documents(spark, sf_dir))
 
 
 QUERIES: dict[str, Query] = {
+    "op6_exact_dedup": op6_exact_dedup,
     "op9_minhash_near_dedup": op9_minhash_near_dedup,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op6_exact_dedup": exact.SQL,
+}
