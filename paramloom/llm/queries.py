@@ -5,13 +5,20 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from paramloom.llm import exact, near
+from paramloom.llm import exact, near, substrings
 from paramloom.llm.tables import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = substrings.remove_repeats(documents(spark, sf_dir))
+    return done.select("doc_id", "n_words", "n_removed",
+                       F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_duplicates(documents(spark, sf_dir))
 
@@ -21,9 +28,11 @@ def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op4_substring_dedup": op4_substring_dedup,
     "op6_exact_dedup": op6_exact_dedup,
     "op9_minhash_near_dedup": op9_minhash_near_dedup,
 }
 ORACLES: dict[str, str] = {
+    "op4_substring_dedup": substrings.SQL,
     "op6_exact_dedup": exact.SQL,
 }
