@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paramloom.llm import exact, near, substrings
+from paramloom.llm import exact, near, quality, substrings
 from paramloom.llm.tables import documents
+from paramloom.plans.registry import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -23,6 +24,12 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_duplicates(documents(spark, sf_dir))
 
 
+def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    model = quality.fit(quality.sample_of(table(spark, sf_dir, "labels"), docs, "quality"))
+    return quality.judge(docs, model)
+
+
 def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near.near_duplicates(documents(spark, sf_dir))
 
@@ -30,6 +37,7 @@ def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op4_substring_dedup": op4_substring_dedup,
     "op6_exact_dedup": op6_exact_dedup,
+    "op7_quality_rules": op7_quality_rules,
     "op9_minhash_near_dedup": op9_minhash_near_dedup,
 }
 ORACLES: dict[str, str] = {

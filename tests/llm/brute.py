@@ -42,3 +42,17 @@ def near_duplicates(rows, percent=85):
             x, y = sorted((root(a), root(b)))
             parent[y] = x
     return {i: (len(s), root(i), root(i) == i) for i, s in sets.items()}
+
+
+def quality_counts(text):
+    """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed."""
+    text = text or ""
+    found = words(text)
+    lines = [line for line in text.split("\n") if words(line)]
+    places = {}
+    for i in range(len(found) - 7):
+        places.setdefault(tuple(found[i:i + 8]), []).append(i)
+    covered = {i + j for at in places.values() if len(at) > 1 for i in at for j in range(8)}
+    n = len(found)
+    return (n, sum(map(len, found)), sum(c in "#*$%&|<>" for c in text),
+            len(lines) - len(set(lines)), len(covered), n < 20 or 100 * len(covered) > 30 * n)
