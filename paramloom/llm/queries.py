@@ -4,16 +4,24 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paramloom.llm import exact, near, quality, substrings
+from paramloom.llm import exact, near, quality, substrings, token_blocks
 from paramloom.llm.tables import documents
 from paramloom.plans.registry import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op2_token_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    folder = token_blocks.tokens_folder(docs)
+    written = token_blocks.write_tokens(docs, folder, public_tokenizers.path("byte_bpe_50k.json"))
+    return token_blocks.read_checks(written, folder)
+
+
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = substrings.remove_repeats(documents(spark, sf_dir))
     return done.select("doc_id", "n_words", "n_removed",
@@ -35,6 +43,7 @@ def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op2_token_blocks": op2_token_blocks,
     "op4_substring_dedup": op4_substring_dedup,
     "op6_exact_dedup": op6_exact_dedup,
     "op7_quality_rules": op7_quality_rules,
