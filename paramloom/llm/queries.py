@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paramloom.llm import exact, near, quality, substrings, token_blocks
+from paramloom.llm import exact, mixing, near, quality, substrings, token_blocks
 from paramloom.llm.tables import documents
 from paramloom.plans.registry import table
 
@@ -22,6 +22,10 @@ def op2_token_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_blocks.read_checks(written, folder)
 
 
+def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixed(documents(spark, sf_dir))
+
+
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = substrings.remove_repeats(documents(spark, sf_dir))
     return done.select("doc_id", "n_words", "n_removed",
@@ -44,12 +48,14 @@ def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op2_token_blocks": op2_token_blocks,
+    "op3_source_mixing": op3_source_mixing,
     "op4_substring_dedup": op4_substring_dedup,
     "op6_exact_dedup": op6_exact_dedup,
     "op7_quality_rules": op7_quality_rules,
     "op9_minhash_near_dedup": op9_minhash_near_dedup,
 }
 ORACLES: dict[str, str] = {
+    "op3_source_mixing": mixing.SQL,
     "op4_substring_dedup": substrings.SQL,
     "op6_exact_dedup": exact.SQL,
 }
