@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paramloom.llm import exact, mixing, near, quality, substrings, token_blocks
+from paramloom.llm import exact, mixing, near, pieces, quality, substrings, token_blocks
 from paramloom.llm.tables import documents
 from paramloom.plans.registry import table
 
@@ -42,6 +42,10 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(docs, model)
 
 
+def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.encoded(documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near.near_duplicates(documents(spark, sf_dir))
 
@@ -52,6 +56,7 @@ QUERIES: dict[str, Query] = {
     "op4_substring_dedup": op4_substring_dedup,
     "op6_exact_dedup": op6_exact_dedup,
     "op7_quality_rules": op7_quality_rules,
+    "op8_sentencepiece": op8_sentencepiece,
     "op9_minhash_near_dedup": op9_minhash_near_dedup,
 }
 ORACLES: dict[str, str] = {
