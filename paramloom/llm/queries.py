@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paramloom.llm import exact, mixing, near, pieces, quality, substrings, token_blocks
+from paramloom.llm import exact, mixing, near, pieces, pseudo_lm, quality, substrings, token_blocks
 from paramloom.llm.tables import documents
 from paramloom.plans.registry import table
 
@@ -50,6 +50,11 @@ def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near.near_duplicates(documents(spark, sf_dir))
 
 
+def op10_pseudo_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    return pseudo_lm.scores(docs, pseudo_lm.train(docs))
+
+
 QUERIES: dict[str, Query] = {
     "op2_token_blocks": op2_token_blocks,
     "op3_source_mixing": op3_source_mixing,
@@ -58,6 +63,7 @@ QUERIES: dict[str, Query] = {
     "op7_quality_rules": op7_quality_rules,
     "op8_sentencepiece": op8_sentencepiece,
     "op9_minhash_near_dedup": op9_minhash_near_dedup,
+    "op10_pseudo_likelihood": op10_pseudo_likelihood,
 }
 ORACLES: dict[str, str] = {
     "op3_source_mixing": mixing.SQL,
