@@ -8,13 +8,18 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paramloom.llm import exact, mixing, near, pieces, pseudo_lm, quality, substrings, token_blocks
+from paramloom.llm import exact, licenses, mixing, near, pieces, pseudo_lm, quality, substrings, token_blocks
 from paramloom.llm.tables import documents
 from paramloom.plans.registry import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    return licenses.scan(docs, licenses.train(docs))
+
+
 def op2_token_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     folder = token_blocks.tokens_folder(docs)
@@ -56,6 +61,7 @@ def op10_pseudo_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op1_license_scan": op1_license_scan,
     "op2_token_blocks": op2_token_blocks,
     "op3_source_mixing": op3_source_mixing,
     "op4_substring_dedup": op4_substring_dedup,
