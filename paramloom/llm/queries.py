@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paramloom.llm import exact, licenses, mixing, near, pieces, pseudo_lm, quality, substrings, token_blocks
+from paramloom.llm import chat, exact, licenses, mixing, near, pieces, pseudo_lm, quality, substrings, token_blocks
 from paramloom.llm.tables import documents
 from paramloom.plans.registry import table
 
@@ -37,6 +37,10 @@ def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
                        F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op5_tool_call_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.link(*chat.calls_of(table(spark, sf_dir, "conversations")))
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_duplicates(documents(spark, sf_dir))
 
@@ -65,6 +69,7 @@ QUERIES: dict[str, Query] = {
     "op2_token_blocks": op2_token_blocks,
     "op3_source_mixing": op3_source_mixing,
     "op4_substring_dedup": op4_substring_dedup,
+    "op5_tool_call_linking": op5_tool_call_linking,
     "op6_exact_dedup": op6_exact_dedup,
     "op7_quality_rules": op7_quality_rules,
     "op8_sentencepiece": op8_sentencepiece,
