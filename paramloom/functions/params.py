@@ -9,11 +9,39 @@ from pyspark.sql import Column, functions as F
 BOUND = "decimal(37,12)"
 STEP = "decimal(26,12)"
 INDEX = "decimal(10,0)"
+# Bounds and steps from here on, and intervals of more values, are no parameters.
+LARGEST_BOUND = 10 ** 13
+MOST_VALUES = 10_000_000
 
 
 def number_text(value: Column) -> Column:
-    """Decimal as text without trailing zeros: 0.300 -> 0.3, 15.000 -> 15."""
-    return F.regexp_replace(value.cast("string"), r"\.?0+$", "")
+    """Decimal of 12 places as text without trailing zeros: 0.300 -> 0.3, 15.000 -> 15.
+
+    Put together from its digits, as the text of a small decimal depends on the session.
+    """
+    size = F.abs(value)
+    whole = F.floor(size)
+    digits = ((size - whole) * 10 ** 12).cast("bigint").cast("string")
+    places = F.rtrim(F.lpad(digits, 12, "0"), F.lit("0"))
+    return F.concat(F.when(value < 0, "-").otherwise(""), whole.cast("bigint").cast("string"),
+                    F.when(places != "", F.concat(F.lit("."), places)).otherwise(""))
+
+
+def whole_length(start: Column, stop: Column, step: Column) -> Column:
+    """Number of values in the half-open interval of ``bigint`` bounds; 0 if empty or step 0."""
+    up = F.call_function("div", stop - start - 1, F.when(step != 0, step)) + 1
+    down = F.call_function("div", stop - start + 1, F.when(step != 0, step)) + 1
+    return (F.when((step > 0) & (stop > start), up).when((step < 0) & (stop < start), down)
+            .otherwise(F.lit(0)).cast("bigint"))
+
+
+def whole_values(start: Column, step: Column, length: Column) -> Column:
+    """``length`` values from ``start`` as ``ARRAY<STRING>``, all of them ``bigint``."""
+    # sequence() is inclusive and raises on reversed bounds, hence the guard.
+    some = length > 0
+    first, by = F.when(some, start), F.when(some, step)
+    return F.coalesce(F.sequence(first, first + (length - 1) * by, by).cast("array<string>"),
+                      F.array().cast("array<string>"))
 
 
 def interval_length(start: Column, stop: Column, step: Column) -> Column:
@@ -32,17 +60,14 @@ def interval_values(start: Column, stop: Column, step: Column,
                     length: Column | None = None) -> Column:
     """Values of ``[start, stop)`` as ``ARRAY<STRING>``, counting down for a negative step.
 
-    ``length`` is the number of values, where already known.
+    ``length`` is the number of values, where already known. Bounds and steps must be below
+    ``LARGEST_BOUND``.
     """
     start, stop, step = start.cast(BOUND), stop.cast(BOUND), step.cast(STEP)
     n = interval_length(start, stop, step) if length is None else length
-    # sequence() is inclusive and raises on reversed bounds, hence the guards.
     some = n > 0
-    whole = some & (start % 1 == 0) & (step % 1 == 0) & (F.abs(start) < 10 ** 15)
-    first, by = (F.when(whole, c.cast("bigint")) for c in (start, step))
     positions = F.when(some, F.sequence(F.lit(0).cast("bigint"), F.greatest(n - 1, F.lit(0))))
     return F.coalesce(
-        F.sequence(first, first + (n - 1) * by, by).cast("array<string>"),
         F.transform(positions, lambda i: number_text(start + i.cast(INDEX) * step)),
         F.array().cast("array<string>"),
     )
@@ -90,5 +115,5 @@ def task_id(spec_id: Column, combo_id: Column, params: Column) -> Column:
 
 
 def with_default(params: Column, name: str, default: str, dtype: str) -> Column:
-    """Option ``name`` out of ``params`` as ``dtype``, or its default."""
-    return F.coalesce(F.try_element_at(params, F.lit(name)), F.lit(default)).cast(dtype)
+    """Option ``name`` out of ``params`` as ``dtype``, or its default; NULL if it is none."""
+    return F.coalesce(F.try_element_at(params, F.lit(name)), F.lit(default)).try_cast(dtype)

@@ -63,15 +63,16 @@ def grid(values: DataFrame, block: int = BLOCK) -> DataFrame:
         _decode(F.col("dims"), F.col("strides"), F.col("combo_id"))).alias("params"))
 
 
-def grid_by_folding(values: DataFrame, parameters: int) -> DataFrame:
+def grid_by_folding(values: DataFrame) -> DataFrame:
     """``(spec_id, combo_id, combination ARRAY)``: one parameter after the other.
 
     Each step extends every combination so far by each value of the next parameter;
-    a missing next parameter leaves it as it is. ``parameters`` is the largest
-    number of parameters of a spec. The rows are spread before the last step, which
-    produces most of them.
+    a missing next parameter leaves it as it is. There is a step for each parameter of
+    the longest spec, whose length is asked for first. The rows are spread before the
+    last step, which produces most of them. Specs beyond 2^63-1 combinations have none.
     """
-    rows = dimensions(values).select(
+    parameters = values.groupBy("spec_id").count().agg(F.max("count")).first()[0] or 0
+    rows = dimensions(values).where(F.col("combinations").isNotNull()).select(
         "spec_id", "dims", F.lit(0).cast("bigint").alias("combo_id"),
         F.array().cast("array<string>").alias("combination"))
     for position in range(parameters):

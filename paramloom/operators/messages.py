@@ -50,7 +50,7 @@ def detail_lines(messages: DataFrame) -> DataFrame:
     line = F.when(
         F.size(entries) > 0,
         F.transform(F.map_entries(entries),
-                    lambda e: F.concat_ws(" : ", e["key"], e["value"]))
+                    lambda e: F.concat_ws(" : ", e["key"], F.coalesce(e["value"], F.lit("None"))))
     ).otherwise(F.array("result"))
     return (messages.where(~F.col("status").isin("MSG", "SUCCESS"))
             .select("task_id", "seq", F.explode(line).alias("line")))

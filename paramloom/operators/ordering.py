@@ -30,6 +30,9 @@ ROWS_PER_BLOCK = 1 << 20
 # A key with more rows than this many blocks is hot.
 HOT_BLOCKS = 4
 MAX_SPLITS = 4096
+# Blocks of blocks hold so many; as many levels as numbers of 63 bits need.
+FAN = 1 << 16
+_LEVELS = 4
 
 _BLOCK, _HEAD, _CARRY, _HOT = "__block", "__head", "__carry", "__hot"
 
@@ -187,16 +190,21 @@ def positions(df: DataFrame, count: Column, name: str, keys: Sequence[str],
     """Every row once per position 0 to ``count - 1``.
 
     Positions are cut into blocks, spread before they are produced: one row may stand
-    for most of the output. A row has at most a million blocks.
+    for most of the output. Blocks of blocks come first, each an array of ``FAN`` numbers
+    at most, so that no array grows with ``count``.
     """
-    zero, n = F.lit(0).cast("bigint"), F.col("__count")
-    blocks = (df.withColumn("__count", count.cast("bigint")).where(n > 0)
-              .withColumn("__width", F.greatest(F.lit(block), whole(n, 1_000_000) + 1))
-              .withColumn(_BLOCK, F.explode(F.sequence(
-                  zero, F.call_function("div", n - 1, F.col("__width"))))))
-    low = F.col(_BLOCK) * F.col("__width")
+    n = F.col("__count")
+    blocks = df.withColumn("__count", count.cast("bigint")).where(n > 0).withColumn(
+        _BLOCK, F.lit(0).cast("bigint"))
+    for level in reversed(range(_LEVELS)):
+        width = FAN ** level
+        last = F.call_function("div", n - 1, F.lit(block)) if block > 1 else n - 1
+        low = F.col(_BLOCK) * FAN
+        high = F.least(low + (FAN - 1), F.call_function("div", last, F.lit(width)))
+        blocks = blocks.withColumn(_BLOCK, F.explode(F.sequence(low, high)))
+    low = F.col(_BLOCK) * block
     return spread(blocks, *keys, _BLOCK).withColumn(name, F.explode(F.sequence(
-        low, F.least(low + F.col("__width"), n) - 1))).drop("__count", "__width", _BLOCK)
+        low, F.least(n - low, F.lit(block)) + low - 1))).drop("__count", _BLOCK)
 
 
 def last_rows(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int) -> DataFrame:

@@ -6,14 +6,17 @@ one of list, tuple, bool, str, int, float, dict or another type name.
 
 A parameter that can hold no values (dictionary, null, date ...) is left out and
 reported; a parameter that would distort the grid (short, empty, nested, step 0,
-not a number) rejects its whole spec.
+not a number, beyond the range of exact arithmetic, too many values) rejects its whole
+spec. So do a name that two documents share, and more than 2^63-1 combinations; both are
+reported without a parameter.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-from paramloom.functions.params import BOUND, interval_length, interval_values
+from paramloom.functions.params import (BOUND, LARGEST_BOUND, MOST_VALUES, interval_length,
+                                        interval_values, whole_length, whole_values)
 
 SKIPPED = ["dict", "type", "unreadable"]
 
@@ -33,25 +36,39 @@ def classify(raw: DataFrame, list_as_interval: bool = False) -> DataFrame:
     return raw.withColumn("kind", kind)
 
 
-def _bound(position: int, default: str | None = None) -> Column:
+def _item(position: int, default: str | None = None) -> Column:
     item = F.get(F.col("items"), F.lit(position))
-    if default is not None:
-        item = F.coalesce(item, F.lit(default))
-    return F.when(F.col("kind") == "interval", item.try_cast(BOUND))
+    return item if default is None else F.coalesce(item, F.lit(default))
 
 
 def _with_bounds(classified: DataFrame) -> DataFrame:
-    """Adds start, end, step (default 1) and length of intervals, parsed once."""
-    parsed = classified.withColumns({
-        "__start": _bound(0), "__stop": _bound(1), "__step": _bound(2, "1")})
-    return parsed.withColumn("__length", F.when(F.col("kind") == "interval", interval_length(
-        F.col("__start"), F.col("__stop"), F.col("__step"))))
+    """Adds start, end, step (default 1) and length of intervals, parsed once.
+
+    Whole numbers, nearly all of them, are ``bigint``; other intervals are decimals.
+    """
+    interval = F.col("kind") == "interval"
+    texts = {"__start": _item(0), "__stop": _item(1), "__step": _item(2, "1")}
+    whole = interval
+    for text in texts.values():
+        whole = whole & F.coalesce(text.rlike(r"^-?[0-9]{1,13}$"), F.lit(False))
+    parsed = classified.withColumn("__whole", whole)
+    parsed = parsed.withColumns(
+        {f"{n}_w": F.when(F.col("__whole"), t.cast("bigint")) for n, t in texts.items()}
+        | {n: F.when(interval & ~F.col("__whole"), t.try_cast(BOUND)) for n, t in texts.items()})
+    near = F.lit(True)
+    for n in texts:
+        near = near & (F.abs(F.col(n)) < LARGEST_BOUND)
+    length = (F.when(F.col("__whole"), whole_length(*(F.col(f"{n}_w") for n in texts)))
+              .when(near, interval_length(*(F.col(n) for n in texts))))
+    return parsed.withColumn("__near", F.col("__whole") | near).withColumn("__length", length)
 
 
 def _reason() -> Column:
     interval = F.col("kind") == "interval"
     empty = F.size("items") == 0
-    unknown = F.col("__start").isNull() | F.col("__stop").isNull() | F.col("__step").isNull()
+    unknown = ~F.col("__whole") & (
+        F.col("__start").isNull() | F.col("__stop").isNull() | F.col("__step").isNull())
+    step = F.coalesce(F.col("__step_w").cast(BOUND), F.col("__step"))
     return (
         F.when(F.col("type") == "unreadable", F.lit("unreadable"))
         .when(F.col("kind") == "dict", F.lit("dict"))
@@ -60,11 +77,14 @@ def _reason() -> Column:
         .when(F.col("nested"), F.lit("nested"))
         .when(interval & (F.size("items") < 2), F.lit("short"))
         .when(interval & unknown, F.lit("number"))
-        .when(interval & (F.col("__step") == 0), F.lit("step"))
-        .when(interval & (F.col("__length") == 0), F.lit("empty")))
+        .when(interval & (step == 0), F.lit("step"))
+        .when(interval & ~F.col("__near"), F.lit("range"))
+        .when(interval & (F.col("__length") == 0), F.lit("empty"))
+        .when(interval & (F.col("__length") > MOST_VALUES), F.lit("too_many")))
 
 
-_BOUNDS = ["__start", "__stop", "__step", "__length"]
+_BOUNDS = ["__whole", "__start", "__stop", "__step", "__start_w", "__stop_w", "__step_w",
+           "__near", "__length"]
 
 
 def with_reason(classified: DataFrame) -> DataFrame:
@@ -73,15 +93,20 @@ def with_reason(classified: DataFrame) -> DataFrame:
 
 
 def spec_errors(raw: DataFrame, list_as_interval: bool = False) -> DataFrame:
-    """``(spec_id, param, reason)`` of every parameter that was not taken."""
-    return (with_reason(classify(raw, list_as_interval))
-            .where(F.col("reason").isNotNull())
-            .select("spec_id", "param", "reason"))
+    """``(spec_id, param, reason)`` of every parameter or whole spec that was not taken."""
+    checked = _checked(raw, list_as_interval)
+    reason = F.when(F.col("repeated"), "repeated").when(F.col("combinations").isNull(), "too_many")
+    whole = _by_spec(checked).where(~F.col("bad")).select(
+        "spec_id", F.lit(None).cast("string").alias("param"), reason.alias("reason"))
+    return (checked.select("spec_id", "param", "reason").unionByName(whole)
+            .where(F.col("reason").isNotNull()))
 
 
 def _values() -> Column:
     return (
-        F.when(F.col("kind") == "interval", interval_values(
+        F.when(F.col("__whole"), whole_values(
+            F.col("__start_w"), F.col("__step_w"), F.col("__length")))
+        .when(F.col("kind") == "interval", interval_values(
             F.col("__start"), F.col("__stop"), F.col("__step"), F.col("__length")))
         .when(F.col("kind") == "flag",
               F.when(_is_off(), F.array().cast("array<string>")).otherwise(F.array(F.lit(""))))
@@ -93,21 +118,42 @@ def _is_off() -> Column:
 
 
 def expand_values(classified: DataFrame) -> DataFrame:
-    """Adds ``values ARRAY<STRING>`` in declared order; a false flag has none."""
-    return _with_bounds(classified).withColumn("values", _values()).drop(*_BOUNDS)
+    """Adds ``values ARRAY<STRING>`` in declared order; a false flag has none.
 
+    Intervals that can't be expanded have NULL.
+    """
+    bounds = _with_bounds(classified)
+    fits = F.coalesce(F.col("__length") <= MOST_VALUES, F.col("kind") != "interval")
+    return bounds.withColumn("values", F.when(fits, _values())).drop(*_BOUNDS)
 
-def param_values(raw: DataFrame, list_as_interval: bool = False) -> DataFrame:
-    """``(spec_id, ord, param, kind, values)`` of the good specs, ready for a grid.
 
-    A spec is one parsed document, so its window group is as small as that text.
+def _checked(raw: DataFrame, list_as_interval: bool) -> DataFrame:
+    return _with_bounds(classify(raw, list_as_interval)).withColumn("reason", _reason())
+
+
+def _by_spec(checked: DataFrame) -> DataFrame:
+    """One row per spec: whether it is bad or told twice, what is taken of it, combinations.
+
+    A spec is one parsed document, which bounds what is gathered. Parameters of a document are
+    numbered from 1, so more parameters than the last number mean several documents.
     """
-    checked = _with_bounds(classify(raw, list_as_interval)).withColumn("reason", _reason())
-    bad = F.col("reason").isNotNull() & ~F.col("reason").isin(SKIPPED)
-    whole = Window.partitionBy("spec_id")
-    good = (checked.withColumn("__bad", F.max(bad).over(whole))
-            .where(~F.col("__bad") & F.col("reason").isNull() & ~_is_off()))
-    return good.select("spec_id", "ord", "param", "kind", _values().alias("values"))
+    reason = F.col("reason")
+    bad = reason.isNotNull() & ~reason.isin(SKIPPED)
+    taken = F.when(reason.isNull() & ~_is_off(), F.struct(
+        "ord", "param", "kind", _values().alias("values")))
+    by_spec = checked.groupBy("spec_id").agg(
+        F.max(bad).alias("bad"), F.collect_list(taken).alias("taken"),
+        (F.count_if(F.col("ord") > 0) > F.max("ord")).alias("repeated"))
+    combinations = F.aggregate("taken", F.lit(1).cast("bigint"), lambda product, t:
+                               F.try_multiply(product, F.size(t["values"]).cast("bigint")))
+    return by_spec.withColumn("combinations", combinations)
+
+
+def param_values(raw: DataFrame, list_as_interval: bool = False) -> DataFrame:
+    """``(spec_id, ord, param, kind, values)`` of the good specs, ready for a grid."""
+    good = _by_spec(_checked(raw, list_as_interval)).where(
+        ~F.col("bad") & ~F.col("repeated") & F.col("combinations").isNotNull())
+    return good.select("spec_id", F.inline("taken"))
 
 
 def value_rows(values: DataFrame) -> DataFrame:

@@ -6,8 +6,10 @@ import socket
 from collections.abc import Callable, Iterable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StringType, StructField, StructType, _parse_datatype_string
 
 from paramloom.operators import ordering
@@ -15,63 +17,106 @@ from paramloom.operators import ordering
 OUTPUT_ROWS = 10_000
 
 
-def run_map(tasks: DataFrame, fn: Callable[[dict], dict | Iterable[dict]], schema: str,
-            partitions: int | None = None, keep: list[str] | None = None) -> DataFrame:
-    """Calls ``fn(params)`` once per task; ``fn`` gives one result row or several.
+def _rows_of(result, names: list[str]):
+    """What a function gave back, as dictionaries: none, one, or as many as it yields."""
+    if result is None:
+        return [{}]
+    if isinstance(result, dict):
+        return [result]
+    if isinstance(result, (str, bytes)) or not isinstance(result, Iterable):
+        if len(names) != 1:
+            raise TypeError(f"one value for {len(names)} columns: {result!r}")
+        return [{names[0]: result}]
+    return result
+
 
-    Result: ``(task_id, status, error, <schema>)``, or with the columns ``keep`` of the
-    task instead of its id. A task that raises gets one
-    FAILURE row with its error and does not disturb the others. ``partitions``
-    sets how many tasks may run side by side; heavy functions want one each.
+def run_map(tasks: DataFrame, fn: Callable[[dict], object], schema: str,
+            partitions: int | None = None, keep: list[str] | None = None) -> DataFrame:
+    """Calls ``fn(params)`` once per task.
+
+    ``fn`` gives a dictionary, several (a list or generator), one plain value for a
+    schema of one column, or None: a row of NULLs. Result:
+    ``(task_id, status, error, <schema>)``, or with the columns ``keep`` of the task
+    instead of its id. A task that raises, or whose result does not fit the schema, gets
+    one FAILURE row with its error and does not disturb the others; rows that a generator
+    gave before it failed stay, in portions of ``OUTPUT_ROWS``. ``partitions`` sets how
+    many tasks may run side by side, otherwise those of the input do.
     """
     keep = keep or ["task_id"]
     names = _parse_datatype_string(schema).names
-    columns = [*keep, "status", "error", *names]
+    chosen = tasks.select(*keep, "params")
+    if partitions:
+        chosen = chosen.repartition(partitions)
+    output = StructType([*chosen.schema.fields[:-1], StructField("status", StringType()),
+                         StructField("error", StringType()),
+                         *_parse_datatype_string(schema).fields])
+    fields = list(to_arrow_schema(output))
 
-    def row(task, status, error, result):
-        return [*task, status, error, *[result.get(n) for n in names]]
+    def converted(rows):
+        return pa.RecordBatch.from_arrays(
+            [pa.array([row[i] for row in rows], f.type) for i, f in enumerate(fields)],
+            names=[f.name for f in fields])
 
-    def run_task(task, params):
+    def failure(task, error):
+        text = f"{type(error).__name__}: {error}"
+        return [*task, "FAILURE", text, *[None] * len(names)]
+
+    def portions(task, params):
+        """Portions of a task's rows."""
+        rows = []
         try:
-            results = fn(dict(params))
-            if isinstance(results, dict):
-                results = [results]
-            for result in results:
-                yield row(task, "SUCCESS", None, result)
+            for result in _rows_of(fn(dict(params or {})), names):
+                rows.append([*task, "SUCCESS", None, *[result.get(n) for n in names]])
+                if len(rows) >= OUTPUT_ROWS:
+                    yield rows
+                    rows = []
         except Exception as error:  # any failure belongs to this task only
-            yield row(task, "FAILURE", f"{type(error).__name__}: {error}", {})
+            rows.append(failure(task, error))
+        if rows:
+            yield rows
 
-    def run_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rows = []
+    def written(held):
+        """Several portions at once, or one by one if a row does not fit."""
+        try:
+            yield converted([row for _, rows in held for row in rows])
+        except (pa.ArrowException, TypeError, ValueError, OverflowError):
+            for task, rows in held:
+                try:
+                    yield converted(rows)
+                except (pa.ArrowException, TypeError, ValueError, OverflowError) as error:
+                    yield converted([failure(task, error)])
+
+    def run_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
         for batch in batches:
-            tasks_of_batch = zip(*[batch[c] for c in keep])
-            for task, params in zip(tasks_of_batch, batch["params"]):
-                for output in run_task(task, params):
-                    rows.append(output)
-                    if len(rows) >= OUTPUT_ROWS:
-                        yield pd.DataFrame(rows, columns=columns, dtype=object)
-                        rows = []
-        if rows:
-            yield pd.DataFrame(rows, columns=columns, dtype=object)
+            columns = batch.to_pydict()
+            for *task, params in zip(*(columns[c] for c in [*keep, "params"])):
+                for rows in portions(task, params):
+                    held.append((task, rows))
+                    size += len(rows)
+                    if size >= OUTPUT_ROWS:
+                        yield from written(held)
+                        held, size = [], 0
+        if held:
+            yield from written(held)
 
-    chosen = tasks.select(*keep, "params")
-    if partitions:
-        chosen = chosen.repartition(partitions)
-    output = StructType([*chosen.schema.fields[:-1], StructField("status", StringType()),
-                         StructField("error", StringType()),
-                         *_parse_datatype_string(schema).fields])
-    return chosen.mapInPandas(run_batches, output)
+    return chosen.mapInArrow(run_batches, output)
 
 
-def placement(tasks: DataFrame, partitions: int) -> DataFrame:
-    """``(partition_id, host, tasks)``: where each task of a run was placed."""
+def placement(tasks: DataFrame, partitions: int | None = None) -> DataFrame:
+    """``(partition_id, host, tasks)``: where each task of a run was placed.
+
+    Without ``partitions`` tasks are dealt out to as many as the session shuffles into.
+    """
     def locate(batches):
         host, partition = socket.gethostname(), TaskContext.get().partitionId()
         for batch in batches:
             yield pd.DataFrame({"partition_id": [partition], "host": [host],
                                 "tasks": [len(batch)]})
 
-    placed = tasks.select("task_id").repartition(partitions).mapInPandas(
+    rows = tasks.select("task_id")
+    dealt = rows.repartition(partitions) if partitions else ordering.spread(rows)
+    placed = dealt.mapInPandas(
         locate, "partition_id int, host string, tasks bigint")
     return placed.groupBy("partition_id", "host").agg(F.sum("tasks").alias("tasks"))
 

@@ -149,6 +149,34 @@ def ps_reject(spark, sf_dir):
     return specs.spec_errors(fx.fx_spec(spark, sf_dir))
 
 
+@query("ps_reject_limits", """
+    SELECT 'p' || p_partkey AS spec_id, CASE WHEN p_partkey % 4 IN (1, 2) THEN 'x' END AS param,
+           ['too_many', 'range', 'too_many', 'repeated'][p_partkey % 4 + 1] AS reason
+    FROM part WHERE p_partkey % 4 <> 0 OR p_partkey % 40 = 0
+""")
+def ps_reject_limits(spark, sf_dir):
+    """Specs beyond the limits, each with the reason: no job ends, no spec is lost."""
+    key = F.col("p_partkey")
+
+    def parameter(position, name, type_, *items):
+        return F.struct(position.cast("int").alias("ord"), name.alias("param"),
+                        F.lit(type_).alias("type"), F.array(*map(F.lit, items)).alias("items"))
+
+    one, x = F.lit(1), F.lit("x")
+    wide = F.transform(F.sequence(F.lit(1), F.lit(64)), lambda i: parameter(
+        i, F.concat(x, i.cast("string")), "list", "0", "1"))
+    rows = (F.when(key % 40 == 0, wide)
+            .when(key % 4 == 1, F.array(parameter(one, x, "tuple", "0", "1e15", "0.5")))
+            .when(key % 4 == 2, F.array(parameter(one, x, "tuple", "0", "10000000000")))
+            .when(key % 4 == 3, F.array(parameter(one, x, "int", "1"),
+                                        parameter(one, x, "int", "2")))
+            .otherwise(F.array(parameter(one, x, "int", "1"))))
+    raw = table(spark, sf_dir, "part").select(
+        F.concat(F.lit("p"), key.cast("string")).alias("spec_id"), F.inline(rows)
+    ).withColumn("nested", F.lit(False))
+    return specs.spec_errors(raw)
+
+
 @query("ps_values", """
     SELECT spec_id, count(DISTINCT model) AS models, count(DISTINCT epoch) AS epochs
     FROM fx_grid GROUP BY spec_id
@@ -168,7 +196,7 @@ def ps_values(spark, sf_dir):
            cast(epoch AS varchar)) AS combination FROM fx_grid
 """, ("fx_grid",))
 def ps_cross_join(spark, sf_dir):
-    folded = grid.grid_by_folding(fx_values(spark, sf_dir), parameters=4)
+    folded = grid.grid_by_folding(fx_values(spark, sf_dir))
     return folded.select("spec_id", "combo_id", F.array_join("combination", "|").alias("combination"))
 
 

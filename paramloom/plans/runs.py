@@ -100,33 +100,42 @@ def _describe(params: dict) -> dict:
 def run_map(spark, sf_dir):
     done = tasks.run_map(fx_grid(spark, sf_dir), _describe,
                          "options int, cost bigint, model string",
-                         partitions=8, keep=["spec_id", "combo_id"])
+                         keep=["spec_id", "combo_id"])
     return done.drop("error")
 
 
-def _fragile(params: dict) -> dict:
-    """A task that fails on some parameters."""
-    return {"share": 100 // (int(params["unit"]) % 10)}
+def _fragile(params: dict):
+    """A task that gives a dictionary, a plain value, rows, nothing, or what does not fit."""
+    unit = int(params["unit"])
+    share = 100 // (unit % 10)
+    return [{"share": share}, share, [{"share": share}, {"share": unit}], None, "no number"][unit % 5]
 
 
 @query("run_isolate_errors", """
-    SELECT spec_id, combo_id,
-           CASE WHEN cast(unit AS integer) % 10 = 0 THEN 'FAILURE' ELSE 'SUCCESS' END AS status,
-           cast(unit AS integer) % 10 = 0 AS has_error,
-           CASE WHEN cast(unit AS integer) % 10 <> 0
-                THEN cast(100 // (cast(unit AS integer) % 10) AS bigint) END AS share
-    FROM fx_grid
+    , units AS (SELECT spec_id, combo_id, cast(unit AS integer) AS u FROM fx_grid),
+    each_row AS (SELECT spec_id, combo_id, u, unnest(CASE WHEN u % 10 <> 0 AND u % 5 = 2
+                 THEN [0, 1] ELSE [0] END) AS i FROM units)
+    SELECT spec_id, combo_id, CASE WHEN u % 10 = 0 OR u % 5 = 4 THEN 'FAILURE' ELSE 'SUCCESS' END
+               AS status,
+           CASE WHEN u % 10 = 0 THEN 'ZeroDivisionError' WHEN u % 5 = 4 THEN 'ArrowInvalid' END
+               AS error,
+           CASE WHEN u % 10 = 0 OR u % 5 > 2 THEN NULL WHEN i = 1 THEN u
+                ELSE 100 // (u % 10) END::bigint AS share
+    FROM each_row
 """, ("fx_grid",))
 def run_isolate_errors(spark, sf_dir):
     done = tasks.run_map(fx_grid(spark, sf_dir), _fragile, "share bigint",
                          keep=["spec_id", "combo_id"])
-    failed = F.coalesce(F.col("error").startswith("ZeroDivisionError"), F.lit(False))
-    return done.withColumn("has_error", failed).drop("error")
+    return done.withColumn("error", F.substring_index("error", ":", 1))
 
 
-@query("run_placement")
+@query("run_placement", """
+    SELECT count(*) AS tasks, true AS dealt_out FROM fx_grid
+""", ("fx_grid",))
 def run_placement(spark, sf_dir):
-    return tasks.placement(grid.tasks(fx_grid(spark, sf_dir)), partitions=8)
+    placed = tasks.placement(grid.tasks(fx_grid(spark, sf_dir)))
+    return placed.agg(F.sum("tasks").alias("tasks"),
+                      (F.count_distinct("partition_id") > 1).alias("dealt_out"))
 
 
 @query("run_echo", """

@@ -28,14 +28,15 @@ def read_registry(spark: SparkSession, path: str) -> DataFrame:
 def settings_lines(lines: DataFrame) -> DataFrame:
     """``(file_id, key, value)`` from lines ``KEY="value"``.
 
-    The last assignment of a key wins, and a key left empty is not kept.
+    The last assignment of a key wins; a key that it leaves empty is not kept.
     """
     pattern = r'^(\w+)="(.*)"$'
     key = F.regexp_extract("line", pattern, 1)
     value = F.regexp_extract("line", pattern, 2)
     return (lines.select("file_id", "line_no", key.alias("key"), value.alias("value"))
-            .where((F.col("key") != "") & (F.col("value") != ""))
-            .groupBy("file_id", "key").agg(F.max_by("value", "line_no").alias("value")))
+            .where(F.col("key") != "")
+            .groupBy("file_id", "key").agg(F.max_by("value", "line_no").alias("value"))
+            .where(F.col("value") != ""))
 
 
 def settings_rows(settings: DataFrame) -> DataFrame:

@@ -16,6 +16,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from paramloom.operators.ordering import spread
 
 DIVIDER = "\n---\n"
+# Words that YAML reads as something else than text.
+RESERVED = ["true", "false", "yes", "no", "on", "off", "y", "n", "null"]
 
 RAW_SCHEMA = ("spec_id string, ord int, param string, type string, "
               "items array<string>, nested boolean")
@@ -85,9 +87,11 @@ def read_specs(spark: SparkSession, path: str) -> DataFrame:
     """
     documents = spark.read.option("lineSep", DIVIDER).text(path)
     named = F.regexp_extract("value", r"^(?:---\n)?# spec (.*)", 1)
-    # An unnamed document is named by its file and, where a file has several, its place.
+    # An unnamed document is named by its file and its place: where its split of the file
+    # starts, and its number in the task that reads the split.
+    number = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
     place = F.concat_ws("#", F.col("_metadata.file_path"),
-                        F.col("_metadata.file_block_start").cast("string"))
+                        F.col("_metadata.file_block_start").cast("string"), number.cast("string"))
     texts = documents.select(F.when(named != "", named).otherwise(place).alias("spec_id"),
                              F.col("value").alias("text"))
     return spread(texts).mapInPandas(_parse_batches, RAW_SCHEMA)
@@ -117,8 +121,11 @@ def spec_documents(raw: DataFrame) -> DataFrame:
         .when(type_ == "dict", F.lit("{}"))
         .when(items.isNull(), F.lit("null"))
         .otherwise(F.substring(quoted, F.lit(2), F.length(quoted) - 2)))
+    bare = F.col("param").rlike(r"^[A-Za-z_][A-Za-z0-9_-]*$") & ~F.lower("param").isin(RESERVED)
+    json = F.to_json(F.array("param"))
+    name = F.when(bare, F.col("param")).otherwise(F.substring(json, F.lit(2), F.length(json) - 2))
     lines = F.array_sort(F.collect_list(F.struct(
-        "ord", F.concat(F.col("param"), F.lit(": "), value).alias("line"))))
+        "ord", F.concat(name, F.lit(": "), value).alias("line"))))
     return raw.groupBy("spec_id").agg(F.concat(
         F.lit("# spec "), F.col("spec_id"), F.lit("\n"),
         F.array_join(F.transform(lines, lambda x: x["line"]), "\n")).alias("text"))

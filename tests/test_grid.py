@@ -34,7 +34,7 @@ def test_last_parameter_is_fastest(spark):
     assert len(expected) == 12
     assert combos(grid.grid(made)) == expected
     assert combos(grid.grid(made, block=5)) == expected
-    folded = grid.grid_by_folding(made, 3).orderBy("combo_id").collect()
+    folded = grid.grid_by_folding(made).orderBy("combo_id").collect()
     assert [tuple(r["combination"]) for r in folded] == expected
     ranged = grid.grid_range(spark, dims).orderBy("combo_id").collect()
     assert [tuple(map(str, r[1:])) for r in ranged] == expected
@@ -55,7 +55,7 @@ def test_decoding_equals_folding_and_count(spark, specs):
                                for i, dims in enumerate(specs)})
     decoded = sorted((r[0], r[1], tuple(r[2])) for r in grid.grid(made, block=3).select(
         "spec_id", "combo_id", F.map_values("params")).collect())
-    folded = sorted((r[0], r[1], tuple(r[2])) for r in grid.grid_by_folding(made, 4).collect())
+    folded = sorted((r[0], r[1], tuple(r[2])) for r in grid.grid_by_folding(made).collect())
     product = sorted((f"s{i}", c, tuple(map(str, v))) for i, dims in enumerate(specs)
                      for c, v in enumerate(itertools.product(*dims)))
     assert decoded == folded == product
@@ -123,3 +123,16 @@ def test_task_id_is_repeatable_and_distinct(spark):
 def test_concat(spark):
     joined = grid.concat_values(F.array(F.lit("a")), F.array(F.lit("b"), F.lit("c")))
     assert evaluate(spark, joined) == ["a", "b", "c"]
+
+
+def test_folding_takes_all_parameters(spark):
+    made = values_of(spark, s={f"p{i}": [0, 1] for i in range(5)}, t={"a": [1]})
+    assert grid.grid_by_folding(made).count() == 33
+
+
+def test_positions_of_large_counts_make_no_large_arrays(spark):
+    from paramloom.operators import ordering
+    rows = spark.createDataFrame([("a", 10), ("b", 70_001)], "k string, n bigint")
+    made = ordering.positions(rows, F.col("n"), "i", ["k"], block=1)
+    assert made.groupBy("k").agg(F.count("*"), F.count_distinct("i"), F.max("i")).orderBy(
+        "k").collect() == [("a", 10, 10, 9), ("b", 70_001, 70_001, 70_000)]

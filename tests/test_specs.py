@@ -55,6 +55,9 @@ def test_intervals(spark, tmp_path, bounds, expected):
     ("!!python/tuple [5]", "short"), ("!!python/tuple [5, 5]", "empty"),
     ("!!python/tuple [9, 2]", "empty"), ("[]", "empty"), ("[[1, 2], 3]", "nested"),
     ("!!python/tuple [1, 5, 0]", "step"), ("!!python/tuple [a, b]", "number"),
+    ("!!python/tuple [0, 1000000000000000, 1000000000000000]", "range"),
+    ("!!python/tuple [0, 1, 0.000000000001]", "too_many"),
+    ("!!python/tuple [0, 10000000000]", "too_many"),
 ])
 def test_bad_parameter_rejects_its_spec(spark, tmp_path, value, reason):
     raw = read(spark, tmp_path, s=f"a: 1\nx: {value}\nb: 2\n")
@@ -108,3 +111,44 @@ def test_many_documents_per_file(spark, tmp_path):
     (0.1 + 0.2, "0.3"), (1.0, "1.0"), (1e20, "1e+20"), (5, "5"), (True, "True"), ("x", "x")])
 def test_value_text(value, text):
     assert value_text(value) == text
+
+
+def test_unnamed_documents_stay_apart(spark, tmp_path):
+    raw = read(spark, tmp_path, many="a: 1\n---\na: 2\n---\na: [3, 4]\n", other="a: 5\n")
+    assert raw.select("spec_id").distinct().count() == 4
+    assert specs.param_values(raw).count() == 4
+
+
+def test_shared_name_is_an_error(spark, tmp_path):
+    raw = read(spark, tmp_path, one="# spec x\na: [1, 2]\n", two="# spec x\nb: [1, 2, 3]\nc: 1\n",
+               three="# spec y\na: 1\n")
+    assert errors(raw) == {(None, "repeated")}
+    assert [r["spec_id"] for r in specs.param_values(raw).collect()] == ["y"]
+
+
+def test_too_many_combinations_is_an_error(spark, tmp_path):
+    text = "".join(f"p{i}: [0, 1]\n" for i in range(64))
+    raw = read(spark, tmp_path, big=text, small="a: [1, 2]\n")
+    assert errors(raw) == {(None, "too_many")}
+    assert specs.param_values(raw).count() == 1
+
+
+def test_names_are_quoted(spark, tmp_path):
+    raw = spark.createDataFrame(
+        [("s", i, name, "int", ["1"], False) for i, name in enumerate(
+            ["a: b", "#c", "true", "é", "d e", '"q"', "plain-1"], start=1)],
+        "spec_id string, ord int, param string, type string, items array<string>, nested boolean")
+    write_specs(raw, str(tmp_path / "out"))
+    back = read_specs(spark, str(tmp_path / "out"))
+    assert sorted(map(tuple, back.collect())) == sorted(map(tuple, raw.collect()))
+
+
+def test_fractions_do_not_depend_on_the_session(spark, tmp_path):
+    raw = read(spark, tmp_path, s="x: !!python/tuple [-0.000001, 0.5, 0.25]\n")
+    expected = {"x": ("interval", ["-0.000001", "0.249999", "0.499999"])}
+    try:
+        for ansi in ("true", "false"):
+            spark.conf.set("spark.sql.ansi.enabled", ansi)
+            assert values(raw) == expected
+    finally:
+        spark.conf.unset("spark.sql.ansi.enabled")

@@ -62,6 +62,25 @@ def test_task_with_many_rows(spark):
     assert done.agg(F.sum("i")).first()[0] == 25_000 * 24_999 // 2
 
 
+def test_every_kind_of_result(spark):
+    def answer(params):
+        return {"none": None, "plain": 5, "dict": {"v": 6}, "rows": [{"v": 7}, {"v": 8}],
+                "wrong": {"v": "zz"}, "text": "zz"}[params["n"]]
+
+    kinds = ["none", "plain", "dict", "rows", "wrong", "text"]
+    done = tasks.run_map(params_frame(spark, [{"n": k} for k in kinds]), answer, "v int")
+    got = sorted((int(r["task_id"]), r["status"], r["v"]) for r in done.collect()
+                 if r["v"] is not None or r["status"] == "FAILURE")
+    assert got == [(1, "SUCCESS", 5), (2, "SUCCESS", 6), (3, "SUCCESS", 7), (3, "SUCCESS", 8),
+                   (4, "FAILURE", None), (5, "FAILURE", None)]
+    assert done.where("task_id = '0' and status = 'SUCCESS' and v is null").count() == 1
+
+
+def test_plain_value_needs_one_column(spark):
+    done = tasks.run_map(params_frame(spark, [{}]), lambda p: 5, "a int, b int").first()
+    assert (done["status"], done["a"]) == ("FAILURE", None)
+
+
 def test_placement_counts_every_task(spark):
     rows = tasks.placement(params_frame(spark, [{}] * 40), 4).collect()
     assert sum(r["tasks"] for r in rows) == 40
