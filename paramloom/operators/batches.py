@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, functions as F
 
 from paramloom.operators import ordering
-from paramloom.operators.ordering import ROWS_PER_BLOCK, Blocks, id_blocks
+from paramloom.operators.ordering import ROWS_PER_BLOCK, id_blocks, range_blocks
 
 
 def shuffle_key(epoch: Column, row_id: Column) -> Column:
@@ -26,20 +24,16 @@ def minibatches(df: DataFrame, row_id: str, batchsize: int,
     return numbered.withColumn("batch", ordering.whole(F.col("__pos"), batchsize)).drop("__pos")
 
 
-def epoch_batches(df: DataFrame, row_id: str, epochs: int, batchsize: int,
-                  rows_per_block: int = ROWS_PER_BLOCK) -> DataFrame:
+def epoch_batches(df: DataFrame, row_id: str, epochs: int, batchsize: int) -> DataFrame:
     """Adds ``epoch`` from 1 and ``batch``: every row once per epoch, reshuffled.
 
-    The order is a hash of epoch and id, so its leading hex digits are even blocks.
+    The order is a hash of epoch and id; ids are unique and not NULL. Only epochs and ids are numbered; the rows'
+    other columns are joined by id afterwards.
     """
-    def prefix(hot: DataFrame) -> Column:
-        per_epoch = hot.count() / epochs
-        digits = math.ceil(math.log(max(1, per_epoch / rows_per_block), 16))
-        return F.substring("__key", 1, digits)
-
-    copies = df.withColumn("epoch", F.explode(F.sequence(F.lit(1), F.lit(epochs)))) \
+    copies = df.select(row_id).withColumn("epoch", F.explode(F.sequence(F.lit(1), F.lit(epochs)))) \
         .withColumn("__key", shuffle_key(F.col("epoch"), F.col(row_id)))
     numbered = ordering.number_rows(copies, ["epoch"], [F.col("__key"), F.col(row_id)],
-                                    Blocks(rows_per_block, prefix), "__pos", first=0)
-    return numbered.withColumn("batch", ordering.whole(F.col("__pos"), batchsize)) \
-        .drop("__pos", "__key")
+                                    range_blocks(), "__pos", first=0)
+    batched = numbered.select(row_id, "epoch", ordering.whole(
+        F.col("__pos"), batchsize).alias("batch"))
+    return df.join(batched, row_id)

@@ -32,7 +32,8 @@ def threshold_metric(df: DataFrame, row_id: str, score: str, target: str,
 
     The threshold is the mean score of the training folds: the total minus the fold's
     own sum. So training needs no copy of a row per fold, and only one row per fold
-    (as many as listed in ``fold_counts``) is sent to the evaluation.
+    (as many as listed in ``fold_counts``) is sent to the evaluation. A fold that holds
+    all rows leaves none to train on: its threshold and accuracy are NULL.
     """
     counts = F.array(*[F.lit(k) for k in fold_counts])
     rows = df.select(row_id, score, target).withColumn("nfolds", F.explode(counts)) \
@@ -44,7 +45,8 @@ def threshold_metric(df: DataFrame, row_id: str, score: str, target: str,
     left_out = (F.col("nfolds") > 1).cast("int")
     trained = sums.select("nfolds", "fold", (
         (F.sum("s").over(every_fold) - F.col("s") * left_out)
-        / (F.sum("n").over(every_fold) - F.col("n") * left_out)).alias("threshold"))
+        / F.nullif(F.sum("n").over(every_fold) - F.col("n") * left_out, F.lit(0))
+    ).alias("threshold"))
     # sum(fold_counts) rows, a number fixed by the caller.
     judged = rows.join(F.broadcast(trained), ["nfolds", "fold"])
     right = (F.col(score) > F.col("threshold")).cast("int") == F.col(target)

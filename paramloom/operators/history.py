@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from paramloom.functions.text import command_arguments, command_name, command_text, exit_code
 from paramloom.functions.times import micros
 from paramloom.operators import ordering
-from paramloom.operators.ordering import ROWS_PER_BLOCK, Blocks, id_blocks, quantile_blocks, whole
+from paramloom.operators.ordering import ROWS_PER_BLOCK, Blocks, id_blocks, range_blocks, whole
 
 LINES_PER_PIECE = 1_000
 
@@ -18,7 +18,7 @@ def _stream_rank() -> Column:
 
 def out_then_err(log: DataFrame, rows_per_block: int = ROWS_PER_BLOCK) -> DataFrame:
     """Adds ``emit_no``: all stdout of a task in order, then all its stderr."""
-    blocks = Blocks(rows_per_block, lambda _: F.struct(
+    blocks = Blocks(F.struct(
         _stream_rank().alias("stream"), whole(F.col("line_no"), rows_per_block).alias("part")))
     return ordering.number_rows(log, ["task_id"], [_stream_rank(), F.col("line_no")],
                                 blocks, "emit_no")
@@ -97,20 +97,19 @@ def progress(tasks: DataFrame, messages: DataFrame) -> DataFrame:
         F.count_if(F.col("ended").isNull()).alias("open"))
 
 
-def history(commands: DataFrame, rows_per_block: int = ROWS_PER_BLOCK) -> DataFrame:
+def history(commands: DataFrame) -> DataFrame:
     """Adds ``idx``, the 0-based position of each command on its host.
 
     A command appended twice counts once: copies are dropped first.
     """
     once = commands.dropDuplicates(["host", "id"])
     return ordering.number_rows(once, ["host"], [F.col("ts"), F.col("id")],
-                                quantile_blocks(F.col("ts"), rows_per_block), "idx", first=0)
+                                range_blocks(), "idx", first=0)
 
 
-def history_lookup(commands: DataFrame, requests: DataFrame,
-                   rows_per_block: int = ROWS_PER_BLOCK) -> DataFrame:
+def history_lookup(commands: DataFrame, requests: DataFrame) -> DataFrame:
     """Commands asked for by ``(host, idx)``."""
-    return requests.join(history(commands, rows_per_block), ["host", "idx"])
+    return requests.join(history(commands), ["host", "idx"])
 
 
 def tail(log: DataFrame, n: int = 10) -> DataFrame:
@@ -118,9 +117,8 @@ def tail(log: DataFrame, n: int = 10) -> DataFrame:
     return ordering.last_rows(log, ["task_id"], [F.col("line_no")], n)
 
 
-def step_gaps(steps: DataFrame, rows_per_block: int = ROWS_PER_BLOCK) -> DataFrame:
+def step_gaps(steps: DataFrame) -> DataFrame:
     """Adds ``gap_us``, microseconds since the previous step of the same user."""
     ordered = ordering.previous(steps, ["user_id"], [F.col("ts"), F.col("event_id")],
-                                quantile_blocks(F.col("ts"), rows_per_block), F.col("ts"),
-                                "__before", rising=True)
+                                range_blocks(), F.col("ts"), "__before", rising=True)
     return ordered.withColumn("gap_us", micros(F.col("ts") - F.col("__before"))).drop("__before")

@@ -1,9 +1,7 @@
 """Ordered computations within a key that never put a hot key into one task.
 
-A plain window sorts all rows of a key in one task. That is the best plan for keys of
-ordinary size, but not for a key that holds a third of the data. So the rows per key
-are counted first (combined map-side, keys only). Without hot keys a plain window
-runs. Otherwise each hot key is cut into ordered blocks:
+A plain window sorts all rows of a key in one task, which fails for a key that holds a
+third of the data. So every key is cut into ordered blocks, whatever its size:
 
 1. one value per (key, block) is aggregated, map-side first;
 2. a window over those few rows gives what each block inherits from the earlier
@@ -11,41 +9,33 @@ runs. Otherwise each hot key is cut into ordered blocks:
 3. that inheritance goes back in as a *head* row in front of each block, and the
    ordered computation runs per (key, block).
 
-Rows are shuffled once either way. Other keys have one block and no head row. NULL
-keys are handled like any other.
+The plan is the same for any data and nothing runs while it is built. The input is read
+twice, once for the blocks' values. NULL keys are handled like any other.
 """
 
 from __future__ import annotations
 
-import math
-from collections.abc import Callable, Sequence
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
-from pyspark.sql.types import TimestampNTZType
 
-from paramloom.functions.buckets import search_sorted
-
-ROWS_PER_BLOCK = 1 << 20
-# A key with more rows than this many blocks is hot.
-HOT_BLOCKS = 4
-MAX_SPLITS = 4096
+ROWS_PER_BLOCK = 1 << 17
 # Blocks of blocks hold so many; as many levels as numbers of 63 bits need.
 FAN = 1 << 16
 _LEVELS = 4
 
-_BLOCK, _HEAD, _CARRY, _HOT = "__block", "__head", "__carry", "__hot"
+_BLOCK, _HEAD, _CARRY = "__block", "__head", "__carry"
 
 
 @dataclass(frozen=True)
 class Blocks:
-    """How hot keys are cut: rows aimed at per block, and the block of a row.
+    """How keys are cut: by ``of``, the block of a row, or by ranges of the order itself.
 
-    ``of`` is given the rows of the hot keys.
+    ``of`` must rise with the order.
     """
 
-    rows: int
-    of: Callable[[DataFrame], Column]
+    of: Column | None = None
 
 
 def whole(number: Column, by: int) -> Column:
@@ -58,45 +48,25 @@ def id_blocks(order: Column, rows: int = ROWS_PER_BLOCK) -> Blocks:
 
     Uniqueness bounds a (key, block) group by ``rows``.
     """
-    return Blocks(rows, lambda _: whole(order, rows))
-
+    return Blocks(whole(order, rows))
 
-def quantile_blocks(order: Column, rows: int = ROWS_PER_BLOCK) -> Blocks:
-    """Blocks by approximate quantiles of a timestamp or number over the hot keys."""
-    def of(hot: DataFrame) -> Column:
-        blocks = min(MAX_SPLITS, math.ceil(hot.count() / rows))
-        shares = F.array(*[F.lit(i / blocks) for i in range(1, blocks)])
-        found = hot.agg(F.percentile_approx(order, shares, F.lit(20 * blocks)).alias("q"))
-        without_zone = found.schema["q"].dataType.elementType == TimestampNTZType()
-        splits = sorted(set(found.first()["q"] or []))
-        return search_sorted(order, [
-            F.lit(str(s)).cast("timestamp_ntz") if without_zone else F.lit(s) for s in splits])
 
-    return Blocks(rows, of)
+def range_blocks() -> Blocks:
+    """Blocks of any order: ranges of (key, order) with about equally many rows.
 
+    There are as many as the session shuffles into. Rows that tie in the first column of
+    the order are parted by the others.
+    """
+    return Blocks()
 
-def _cut(df: DataFrame, keys: Sequence[str], blocks: Blocks) -> DataFrame | None:
-    """``df`` with the block of each row, or None if no key is hot.
 
-    There are at most (number of rows) / (hot size) hot keys, which bounds what is
-    collected and broadcast.
-    """
-    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
-    hot = counts.where(F.col("__n") > HOT_BLOCKS * blocks.rows).select(*keys, F.lit(True))
-    found = hot.collect()
-    if not found:
-        return None
-    if keys:
-        names = [f"__key_{i}" for i in range(len(keys))]
-        known = df.sparkSession.createDataFrame(found, hot.schema).toDF(*names, _HOT)
-        same = F.lit(True)
-        for key, name in zip(keys, names):
-            same = same & df[key].eqNullSafe(known[name])
-        marked = df.join(F.broadcast(known), same, "left").drop(*names)
-    else:
-        marked = df.withColumn(_HOT, F.lit(True))
-    block = blocks.of(marked.where(_HOT))
-    return marked.withColumn(_BLOCK, F.when(F.col(_HOT), block)).drop(_HOT)
+def _cut(df: DataFrame, keys: Sequence[str], order: Sequence[Column], blocks: Blocks) -> DataFrame:
+    """``df`` with the block of each row."""
+    if blocks.of is not None:
+        return df.withColumn(_BLOCK, blocks.of)
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = df.repartitionByRange(n, *[F.col(k) for k in keys], *order)
+    return ranged.withColumn(_BLOCK, F.spark_partition_id())
 
 
 def _with_heads(rows: DataFrame, keys: Sequence[str], combine, inherit) -> DataFrame:
@@ -121,11 +91,7 @@ def _drop_heads(df: DataFrame) -> DataFrame:
 def running_sum(df: DataFrame, keys: Sequence[str], order: Sequence[Column], blocks: Blocks,
                 value: Column, name: str) -> DataFrame:
     """``sum(value)`` from the first row of the key up to the current one."""
-    rows = _cut(df, keys, blocks)
-    if rows is None:
-        window = Window.partitionBy(*keys).orderBy(*order)
-        return df.withColumn(name, F.sum(value).over(
-            window.rowsBetween(Window.unboundedPreceding, 0)))
+    rows = _cut(df, keys, order, blocks)
     scanned = _with_heads(rows.withColumn(_CARRY, value), keys, F.sum, F.sum)
     window = _block_window(keys, order).rowsBetween(Window.unboundedPreceding, 0)
     return _drop_heads(scanned.withColumn(name, F.sum(_CARRY).over(window)))
@@ -146,9 +112,7 @@ def previous(df: DataFrame, keys: Sequence[str], order: Sequence[Column], blocks
     ``value`` must not be NULL. ``rising`` says that it never falls along the order,
     which makes the last value of a block its maximum.
     """
-    rows = _cut(df, keys, blocks)
-    if rows is None:
-        return df.withColumn(name, F.lag(value).over(Window.partitionBy(*keys).orderBy(*order)))
+    rows = _cut(df, keys, order, blocks)
     scanned = _with_heads(rows.withColumn(_CARRY, value), keys,
                           F.max if rising else lambda c: F.max_by(c, F.struct(*order)),
                           lambda column: F.last(column, ignorenulls=True))
@@ -158,11 +122,8 @@ def previous(df: DataFrame, keys: Sequence[str], order: Sequence[Column], blocks
 def with_totals(df: DataFrame, keys: Sequence[str], blocks: Blocks,
                 values: dict[str, Column]) -> DataFrame:
     """Adds the sum of each value over the whole key to every row of it."""
-    rows = _cut(df, keys, blocks)
+    rows = _cut(df, keys, [], blocks)
     whole_key = Window.partitionBy(*keys)
-    if rows is None:
-        return df.withColumns({name: F.sum(value).over(whole_key)
-                               for name, value in values.items()})
     sums = {name: f"__sum_{name}" for name in values}
     totals = rows.groupBy(*keys, _BLOCK).agg(
         *[F.sum(value).alias(sums[name]) for name, value in values.items()])

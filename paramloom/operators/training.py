@@ -19,13 +19,13 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from paramloom.operators.batches import epoch_batches
 from paramloom.operators.network import Layer, forward, usable_rows
 from paramloom.session import work_path
 
 # Doubles of one slice of a gradient, which with the number of tasks bounds a group, and
 # the most the driver may hold per array.
 SLICE = 1024
+PARTS_ADDED = 256
 MAX_STATE = 64_000_000
 
 # The defaults of the Adam optimizer.
@@ -61,6 +61,7 @@ class Combination:
 class Training:
     states: dict[int, State] = field(default_factory=dict)
     report: list[tuple] = field(default_factory=list)
+    left_out: int = 0
 
 
 REPORT_SCHEMA = ("combo_id bigint, epoch int, main_loss double, validation_main_loss double, "
@@ -137,6 +138,10 @@ def _partial_sums(models, gradient: bool):
             width = next(iter(current.values()))[0][0]
             good, rows = usable_rows(batch.column(0), width)
             labels = batch.column(1).filter(pa.array(good)).to_numpy(zero_copy_only=False)
+            # A NULL label, NaN here, and one beyond the classes can't be learned.
+            classes = next(iter(current.values()))[0][-1]
+            known = (labels >= 0) & (labels < classes)
+            rows, labels = rows[known], labels[known].astype(np.int64)
             if not len(rows):
                 continue
             for combo_id, (sizes, theta) in current.items():
@@ -164,12 +169,13 @@ def _partial_batch(combo_id: int, part: int, first: int, values: np.ndarray) ->
 
 
 def _add_parts(table: pa.Table) -> pa.Table:
-    """Adds the slices of all tasks, in task order so that a rerun adds up alike."""
+    """Adds the slices of tasks, in task order so that a rerun adds up alike."""
     table = table.sort_by("part")
     total = np.zeros(len(table.column("sums")[0]))
     for sums in table.column("sums"):
         total += sums.values.to_numpy()
     return pa.table({"combo_id": table.column("combo_id")[:1], "slice": table.column("slice")[:1],
+                     "part": table.column("part")[:1],
                      "sums": pa.ListArray.from_arrays(
                          pa.array([0, len(total)], pa.int32()), pa.array(total))})
 
@@ -183,8 +189,11 @@ def summed(rows: DataFrame, vector: str, label: str, models: dict, gradient: boo
     try:
         parts = rows.select(vector, F.col(label).cast("bigint").alias(label)) \
             .mapInArrow(_partial_sums(shared, gradient), _PARTIAL)
-        added = parts.groupBy("combo_id", "slice").applyInArrow(
-            _add_parts, "combo_id bigint, slice int, sums array<double>").collect()
+        # In two levels, so that no group gathers the slices of all tasks.
+        some = parts.groupBy("combo_id", "slice", F.expr(f"part div {PARTS_ADDED}")) \
+            .applyInArrow(lambda t: _add_parts(t), _PARTIAL)
+        added = some.groupBy("combo_id", "slice").applyInArrow(
+            lambda t: _add_parts(t), _PARTIAL).collect()
     finally:
         shared.unpersist()
     result = {}
@@ -199,16 +208,22 @@ def summed(rows: DataFrame, vector: str, label: str, models: dict, gradient: boo
     return result
 
 
-def _batch_table(spark: SparkSession, rows: DataFrame, row_id: str, batchsize: int):
-    """Training rows by batch, written once so that a step reads only its own rows."""
-    total = rows.count()
-    batches = max(1, math.ceil(total / batchsize))
-    if batches == 1:
-        return rows, 1
-    path = work_path(spark, "train-batches")
-    (epoch_batches(rows, row_id, 1, batchsize).drop("epoch")
-     .hint("rebalance", "batch").write.partitionBy("batch").parquet(path))
-    return spark.read.parquet(path), batches
+def _batch_table(rows: DataFrame, row_id: str, batchsize: int, classes: int, label: str):
+    """Training rows by batch, written once, the number of batches, and of rows left out.
+
+    A row's batch is a hash of its id, so batches have about ``batchsize`` rows. Files hold
+    ranges of batches, and a step's filter is pushed down to them. Rows whose label is NULL
+    or none of the classes are left out and counted.
+    """
+    number = F.col(label).cast("bigint")
+    known = F.coalesce(number.between(0, classes - 1), F.lit(False))
+    counted = rows.agg(F.count_if(known).alias("n"), F.count_if(~known).alias("out")).first()
+    batches = max(1, math.ceil(counted["n"] / batchsize))
+    batch = F.pmod(F.xxhash64(row_id), F.lit(batches))
+    path = work_path(rows.sparkSession, "train-batches")
+    (rows.where(known).withColumn("batch", batch).repartitionByRange("batch", row_id)
+     .sortWithinPartitions("batch", row_id).write.parquet(path))
+    return rows.sparkSession.read.parquet(path), batches, counted["out"]
 
 
 def train(train_rows: DataFrame, test_rows: DataFrame, row_id: str, vector: str, label: str,
@@ -219,7 +234,7 @@ def train(train_rows: DataFrame, test_rows: DataFrame, row_id: str, vector: str,
     """Trains every combination and reports each epoch.
 
     Combinations with equal ``batchsize`` and ``epochs`` share their passes, as many at
-    a time as the driver may hold. Batches are fixed by a seeded shuffle; their order
+    a time as the driver may hold. Batches are fixed by a hash of the row id; their order
     changes per epoch. ``resume`` gives states to go on from, ``after_epoch`` sees the
     states after each epoch. ``hand_over`` takes the trained states, as to write them,
     which then are not kept.
@@ -234,7 +249,8 @@ def train(train_rows: DataFrame, test_rows: DataFrame, row_id: str, vector: str,
     for c in combinations:
         groups[c.batchsize, c.epochs].append(c)
     for (batchsize, epochs), group in groups.items():
-        table, batches = _batch_table(train_rows.sparkSession, train_rows, row_id, batchsize)
+        table, batches, training.left_out = _batch_table(
+            train_rows, row_id, batchsize, classes, label)
         for chunk in _chunks(group, sizes):
             states = {c.combo_id: resume.get(c.combo_id) or initial_state(sizes(c), c.seed)
                       for c in chunk}
@@ -270,7 +286,7 @@ def _train_group(training, states, group, table, batches, epochs, test_rows, vec
         active = [c for c in group if states[c.combo_id].epoch < epoch]
         seen = {c.combo_id: np.zeros(3) for c in active}
         for batch in np.random.default_rng(epoch).permutation(batches):
-            rows = table if batches == 1 else table.where(F.col("batch") == int(batch))
+            rows = table.where(F.col("batch") == int(batch))
             models = {c.combo_id: (states[c.combo_id].sizes, states[c.combo_id].theta)
                       for c in active}
             step = summed(rows, vector, label, models, gradient=True)

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 from pyspark.sql import functions as F
 
@@ -16,6 +14,8 @@ from paramloom.session import work_path
 from paramloom.sources.vectors import labelled_split, read_snapshot, write_snapshot
 
 DIMENSIONS, HIDDEN, CLASSES = 64, 16, 10
+# Rows of a training step, whatever the size of the table.
+BATCH = 400
 
 
 def _embeddings(spark, sf_dir):
@@ -237,10 +237,8 @@ def _combinations(epochs, batchsize):
 
 def _train(spark, sf_dir, epochs, **more):
     train, test = labelled_split(_embeddings(spark, sf_dir), "vec_id")
-    # Two batches per epoch whatever the size of the table.
-    batchsize = math.ceil(train.count() / 2)
     return training.train(train, test, "vec_id", "embedding", "label",
-                          _combinations(epochs, batchsize), DIMENSIONS, CLASSES, **more)
+                          _combinations(epochs, BATCH), DIMENSIONS, CLASSES, **more)
 
 
 @query("run_train_per_combo")
@@ -251,11 +249,11 @@ def run_train_per_combo(spark, sf_dir):
 
 @query("ml_train_data_parallel")
 def ml_train_data_parallel(spark, sf_dir):
-    """One network trained on full batches, then used to score the test rows."""
+    """One network trained, then used to score the test rows."""
     train, test = labelled_split(_embeddings(spark, sf_dir), "vec_id")
     done = training.train(
         train, test, "vec_id", "embedding", "label",
-        [Combination(0, unit=HIDDEN, alpha=0.01, batchsize=train.count(), epochs=3)],
+        [Combination(0, unit=HIDDEN, alpha=0.01, batchsize=BATCH, epochs=3)],
         DIMENSIONS, CLASSES)
     judged = network.with_loss(
         network.score(test, "embedding", done.states[0].layers()), F.col("label"))

@@ -118,7 +118,7 @@ def test_commands(spark):
                                            "exitcode int").withColumn("ts", F.col("ts").cast("timestamp_ntz"))
     assert dict(history.first_exit(commands).collect()) == {"h": 0, "g": -9}
     assert [r["id"] for r in history.failed(commands).collect()] == [3]
-    indexed = history.history(commands, rows_per_block=1).where("host = 'h'").orderBy("idx")
+    indexed = history.history(commands).where("host = 'h'").orderBy("idx")
     assert [(r["idx"], r["id"]) for r in indexed.collect()] == [(0, 2), (1, 1), (2, 3)]
     wanted = spark.createDataFrame([("h", 1), ("h", 9), ("g", 0)], "host string, idx bigint")
     found = history.history_lookup(commands, wanted).collect()
@@ -141,7 +141,7 @@ def test_step_gaps_over_blocks(spark):
         u = i % 3 if i % 2 else 0
         expected[i] = None if u not in last else (i - last[u]) * 1_000_001
         last[u] = i
-    got = {r["event_id"]: r["gap_us"] for r in history.step_gaps(steps, 11).collect()}
+    got = {r["event_id"]: r["gap_us"] for r in history.step_gaps(steps).collect()}
     assert got == expected
 
 

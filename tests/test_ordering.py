@@ -56,36 +56,45 @@ def test_totals(rows):
 
 
 @pytest.mark.parametrize("kind", ["timestamp_ntz", "timestamp"])
-@pytest.mark.parametrize("per_block", [2, 50, 10 ** 6])
-def test_quantile_blocks(rows, per_block, kind):
-    """Also with more blocks than nested conditions allow, and with a timestamp."""
+def test_range_blocks(rows, kind):
+    """Also with tied and NULL times."""
     timed = rows.withColumn(
-        "ts", F.lit("2024-01-01").cast(kind)
-        + F.make_dt_interval(secs=F.col("id").cast("decimal(18,6)") / 1000))
-    blocks = ordering.quantile_blocks(F.col("ts"), per_block)
+        "ts", F.when(F.col("id") % 3 > 0, F.lit("2024-01-01").cast(kind) + F.make_dt_interval(
+            secs=F.floor(F.col("id") / 100).cast("decimal(18,6)"))))
     window = Window.partitionBy("k").orderBy("ts", "id")
-    same(ordering.number_rows(timed, ["k"], [F.col("ts"), F.col("id")], blocks, "n"),
+    same(ordering.number_rows(timed, ["k"], [F.col("ts"), F.col("id")],
+                              ordering.range_blocks(), "n"),
          timed.withColumn("n", F.row_number().over(window).cast("bigint")))
+    same(ordering.previous(timed, ["k"], [F.col("ts"), F.col("id")], ordering.range_blocks(),
+                           F.col("ts"), "before", rising=True),
+         timed.withColumn("before", F.lag("ts").over(window)))
 
 
-def test_quantile_blocks_are_even_and_ordered(rows):
-    block = ordering.quantile_blocks(F.col("id"), 30).of(rows)
-    groups = rows.groupBy(block.alias("b")).agg(
-        F.count("id").alias("n"), F.min("id").alias("low"), F.max("id").alias("high")
-    ).orderBy("b").collect()
-    assert len(groups) == 30
-    assert all(a["high"] < b["low"] for a, b in zip(groups, groups[1:]))
-    assert max(g["n"] for g in groups) <= 60
+@pytest.mark.parametrize("time", ["2024-01-01", None])
+def test_equal_times_are_split(spark, time):
+    host = spark.range(20_000).select(
+        F.lit("h").alias("k"), F.lit(time).cast("timestamp").alias("ts"), "id")
+    cut = ordering._cut(host, ["k"], [F.col("ts"), F.col("id")], ordering.range_blocks())
+    sizes = [r["count"] for r in cut.groupBy("__block").count().collect()]
+    assert len(sizes) == 4
+    assert max(sizes) < 10_000
 
 
-def test_only_hot_keys_are_cut(rows):
-    """Small keys keep one block, so they add no rows and no work."""
-    cut = ordering._cut(rows, ["k"], ordering.id_blocks(F.col("id"), 50))
-    blocks = dict(cut.groupBy("k").agg(F.count_distinct("__block").alias("n")).collect())
-    assert blocks.pop("hot") > 50
-    assert set(blocks.values()) == {0}
-    assert cut.count() == rows.count()
-    assert ordering._cut(rows, ["k"], ordering.id_blocks(F.col("id"), 1000)) is None
+def test_nothing_runs_while_building(spark, rows):
+    spark.sparkContext.setJobGroup("build", "build")
+    made = [ordering.number_rows(rows, ["k"], [F.col("id")], blocks, "n")
+            for blocks in (ordering.id_blocks(F.col("id"), 10), ordering.range_blocks())]
+    assert not spark.sparkContext.statusTracker().getJobIdsForGroup("build")
+    assert [df.count() for df in made] == [900, 900]
+    assert spark.sparkContext.statusTracker().getJobIdsForGroup("build")
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+
+def test_input_is_scanned_twice_at_most(spark, sf_dir):
+    log = spark.read.parquet(f"{sf_dir}/events.parquet")
+    made = ordering.number_rows(log, ["user_id"], [F.col("event_id")],
+                                ordering.id_blocks(F.col("event_id")), "n")
+    assert made._jdf.queryExecution().executedPlan().toString().count("FileScan") == 2
 
 
 def test_last_rows(rows):
@@ -114,11 +123,3 @@ def test_search_sorted(spark, n, right):
     side = bisect.bisect_right if right else bisect.bisect_left
     got = dict(df.select("v", search_sorted(F.col("v"), points, right)).collect())
     assert got == {v: None if v is None else side(points, v) for v in values}
-
-
-def test_hot_keys_are_found_by_hash(rows):
-    numbered = ordering.number_rows(rows, ["k"], [F.col("id")],
-                                    ordering.id_blocks(F.col("id"), 10), "n")
-    plan = numbered._jdf.queryExecution().executedPlan().toString()
-    assert "BroadcastHashJoin" in plan
-    assert "NestedLoop" not in plan

@@ -135,9 +135,8 @@ def test_minibatches(spark, per_block):
     assert {r["id"]: r["batch"] for r in rows} == {3 * i: i // 10 for i in range(34)}
 
 
-@pytest.mark.parametrize("per_block", [1, 10 ** 6])
-def test_epoch_batches(spark, per_block):
-    rows = batches.epoch_batches(spark.range(50), "id", 2, 20, per_block).collect()
+def test_epoch_batches(spark):
+    rows = batches.epoch_batches(spark.range(50), "id", 2, 20).collect()
     by_epoch = {e: [set(r["id"] for r in rows if (r["epoch"], r["batch"]) == (e, b))
                     for b in range(3)] for e in (1, 2)}
     assert [len(s) for s in by_epoch[1]] == [20, 20, 10]
@@ -163,3 +162,12 @@ def test_report_of_several_runs(spark):
         (1.0, 0.0), (2.0, 60.0), (2.0, 0.0), (3.0, 60.0)]
     assert reports.series(report, ["combo_id"]).count() == 16
     assert reports.evaluate(df, ["combo_id"]).count() == 4
+
+
+def test_unusable_labels_are_left_out_and_counted(split, spark):
+    odd = split[0].withColumn("label", F.when(F.col("vec_id") % 3 == 0, None).when(
+        F.col("vec_id") % 3 == 1, F.col("label") + 100).otherwise(F.col("label")))
+    done = training.train(odd, split[1], "vec_id", "embedding", "label",
+                          [Combination(0, unit=4, batchsize=50, epochs=1)], 64, 10)
+    assert done.left_out == odd.where("label is null or label > 9").count() > 0
+    assert math.isfinite(done.report[0][2])
