@@ -35,15 +35,15 @@ def heavy_hitters(rows: DataFrame, counters: int = COUNTERS,
                   candidates: int = CANDIDATES) -> DataFrame:
     """``text_sha256, keep_id, group_size`` of frequent digests, exact, ``candidates`` rows at most.
 
-    Every digest with more than ``2 / counters`` of all rows is among them. The sketches of
-    the tasks are merged in ``MERGES`` groups before the last merge.
+    Rows are counted in ``MERGES`` parts, and the parts' counters are added. A digest with more
+    than ``2 / counters`` of all rows has as large a share of some part, and is named there.
     """
-    merged = rows.groupBy(F.pmod(F.spark_partition_id(), F.lit(MERGES)).alias("part")).agg(
-        F.expr(f"approx_top_k_accumulate(text_sha256, {counters})").alias("sketch"))
-    top = merged.agg(F.expr(f"approx_top_k_combine(sketch, {counters})").alias("sketch")).select(
-        F.explode(F.expr(f"approx_top_k_estimate(sketch, {candidates})")).alias("top"))
-    named = top.where("top.count > 1 and top.item is not null").select(
-        F.col("top.item").alias("text_sha256"))
+    parts = rows.groupBy(F.pmod(F.spark_partition_id(), F.lit(MERGES)).alias("part")).agg(
+        F.expr(f"approx_top_k(text_sha256, {candidates}, {counters})").alias("top"))
+    top = (parts.select(F.explode("top").alias("top")).groupBy("top.item")
+           .agg(F.sum("top.count").alias("n")).where("n > 1 and item is not null"))
+    named = top.orderBy(F.desc("n"), "item").limit(candidates).select(
+        F.col("item").alias("text_sha256"))
     return (rows.join(F.broadcast(named), "text_sha256").groupBy("text_sha256")
             .agg(F.min("doc_id").alias("keep_id"), F.count("*").alias("group_size")))
 
