@@ -18,6 +18,33 @@ def route(messages: DataFrame) -> DataFrame:
         .when(F.col("status") == "SUCCESS", "result").otherwise("other"))
 
 
+def decode_message(raw: DataFrame) -> DataFrame:
+    """Message columns out of ``raw``, the JSON text ``{status, result, task_id, seq}``.
+
+    While a task runs its result is ``{"message": {"out": ..., "err": ...}}`` or
+    ``{"message": text}``; of a finished one it is any value, of others a dictionary
+    (``detail``) or a value. What is no JSON has no status, so that it can be found.
+    """
+    fields = F.from_json(F.col("raw"), "status string, task_id string, seq bigint, result string")
+    read = raw.select("raw", fields.alias("f"), F.try_parse_json("raw").alias("v"))
+    in_message = F.from_json("f.result", "message string, out string")["message"]
+    parts = F.from_json(in_message, "out string, err string")
+
+    def is_a(kind, path):
+        found = F.schema_of_variant(F.try_variant_get("v", path, "variant"))
+        return F.coalesce(found.startswith(kind), F.lit(False))
+
+    running, done = F.col("f.status") == "MSG", F.col("f.status") == "SUCCESS"
+    streams = running & is_a("OBJECT", "$.result.message")
+    detail = ~running & ~done & is_a("OBJECT", "$.result")
+    return read.select(
+        "f.task_id", "f.seq", "f.status",
+        F.when(streams, parts["out"]).alias("out"), F.when(streams, parts["err"]).alias("err"),
+        F.when(running & is_a("STRING", "$.result.message"), in_message).alias("text"),
+        F.when(~running & ~detail, F.col("f.result")).alias("result"),
+        F.when(detail, F.col("f.result")).alias("detail"))
+
+
 def split_streams(messages: DataFrame, clean: bool = False) -> DataFrame:
     """``(task_id, seq, stream, line)`` of the out and err parts that are not empty.
 

@@ -18,7 +18,6 @@ from paramloom.operators.grid import grid_range
 
 # Aggregate expressions per pass of predicate_sweep; with more than 100 columns Spark
 # gives up compiling the whole aggregation.
-EXPRESSIONS_PER_PASS = 90
 
 
 @dataclass(frozen=True)
@@ -156,25 +155,19 @@ def predicate_sweep(facts: DataFrame, combinations: list[dict],
                     measures: dict[str, Measure]) -> DataFrame:
     """``(combo_id, <measure>…)`` for any condition built from a combination.
 
-    Conditional aggregates: no row is copied per combination and only one partial
-    row per task is shuffled. Each pass over the facts takes as many combinations
-    as fit one aggregation.
+    The facts are scanned once, whatever the number of combinations: a row lists the
+    combinations it matches, and its measures are added up per combination map-side, so
+    that one row per combination and task is shuffled.
     """
-    per_pass = max(1, EXPRESSIONS_PER_PASS // len(measures))
-    results = None
-    for start in range(0, len(combinations), per_pass):
-        chunk = list(enumerate(combinations))[start:start + per_pass]
-        aggregates = []
-        for combo_id, combination in chunk:
-            matches = condition(combination)
-            for name, measure in measures.items():
-                column = F.lit(1) if measure.column is None else measure.column
-                aggregates.append(getattr(F, measure.how)(F.when(matches, column))
-                                  .alias(f"{name}_{combo_id}"))
-        wide = facts.agg(*aggregates)
-        tall = wide.select(F.inline(F.array(*[
-            F.struct(F.lit(combo_id).cast("bigint").alias("combo_id"),
-                     *[F.col(f"{name}_{combo_id}").alias(name) for name in measures])
-            for combo_id, _ in chunk])))
-        results = tall if results is None else results.unionByName(tall)
-    return results
+    matched = F.array_compact(F.array(*[
+        F.when(condition(c), F.lit(i).cast("bigint")) for i, c in enumerate(combinations)]))
+    tall = facts.select(F.explode(matched).alias("combo_id"), *[
+        (F.lit(1) if m.column is None else m.column).alias(f"__{name}")
+        for name, m in measures.items()])
+    added = tall.groupBy("combo_id").agg(*[
+        getattr(F, m.how)(f"__{name}").alias(name) for name, m in measures.items()])
+    every = facts.sparkSession.range(len(combinations)).withColumnRenamed("id", "combo_id")
+    zero = F.lit(0).cast("bigint")
+    return every.join(added, "combo_id", "left").select("combo_id", *[
+        (F.coalesce(name, zero) if m.how == "count" else F.col(name)).alias(name)
+        for name, m in measures.items()])

@@ -201,6 +201,24 @@ recipe("fx_message", """
 """)
 
 
+def raw_messages(messages: DataFrame) -> DataFrame:
+    """Messages as they are sent: ``raw``, the JSON text of status, result and task id."""
+    def text(column):
+        listed = F.to_json(F.array(column))
+        return F.substring(listed, F.lit(2), F.length(listed) - 2)
+
+    message = (F.when(F.col("out").isNotNull(), F.to_json(F.struct("out")))
+               .when(F.col("err").isNotNull(), F.to_json(F.struct("err")))
+               .otherwise(text("text")))
+    result = (F.when(F.col("status") == "MSG", F.concat(F.lit('{"message":'), message, F.lit("}")))
+              .when(F.col("status") == "SUCCESS", F.coalesce("result", F.lit("null")))
+              .otherwise(F.coalesce("detail", F.lit("null"))))
+    return messages.select(F.concat(
+        F.lit('{"status":'), text("status"), F.lit(',"task_id":'), text("task_id"),
+        F.lit(',"seq":'), F.col("seq").cast("string"), F.lit(',"result":'), result,
+        F.lit("}")).alias("raw"))
+
+
 def redelivered(messages: DataFrame) -> DataFrame:
     """Messages of every seventh number twice."""
     copies = F.when(F.col("seq") % 7 == 0, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))

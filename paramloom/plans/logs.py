@@ -31,6 +31,14 @@ def fx_tasks(spark, sf_dir):
         "task_id", F.concat_ws("/", "spec_id", F.col("combo_id").cast("string")))
 
 
+@query("log_decode_message", """
+    SELECT task_id, seq, status, "out", err, text, result, replace(detail, ' ', '') AS detail FROM fx_message
+""", ("fx_message",))
+def log_decode_message(spark, sf_dir):
+    """Messages as JSON text, as they are sent, back to their columns."""
+    return messages.decode_message(fx.raw_messages(fx.fx_message(spark, sf_dir)))
+
+
 @query("sink_task_header", f"SELECT {HEADER_SQL} AS value FROM ({TASK_SQL})", ("fx_grid",))
 def sink_task_header(spark, sf_dir):
     path = work_path(spark, "headers")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from paramloom.operators import messages
+from paramloom.operators.messages import decode_message
 from paramloom.plans import fixtures as fx
 from paramloom.plans.registry import query, table
 from paramloom.session import work_path
@@ -107,13 +108,26 @@ def st_progress(spark, sf_dir):
 
 
 @query("st_on_finish", """
-    SELECT DISTINCT task_id, status FROM fx_message WHERE status <> 'MSG'
+    SELECT task_id, true AS ended FROM fx_message WHERE status <> 'MSG' GROUP BY task_id
 """, ("fx_message",))
 def st_on_finish(spark, sf_dir):
+    """One call per ended task, although ends are delivered again and tasks end several times."""
     path, checkpoint = _paths(spark, "st-finish")
 
     def record(rows, batch, params):
         rows.write.mode("overwrite").parquet(f"{params['path']}/batch={batch}")
 
-    stream.on_finish(fx.message_columns(_events(spark, sf_dir)), record, {"path": path}, checkpoint)
-    return spark.read.parquet(path).select("task_id", "status").distinct()
+    messages = fx.redelivered(fx.message_columns(_events(spark, sf_dir)))
+    stream.on_finish(messages, record, {"path": path}, checkpoint)
+    return spark.read.parquet(path).select(
+        "task_id", F.col("status").isNotNull().alias("ended"))
+
+
+@query("st_decode_message", """
+    SELECT task_id, seq, status, "out", err, text, result, replace(detail, ' ', '') AS detail FROM fx_message
+""", ("fx_message",))
+def st_decode_message(spark, sf_dir):
+    path, checkpoint = _paths(spark, "st-decode")
+    decoded = decode_message(fx.raw_messages(fx.message_columns(_events(spark, sf_dir))))
+    stream.append_files(decoded, path, checkpoint)
+    return spark.read.schema(decoded.schema).parquet(path)

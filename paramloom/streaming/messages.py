@@ -140,10 +140,15 @@ def ended_state(messages: DataFrame) -> DataFrame:
 
 def on_finish(messages: DataFrame, callback: Callable[[DataFrame, int, dict], None],
               params: dict, checkpoint: str, until_done: bool = True) -> StreamingQuery:
-    """Calls back with the tasks that ended in each micro-batch, and given parameters."""
-    ended = messages.where(F.col("status") != "MSG").select("task_id", "status")
+    """Calls back once per task, with the tasks that ended in a micro-batch, and parameters.
+
+    An end that is delivered again, in this micro-batch or a later one, is known from
+    state, which holds a key per ended task.
+    """
+    ended = (messages.where(F.col("status") != "MSG").select("task_id", "status")
+             .dropDuplicates(["task_id"]))
 
     def hook(rows: DataFrame, batch: int) -> None:
-        callback(rows.distinct(), batch, params)
+        callback(rows, batch, params)
 
     return handle(ended, hook, checkpoint, until_done)

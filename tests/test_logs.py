@@ -163,3 +163,21 @@ def test_worker_records(spark):
     assert df.count() == 196
     assert counts == {w: 14 for w in names}
     assert df.where("W = 'Ё'").count() == 14
+
+
+def test_decoding_of_messages(spark):
+    raw = spark.createDataFrame([(t,) for t in [
+        '{"status":"MSG","task_id":"a","seq":1,"result":{"message":{"out":"x\\ny","err":""}}}',
+        '{"status":"MSG","task_id":"a","seq":2,"result":{"message":"{\\"out\\":1}"}}',
+        '{"status":"SUCCESS","task_id":"a","seq":3,"result":{"loss":0.5}}',
+        '{"status":"SUCCESS","task_id":"a","seq":4,"result":null}',
+        '{"status":"FAILURE","task_id":"a","seq":5,"result":{"k":null}}',
+        '{"status":"RETRY","task_id":"a","seq":6,"result":"text"}', "no json", None]], "raw string")
+    rows = [tuple(r)[1:] for r in messages.decode_message(raw).collect()]
+    assert rows == [
+        (1, "MSG", "x\ny", "", None, None, None), (2, "MSG", None, None, '{"out":1}', None, None),
+        (3, "SUCCESS", None, None, None, '{"loss":0.5}', None),
+        (4, "SUCCESS", None, None, None, None, None),
+        (5, "FAILURE", None, None, None, None, '{"k":null}'),
+        (6, "RETRY", None, None, None, "text", None),
+        (None,) * 7, (None,) * 7]
