@@ -38,13 +38,33 @@ def remote_hosts(hosts: DataFrame, column: str = "host") -> DataFrame:
     return hosts.where(~F.col(column).isin("localhost", ""))
 
 
-def missing_fields(keyed: DataFrame, required: list[str]) -> DataFrame:
-    """``(record_id, missing ARRAY)``: required keys that have no value."""
-    present = [F.max((F.col("key") == key) & (F.col("value") != "")).alias(f"__has_{key}")
-               for key in required]
-    gaps = F.array(*[F.when(~F.col(f"__has_{key}"), F.lit(key)) for key in required])
+def missing_fields(keyed: DataFrame, required: list[str] = (),
+                   with_key: dict[str, list[str]] | None = None,
+                   without_key: dict[str, list[str]] | None = None,
+                   one_of: list[list[str]] = ()) -> DataFrame:
+    """``(record_id, missing ARRAY)``: required keys that have no value.
+
+    ``with_key`` and ``without_key`` name keys that are required if another is there or is
+    not. Of each list in ``one_of`` a key must be there; otherwise it is reported as ``a or b``.
+    """
+    with_key, without_key = with_key or {}, without_key or {}
+    keys = dict.fromkeys([*required, *with_key, *without_key])
+    for more in (*with_key.values(), *without_key.values(), *one_of):
+        keys.update(dict.fromkeys(more))
+    has = {key: F.col(f"__has_{key}") for key in keys}
+    present = [F.coalesce(F.max((F.col("key") == key) & (F.col("value") != "")), F.lit(False))
+               .alias(f"__has_{key}") for key in keys]
+    gaps = [F.when(~has[key], F.lit(key)) for key in required]
+    gaps += [F.when(has[k] & ~has[key], F.lit(key)) for k, more in with_key.items() for key in more]
+    gaps += [F.when(~has[k] & ~has[key], F.lit(key))
+             for k, more in without_key.items() for key in more]
+    for choice in one_of:
+        any_of = F.lit(False)
+        for key in choice:
+            any_of = any_of | has[key]
+        gaps.append(F.when(~any_of, F.lit(" or ".join(choice))))
     return keyed.groupBy("record_id").agg(*present).select(
-        "record_id", F.array_compact(gaps).alias("missing"))
+        "record_id", F.array_distinct(F.array_compact(F.array(*gaps))).alias("missing"))
 
 
 def host_list(keyed: DataFrame, separator: str = ", ") -> DataFrame:

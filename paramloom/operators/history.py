@@ -36,6 +36,11 @@ def accumulate(log: DataFrame, lines_per_piece: int = LINES_PER_PIECE) -> DataFr
     return log.groupBy("task_id", piece.alias("piece")).agg(text.alias("text"))
 
 
+def output_of(pieces: DataFrame, task_id: str) -> DataFrame:
+    """``(piece, text)`` of one task in order; joined by line ends they are its whole output."""
+    return pieces.where(F.col("task_id") == task_id).select("piece", "text").orderBy("piece")
+
+
 def first_exit(commands: DataFrame) -> DataFrame:
     """``(host, exitcode)``: the first code written is kept."""
     return (commands.where(F.col("exitcode").isNotNull()).groupBy("host")

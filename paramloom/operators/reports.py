@@ -19,12 +19,21 @@ OPTIONS = {
 SERIES = ["main_loss", "validation_main_loss", "main_accuracy", "validation_main_accuracy"]
 
 
-def options(combinations: DataFrame, params: str = "params") -> DataFrame:
-    """One typed column per training option; a missing one has its default."""
-    return combinations.select(
+def options(combinations: DataFrame, params: str = "params", wrong: str | None = None
+            ) -> DataFrame:
+    """One typed column per training option; a missing one has its default.
+
+    A value that is none of its type is NULL; ``wrong`` names a column that lists such options.
+    """
+    typed = {name: with_default(F.col(params), name, default, dtype)
+             for name, (default, dtype) in OPTIONS.items()}
+    rows = combinations.select(
         *[c for c in combinations.columns if c != params],
-        *[with_default(F.col(params), name, default, dtype).alias(name)
-          for name, (default, dtype) in OPTIONS.items()])
+        *[column.alias(name) for name, column in typed.items()])
+    if wrong is None:
+        return rows
+    return rows.withColumn(wrong, F.array_compact(F.array(*[
+        F.when(F.col(name).isNull(), F.lit(name)) for name in OPTIONS])))
 
 
 def evaluate(observations: DataFrame, keys: list[str] | None = None) -> DataFrame:

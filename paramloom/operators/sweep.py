@@ -16,8 +16,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from paramloom.functions.buckets import search_sorted
 from paramloom.operators.grid import grid_range
 
-# Aggregate expressions per pass of predicate_sweep; with more than 100 columns Spark
-# gives up compiling the whole aggregation.
+# Combinations from files that one plan may hold as conditions.
+MOST_COMBINATIONS = 10_000
 
 
 @dataclass(frozen=True)
@@ -171,3 +171,15 @@ def predicate_sweep(facts: DataFrame, combinations: list[dict],
     return every.join(added, "combo_id", "left").select("combo_id", *[
         (F.coalesce(name, zero) if m.how == "count" else F.col(name)).alias(name)
         for name, m in measures.items()])
+
+
+def combinations_of(grid: DataFrame, most: int = MOST_COMBINATIONS) -> list[dict[str, str]]:
+    """The combinations of ``grid`` rows, in order, as ``predicate_sweep`` takes them.
+
+    They become conditions of one plan, so they must be known while it is built; more than
+    ``most`` are refused.
+    """
+    rows = grid.orderBy("spec_id", "combo_id").select("params").limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"more than {most} combinations for one plan")
+    return [dict(row["params"]) for row in rows]

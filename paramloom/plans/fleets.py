@@ -120,6 +120,20 @@ def fl_validate(spark, sf_dir):
     return checked.withColumn("missing", F.array_join("missing", "|"))
 
 
+@query("fl_validate_rules", """
+    SELECT record_id, concat_ws('|', CASE WHEN nation % 4 = 0 THEN 'remote_path' END, 'key',
+           CASE WHEN nation % 4 = 0 THEN 'broker' END, 'user or key') AS missing
+    FROM fx_fleet_record
+""", ("fx_fleet_record",))
+def fl_validate_rules(spark, sf_dir):
+    """Fields that are required with or without others, and choices."""
+    checked = fleet.missing_fields(
+        fx_keyed(spark, sf_dir), with_key={"folder": ["remote_path", "key"]},
+        without_key={"remote_path": ["broker", "folder"]},
+        one_of=[["user", "key"], ["master", "workers"]])
+    return checked.withColumn("missing", F.array_join("missing", "|"))
+
+
 @query("fl_join_hosts", """
     SELECT record_id, array_to_string(names, ', ') AS hosts FROM fx_fleet_record
 """, ("fx_fleet_record",))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import string
+
 from pyspark.sql import functions as F
 
 from paramloom.functions.params import dictionary_text
@@ -302,8 +304,8 @@ def log_step_gap(spark, sf_dir):
     return history.step_gaps(steps).drop("ts")
 
 
-# Fixed value: the symbols of generated texts.
-ALPHABET = "qwertyuiopasdfghjkl"
+# The symbols of generated texts.
+ALPHABET = string.ascii_lowercase[:20]
 
 
 @query("gen_worker_rows", f"""

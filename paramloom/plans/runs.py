@@ -4,11 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from paramloom.operators import folds, grid, tasks
-from paramloom.operators.sweep import Measure, Threshold, predicate_sweep, threshold_sweep
+from paramloom.operators import folds, grid, specs, tasks
+from paramloom.operators.sweep import (Measure, Threshold, combinations_of, predicate_sweep,
+                                       threshold_sweep)
 from paramloom.plans import fixtures as fx
 from paramloom.plans.parameter_space import fx_grid
 from paramloom.plans.registry import query, table
+from paramloom.session import work_path
+from paramloom.sources.specs import read_specs
 
 DISCOUNTS = [0.02, 0.05, 0.08, -1.0]
 QUANTITIES = [10.0, 25.0, 40.0, 0.0]
@@ -84,6 +87,33 @@ def run_sweep_predicate(spark, sf_dir):
     return swept.withColumn("price", F.round("price", 2))
 
 
+SWEEP_FILE = """# spec sweep
+l_discount: [0.02, 0.05, 0.08]
+l_quantity: !!python/tuple [10, 45, 15]
+"""
+
+
+@query("run_sweep_from_spec", """
+    SELECT cast(a.i * 3 + b.i AS bigint) AS combo_id, count(l_orderkey) AS n,
+           round(sum(l_extendedprice), 2) AS price
+    FROM (SELECT unnest([0, 1, 2]) AS i, unnest([0.02, 0.05, 0.08]) AS v) a
+         CROSS JOIN (SELECT unnest([0, 1, 2]) AS i, unnest([10, 25, 40]) AS v) b
+         LEFT JOIN lineitem ON l_discount <= cast(a.v AS double) AND l_quantity < b.v
+    GROUP BY ALL
+""")
+def run_sweep_from_spec(spark, sf_dir):
+    """From a parameter file to its combinations to a sweep of the table."""
+    path = work_path(spark, "sweep-spec")
+    spark.createDataFrame([(SWEEP_FILE,)], "value string").write.text(path)
+    combinations = combinations_of(grid.grid(specs.param_values(read_specs(spark, path))))
+    swept = predicate_sweep(
+        table(spark, sf_dir, "lineitem"), combinations,
+        lambda c: (F.col("l_discount") <= float(c["l_discount"]))
+        & (F.col("l_quantity") < float(c["l_quantity"])),
+        {"n": Measure("count"), "price": Measure("sum", F.col("l_extendedprice"))})
+    return swept.withColumn("price", F.round("price", 2))
+
+
 def _describe(params: dict) -> dict:
     """A task: what a run of these parameters would cost."""
     epochs, units = int(params.get("epoch", "20")), int(params["unit"])

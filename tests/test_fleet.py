@@ -113,3 +113,14 @@ def test_worker_rows(spark):
     assert {len(r["text"]) for r in rows} == set(range(1, 7))
     assert set("".join(r["text"] for r in rows)) == set("qwerty")
     assert sorted(rows) == sorted(made.collect())
+
+
+def test_conditional_fields(spark):
+    rows = spark.createDataFrame(
+        [("a", "remote", "x"), ("a", "path", "p"), ("b", "master", "1"), ("c", "key", "k")],
+        "record_id string, key string, value string")
+    missing = dict(fleet.missing_fields(
+        rows, with_key={"remote": ["path", "folder"]}, without_key={"master": ["broker"]},
+        one_of=[["master", "worker"]]).collect())
+    assert missing == {"a": ["folder", "broker", "master or worker"], "b": [],
+                       "c": ["broker", "master or worker"]}

@@ -87,3 +87,13 @@ def test_folds_are_disjoint_and_cover(spark, k):
         held = {r["id"] for r in rows if r["fold"] == f and r["part"] == "test"}
         assert train | held == set(range(50))
         assert (train == held) if k == 1 else not train & held
+
+
+def test_many_predicates_are_one_scan(spark, sf_dir):
+    from paramloom.operators.sweep import Measure, predicate_sweep
+    facts = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    swept = predicate_sweep(
+        facts, [{"q": i / 20} for i in range(1000)], lambda c: F.col("l_quantity") < c["q"],
+        {"n": Measure("count"), "price": Measure("sum", F.col("l_extendedprice"))})
+    assert swept._jdf.queryExecution().executedPlan().toString().count("FileScan") == 1
+    assert swept.count() == 1000

@@ -171,3 +171,9 @@ def test_unusable_labels_are_left_out_and_counted(split, spark):
                           [Combination(0, unit=4, batchsize=50, epochs=1)], 64, 10)
     assert done.left_out == odd.where("label is null or label > 9").count() > 0
     assert math.isfinite(done.report[0][2])
+
+
+def test_wrong_options_are_named(spark):
+    given = spark.createDataFrame([({"batchsize": "abc"},), ({},)], "params map<string,string>")
+    rows = reports.options(given, wrong="wrong").collect()
+    assert [(r["batchsize"], r["wrong"]) for r in rows] == [(None, ["batchsize"]), (100, [])]
