@@ -9,11 +9,11 @@ A model file of byte-pair pieces is compiled into arcs:
 
 Byte-pair models don't mean the path of the best sum: a piece may follow another only if merging
 the two spellings by the model's own order gives these two pieces again. That is a relation of
-neighbours, so it is an acceptor with a state per piece; composed with the arcs it leaves one
-path per text, which is the library's encoding. Composition is lazy, and the shortest path to
-each place is kept with its last piece. No piece joins the escape sign to what stands before it
-(checked when compiling), so a text is composed word by word, and words seen before are kept,
-``KNOWN_WORDS`` at most.
+neighbours, so it is an acceptor with a state per piece and without weights of its own; composed
+with the arcs it leaves one path to each place, which is therefore the shortest and the library's
+encoding. Composition is lazy and keeps the last piece before each place. No piece joins the escape sign to what stands before it
+(checked when compiling), so a text is composed word by word, and words seen lately are kept,
+twice ``KNOWN_WORDS`` at most.
 """
 
 from __future__ import annotations
@@ -28,8 +28,7 @@ from pyspark.sql import functions as F
 from paramloom.llm.words import slices
 
 ESCAPE = "▁"
-KNOWN_WORDS = 300_000
-KNOWN_PAIRS = 1_000_000
+KNOWN_WORDS = 200_000
 
 
 class Transducer:
@@ -63,60 +62,72 @@ class Transducer:
         if source.unk_id() >= 0:
             self.out[source.unk_id()] = " ⁇ ".encode()
         self.known: dict[str, bytes] = {}
-        self.pairs: dict[tuple[str, str], bool] = {}
+        self.before: dict[str, bytes] = {}
+        found = {p: self._halves(p) for p in self.ids if len(p) > 1}
+        self.halves = {p: h for p, h in found.items() if h is not None}
 
     def normalised(self, text: str) -> str:
         return ESCAPE + text.replace(" ", ESCAPE) if text else ""
 
-    def _merged(self, text: str) -> list[str]:
-        """A spelling merged by the model's order: best score first, then the leftmost."""
-        parts, weight = list(text), self.weight
-        while True:
+    def _halves(self, piece: str) -> tuple[str, str] | None:
+        """The two parts whose merge, by the model's order, makes a piece; None if none do.
+
+        The order is best score first, then the leftmost.
+        """
+        parts, weight = list(piece), self.weight
+        while len(parts) > 2:
             best, at = None, -1
             for i in range(len(parts) - 1):
                 w = weight.get(parts[i] + parts[i + 1])
                 if w is not None and (best is None or w < best):
                     best, at = w, i
             if at < 0:
-                return parts
+                return None
             parts[at:at + 2] = [parts[at] + parts[at + 1]]
+        return (parts[0], parts[1]) if len(parts) == 2 else None
 
     def follows(self, left: str, right: str) -> bool:
-        """The acceptor's arcs: may ``right`` follow ``left``, or begin a word (left empty)?"""
-        found = self.pairs.get((left, right))
-        if found is None:
-            if len(self.pairs) >= KNOWN_PAIRS:
-                self.pairs.clear()
-            found = self._merged(left + right) == ([left, right] if left else [right])
-            self.pairs[left, right] = found
-        return found
+        """The acceptor's arcs: may ``right`` follow ``left``?
+
+        Merges are undone from the last to the first on both sides of the border; the two stay
+        apart unless their neighbouring parts make a piece that would have been merged before.
+        """
+        weight, halves, limit = self.weight, self.halves, float("inf")
+        while True:
+            w = weight.get(left + right)
+            if w is not None and w < limit:
+                return False
+            a = weight[left] if len(left) > 1 else -1.0
+            b = weight[right] if len(right) > 1 else -1.0
+            if a > b:
+                limit, left = a, halves[left][1]
+            elif b < 0:
+                return True
+            else:
+                limit, right = b + 0.5, halves[right][0]
 
     def path(self, word: str) -> list[str]:
-        """The shortest path through the arcs of a word, as the spellings along it."""
+        """The shortest path through the arcs of a word, as the spellings along it.
+
+        The acceptor lets one path reach a place, so a place that is reached needs no other.
+        """
         n = len(word)
-        cost: list[float | None] = [0.0] + [None] * n
-        last = [""] * (n + 1)
-        ids, starts, weight = self.ids, self.starts, self.weight
+        last: list[str | None] = [""] + [None] * n
+        starts, halves, follows = self.starts, self.halves, self.follows
         for i in range(n):
-            here = cost[i]
-            if here is None:
-                continue
             left = last[i]
-            for j in range(i + 1, n + 1):
+            if left is None:
+                continue
+            if last[i + 1] is None:
+                part = word[i]
+                if not left or follows(left, part):
+                    last[i + 1] = part
+            for j in range(i + 2, n + 1):
                 part = word[i:j]
-                if part in ids:
-                    step = weight[part]
-                elif j == i + 1:
-                    step = 0.0
-                else:
-                    if part not in starts:
-                        break
-                    continue
-                if ((cost[j] is None or here + step < cost[j]) and self.follows("", part)
-                        and (not left or self.follows(left, part))):
-                    cost[j], last[j] = here + step, part
                 if part not in starts:
                     break
+                if last[j] is None and part in halves and (not left or follows(left, part)):
+                    last[j] = part
         parts, at = [], n
         while at:
             parts.append(last[at])
@@ -140,10 +151,12 @@ class Transducer:
         except KeyError:
             pass
         if len(known) > KNOWN_WORDS:
-            known.clear()
+            self.known, self.before = {}, known
+            known = self.known
         for word in set(words):
             if word not in known:
-                known[word] = self._word_ids(word)
+                found = self.before.get(word)
+                known[word] = self._word_ids(word) if found is None else found
         return np.frombuffer(b"".join(map(known.__getitem__, words)), "<i4")
 
     def decode(self, ids: np.ndarray) -> str:

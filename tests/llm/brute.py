@@ -56,3 +56,21 @@ def quality_counts(text):
     n = len(found)
     return (n, sum(map(len, found)), sum(c in "#*$%&|<>" for c in text),
             len(lines) - len(set(lines)), len(covered), n < 20 or 100 * len(covered) > 30 * n)
+
+
+def without_repeats(rows, window=20):
+    """{doc_id: (n_words, n_removed, kept_text)} of (doc_id, text) rows with distinct ids."""
+    first, out = {}, {}
+    for i, text in sorted(rows):
+        found = words(text)
+        for s in range(len(found) - window + 1):
+            first.setdefault(tuple(found[s:s + window]), (i, s))
+    for i, text in rows:
+        found = words(text)
+        gone = set()
+        for s in range(len(found) - window + 1):
+            if first[tuple(found[s:s + window])] < (i, s):
+                gone.update(range(s, s + window))
+        out[i] = (len(found), len(gone),
+                  " ".join(w for j, w in enumerate(found) if j not in gone))
+    return out
