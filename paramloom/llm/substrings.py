@@ -122,7 +122,6 @@ def _locate(window: int, phrase: int):
         one, two = one[row].view(np.int64), two[row].view(np.int64)
         _, kinds = np.unique(one, return_index=True)
         return pa.table({
-            "block": pa.array(np.full(len(kinds), key[0].as_py()), pa.int64()),
             "one": one[kinds], "two": two[kinds],
             "doc_id": block.ids.take(pa.array(texts[kinds])), "start": starts[kinds]})
     return run
@@ -181,18 +180,20 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, phrase: int = PHRASE)
     at equal places. Other columns are ignored; an empty table gives an empty result.
     """
     rows = docs.select(F.col("doc_id").cast("long"), "text")
-    rows = rows.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.lit(_block_count(rows))))
+    block = F.pmod(F.xxhash64("doc_id"), F.lit(_block_count(rows)))
+    rows = rows.withColumn("block", block)
     proposed = rows.groupBy("block").applyInArrow(
         _propose(window, phrase), "block long, phrase long, here long")
     everywhere = F.sum("here").over(Window.partitionBy("phrase"))
     recurring = (proposed.withColumn("everywhere", everywhere).where("everywhere > 1")
                  .select("block", "phrase"))
     places = rows.groupBy("block").cogroup(recurring.groupBy("block")).applyInArrow(
-        _locate(window, phrase), "block long, one long, two long, doc_id long, start long")
-    place = F.struct("doc_id", "start")
-    first = F.min(place).over(Window.partitionBy("one", "two"))
-    earlier = (places.withColumn("place", place).withColumn("first", first)
-               .where("place <> first").select("block", "one"))
+        _locate(window, phrase), "one long, two long, doc_id long, start long")
+    same = Window.partitionBy("one", "two").orderBy("doc_id", "start")
+    later = ~(F.col("doc_id").eqNullSafe(F.col("first_id")) & (F.col("start") == F.col("first_start")))
+    earlier = (places.withColumn("first_id", F.first("doc_id").over(same))
+               .withColumn("first_start", F.first("start").over(same)).where(later)
+               .select(block.alias("block"), "one"))
     return rows.groupBy("block").cogroup(earlier.groupBy("block")).applyInArrow(
         _remove(window), "doc_id long, n_words long, n_removed long, kept_text string, "
         "removed array<struct<begin: long, end: long>>")
