@@ -24,6 +24,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import (ArrayType, IntegerType, LongType, StringType, StructField,
+                               StructType)
 
 from paramloom.llm.words import slices
 
@@ -212,10 +214,10 @@ def encoded(docs: DataFrame, model: str) -> DataFrame:
 def with_ids(docs: DataFrame, model: str) -> DataFrame:
     """``docs``, all columns, with ``n_ids`` and ``ids``; columns of these names are replaced."""
     rows = docs.drop("n_ids", "ids")
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
     every = list(range(len(rows.columns)))
-    return rows.mapInArrow(_encoded(model, rows.columns.index("text"), False, every),
-                           f"{fields}, n_ids long, ids array<int>")
+    schema = StructType([*rows.schema, StructField("n_ids", LongType()),
+                         StructField("ids", ArrayType(IntegerType()))])
+    return rows.mapInArrow(_encoded(model, rows.columns.index("text"), False, every), schema)
 
 
 def decoded(rows: DataFrame, model: str) -> DataFrame:
@@ -228,5 +230,4 @@ def decoded(rows: DataFrame, model: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns, pa.array(texts, pa.string())], [*batch.schema.names, "text"])
     rows = rows.drop("text")
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
-    return rows.mapInArrow(run, f"{fields}, text string")
+    return rows.mapInArrow(run, StructType([*rows.schema, StructField("text", StringType())]))

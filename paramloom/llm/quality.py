@@ -20,7 +20,7 @@ from paramloom.llm.words import Words, mix, powers, slices, windows, words_of
 LABELLED = 2_000
 HELD_OUT = 4
 BUCKETS = 2_048
-THRESHOLD = 0.5
+THRESHOLD = 0.25
 LEAST_WORDS = 20
 MOST_REPEATED = 30
 REPEAT_WINDOW = 8
