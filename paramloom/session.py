@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 
@@ -34,7 +36,7 @@ def work_path(spark: SparkSession, name: str) -> str:
 
     Executors on other machines must see the files written there, so a
     machine-local folder is only used for a local master, where the setting may
-    be missing.
+    be missing; it is removed when the program ends.
     """
     context = spark.sparkContext
     root = (spark.conf.get("spark.checkpoint.dir", None)
@@ -42,6 +44,8 @@ def work_path(spark: SparkSession, name: str) -> str:
     if not root:
         if not context.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        root = _local_roots.setdefault(
-            context.applicationId, tempfile.mkdtemp(prefix="paramloom-"))
+        root = _local_roots.get(context.applicationId)
+        if root is None:
+            root = _local_roots[context.applicationId] = tempfile.mkdtemp(prefix="paramloom-")
+            atexit.register(shutil.rmtree, root, True)  # the folder made here, and only that
     return f"{root.rstrip('/')}/paramloom/{name}-{uuid.uuid4().hex}"
