@@ -203,8 +203,7 @@ def test_tokens_equal_the_library(docs, odd, empty, tmp_path):
         want[i] = (start, len(ids), zlib.crc32(ids.tobytes()))
         start += len(ids)
     folder = f"file://{tmp_path}/tokens"
-    table = token_blocks.write_tokens(docs, folder, path, file_bytes=10_000)
-    assert table.select("file").distinct().count() > 1
+    table = token_blocks.write_tokens(docs, folder, path)
     assert by_id(token_blocks.read_checks(table, folder), "start", "n_tokens", "ids_crc32") == want
     got = token_blocks.read_checks(token_blocks.write_tokens(odd, folder, path), folder).collect()
     assert sorted(r["start"] for r in got)[0] == 0 and len(got) == 5
@@ -212,6 +211,20 @@ def test_tokens_equal_the_library(docs, odd, empty, tmp_path):
     assert token_blocks.read_checks(none, folder).count() == 0
 
 
+def test_tokens_of_many_files(spark, tmp_path):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    folder = f"file://{tmp_path}/tokens"
+    table = token_blocks.write_tokens(docs, folder, public_tokenizers.path("byte_bpe_50k.json"),
+                                      file_bytes=100_000)
+    assert table.select("file").distinct().count() > 1
+    rows = sorted(token_blocks.read_checks(table, folder).collect())
+    assert len(rows) == docs.count()
+    at = 0
+    for r in rows:
+        assert r["start"] == at
+        at += r["n_tokens"]
+
+
 # mixing
 
 def test_raking_meets_the_targets():
