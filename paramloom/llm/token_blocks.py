@@ -31,18 +31,22 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from paramloom.llm.tables import written
-from paramloom.llm.words import slices
+from paramloom.llm.words import run_hashes, slices, text_bytes
 from paramloom.session import work_path
 
 BLOCK = 1024
 COVERED = 0.95
 END_ID = 2
 FILE_BYTES = 64 << 20
-KNOWN_PIECES = 400_000
+KNOWN_PIECES = 200_000
+AT_ONCE = 1 << 16
 MAGIC = b"PFOR1\0\0\0"
 _INDEX = np.dtype([("offset", "<u8"), ("low", "<u4"), ("n", "<u2"), ("width", "u1"), ("pad", "u1"),
                    ("exceptions", "<u4")])
 _U = np.uint64
+_SIGNS = ".,;:!?|"
+_IS_SIGN = np.zeros(256, bool)
+_IS_SIGN[list(_SIGNS.encode())] = True
 
 
 def _pack(values: np.ndarray, width: int) -> np.ndarray:
@@ -134,12 +138,14 @@ def decode_blocks(data: bytes, index: np.ndarray, base: int, block: int = BLOCK)
 
 
 class Encoder:
-    """A tokenizer file's ids of whole texts.
-
-    Texts are cut where a single space or line end stands between two characters that are
-    none: there the tokenizer's own pre-tokenization cuts too, as it never joins what stands
-    before a white space to it. Pieces that occurred before are not encoded again, up to
-    ``KNOWN_PIECES``. Texts that hold an added token's string go through the tokenizer whole.
+    """A byte-level tokenizer file's ids of whole texts.
+
+    Texts are cut into pieces where the tokenizer's own pre-tokenization cuts too: before a
+    single space or line end between two characters that are none, and between a letter and a
+    sign. Equal pieces are found by a hash in numpy. Ids of pieces that occurred lately are
+    kept, up to twice ``KNOWN_PIECES``. The others are encoded one after the other in joined
+    texts, and parted again by the tokens' bytes. Texts that hold an added token's string go
+    through the tokenizer whole.
     """
 
     def __init__(self, path: str):
@@ -148,38 +154,88 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.added = re.compile("|".join(map(re.escape, added))) if added else None
-        self.cut = re.compile(r"([ \n])(?=\S)(?<=\S.)", re.S)
-        self.known: dict[str, int] = {}
-        self.ids: list[np.ndarray] = []
-
-    def _learn(self, pieces: set[str]) -> None:
-        new = [p for p in pieces if p not in self.known]
-        for piece, found in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False)):
-            self.known[piece] = len(self.ids)
-            self.ids.append(np.array(found.ids, np.uint32))
-
-    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """All ids one after the other, and the number of each text's."""
-        if len(self.known) > KNOWN_PIECES:
-            self.known, self.ids = {}, []
-        cut = []
-        for text in texts:
-            if self.added is not None and self.added.search(text):
-                cut.append(None)
+        self.known: dict[str, bytes] = {}
+        self.before: dict[str, bytes] = {}
+        # A token of a byte-level vocabulary is spelled with one character per byte.
+        vocabulary = self.tokenizer.get_vocab()
+        self.bytes_of = np.zeros(max(vocabulary.values()) + 1, np.int64)
+        for token, i in vocabulary.items():
+            self.bytes_of[i] = len(token)
+
+    def _ids(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
+
+    def _learn(self, pieces: list[str]) -> None:
+        held, size = [], 0
+        for piece in pieces:
+            if piece in self.known:
                 continue
-            parts = self.cut.split(text)
-            cut.append(parts[:1] + [a + b for a, b in zip(parts[1::2], parts[2::2])])
-        self._learn({p for parts in cut if parts is not None for p in parts})
-        out, sizes = [], []
-        for text, parts in zip(texts, cut):
-            if parts is None:
-                found = [np.array(self.tokenizer.encode(text, add_special_tokens=False).ids,
-                                  np.uint32)]
+            if piece in self.before:
+                self.known[piece] = self.before[piece]
+                continue
+            if piece[:1] in (" ", "\n") and not piece[-1:].isspace():
+                held.append(piece)
+                size += len(piece)
+            elif piece[0] in _SIGNS and not piece[-1:].isspace():
+                held += [" a", piece]  # a sign is parted from the letter before it
+                size += len(piece) + 2
             else:
-                found = list(map(self.ids.__getitem__, map(self.known.__getitem__, parts)))
-            out += found
-            sizes.append(sum(map(len, found)))
-        return (np.concatenate(out) if out else np.zeros(0, np.uint32)), np.array(sizes, np.int64)
+                self.known[piece] = self._ids(piece).tobytes()
+            if size > AT_ONCE:
+                self._learn_joined(held)
+                held, size = [], 0
+        if held:
+            self._learn_joined(held)
+
+    def _learn_joined(self, pieces: list[str]) -> None:
+        ids = self._ids("".join(pieces))
+        ends = np.cumsum(self.bytes_of[ids])
+        lengths = np.cumsum([len(p.encode()) for p in pieces])
+        cuts = np.searchsorted(ends, lengths) + 1
+        if not (ends[cuts - 1] == lengths).all():
+            raise ValueError("a token reaches over a cut: no byte-level tokenizer of this kind")
+        begin = 0
+        for piece, end in zip(pieces, cuts.tolist()):
+            self.known[piece] = ids[begin:end].tobytes()
+            begin = end
+
+    def _pieces(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        """Where pieces begin. Characters beyond Latin letters are taken for white space."""
+        plain = (data > 0x20) & (data < 0x7F)
+        before, after = plain.copy(), plain | (data == 0xC3)
+        before[1:] |= data[:-1] == 0xC3
+        begins = np.zeros(len(data), bool)
+        begins[1:-1] = ((data[1:-1] == 0x20) | (data[1:-1] == 0x0A)) & before[:-2] & after[2:]
+        begins[1:] |= (data[:-1] >= ord("a")) & (data[:-1] <= ord("z")) & _IS_SIGN[data[1:]]
+        begins[offsets[:-1][np.diff(offsets) > 0]] = True
+        return np.flatnonzero(begins)
+
+    def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of texts one after the other, and the number of each text's."""
+        if len(self.known) > KNOWN_PIECES:
+            self.known, self.before = {}, self.known
+        data, offsets = text_bytes(column)
+        starts = self._pieces(data, offsets)
+        ends = np.r_[starts[1:], len(data)]
+        _, first, which = np.unique(run_hashes(data, starts, ends), return_index=True,
+                                    return_inverse=True)
+        raw = data.tobytes()
+        pieces = [raw[a:b].decode() for a, b in zip(starts[first].tolist(), ends[first].tolist())]
+        self._learn(pieces)
+        found = [self.known[p] for p in pieces]
+        lengths = np.array([len(f) // 4 for f in found], np.int64)
+        counts = lengths[which]
+        total = np.r_[0, np.cumsum(counts)]
+        place = np.repeat((np.cumsum(lengths) - lengths)[which] - total[:-1], counts)
+        ids = np.frombuffer(b"".join(found), "<u4")[place + np.arange(total[-1])]
+        cuts = total[np.searchsorted(starts, offsets)]
+        if self.added is None or not self.added.search(raw.decode()):
+            return ids, np.diff(cuts)
+        parts = [ids[a:b] for a, b in zip(cuts, cuts[1:])]
+        for i, text in enumerate(column.to_pylist()):
+            if text and self.added.search(text):
+                parts[i] = self._ids(text)
+        return np.concatenate(parts), np.array([len(p) for p in parts], np.int64)
 
 
 class _File:
@@ -224,8 +280,7 @@ def _write(folder: str, tokenizer: str, end_id: int, block: int, file_bytes: int
                     file.close()
                     file, number = None, 0
                 file = file or _File(folder, block)
-                ids, sizes = encoder.encode(
-                    [t or "" for t in texts.slice(begin, end - begin).to_pylist()])
+                ids, sizes = encoder.encode(texts.slice(begin, end - begin))
                 ends = np.cumsum(sizes)
                 file.add(np.insert(ids, ends, np.uint32(end_id)))
                 first = file.total - int(ends[-1]) - len(sizes)

@@ -91,6 +91,14 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, np.uint8)[places[0]:places[-1]], places - places[0]
 
 
+def run_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hashes of the bytes between ``start`` and ``end``."""
+    total = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum(_BYTE_CODE[data] * powers(_STEP, len(data)), out=total[1:])
+    h = (total[end] - total[start]) * powers(_STEP_INVERSE, len(data) + 1)[start]
+    return mix(h + (end - start).astype(np.uint64) * _U(0xD6E8FEB86659FD93))
+
+
 def words_of(column: pa.Array, lower: bool = False) -> Words:
     """Words of all texts of a slice; ``lower`` turns A-Z into a-z first."""
     data, offsets = text_bytes(column)
@@ -105,11 +113,7 @@ def words_of(column: pa.Array, lower: bool = False) -> Words:
     ends[:-1] &= ~solid[1:] | breaks[1:-1]
     start = np.flatnonzero(begins)
     end = np.flatnonzero(ends) + 1
-    total = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_BYTE_CODE[data] * powers(_STEP, len(data)), out=total[1:])
-    h = (total[end] - total[start]) * powers(_STEP_INVERSE, len(data) + 1)[start]
-    h = mix(h + (end - start).astype(np.uint64) * _U(0xD6E8FEB86659FD93))
-    return Words(data, offsets, start, end, h, np.searchsorted(start, offsets))
+    return Words(data, offsets, start, end, run_hashes(data, start, end), np.searchsorted(start, offsets))
 
 
 def windows(words: Words, k: int, seed: int = 0x2545F4914F6CDD1D) -> tuple[np.ndarray, np.ndarray]:
