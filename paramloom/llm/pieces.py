@@ -31,6 +31,7 @@ from paramloom.llm.words import slices
 
 ESCAPE = "▁"
 KNOWN_WORDS = 200_000
+LETTERS = "".join(chr(c) for c in range(ord("A"), 0x250) if chr(c).isalpha())
 
 
 class Transducer:
@@ -55,7 +56,17 @@ class Transducer:
         if len(self.byte_ids) != 256:
             raise ValueError("a model with byte fallback is needed")
         self.starts = {p[:n] for p in self.ids for n in range(1, len(p) + 1)}
-        self.word = re.compile(f"{ESCAPE}*[^{ESCAPE}]+|{ESCAPE}+")
+        # Signs that no piece joins to a letter before them; a line end, that none joins at all.
+        joined = {a + b for p in self.ids for a, b in zip(p, p[1:])}
+        signs = "".join(c for c in ".,;:!?" if not any(x + c in joined for x in LETTERS))
+        line = "\n" if not any("\n" in pair for pair in joined) else ""
+        safe = re.escape(signs + line)
+        parts = [f"{ESCAPE}*[^{ESCAPE}]+", f"{ESCAPE}+"]
+        if line:
+            parts.insert(0, f"[.,;:!?]*\n(?=[{LETTERS}])")
+        if safe:
+            parts.insert(0, f"{ESCAPE}*[{LETTERS}]+(?=[{safe}{ESCAPE}]|\\Z)")
+        self.word = re.compile("|".join(parts))
         self.out = [b""] * size
         for piece, i in self.ids.items():
             self.out[i] = piece.replace(ESCAPE, " ").encode()
