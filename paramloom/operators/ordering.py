@@ -10,7 +10,9 @@ third of the data. So every key is cut into ordered blocks, whatever its size:
    ordered computation runs per (key, block).
 
 The plan is the same for any data and nothing runs while it is built. The input is read
-twice, once for the blocks' values. NULL keys are handled like any other.
+twice, once for the blocks' values. Ranges read it twice more, for its length and for a sample
+by hash: a row's block is a function of the row and the bounds, so that rows and heads are cut
+alike whatever columns each of them needs. NULL keys are handled like any other.
 """
 
 from __future__ import annotations
@@ -24,8 +26,11 @@ ROWS_PER_BLOCK = 1 << 17
 # Blocks of blocks hold so many; as many levels as numbers of 63 bits need.
 FAN = 1 << 16
 _LEVELS = 4
+# Rows sampled for each bound of a range.
+SAMPLED = 200
 
 _BLOCK, _HEAD, _CARRY = "__block", "__head", "__carry"
+_BOUNDS, _PLACE = "__bounds", "__place"
 
 
 @dataclass(frozen=True)
@@ -55,7 +60,7 @@ def range_blocks() -> Blocks:
     """Blocks of any order: ranges of (key, order) with about equally many rows.
 
     There are as many as the session shuffles into. Rows that tie in the first column of
-    the order are parted by the others.
+    the order are parted by the others. The order rises, NULL first.
     """
     return Blocks()
 
@@ -65,8 +70,27 @@ def _cut(df: DataFrame, keys: Sequence[str], order: Sequence[Column], blocks: Bl
     if blocks.of is not None:
         return df.withColumn(_BLOCK, blocks.of)
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = df.repartitionByRange(n, *[F.col(k) for k in keys], *order)
-    return ranged.withColumn(_BLOCK, F.spark_partition_id())
+    place = F.struct(*[F.col(k) for k in keys], *order)
+    bounds = _bounds(df, place, n).scalar()
+    jumps = [2 ** i for i in reversed(range(n.bit_length()))]
+    found = F.aggregate(
+        F.array(*[F.lit(j) for j in jumps]), F.lit(0),
+        lambda at, jump: F.when(F.get(_BOUNDS, at + jump - 1) <= F.col(_PLACE), at + jump).otherwise(at))
+    return (df.withColumns({_BOUNDS: bounds, _PLACE: place})
+            .withColumn(_BLOCK, found).drop(_BOUNDS, _PLACE))
+
+
+def _bounds(df: DataFrame, place: Column, n: int) -> DataFrame:
+    """One row: up to ``n - 1`` places that part ``df`` about evenly, sorted."""
+    total = df.agg(F.count(F.lit(1)).alias("total")).scalar()
+    share = F.pmod(F.xxhash64(place), F.lit(1 << 52)) / F.lit(float(1 << 52))
+    sample = (df.select(place.alias(_PLACE), share.alias("__share"))
+              .where(F.col("__share") * total < float(SAMPLED * n)).select(_PLACE).distinct())
+    ordered = sample.agg(F.array_sort(F.collect_list(_PLACE)).alias("all"))
+    steps = F.sequence(F.lit(1), F.lit(n - 1)) if n > 1 else F.array().cast("array<int>")
+    return ordered.select(F.array_distinct(F.filter(F.transform(
+        steps, lambda i: F.get("all", F.floor(i * F.size("all") / n).cast("int"))),
+        lambda bound: bound.isNotNull())).alias(_BOUNDS))
 
 
 def _with_heads(rows: DataFrame, keys: Sequence[str], combine, inherit) -> DataFrame:

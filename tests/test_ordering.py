@@ -80,6 +80,26 @@ def test_equal_times_are_split(spark, time):
     assert max(sizes) < 10_000
 
 
+def test_ranges_with_a_further_column(spark, tmp_path):
+    """More rows than range sampling takes whole; the heads don't need ``command``, the rows do."""
+    path = str(tmp_path / "commands")
+    key = F.col("id") % 3
+    spark.range(600_000).select(
+        key.alias("k"), F.timestamp_seconds(F.pmod(F.xxhash64("id"), F.lit(10 ** 5))).alias("ts"),
+        "id", F.concat(F.lit("c"), "id").alias("command")).write.parquet(path)
+    commands = spark.read.parquet(path)
+    order = [F.col("ts"), F.col("id")]
+    numbered = ordering.number_rows(commands, ["k"], order, ordering.range_blocks(), "n")
+    got = numbered.select("k", "command", "n").groupBy("k").agg(
+        F.count_distinct("n"), F.min("n"), F.max("n"), F.count_distinct("command"))
+    assert {tuple(r) for r in got.collect()} == {
+        (k, 200_000, 1, 200_000, 200_000) for k in range(3)}
+    window = Window.partitionBy("k").orderBy(*order)
+    before = ordering.previous(commands, ["k"], order, ordering.range_blocks(), F.col("ts"), "b", True)
+    plain = commands.withColumn("b", F.lag("ts").over(window)).select("k", "command", "b")
+    assert before.select("k", "command", "b").exceptAll(plain).isEmpty()
+
+
 def test_nothing_runs_while_building(spark, rows):
     spark.sparkContext.setJobGroup("build", "build")
     made = [ordering.number_rows(rows, ["k"], [F.col("id")], blocks, "n")
