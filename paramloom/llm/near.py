@@ -14,7 +14,9 @@ may split them.
 No list is ever expanded into all its pairs at once. First every document of a list is
 compared with the list's smallest document, and what is similar is joined into components.
 Only lists that still hold several components then propose pairs across them, filtered within
-the task by wider sketches; lists of more than ``SMALL_LIST`` documents do so by longer runs.
+the task by wider sketches. Documents of open lists with more than ``SMALL_LIST`` documents are
+listed anew by the rarest values of their full sets, so many that similar sets share one for
+certain (prefix filtering); these lists too are compared whole, the long ones in blocks.
 """
 
 from __future__ import annotations
@@ -38,7 +40,8 @@ MOST_BITS = 28
 WIDE = 256
 MARGIN = 6
 SMALL_LIST = 2_000
-RUNS = (4, 8)
+RUN = 4
+BUCKETS = 1 << 16
 
 
 def _bits(values: np.ndarray) -> np.ndarray:
@@ -96,8 +99,7 @@ def _listed(nodes: DataFrame, run: int) -> DataFrame:
         places = F.sequence(F.lit(1), F.size("sketch") - length + 1)
         return F.transform(places, lambda i: F.xxhash64(F.lit(length), F.slice("sketch", i, length)))
     longer = F.when(F.size("sketch") >= run, keys(run)).otherwise(F.array().cast("array<long>"))
-    if run <= 4:
-        longer = F.when(F.size("sketch").between(6, 7), F.concat(longer, keys(3))).otherwise(longer)
+    longer = F.when(F.size("sketch").between(6, 7), F.concat(longer, keys(3))).otherwise(longer)
     return nodes.where("n >= 6").select(
         F.posexplode(longer).alias("pos", "key"), "node", "n")
 
@@ -139,18 +141,21 @@ def _open_lists(shared: DataFrame, labels: DataFrame) -> DataFrame:
     return rows.join(mixed.select("key"), "key")
 
 
-def _common(owner: np.ndarray, values: np.ndarray, m: int) -> np.ndarray:
-    """How many values each two of ``m`` owners have in common."""
+def _common(owner: np.ndarray, values: np.ndarray, m: int,
+            left: np.ndarray | None = None) -> np.ndarray:
+    """How many values each two of ``m`` owners have in common; those ``left`` with the others."""
     _, value, counts = np.unique(values, return_inverse=True, return_counts=True)
     often = counts > 1
     place = (np.cumsum(often) - 1)[value]
     use = often[value]
-    common = np.zeros((m, m), np.float32)
+    all_ = np.ones(m, bool)
+    rows, columns = (all_, all_) if left is None else (left, ~left)
+    common = np.zeros((rows.sum(), columns.sum()), np.float32)
     for low in range(0, int(often.sum()), 4096):
         part = use & (place >= low) & (place < low + 4096)
         held = np.zeros((m, min(4096, int(often.sum()) - low)), np.float32)
         held[owner[part], place[part] - low] = 1
-        common += held @ held.T
+        common += held[rows] @ held[columns].T
     return common
 
 
@@ -166,24 +171,52 @@ def _earlier_runs(padded: np.ndarray, pos: np.ndarray, live: pa.ListArray, lengt
     return owner[before], hashes[owner[before], place[before]]
 
 
+def _wide_sketches(table: pa.Table):
+    """Sizes of the rows' wide sketches, owner of each value, values, and a matrix of them."""
+    m = len(table)
+    column = table.column("wide").combine_chunks()
+    sizes = np.diff(column.offsets.to_numpy())
+    values = column.values.to_numpy()[column.offsets[0].as_py():][:sizes.sum()]
+    owner = np.repeat(np.arange(m), sizes)
+    padded = np.full((m, WIDE), 2**31 - 1, np.int32)
+    padded[owner, np.arange(len(values)) - np.repeat(np.cumsum(sizes) - sizes, sizes)] = values
+    return sizes, owner, values, padded
+
+
+def _likely(nodes, n, sizes, padded, i, j, both, percent: int) -> pa.Table:
+    """Those of the pairs (i, j) with ``both`` common values that may reach ``percent``."""
+    m, least = len(nodes), percent / 100
+    spread = MARGIN * np.sqrt(least * (1 - least) / WIDE)
+    whole = (sizes[i] == n[i]) & (sizes[j] == n[j])
+    share = both / (sizes[i] + sizes[j] - both)
+    last = np.where(sizes == n, 2**31 - 1, padded[np.arange(m), np.maximum(sizes, 1) - 1])
+    for at in np.array_split(np.flatnonzero(~whole), 1 + (~whole).sum() // 10_000):
+        end = np.minimum(last[i[at]], last[j[at]])[:, None]
+        known = [np.minimum((padded[k] <= end).sum(axis=1), sizes[k]) for k in (i[at], j[at])]
+        share[at] = both[at] / np.maximum(known[0] + known[1] - both[at], 1)
+    good = share >= np.where(whole, least - 0.01, least - spread)
+    i, j, whole = i[good], j[good], whole[good] & (share[good] >= least + 0.01)
+    _, group = np.unique(nodes, return_inverse=True)
+    keep = np.ones(len(i), bool)
+    for at in np.flatnonzero(whole):  # sets wholly in view: links that join something new
+        x, y = group[i[at]], group[j[at]]
+        keep[at] = x != y
+        if x != y:
+            group[group == x] = y
+    return pa.table({"a": np.minimum(nodes[i], nodes[j])[keep],
+                     "b": np.maximum(nodes[i], nodes[j])[keep]})
+
+
 def _list_pairs(percent: int, length: int):
     """Pairs of a list, in different components, that may reach ``percent``.
 
     A pair is put out in the first list only that both nodes are in.
     """
-    least = percent / 100
-    spread = MARGIN * np.sqrt(least * (1 - least) / WIDE)
-
     def run(key, table):
         m = len(table)
-        nodes, n, component, block, pos = (
-            table.column(c).to_numpy() for c in ("node", "n", "component", "block", "pos"))
-        column = table.column("wide").combine_chunks()
-        sizes = np.diff(column.offsets.to_numpy())
-        values = column.values.to_numpy()[column.offsets[0].as_py():][:sizes.sum()]
-        owner = np.repeat(np.arange(m), sizes)
-        padded = np.full((m, WIDE), 2**31 - 1, np.int32)
-        padded[owner, np.arange(len(values)) - np.repeat(np.cumsum(sizes) - sizes, sizes)] = values
+        nodes, n, component, pos = (
+            table.column(c).to_numpy() for c in ("node", "n", "component", "pos"))
+        sizes, owner, values, padded = _wide_sketches(table)
         common = _common(owner, values, m)
         earlier = _common(*_earlier_runs(
             padded, pos, table.column("live").combine_chunks(), length), m)
@@ -192,27 +225,7 @@ def _list_pairs(percent: int, length: int):
                              >= percent * np.maximum(n[:, None], n[None, :]))
                           & (common >= 0.5 * np.minimum(sizes[:, None], sizes[None, :]))
                           & (earlier == 0))
-        if key[1].as_py() != key[2].as_py():
-            apart = block[i] != block[j]
-            i, j = i[apart], j[apart]
-        both = common[i, j]
-        whole = (sizes[i] == n[i]) & (sizes[j] == n[j])
-        share = both / (sizes[i] + sizes[j] - both)
-        last = np.where(sizes == n, 2**31 - 1, padded[np.arange(m), np.maximum(sizes, 1) - 1])
-        for at in np.array_split(np.flatnonzero(~whole), 1 + (~whole).sum() // 10_000):
-            end = np.minimum(last[i[at]], last[j[at]])[:, None]
-            known = [np.minimum((padded[k] <= end).sum(axis=1), sizes[k]) for k in (i[at], j[at])]
-            share[at] = both[at] / np.maximum(known[0] + known[1] - both[at], 1)
-        good = share >= np.where(whole, least - 0.01, least - spread)
-        i, j, whole = i[good], j[good], whole[good] & (share[good] >= least + 0.01)
-        group, keep = np.arange(m), np.ones(len(i), bool)
-        for at in np.flatnonzero(whole):  # sets wholly in view: links that join something new
-            x, y = group[i[at]], group[j[at]]
-            keep[at] = x != y
-            if x != y:
-                group[group == x] = y
-        return pa.table({"a": np.minimum(nodes[i], nodes[j])[keep],
-                         "b": np.maximum(nodes[i], nodes[j])[keep]})
+        return _likely(nodes, n, sizes, padded, i, j, common[i, j], percent)
     return run
 
 
@@ -220,20 +233,105 @@ def _across(rows: DataFrame, sets: DataFrame, percent: int, length: int) -> Data
     """Pairs of a list's nodes that are in different components and similar by wide sketches.
 
     A wide sketch has the ``WIDE`` smallest values, for sets up to that size all of them; for
-    larger ones pairs stay within ``MARGIN`` standard deviations. Lists of more than
-    ``SMALL_LIST`` nodes are compared in pairs of blocks.
+    larger ones pairs stay within ``MARGIN`` standard deviations.
     """
-    wide = F.transform(F.slice("shingles", 1, WIDE), lambda v: F.shiftright(v, 32).cast("int"))
-    blocks = F.ceil(F.col("length") / SMALL_LIST).cast("int")
     live = rows.groupBy("node").agg(F.collect_list("pos").alias("live"))
-    rows = (rows.join(live, "node").join(sets.select("node", wide.alias("wide")), "node")
-            .withColumn("block", F.pmod(F.xxhash64("node"), blocks).cast("int"))
-            .withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-            .withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other")))
-    return rows.groupBy("key", "i", "j").applyInArrow(
+    rows = rows.join(live, "node").join(_wide(sets), "node")
+    return rows.groupBy("key").applyInArrow(
         _list_pairs(percent, length), "a long, b long").distinct()
 
 
+def _wide(sets: DataFrame) -> DataFrame:
+    return sets.select("node", F.transform(
+        F.slice("shingles", 1, WIDE), lambda v: F.shiftright(v, 32).cast("int")).alias("wide"))
+
+
+def _prefixes(scale: np.ndarray, percent: int):
+    """The first values of each full set in the order of ``scale`` and value.
+
+    Set x and a set y of no fewer values reach ``percent`` only with ``percent / (100 + percent)``
+    of both sizes' sum in common. In any one order of all values their first ones then share a
+    value: of each all but that many, plus one. For y that is most with the smallest possible
+    x, and those values are listed; for x with y of its own size (``early`` in ``_across_rare``).
+    """
+    def run(batches):
+        for batch in batches:
+            sizes = np.diff(batch.column(2).offsets.to_numpy())
+            values = batch.column(2).values.to_numpy()
+            start = batch.column(2).offsets.to_numpy()[:-1]
+            nodes, n = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            for rows in np.array_split(np.arange(len(batch)), 1 + sizes.sum() // 10**6):
+                firsts = []
+                for at in rows:
+                    held = values[start[at]:start[at] + sizes[at]]
+                    order = np.lexsort((held, scale[held & (BUCKETS - 1)]))
+                    firsts.append(held[order[:sizes[at] + 1 - -(-percent * sizes[at] // 100)]])
+                counts = np.array([len(f) for f in firsts], int)
+                yield pa.RecordBatch.from_arrays([
+                    pa.array(np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts),
+                             pa.int32()),
+                    pa.array(np.concatenate([np.zeros(0, np.int64), *firsts])),
+                    pa.array(np.repeat(nodes[rows], counts)), pa.array(np.repeat(n[rows], counts)),
+                ], ["pos", "key", "node", "n"])
+    return run
+
+
+def _rare(nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """``pos, key, node, n``: the rarest values of each full set.
+
+    Rarity is counted by hashed values; it only has to be the same for all sets. The driver
+    holds ``BUCKETS`` numbers, whatever the input.
+    """
+    full = sets.join(nodes, "node").select("node", "n", "shingles")
+    counts = (full.select(F.explode("shingles").alias("value"))
+              .groupBy(F.pmod("value", F.lit(BUCKETS)).alias("bucket")).count().collect())
+    scale = np.zeros(BUCKETS, np.uint8)
+    for bucket, count in counts:
+        scale[bucket] = min(255, int(4 * np.log2(count)))
+    return full.mapInArrow(_prefixes(scale, percent), "pos int, key long, node long, n long")
+
+
+def _rare_pairs(percent: int):
+    """Pairs of a smaller set that is listed early and a larger one, in different components."""
+    def run(key, table):
+        nodes, n, component = (table.column(c).to_numpy() for c in ("node", "n", "component"))
+        early = table.column("early").to_numpy()
+        sizes, owner, values, padded = _wide_sketches(table)
+        left, right = np.flatnonzero(early), np.flatnonzero(~early)
+        both = _common(owner, values, len(table), early)
+        i, j = np.nonzero((component[left][:, None] != component[right][None, :])
+                          & (n[left][:, None] <= n[right][None, :])
+                          & (100 * n[left][:, None] >= percent * n[right][None, :])
+                          & (both >= 0.5 * np.minimum(sizes[left][:, None], sizes[right][None, :])))
+        return _likely(nodes, n, sizes, padded, left[i], right[j], both[i, j], percent)
+    return run
+
+
+def _across_rare(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """As ``_across``, for the lists of ``_rare``: in pairs of blocks of ``SMALL_LIST`` nodes."""
+    least = F.ceil(2 * percent * F.col("n") / (100 + percent))
+    rows = rows.withColumn("early", F.col("pos") < F.col("n") + 1 - least)
+    lists = rows.groupBy("key").agg(
+        *[F.ceil(count / SMALL_LIST).cast("int").alias(name) for name, count in (
+            ("lefts", F.count_if("early")), ("rights", F.count("*")))],
+        F.min(F.when(F.col("early"), F.col("n"))).alias("smallest"),
+        F.max(F.when(F.col("early"), F.col("n"))).alias("largest")).where("lefts > 0")
+    rows = rows.join(lists, "key")
+
+    def dealt(own, other):
+        return (F.pmod(F.xxhash64("node"), own).cast("int"),
+                F.explode(F.sequence(F.lit(0), F.col(other) - 1)))
+    columns = ["key", "node", "n", "component"]
+    own, each = dealt(F.col("lefts"), "rights")
+    left = rows.where("early").select(*columns, "early", own.alias("i"), each.alias("j"))
+    own, each = dealt(F.col("rights"), "lefts")
+    right = rows.where((F.col("n") >= F.col("smallest")) & (
+        percent * F.col("n") <= 100 * F.col("largest"))).select(
+        *columns, F.lit(False).alias("early"), each.alias("i"), own.alias("j"))
+    return left.unionByName(right).join(_wide(sets), "node").groupBy("key", "i", "j").applyInArrow(
+        _rare_pairs(percent), "a long, b long").distinct()
+
+
 def _estimated(pairs: DataFrame, nodes: DataFrame, retained: int) -> DataFrame:
     """Pairs whose similarity, estimated on the union's sketch, may reach the threshold."""
     side = nodes.select("node", "sketch")
@@ -269,7 +367,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, shingle: int = SHIN
         "node", F.col("n_shingles").alias("n"), "sketch", "low", "high")
     nodes = written(nodes, "near-nodes")
 
-    shared = written(_shared(_listed(nodes, RUNS[0]), nodes), "near-lists")
+    shared = written(_shared(_listed(nodes, RUN), nodes), "near-lists")
     wanted = shared.select(F.col("node").alias("doc_id")).distinct()
     texts = docs.select(F.col("doc_id").cast("long"), "text").join(
         wanted.hint("shuffle_hash"), "doc_id", "left_semi")
@@ -282,14 +380,15 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, shingle: int = SHIN
     labels = components(decided(_to_leader(shared)))
     rows = written(_open_lists(shared, labels), "near-open")
     short = rows.where(F.col("length") <= SMALL_LIST)
-    labels = relabelled(labels, _verified(_across(short, sets, percent, RUNS[0]), sets, percent))
+    labels = relabelled(labels, _verified(_across(short, sets, percent, RUN), sets, percent))
     large = rows.where(F.col("length") > SMALL_LIST).select("node").distinct()
     if not large.isEmpty():
         among = nodes.join(large, "node", "left_semi")
-        shared = written(_shared(_listed(among, RUNS[1]), among), "near-lists")
+        shared = written(_shared(_rare(among.select("node", "n"), sets, percent), among),
+                         "near-lists")
         labels = relabelled(labels, decided(_to_leader(shared)))
         rows = _open_lists(shared, labels)
-        labels = relabelled(labels, _verified(_across(rows, sets, percent, RUNS[1]), sets, percent))
+        labels = relabelled(labels, _verified(_across_rare(rows, sets, percent), sets, percent))
 
     same = table.where("doc_id is not null").select("doc_id", "set_id").join(classes, "set_id")
     placed = same.join(labels, "node", "left").select(

@@ -94,6 +94,49 @@ def test_near_duplicates_of_small_sets(spark, n):
     assert got == brute.near_duplicates(rows)
 
 
+@pytest.mark.parametrize("small_list", [1, 3])
+def test_near_duplicates_whose_runs_all_lie_in_long_lists(spark, monkeypatch, small_list):
+    """Before each pair stand longer texts that hold the pair's and are similar to neither."""
+    monkeypatch.setattr(near, "SMALL_LIST", small_list)
+    rows, rng = [], random.Random(3)
+    for family, n in enumerate([6, 7, 7, 8, 8, 10, 11, 12, 14, 14, 20, 20, 27, 34, 40] * 2):
+        words = some_words(3000 + family, n + 4)
+        more, begin = n * 2 // 5 + 1, len(rows)
+        for other in range(6):
+            odd = some_words(4000 + 10 * family + other, more)
+            cut = rng.randrange(more + 1)
+            rows.append((begin + other, " ".join(odd[:cut] + words + odd[cut:])))
+        gone = max(1, n * 15 // 100)
+        rows.append((begin + 6, " ".join(words)))
+        rows.append((begin + 7, " ".join(words[gone:] if family % 2 else words[:-gone])))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = by_id(near.near_duplicates(df), "n_shingles", "component_id", "kept")
+    expected = brute.near_duplicates(rows)
+    assert sum(not kept for _, _, kept in expected.values()) > 20
+    assert got == expected
+
+
+def test_rare_values_lose_no_pair():
+    """Any two sets that reach the threshold share a listed value that is early in the smaller."""
+    import numpy as np
+    import pyarrow as pa
+    rng, scale = np.random.default_rng(1), np.zeros(near.BUCKETS, np.uint8)
+    for n in range(6, 90):
+        for m in range(n, n * 100 // 85 + 1):
+            common = -(-85 * (n + m) // 185)
+            if common > n:
+                continue
+            values = rng.integers(-2**63, 2**63, n + m - common)
+            sets = [values[:n], np.r_[values[:common], values[n:]]]
+            batch = pa.RecordBatch.from_arrays(
+                [pa.array([0, 1]), pa.array([n, m]), pa.array(sets, pa.list_(pa.int64()))],
+                ["node", "n", "shingles"])
+            listed = pa.Table.from_batches(near._prefixes(scale, 85)([batch])).to_pylist()
+            early = {r["key"] for r in listed
+                     if r["node"] == 0 and r["pos"] < n + 1 - -(-170 * n // 185)}
+            assert early & {r["key"] for r in listed if r["node"] == 1}
+
+
 def test_near_duplicates_of_odd_rows(odd, empty):
     got = near.near_duplicates(odd).collect()
     assert sorted((r["doc_id"] or 0, r["component_id"] or 0, r["kept"]) for r in got) == [
