@@ -112,13 +112,23 @@ def _drop_heads(df: DataFrame) -> DataFrame:
     return df.where(F.col(_HEAD) == 0).drop(_BLOCK, _HEAD, _CARRY)
 
 
+def running(df: DataFrame, keys: Sequence[str], order: Sequence[Column], blocks: Blocks,
+            value: Column, name: str, function) -> DataFrame:
+    """``function`` over ``value`` from the first row of the key up to the current one.
+
+    The function must give the same whether it sees values or what it made of groups of
+    them, like sum, min or bit_xor.
+    """
+    rows = _cut(df, keys, order, blocks)
+    scanned = _with_heads(rows.withColumn(_CARRY, value), keys, function, function)
+    window = _block_window(keys, order).rowsBetween(Window.unboundedPreceding, 0)
+    return _drop_heads(scanned.withColumn(name, function(_CARRY).over(window)))
+
+
 def running_sum(df: DataFrame, keys: Sequence[str], order: Sequence[Column], blocks: Blocks,
                 value: Column, name: str) -> DataFrame:
     """``sum(value)`` from the first row of the key up to the current one."""
-    rows = _cut(df, keys, order, blocks)
-    scanned = _with_heads(rows.withColumn(_CARRY, value), keys, F.sum, F.sum)
-    window = _block_window(keys, order).rowsBetween(Window.unboundedPreceding, 0)
-    return _drop_heads(scanned.withColumn(name, F.sum(_CARRY).over(window)))
+    return running(df, keys, order, blocks, value, name, F.sum)
 
 
 def number_rows(df: DataFrame, keys: Sequence[str], order: Sequence[Column], blocks: Blocks,
