@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paramloom.llm import chat, exact, licenses, mixing, near, pieces, pseudo_lm, quality, substrings, token_blocks
+from paramloom.llm import (chat, cover_tree, exact, licenses, mixing, near, pieces, prefix_trie,
+                           pseudo_lm, quality, repair, substrings, token_blocks)
 from paramloom.llm.tables import documents
 from paramloom.plans.registry import table
 
@@ -64,6 +65,18 @@ def op10_pseudo_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pseudo_lm.scores(docs, pseudo_lm.train(docs))
 
 
+def op11_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cover_tree.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.repair_damaged(table(spark, sf_dir, "conversations"))
+
+
+def op13_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.conversation_trie(table(spark, sf_dir, "conversations"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_license_scan": op1_license_scan,
     "op2_token_blocks": op2_token_blocks,
@@ -75,9 +88,15 @@ QUERIES: dict[str, Query] = {
     "op8_sentencepiece": op8_sentencepiece,
     "op9_minhash_near_dedup": op9_minhash_near_dedup,
     "op10_pseudo_likelihood": op10_pseudo_likelihood,
+    "op11_embedding_near_dedup": op11_embedding_near_dedup,
+    "op12_conversation_repair": op12_conversation_repair,
+    "op13_conversation_trie": op13_conversation_trie,
 }
 ORACLES: dict[str, str] = {
     "op3_source_mixing": mixing.SQL,
     "op4_substring_dedup": substrings.SQL,
     "op6_exact_dedup": exact.SQL,
+    "op11_embedding_near_dedup": cover_tree.SQL,
+    "op12_conversation_repair": repair.SQL,
+    "op13_conversation_trie": prefix_trie.SQL,
 }
