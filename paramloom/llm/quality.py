@@ -51,6 +51,9 @@ def _same(texts: np.ndarray, hashes: np.ndarray) -> np.ndarray:
 def base_counts(words: Words) -> dict[str, np.ndarray]:
     """The base rules' counts of each text of a slice."""
     data, cuts = words.data, words.text_start
+    if not len(data):  # empty texts alone
+        names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
+        return {name: np.zeros(len(words), np.int64) for name in names}
     solid = np.zeros(len(data) + 1, np.int8)
     np.add.at(solid, words.start, 1)
     np.add.at(solid, words.end, -1)
@@ -141,7 +144,8 @@ def _features(batches):
                         np.bincount(part, minlength=BUCKETS) / max(len(part), 1))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0).slice(begin, end - begin),
-                 pa.array([_packed(r) for r in rows], pa.binary())], ["label", "shares"])
+                 pa.array([_packed(r) for r in rows], pa.binary()),
+                 batch.column(2).slice(begin, end - begin)], ["label", "shares", "place"])
 
 
 def _packed(row: np.ndarray) -> bytes:
@@ -177,19 +181,25 @@ def _logistic(x: np.ndarray, y: np.ndarray, penalty: float, steps: int) -> tuple
 def fit(labelled: DataFrame, most: int = LABELLED, threshold: float = THRESHOLD) -> Model:
     """A model from ``doc_id, text, label`` (1 good, 0 bad), on at most ``most`` labelled rows.
 
-    Rows with a null label or text are left out. Without rows of both classes the model takes
-    every text for good.
+    Rows with a null label or text are left out. A hash of the text says which rows are held out
+    for the calibration and in which order all are summed, so that the model doesn't depend on
+    how the rows are stored. Without rows of both classes the model takes every text for good.
     """
     chosen = (labelled.where("label is not null and text is not null")
-              .select(F.col("label").cast("int").alias("label"), "text"))
-    table = chosen.mapInArrow(_features, "label int, shares binary").toArrow()
+              .select(F.col("label").cast("int").alias("label"), "text",
+                      F.xxhash64("text").alias("place")))
+    table = chosen.mapInArrow(_features, "label int, shares binary, place long").toArrow()
     y = table.column("label").to_numpy().astype(float)
     x = _unpacked(table.column("shares").to_pylist()) * _SCALE
-    order = np.lexsort((x.sum(axis=1), np.arange(len(y)) % HELD_OUT == 0))
+    place = table.column("place").to_numpy()
+    held_out = place % HELD_OUT == 0
+    order = np.lexsort((y, place, held_out))
     x, y = x[order], y[order]
     if len(set(y.tolist())) < 2:
         return Model(np.zeros((3, BUCKETS), np.float32), 0.0, 1.0, 20.0, threshold)
-    cut = len(y) - max(1, len(y) // HELD_OUT)
+    cut = len(y) - int(held_out.sum())
+    if len(set(y[:cut].tolist())) < 2:  # too few rows to hold any out
+        cut = len(y)
     w, b = _logistic(x[:cut], y[:cut], 1e-5, 300)
     held = (x[cut:] @ w + b)[:, None]
     if len(set(y[cut:].tolist())) < 2:
@@ -203,13 +213,17 @@ def fit(labelled: DataFrame, most: int = LABELLED, threshold: float = THRESHOLD)
 
 
 def sample_of(labels: DataFrame, docs: DataFrame, label: str, most: int = LABELLED) -> DataFrame:
-    """``label, text`` of ``most`` labelled rows at most, by a hash of the id."""
+    """``label, text`` of ``most`` labelled rows at most, by a hash of the id.
+
+    An id with several labels or texts has the least of each.
+    """
     rows = (labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull())
-            .select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).alias("label"))
-            .dropDuplicates(["doc_id"])
+            .groupBy(F.col("doc_id").cast("long").alias("doc_id"))
+            .agg(F.min(F.col(label)).alias("label"))
             .orderBy(F.xxhash64("doc_id"), "doc_id").limit(most))
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(
-        F.broadcast(rows), "doc_id").select("label", "text")
+        F.broadcast(rows), "doc_id").groupBy("doc_id").agg(
+        F.min("label").alias("label"), F.min("text").alias("text")).select("label", "text")
 
 
 def _scored(model: Model):

@@ -219,6 +219,24 @@ def test_quality_classifier_on_held_out_rows(spark, sf_dir):
     assert sum(r["kept"] == bool(r["quality"]) for r in rows) >= 0.97 * len(rows) > 0
 
 
+def test_quality_model_hangs_on_the_rows_alone(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    models = [quality.fit(quality.sample_of(labels, d, "quality"))
+              for d in (docs, docs.repartition(5).union(docs.limit(40)))]
+    assert models[0].slope == models[1].slope and models[0].bias == models[1].bias
+    assert (models[0].weights == models[1].weights).all()
+
+
+def test_quality_of_odd_rows(spark, odd):
+    model = quality.Model(np.zeros((3, quality.BUCKETS), np.float32), 0.0, 1.0, 20.0)
+    bare = spark.createDataFrame([(1, None), (None, ""), (1, None)], "doc_id long, text string")
+    assert [tuple(r)[1:7] for r in quality.judge(bare.coalesce(1), model).collect()] == [
+        (0, 0, 0, 0, 0, True)] * 3
+    assert quality.keep_good(bare.coalesce(1), model).count() == 0
+    assert quality.judge(odd.coalesce(1), model).count() == 5
+
+
 def test_quality_without_labels(docs, empty):
     model = quality.fit(docs.limit(0).select(F.lit(1).alias("label"), "text"))
     assert quality.judge(docs, model).where("kept").count() > 50
