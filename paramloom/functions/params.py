@@ -73,6 +73,18 @@ def interval_values(start: Column, stop: Column, step: Column,
     )
 
 
+#: An interval as a rule: whole numbers by ``first`` and ``by``, others by ``start`` and ``step``.
+RULE = f"struct<whole: boolean, first: bigint, by: bigint, start: {BOUND}, step: {STEP}>"
+
+
+def value_at(items: Column, rule: Column, position: Column) -> Column:
+    """Text of the value at ``position`` (from 0): of a list, or of an interval's rule."""
+    whole = (rule["first"] + position * rule["by"]).cast("string")
+    broken = number_text(rule["start"] + position.cast(INDEX) * rule["step"])
+    return (F.when(rule.isNull(), F.get(items, position.cast("int")))
+            .when(rule["whole"], whole).otherwise(broken))
+
+
 def overlay(base: Column, names: Column, top: Column) -> Column:
     """Base dictionary under ``top``; a name in ``names`` is taken from ``top``."""
     return F.map_concat(

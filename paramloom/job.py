@@ -30,7 +30,7 @@ def plan(spark: SparkSession, spec_path: str, base: dict[str, str] | None = None
     ``base`` gives values to parameters that a spec does not name.
     """
     raw = read_specs(spark, spec_path)
-    combinations = grid.grid(specs.param_values(raw, list_as_interval))
+    combinations = grid.grid(specs.param_dimensions(raw, list_as_interval))
     if base:
         under = F.create_map(*[F.lit(x) for pair in base.items() for x in pair])
         combinations = combinations.withColumn(

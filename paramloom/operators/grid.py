@@ -4,21 +4,30 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from paramloom.functions.params import dictionary_text, task_id
+from paramloom.functions.params import RULE, dictionary_text, task_id, value_at
 from paramloom.operators import ordering
 
-# Combinations produced by one task before the next block starts.
-BLOCK = 1 << 16
+# Combinations of one block, which are spread over the tasks, and of one array within a task.
+BLOCK, PIECE = 1 << 16, 1 << 12
+
+
+def _as_dimensions(values: DataFrame) -> DataFrame:
+    """Parameters as ``items`` (a list) or ``rule`` (an interval), with their number of values."""
+    if "rule" in values.columns:
+        return values
+    return values.withColumnsRenamed({"values": "items"}).withColumns({
+        "n": F.size("items").cast("bigint"), "rule": F.lit(None).cast(RULE)})
 
 
 def dimensions(values: DataFrame) -> DataFrame:
     """One row per spec: ordered parameters, stride of each, number of combinations.
 
-    ``combinations`` is NULL beyond 2^63-1. A spec is one parsed document, which
-    bounds what is gathered per group.
+    ``values`` has lists as ``values``, or is what ``param_dimensions`` gives. ``combinations``
+    is NULL beyond 2^63-1. A spec is one parsed document, which bounds what is gathered per
+    group; an interval takes as little room as a number.
     """
-    dims = F.array_sort(F.collect_list(F.struct("ord", "param", "values")))
-    sizes = F.transform("dims", lambda d: F.size(d["values"]).cast("bigint"))
+    dims = F.array_sort(F.collect_list(F.struct("ord", "param", "items", "n", "rule")))
+    sizes = F.transform("dims", lambda d: d["n"])
     one, too_many = F.lit(1).cast("bigint"), F.lit(-1).cast("bigint")
 
     def multiply(products, n):
@@ -29,7 +38,7 @@ def dimensions(values: DataFrame) -> DataFrame:
 
     products = F.aggregate(F.reverse(sizes), F.array(one), multiply)
     total = F.get("__products", F.lit(0))
-    return (values.groupBy("spec_id").agg(dims.alias("dims"))
+    return (_as_dimensions(values).groupBy("spec_id").agg(dims.alias("dims"))
             .withColumn("__products", products)
             .select("spec_id", "dims",
                     F.slice("__products", 2, F.size("dims")).alias("strides"),
@@ -42,51 +51,64 @@ def cardinality(values: DataFrame) -> DataFrame:
 
 
 def _decode(dims: Column, strides: Column, combo_id: Column) -> Column:
-    def pick(dim, stride):
-        digit = F.call_function("div", combo_id, stride) % F.size(dim["values"])
-        return F.get(dim["values"], digit.cast("int"))
-
-    return F.zip_with(dims, strides, pick)
+    return F.zip_with(dims, strides, lambda dim, stride: value_at(
+        dim["items"], dim["rule"], F.call_function("div", combo_id, stride) % dim["n"]))
 
 
-def grid(values: DataFrame, block: int = BLOCK) -> DataFrame:
+def grid(values: DataFrame, block: int = BLOCK, piece: int = PIECE) -> DataFrame:
     """``(spec_id, combo_id, params MAP)``: every combination of every spec.
 
-    Combination numbers are decoded as mixed-radix numbers, so nothing is joined.
-    They are produced in blocks spread over the cluster, as one spec may hold most
-    combinations.
+    Combination numbers are decoded as mixed-radix numbers, so nothing is joined. They are
+    produced in blocks spread over the cluster, as one spec may hold most combinations. A block's
+    row carries the spec's parameters once and a combination none of them: intervals are rules,
+    and a spec with long lists has blocks of as many combinations as it lists values, so that
+    what is shuffled stays in proportion to the combinations.
     """
-    dims = dimensions(values)
-    ids = ordering.positions(dims, F.col("combinations"), "combo_id", ["spec_id"], block)
-    return ids.select("spec_id", "combo_id", F.map_from_arrays(
-        F.col("dims.param"),
-        _decode(F.col("dims"), F.col("strides"), F.col("combo_id"))).alias("params"))
-
-
-def grid_by_folding(values: DataFrame) -> DataFrame:
+    listed = F.aggregate("dims", F.lit(0).cast("bigint"),
+                         lambda total, d: total + F.coalesce(F.size(d["items"]), F.lit(0)))
+    blocks = ordering.position_blocks(dimensions(values), F.col("combinations"), ["spec_id"],
+                                      F.greatest(listed, F.lit(block)))
+    span = F.col("__high") - F.col("__low")
+    starts = F.transform(F.sequence(F.lit(0).cast("bigint"), ordering.whole(span, piece)),
+                         lambda i: F.col("__low") + i * piece)
+    pieces = blocks.withColumn("__from", F.explode(starts))
+    ids = F.sequence(F.col("__from"), F.least(F.col("__from") + (piece - 1), F.col("__high")))
+    made = F.transform(ids, lambda i: F.struct(i.alias("combo_id"), F.map_from_arrays(
+        F.transform("dims", lambda d: d["param"]),
+        _decode(F.col("dims"), F.col("strides"), i)).alias("params")))
+    return pieces.select("spec_id", F.inline(made))
+
+
+def grid_by_folding(values: DataFrame, block: int = BLOCK) -> DataFrame:
     """``(spec_id, combo_id, combination ARRAY)``: one parameter after the other.
 
     Each step extends every combination so far by each value of the next parameter;
     a missing next parameter leaves it as it is. There is a step for each parameter of
-    the longest spec, whose length is asked for first. The rows are spread before the
-    last step, which produces most of them. Specs beyond 2^63-1 combinations have none.
+    the longest spec, whose length is asked for first. The last step, which produces most
+    rows, is spread over all tasks in blocks. Rows carry only the parameters still to come.
+    Specs beyond 2^63-1 combinations have none.
     """
     parameters = values.groupBy("spec_id").count().agg(F.max("count")).first()[0] or 0
     rows = dimensions(values).where(F.col("combinations").isNotNull()).select(
         "spec_id", "dims", F.lit(0).cast("bigint").alias("combo_id"),
         F.array().cast("array<string>").alias("combination"))
     for position in range(parameters):
+        side = F.get(F.col("dims"), F.lit(0))
+        rows = rows.withColumns({"__dim": side, "dims": F.slice("dims", 2, parameters)})
+        n = F.when(F.col("__dim").isNull(), 1).otherwise(F.col("__dim.n"))
         if position and position == parameters - 1:
-            rows = ordering.spread(rows, "spec_id", "combo_id")
-        side = F.get(F.col("dims"), F.lit(position))["values"]
-        step = F.coalesce(F.transform(side, lambda v: F.array(v)),
-                          F.array(F.array().cast("array<string>")))
-        rows = rows.select("spec_id", "dims", "combo_id", "combination",
-                           F.size(step).alias("__n"),
-                           F.posexplode(step).alias("__pos", "__add")) \
-            .select("spec_id", "dims",
-                    (F.col("combo_id") * F.col("__n") + F.col("__pos")).alias("combo_id"),
-                    F.concat("combination", "__add").alias("combination"))
+            rows = ordering.positions(rows, n, "__pos", ["spec_id", "combo_id"], block)
+        else:
+            zero = F.lit(0).cast("bigint")
+            rows = rows.withColumn("__part", F.explode(F.when(
+                n > 0, F.sequence(zero, ordering.whole(n - 1, PIECE))))).withColumn(
+                "__pos", F.explode(F.sequence(F.col("__part") * PIECE, F.least(
+                    F.col("__part") * PIECE + (PIECE - 1), n - 1)))).drop("__part")
+        value = value_at(F.col("__dim.items"), F.col("__dim.rule"), F.col("__pos"))
+        rows = rows.select(
+            "spec_id", "dims", (F.col("combo_id") * n + F.col("__pos")).alias("combo_id"),
+            F.when(F.col("__dim").isNull(), F.col("combination"))
+            .otherwise(F.concat("combination", F.array(value))).alias("combination"))
     return rows.drop("dims")
 
 

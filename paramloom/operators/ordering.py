@@ -180,26 +180,34 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     return df.repartition(n, *keys)
 
 
-def positions(df: DataFrame, count: Column, name: str, keys: Sequence[str],
-              block: int = 1 << 16) -> DataFrame:
-    """Every row once per position 0 to ``count - 1``.
+def position_blocks(df: DataFrame, count: Column, keys: Sequence[str],
+                    block: int | Column = 1 << 16) -> DataFrame:
+    """Every row once per block of positions, with the block's first and last as ``__low, __high``.
 
-    Positions are cut into blocks, spread before they are produced: one row may stand
-    for most of the output. Blocks of blocks come first, each an array of ``FAN`` numbers
-    at most, so that no array grows with ``count``.
+    Positions run from 0 to ``count - 1``. Blocks are spread over all tasks, as one row may stand
+    for most of the output. Blocks of blocks come first, each an array of ``FAN`` numbers at
+    most, so that no array grows with ``count``.
     """
     n = F.col("__count")
-    blocks = df.withColumn("__count", count.cast("bigint")).where(n > 0).withColumn(
-        _BLOCK, F.lit(0).cast("bigint"))
+    block = F.lit(block) if isinstance(block, int) else block
+    blocks = df.withColumns({"__count": count.cast("bigint"), "__size": block.cast("bigint")})
+    blocks = blocks.where(n > 0).withColumn(_BLOCK, F.lit(0).cast("bigint"))
+    last = F.call_function("div", n - 1, F.col("__size"))
     for level in reversed(range(_LEVELS)):
-        width = FAN ** level
-        last = F.call_function("div", n - 1, F.lit(block)) if block > 1 else n - 1
         low = F.col(_BLOCK) * FAN
-        high = F.least(low + (FAN - 1), F.call_function("div", last, F.lit(width)))
+        high = F.least(low + (FAN - 1), F.call_function("div", last, F.lit(FAN ** level)))
         blocks = blocks.withColumn(_BLOCK, F.explode(F.sequence(low, high)))
-    low = F.col(_BLOCK) * block
-    return spread(blocks, *keys, _BLOCK).withColumn(name, F.explode(F.sequence(
-        low, F.least(n - low, F.lit(block)) + low - 1))).drop("__count", _BLOCK)
+    low = F.col(_BLOCK) * F.col("__size")
+    return spread(blocks, *keys, _BLOCK).withColumns({
+        "__low": low, "__high": F.least(n - low, F.col("__size")) + low - 1}).drop(
+        "__count", "__size", _BLOCK)
+
+
+def positions(df: DataFrame, count: Column, name: str, keys: Sequence[str],
+              block: int = 1 << 16) -> DataFrame:
+    """Every row once per position 0 to ``count - 1``, produced block by block."""
+    blocks = position_blocks(df, count, keys, block)
+    return blocks.withColumn(name, F.explode(F.sequence("__low", "__high"))).drop("__low", "__high")
 
 
 def last_rows(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int) -> DataFrame:

@@ -15,8 +15,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from paramloom.functions.params import (BOUND, LARGEST_BOUND, MOST_VALUES, interval_length,
-                                        interval_values, whole_length, whole_values)
+from paramloom.functions.params import (BOUND, LARGEST_BOUND, MOST_VALUES, STEP,
+                                        interval_length, value_at, whole_length)
+from paramloom.operators import ordering
 
 SKIPPED = ["dict", "type", "unreadable"]
 
@@ -102,15 +103,24 @@ def spec_errors(raw: DataFrame, list_as_interval: bool = False) -> DataFrame:
             .where(F.col("reason").isNotNull()))
 
 
-def _values() -> Column:
-    return (
-        F.when(F.col("__whole"), whole_values(
-            F.col("__start_w"), F.col("__step_w"), F.col("__length")))
-        .when(F.col("kind") == "interval", interval_values(
-            F.col("__start"), F.col("__stop"), F.col("__step"), F.col("__length")))
-        .when(F.col("kind") == "flag",
-              F.when(_is_off(), F.array().cast("array<string>")).otherwise(F.array(F.lit(""))))
-        .otherwise(F.col("items")))
+def _items() -> Column:
+    """Listed values: NULL for an interval, none for a false flag, an empty text for a true one."""
+    return (F.when(F.col("kind") == "flag",
+                   F.when(_is_off(), F.array().cast("array<string>")).otherwise(F.array(F.lit(""))))
+            .when(F.col("kind") != "interval", F.col("items")))
+
+
+def _count() -> Column:
+    """Number of values; NULL for an interval that is none or has too many."""
+    inside = F.when(F.col("__length") <= MOST_VALUES, F.col("__length"))
+    return F.when(F.col("kind") == "interval", inside).otherwise(F.size(_items())).cast("bigint")
+
+
+def _rule() -> Column:
+    return F.when(F.col("kind") == "interval", F.struct(
+        F.col("__whole").alias("whole"), F.col("__start_w").alias("first"),
+        F.col("__step_w").alias("by"), F.col("__start").alias("start"),
+        F.col("__step").cast(STEP).alias("step")))
 
 
 def _is_off() -> Column:
@@ -118,13 +128,13 @@ def _is_off() -> Column:
 
 
 def expand_values(classified: DataFrame) -> DataFrame:
-    """Adds ``values ARRAY<STRING>`` in declared order; a false flag has none.
+    """Adds ``items``, ``n`` and ``rule``: the values in declared order, not yet written out.
 
-    Intervals that can't be expanded have NULL.
+    ``n`` says how many; a list has them as ``items``, an interval as a rule. A false flag has
+    none, and an interval that can't be taken has NULL.
     """
     bounds = _with_bounds(classified)
-    fits = F.coalesce(F.col("__length") <= MOST_VALUES, F.col("kind") != "interval")
-    return bounds.withColumn("values", F.when(fits, _values())).drop(*_BOUNDS)
+    return bounds.withColumns({"n": _count(), "rule": _rule(), "items": _items()}).drop(*_BOUNDS)
 
 
 def _checked(raw: DataFrame, list_as_interval: bool) -> DataFrame:
@@ -140,23 +150,46 @@ def _by_spec(checked: DataFrame) -> DataFrame:
     reason = F.col("reason")
     bad = reason.isNotNull() & ~reason.isin(SKIPPED)
     taken = F.when(reason.isNull() & ~_is_off(), F.struct(
-        "ord", "param", "kind", _values().alias("values")))
+        "ord", "param", "kind", _items().alias("items"), _count().alias("n"),
+        _rule().alias("rule")))
     by_spec = checked.groupBy("spec_id").agg(
         F.max(bad).alias("bad"), F.collect_list(taken).alias("taken"),
         (F.count_if(F.col("ord") > 0) > F.max("ord")).alias("repeated"))
     combinations = F.aggregate("taken", F.lit(1).cast("bigint"), lambda product, t:
-                               F.try_multiply(product, F.size(t["values"]).cast("bigint")))
+                               F.try_multiply(product, t["n"]))
     return by_spec.withColumn("combinations", combinations)
 
 
-def param_values(raw: DataFrame, list_as_interval: bool = False) -> DataFrame:
-    """``(spec_id, ord, param, kind, values)`` of the good specs, ready for a grid."""
+def param_dimensions(raw: DataFrame, list_as_interval: bool = False) -> DataFrame:
+    """``(spec_id, ord, param, kind, items, n, rule)`` of the good specs, ready for a grid.
+
+    Intervals stay rules (first value, step, number), however many values they stand for.
+    """
     good = _by_spec(_checked(raw, list_as_interval)).where(
         ~F.col("bad") & ~F.col("repeated") & F.col("combinations").isNotNull())
     return good.select("spec_id", F.inline("taken"))
 
 
+def param_values(raw: DataFrame, list_as_interval: bool = False) -> DataFrame:
+    """``(spec_id, ord, param, kind, values)``: as ``param_dimensions``, values written out.
+
+    Each row holds all values of its parameter: for small parameters, and to look at.
+    """
+    dimensions = param_dimensions(raw, list_as_interval)
+    numbers = F.when(F.col("n") > 0, F.sequence(F.lit(0).cast("bigint"), F.col("n") - 1))
+    values = F.transform(numbers, lambda i: value_at(F.col("items"), F.col("rule"), i))
+    return dimensions.select("spec_id", "ord", "param", "kind", F.coalesce(
+        F.when(F.col("rule").isNull(), F.col("items")), values,
+        F.array().cast("array<string>")).alias("values"))
+
+
 def value_rows(values: DataFrame) -> DataFrame:
-    """Long form ``(spec_id, ord, param, pos, value)``, ``pos`` from 0."""
-    return values.select("spec_id", "ord", "param",
-                         F.posexplode("values").alias("pos", "value"))
+    """Long form ``(spec_id, ord, param, pos, value)``, ``pos`` from 0.
+
+    Values are produced in blocks spread over all tasks, as one interval may have most.
+    """
+    value = value_at(F.col("items"), F.col("rule"), F.col("pos"))
+    placed = ordering.positions(values.select("spec_id", "ord", "param", "items", "n", "rule"),
+                                F.col("n"), "pos", ["spec_id", "ord"])
+    return placed.select("spec_id", "ord", "param", F.col("pos").cast("int").alias("pos"),
+                         value.alias("value"))

@@ -23,7 +23,7 @@ GRID_TEXT_SQL = """concat_ws(',', 'epoch=' || epoch, 'model=' || model, 'unit='
 
 
 def fx_values(spark, sf_dir):
-    return specs.param_values(fx.fx_spec(spark, sf_dir))
+    return specs.param_dimensions(fx.fx_spec(spark, sf_dir))
 
 
 def fx_grid(spark, sf_dir):
@@ -184,7 +184,7 @@ def ps_reject_limits(spark, sf_dir):
 def ps_values(spark, sf_dir):
     """The good specs, with how many values two of their parameters have."""
     def size_of(name):
-        return F.coalesce(F.max(F.when(F.col("param") == name, F.size("values"))), F.lit(0))
+        return F.coalesce(F.max(F.when(F.col("param") == name, F.col("n"))), F.lit(0))
 
     return fx_values(spark, sf_dir).groupBy("spec_id").agg(
         size_of("model").cast("bigint").alias("models"),
@@ -216,6 +216,31 @@ def ps_grid_dims(spark, sf_dir):
                                              for c in ("event", "segment", "region")])
 
 
+@query("ps_wide", """
+    SELECT 'p' || p_partkey AS spec_id, count(*) AS combinations,
+           cast(sum(rate * (p_size + i * 3)) AS bigint) AS total, max(p_size + i * 3) AS last
+    FROM part, range(0, 200 + p_partkey % 7) r(i), (SELECT unnest([1, 2, 5]) AS rate)
+    GROUP BY p_partkey, p_size
+""")
+def ps_wide(spark, sf_dir):
+    """Wide intervals stay rules until a combination is decoded."""
+    size, key = F.col("p_size"), F.col("p_partkey")
+    stop = size + (F.lit(200) + key % 7) * 3
+    rows = F.array(
+        F.struct(F.lit(1).alias("ord"), F.lit("epoch").alias("param"), F.lit("tuple").alias("type"),
+                 F.array(*[x.cast("string") for x in (size, stop, F.lit(3))]).alias("items")),
+        F.struct(F.lit(2).alias("ord"), F.lit("rate").alias("param"), F.lit("list").alias("type"),
+                 F.array(F.lit("1"), F.lit("2"), F.lit("5")).alias("items")))
+    raw = table(spark, sf_dir, "part").select(
+        F.concat(F.lit("p"), key.cast("string")).alias("spec_id"), F.inline(rows)
+    ).withColumn("nested", F.lit(False))
+    made = grid.grid(specs.param_dimensions(raw)).select(
+        "spec_id", *[F.col("params")[c].cast("bigint").alias(c) for c in ("epoch", "rate")])
+    return made.groupBy("spec_id").agg(
+        F.count("*").alias("combinations"), F.sum(F.col("epoch") * F.col("rate")).alias("total"),
+        F.max("epoch").alias("last"))
+
+
 @query("ps_concat", """
     SELECT p_partkey AS part, concat_ws('|', p_brand, p_type, p_name) AS combination FROM part
 """)

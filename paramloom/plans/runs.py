@@ -105,7 +105,7 @@ def run_sweep_from_spec(spark, sf_dir):
     """From a parameter file to its combinations to a sweep of the table."""
     path = work_path(spark, "sweep-spec")
     spark.createDataFrame([(SWEEP_FILE,)], "value string").write.text(path)
-    combinations = combinations_of(grid.grid(specs.param_values(read_specs(spark, path))))
+    combinations = combinations_of(grid.grid(specs.param_dimensions(read_specs(spark, path))))
     swept = predicate_sweep(
         table(spark, sf_dir, "lineitem"), combinations,
         lambda c: (F.col("l_discount") <= float(c["l_discount"]))

@@ -8,7 +8,7 @@ from hypothesis import HealthCheck, given, settings, strategies as st
 from pyspark.sql import functions as F
 
 from paramloom.functions import params
-from paramloom.operators import grid
+from paramloom.operators import grid, ordering, specs
 
 VALUES = "spec_id string, ord int, param string, kind string, values array<string>"
 
@@ -136,3 +136,45 @@ def test_positions_of_large_counts_make_no_large_arrays(spark):
     made = ordering.positions(rows, F.col("n"), "i", ["k"], block=1)
     assert made.groupBy("k").agg(F.count("*"), F.count_distinct("i"), F.max("i")).orderBy(
         "k").collect() == [("a", 10, 10, 9), ("b", 70_001, 70_001, 70_000)]
+
+
+WIDE = "spec_id string, ord int, param string, type string, items array<string>, nested boolean"
+
+
+def test_wide_intervals_stay_rules(spark):
+    """Ten million values times three: rows stay small, and any combination can be read."""
+    raw = spark.createDataFrame([
+        ("s", 1, "epoch", "tuple", ["0", "10000000"], False),
+        ("s", 2, "rate", "list", ["a", "b", "c"], False),
+        ("t", 1, "part", "tuple", ["0.5", "-2", "-0.25"], False),
+        ("t", 2, "none", "bool", ["False"], False)], WIDE)
+    dims = specs.param_dimensions(raw)
+    assert {r["param"]: (r["n"], r["items"]) for r in dims.collect()} == {
+        "epoch": (10_000_000, None), "rate": (3, ["a", "b", "c"]), "part": (10, None)}
+    made = grid.grid(dims)
+    assert made.where("spec_id = 't'").orderBy("combo_id").select("params.part").collect() == [
+        (v,) for v in "0.5 0.25 0 -0.25 -0.5 -0.75 -1 -1.25 -1.5 -1.75".split()]
+    checked = made.where("spec_id = 's'").select(
+        "combo_id", F.col("params")["epoch"].cast("bigint").alias("epoch"),
+        F.col("params")["rate"].alias("rate"))
+    right = (F.col("epoch") == F.expr("combo_id div 3")) & (
+        F.col("rate") == F.expr("substr('abc', int(combo_id % 3) + 1, 1)"))
+    assert checked.agg(F.count("*"), F.count_if(right)).first() == (30_000_000, 30_000_000)
+
+
+def test_long_lists_are_carried_by_block(spark):
+    long = [str(i) for i in range(30_000)]
+    raw = spark.createDataFrame([("s", 1, "i", "list", long, False),
+                                 ("s", 2, "j", "list", ["x", "y"], False)], WIDE)
+    dims = specs.param_dimensions(raw)
+    right = (F.col("params")["i"].cast("bigint") == F.expr("combo_id div 2")) & (
+        F.col("params")["j"] == F.expr("if(combo_id % 2 = 0, 'x', 'y')"))
+    made = grid.grid(dims, block=1 << 10)
+    assert made.agg(F.count("*"), F.count_if(right)).first() == (60_000, 60_000)
+    folded = grid.grid_by_folding(dims).select("combo_id", F.map_from_arrays(
+        F.array(F.lit("i"), F.lit("j")), "combination").alias("params"))
+    assert folded.agg(F.count("*"), F.count_if(right)).first() == (60_000, 60_000)
+    # Blocks hold as many combinations as the spec lists values.
+    blocks = ordering.position_blocks(grid.dimensions(dims), F.col("combinations"), ["spec_id"],
+                                      F.lit(30_002))
+    assert blocks.count() == 2
