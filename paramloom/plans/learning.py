@@ -11,7 +11,7 @@ from paramloom.operators.training import Combination
 from paramloom.plans import fixtures as fx
 from paramloom.plans.registry import query, table
 from paramloom.session import work_path
-from paramloom.sources.vectors import labelled_split, read_snapshot, write_snapshot
+from paramloom.sources.vectors import labelled_split, read_snapshot, states_of, write_snapshot
 
 DIMENSIONS, HIDDEN, CLASSES = 64, 16, 10
 # Rows of a training step, whatever the size of the table.
@@ -256,7 +256,7 @@ def ml_train_data_parallel(spark, sf_dir):
         [Combination(0, unit=HIDDEN, alpha=0.01, batchsize=BATCH, epochs=3)],
         DIMENSIONS, CLASSES)
     judged = network.with_loss(
-        network.score(test, "embedding", done.states[0].layers()), F.col("label"))
+        network.score(test, "embedding", states_of(done.snapshot(spark))[0].layers()), F.col("label"))
     return judged.groupBy("label").agg(
         F.count(F.lit(1)).alias("n_rows"), F.round(F.avg("loss"), 6).alias("loss"),
         F.avg("correct").alias("accuracy"))
@@ -266,10 +266,10 @@ def ml_train_data_parallel(spark, sf_dir):
 def train_snapshot(spark, sf_dir):
     """A run stopped after one epoch, written, read back and gone on with."""
     path = work_path(spark, "snapshot")
-    write_snapshot(spark, _train(spark, sf_dir, epochs=1).states, path)
+    write_snapshot(spark, _train(spark, sf_dir, epochs=1), path)
     resumed = _train(spark, sf_dir, epochs=2, resume=read_snapshot(spark, path))
     end = work_path(spark, "snapshot")
-    write_snapshot(spark, resumed.states, end)
+    write_snapshot(spark, resumed, end)
     return spark.read.parquet(end).groupBy("combo_id", "epoch", "step").agg(
         F.sum(F.size("theta")).alias("n_parameters"),
         F.round(F.sum(F.aggregate("theta", F.lit(0.0), lambda a, x: a + x * x)), 6)

@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from paramloom.operators.training import SLICE, State
+from paramloom.operators.training import SNAPSHOT, State, Training
 
 
 def labelled_split(rows: DataFrame, row_id: str, every: int = 5) -> tuple[DataFrame, DataFrame]:
@@ -14,27 +14,21 @@ def labelled_split(rows: DataFrame, row_id: str, every: int = 5) -> tuple[DataFr
     return rows.where(~is_test), rows.where(is_test)
 
 
-SNAPSHOT = ("combo_id bigint, epoch int, step int, sizes array<int>, slice int, "
-            "theta array<double>, first array<double>, second array<double>")
-
-
-def snapshot_rows(states: dict[int, State]) -> list[tuple]:
-    return [
-        (combo_id, s.epoch, s.step, s.sizes, i // SLICE, s.theta[i:i + SLICE].tolist(),
-         s.first[i:i + SLICE].tolist(), s.second[i:i + SLICE].tolist())
-        for combo_id, s in states.items() for i in range(0, len(s.theta), SLICE)]
+def write_snapshot(spark: SparkSession, done: Training, path: str,
+                   mode: str = "overwrite") -> None:
+    """Parameters and optimizer moments as rows of equal slices, written by the cluster."""
+    done.snapshot(spark).write.mode(mode).parquet(path)
 
 
-def write_snapshot(spark: SparkSession, states: dict[int, State], path: str,
-                   mode: str = "overwrite") -> None:
-    """Parameters and optimizer moments as rows of equal slices."""
-    spark.createDataFrame(snapshot_rows(states), SNAPSHOT).write.mode(mode).parquet(path)
+def read_snapshot(spark: SparkSession, path: str) -> DataFrame:
+    """The slices to go on from; tasks read them, the driver doesn't."""
+    return spark.read.schema(SNAPSHOT).parquet(path)
 
 
-def read_snapshot(spark: SparkSession, path: str) -> dict[int, State]:
-    """The states to go on from; as large as the models, not the data."""
+def states_of(snapshot: DataFrame) -> dict[int, State]:
+    """The states on the driver, to look at or to score with: for small networks."""
     pieces: dict[int, list] = {}
-    for row in spark.read.parquet(path).collect():
+    for row in snapshot.collect():
         pieces.setdefault(row["combo_id"], []).append(row)
     states = {}
     for combo_id, rows in pieces.items():

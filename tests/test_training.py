@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from paramloom.operators import batches, network, reports, training
 from paramloom.operators.training import Combination
 from paramloom.plans.registry import table
-from paramloom.sources.vectors import labelled_split, read_snapshot, write_snapshot
+from paramloom.sources.vectors import labelled_split, read_snapshot, states_of, write_snapshot
 
 
 @pytest.fixture(scope="module")
@@ -63,7 +63,50 @@ def test_cluster_sums_equal_direct_sums(split):
     assert done[3] == pytest.approx(gradient)
 
 
-def test_loss_falls_and_reruns_agree(split):
+def in_one_process(split, combination, tasks):
+    """The states after each epoch, by a plain loop over the same batches."""
+    state = training.initial_state([64, combination.unit, combination.unit, 10], combination.seed)
+    n = split[0].count()
+    batches = max(1, math.ceil(n / combination.batchsize))
+    rows = split[0].select(F.pmod(F.xxhash64(F.xxhash64("vec_id")), F.lit(batches)).alias("batch"),
+                           "embedding", "label")
+    out = []
+    for epoch in range(1, combination.epochs + 1):
+        keyed = rows.withColumn("key", F.xxhash64(F.lit(epoch), "batch")).toPandas()
+        for _, batch in sorted(keyed.groupby("key")):
+            _, _, gradient = training.loss_and_gradient(
+                state.sizes, state.theta, np.stack(batch["embedding"]).astype(float),
+                batch["label"].to_numpy())
+            training.adam(state, gradient / len(batch), combination.alpha)
+        out.append(state.theta.copy())
+    return out, state
+
+
+@pytest.mark.parametrize("tasks", [1, 5])
+def test_barrier_epochs_equal_a_plain_loop(spark, split, tasks):
+    """Also with networks of several slices, and with more tasks than some batches have rows."""
+    combinations = [Combination(0, unit=24, batchsize=7, epochs=2, alpha=0.01, seed=4),
+                    Combination(1, unit=5, batchsize=7, epochs=2, alpha=0.02, seed=5)]
+    done = run(split, combinations, tasks=tasks)
+    states = states_of(done.snapshot(spark))
+    assert done.snapshot(spark).count() >= 4
+    for c in combinations:
+        _, state = in_one_process(split, c, tasks)
+        assert states[c.combo_id].step == state.step > 50
+        for name in ("theta", "first", "second"):
+            assert np.abs(getattr(states[c.combo_id], name) - getattr(state, name)).max() < 1e-9
+
+
+def test_jobs_follow_epochs_not_batches(spark, split):
+    def jobs(batchsize):
+        spark.sparkContext.setJobGroup(f"train-{batchsize}", "")
+        run(split, [Combination(0, unit=4, batchsize=batchsize, epochs=2)])
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        return len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"train-{batchsize}"))
+    assert jobs(4) == jobs(400)
+
+
+def test_loss_falls_and_reruns_agree(spark, split):
     combinations = [Combination(i, unit=8, alpha=a, batchsize=80, epochs=3, seed=1)
                     for i, a in enumerate([0.01, 0.03])]
     first, second = run(split, combinations), run(split, combinations)
@@ -71,7 +114,7 @@ def test_loss_falls_and_reruns_agree(split):
     for combo_id in (0, 1):
         losses = [r[2] for r in first.report if r[0] == combo_id]
         assert len(losses) == 3 and losses[0] > losses[-1]
-    assert first.states[0].step == 3 * math.ceil(split[0].count() / 80)
+    assert states_of(first.snapshot(spark))[0].step == 3 * math.ceil(split[0].count() / 80)
 
 
 def test_resume_equals_uninterrupted(spark, split, tmp_path):
@@ -80,43 +123,39 @@ def test_resume_equals_uninterrupted(spark, split, tmp_path):
     whole = run(split, combinations)
     half = run(split, [Combination(c.combo_id, c.unit, c.batchsize, 1, c.alpha)
                        for c in combinations])
-    write_snapshot(spark, half.states, str(tmp_path / "snapshot"))
+    write_snapshot(spark, half, str(tmp_path / "snapshot"))
     resumed = run(split, combinations, resume=read_snapshot(spark, str(tmp_path / "snapshot")))
+    states = [states_of(done.snapshot(spark)) for done in (whole, resumed)]
     for c in (0, 1):
-        assert np.array_equal(whole.states[c].theta, resumed.states[c].theta)
-        assert np.array_equal(whole.states[c].second, resumed.states[c].second)
-        assert resumed.states[c].epoch == 2
+        assert np.array_equal(states[0][c].theta, states[1][c].theta)
+        assert np.array_equal(states[0][c].second, states[1][c].second)
+        assert states[1][c].epoch == 2
     assert [r[1] for r in resumed.report] == [2, 2]
     report = training.report_frame(spark, whole)
     assert report.count() == 4
 
 
-def test_snapshots_after_each_epoch(split):
+def test_snapshots_after_each_epoch(spark, split):
     seen = []
     run(split, [Combination(0, unit=4, batchsize=1000, epochs=2)],
-        after_epoch=lambda epoch, states: seen.append((epoch, states[0].epoch)))
+        after_epoch=lambda epoch, path: seen.append(
+            (epoch, read_snapshot(spark, path).where("slice = 0").first()["epoch"])))
     assert seen == [(1, 1), (2, 2)]
 
 
-def test_many_combinations_are_trained_in_turns(split, monkeypatch):
+def test_many_combinations_are_trained_in_turns(spark, split, monkeypatch):
+    """A network that is larger than the bound is trained alone."""
     combinations = [Combination(i, unit=4, alpha=0.01 * (i + 1), batchsize=1000, epochs=2)
-                    for i in range(3)]
+                    for i in range(3)] + [Combination(3, unit=20, batchsize=1000, epochs=2)]
     at_once = run(split, combinations)
-    handed = []
-    monkeypatch.setattr(training, "MAX_STATE", 700)
-    in_turns = run(split, combinations, hand_over=handed.append)
-    assert [set(states) for states in handed] == [{0, 1}, {2}]
-    assert in_turns.states == {}
+    monkeypatch.setattr(training, "HELD", 700)
+    in_turns = run(split, combinations)
+    assert [len(d.paths) for d in (at_once, in_turns)] == [1, 3]
     assert [r[:6] for r in in_turns.report] == [r[:6] for r in at_once.report]
-    for states in handed:
-        for combo_id, state in states.items():
-            assert np.array_equal(state.theta, at_once.states[combo_id].theta)
-
-
-def test_network_too_large_for_the_driver_is_refused(split, monkeypatch):
-    monkeypatch.setattr(training, "MAX_STATE", 1000)
-    with pytest.raises(ValueError):
-        run(split, [Combination(0, unit=100)])
+    states = [states_of(done.snapshot(spark)) for done in (at_once, in_turns)]
+    assert set(states[0]) == set(states[1]) == {0, 1, 2, 3}
+    for c in range(4):
+        assert np.allclose(states[0][c].theta, states[1][c].theta, atol=1e-12, rtol=0)
 
 
 def test_scoring_keeps_rows_without_a_vector(spark):
