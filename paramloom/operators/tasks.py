@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import multiprocessing
+import os
+import pickle
+import resource
 import socket
 from collections.abc import Callable, Iterable, Iterator
+from dataclasses import dataclass
 
 import pandas as pd
 import pyarrow as pa
@@ -30,8 +35,98 @@ def _rows_of(result, names: list[str]):
     return result
 
 
+class UnknownTask(Exception):
+    """A row asks for a task that no function is registered for."""
+
+
+class TaskEnded(Exception):
+    """A task's process ended by itself, or was ended at its time limit."""
+
+
+def by_name(functions: dict[str, Callable[[dict], object]], key: str = "task",
+            default: str | None = None) -> Callable[[dict], object]:
+    """One function for ``run_map`` that calls the one that a task names.
+
+    The name is taken out of the parameters, from ``key``; tasks without one get ``default``. An
+    unknown name is a failure of that task.
+    """
+    known = dict(functions)
+
+    def call(params: dict):
+        name = params.pop(key, default)
+        if name not in known:
+            raise UnknownTask(str(name))
+        return known[name](params)
+    return call
+
+
+@dataclass(frozen=True)
+class Limits:
+    """What one task may take: seconds, and megabytes on top of its worker's memory."""
+
+    seconds: float | None = None
+    megabytes: int | None = None
+
+
+def _address_space() -> int:
+    with open("/proc/self/statm") as file:
+        return int(file.read().split()[0]) * resource.getpagesize()
+
+
+def _in_child(pipe, fn, params, names, limits: Limits) -> None:
+    """A child's work: portions of rows, then how it ended."""
+    try:
+        if limits.megabytes:
+            most = _address_space() + limits.megabytes * 1_000_000
+            resource.setrlimit(resource.RLIMIT_AS, (most, most))
+        rows = []
+        for row in _rows_of(fn(params), names):
+            rows.append(row)
+            if len(rows) >= OUTPUT_ROWS:
+                pipe.send_bytes(pickle.dumps(rows))
+                rows = []
+        pipe.send_bytes(pickle.dumps(rows))
+        last = None
+    except BaseException as error:  # also what would end the process
+        last = (type(error).__name__, str(error))
+    pipe.send_bytes(pickle.dumps(last))
+    pipe.close()
+    os._exit(0)
+
+
+def _supervised(fn, names: list[str], limits: Limits):
+    """``fn`` in a process of its own, which may exit, hang or take too much without harm."""
+    fork = multiprocessing.get_context("fork")
+
+    def call(params: dict):
+        ours, theirs = fork.Pipe(duplex=False)
+        child = fork.Process(target=_in_child, args=(theirs, fn, params, names, limits), daemon=True)
+        child.start()
+        theirs.close()
+        try:
+            while True:
+                if not ours.poll(limits.seconds):
+                    raise TaskEnded(f"no answer in {limits.seconds:g} seconds")
+                try:
+                    told = pickle.loads(ours.recv_bytes())
+                except EOFError:
+                    child.join()
+                    raise TaskEnded(f"exit code {child.exitcode}") from None
+                if told is None:
+                    return
+                if isinstance(told, tuple):
+                    raise type(told[0], (Exception,), {})(told[1])
+                yield from told
+        finally:
+            child.kill()
+            child.join()
+            ours.close()
+    return call
+
+
 def run_map(tasks: DataFrame, fn: Callable[[dict], object], schema: str,
-            partitions: int | None = None, keep: list[str] | None = None) -> DataFrame:
+            partitions: int | None = None, keep: list[str] | None = None,
+            limits: Limits | None = None) -> DataFrame:
     """Calls ``fn(params)`` once per task.
 
     ``fn`` gives a dictionary, several (a list or generator), one plain value for a
@@ -40,10 +135,13 @@ def run_map(tasks: DataFrame, fn: Callable[[dict], object], schema: str,
     instead of its id. A task that raises, or whose result does not fit the schema, gets
     one FAILURE row with its error and does not disturb the others; rows that a generator
     gave before it failed stay, in portions of ``OUTPUT_ROWS``. ``partitions`` sets how
-    many tasks may run side by side, otherwise those of the input do.
+    many tasks may run side by side, otherwise those of the input do. With ``limits`` each
+    task runs in a process of its own: one that exits, gives nothing for too long or takes too
+    much memory is a failure too, and the others go on.
     """
     keep = keep or ["task_id"]
     names = _parse_datatype_string(schema).names
+    call = fn if limits is None else _supervised(fn, names, limits)
     chosen = tasks.select(*keep, "params")
     if partitions:
         chosen = chosen.repartition(partitions)
@@ -65,7 +163,7 @@ def run_map(tasks: DataFrame, fn: Callable[[dict], object], schema: str,
         """Portions of a task's rows."""
         rows = []
         try:
-            for result in _rows_of(fn(dict(params or {})), names):
+            for result in _rows_of(call(dict(params or {})), names):
                 rows.append([*task, "SUCCESS", None, *[result.get(n) for n in names]])
                 if len(rows) >= OUTPUT_ROWS:
                     yield rows

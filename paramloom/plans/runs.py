@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import functions as F
 
 from paramloom.operators import folds, grid, specs, tasks
@@ -159,6 +161,55 @@ def run_isolate_errors(spark, sf_dir):
     return done.withColumn("error", F.substring_index("error", ":", 1))
 
 
+def _cost(params: dict) -> int:
+    return int(params["unit"]) * int(params.get("epoch", "20"))
+
+
+def _name_length(params: dict) -> int:
+    return len(params["model"])
+
+
+@query("run_named", """
+    SELECT spec_id, combo_id, CASE WHEN u % 3 = 2 THEN 'FAILURE' ELSE 'SUCCESS' END AS status,
+           CASE WHEN u % 3 = 2 THEN 'UnknownTask: draw' END AS error,
+           CASE u % 3 WHEN 0 THEN u * coalesce(epoch, 20) WHEN 1 THEN length(model) END::bigint
+               AS value
+    FROM (SELECT *, cast(unit AS integer) AS u FROM fx_grid)
+""", ("fx_grid",))
+def run_named(spark, sf_dir):
+    """Each combination names its task; a name that nobody registered fails alone."""
+    names = F.array(F.lit("cost"), F.lit("length"), F.lit("draw"))
+    named = fx_grid(spark, sf_dir).withColumn("params", F.map_concat("params", F.create_map(
+        F.lit("task"), F.get(names, (F.col("params")["unit"].cast("int") % 3)))))
+    return tasks.run_map(named, tasks.by_name({"cost": _cost, "length": _name_length}),
+                         "value bigint", keep=["spec_id", "combo_id"])
+
+
+def _restless(params: dict) -> int:
+    """A task that ends its process for some parameters."""
+    if params["o_orderkey"] % 7 == 3:
+        os._exit(5)
+    return params["o_orderkey"] * 2
+
+
+@query("run_supervised", """
+    SELECT o_orderkey, CASE WHEN o_orderkey % 7 = 3 THEN 'FAILURE' ELSE 'SUCCESS' END AS status,
+           CASE WHEN o_orderkey % 7 = 3 THEN 'TaskEnded: exit code 5' END AS error,
+           CASE WHEN o_orderkey % 7 <> 3 THEN o_orderkey * 2 END AS value
+    FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_nationkey = 3)
+      AND o_orderstatus = 'F'
+""")
+def run_supervised(spark, sf_dir):
+    """Tasks in processes of their own: some exit, and nobody else notices."""
+    customers = table(spark, sf_dir, "customer").where("c_nationkey = 3").select(
+        F.col("c_custkey").alias("o_custkey"))
+    orders = table(spark, sf_dir, "orders").where("o_orderstatus = 'F'").join(
+        customers, "o_custkey", "left_semi")
+    rows = orders.select("o_orderkey", F.create_map(F.lit("o_orderkey"), "o_orderkey").alias("params"))
+    return tasks.run_map(rows, _restless, "value bigint", keep=["o_orderkey"],
+                         limits=tasks.Limits(seconds=60))
+
+
 @query("run_placement", """
     SELECT count(*) AS tasks, true AS dealt_out FROM fx_grid
 """, ("fx_grid",))

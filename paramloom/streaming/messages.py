@@ -11,6 +11,7 @@ from collections.abc import Callable
 from contextlib import contextmanager
 
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -143,12 +144,22 @@ def on_finish(messages: DataFrame, callback: Callable[[DataFrame, int, dict], No
     """Calls back once per task, with the tasks that ended in a micro-batch, and parameters.
 
     An end that is delivered again, in this micro-batch or a later one, is known from
-    state, which holds a key per ended task.
+    state, which holds a key per ended task. A micro-batch whose call returned is noted in a
+    ledger beside the checkpoint; when it runs again, after a restart, it does not call again.
     """
+    ledger = f"{checkpoint.rstrip('/')}-called"
     ended = (messages.where(F.col("status") != "MSG").select("task_id", "status")
              .dropDuplicates(["task_id"]))
 
     def hook(rows: DataFrame, batch: int) -> None:
+        spark = rows.sparkSession
+        try:
+            called = spark.read.schema("batch bigint").parquet(ledger)
+            if not called.where(F.col("batch") == batch).isEmpty():
+                return
+        except AnalysisException:  # no call yet
+            pass
         callback(rows, batch, params)
+        spark.createDataFrame([(batch,)], "batch bigint").write.mode("append").parquet(ledger)
 
     return handle(ended, hook, checkpoint, until_done)

@@ -1,5 +1,6 @@
 """Streams over several micro-batches against the batch operators."""
 
+import pathlib
 import pytest
 from pyspark.sql import functions as F
 
@@ -132,6 +133,20 @@ def test_callback_gets_tasks_and_parameters(spark, events, source, paths):
     assert set().union(*[c[2] for c in calls]) == ended
 
 
+def test_a_batch_that_runs_again_does_not_call_again(spark, events, source, paths):
+    """The last batch's commit is lost after its call returned, so Spark runs it again."""
+    calls = []
+
+    def callback(rows, batch, params):
+        calls.append(batch)
+
+    for _ in range(2):
+        stream.on_finish(fx.message_columns(source), callback, {}, paths[1])
+        for name in (f"{FILES - 1}", f".{FILES - 1}.crc"):
+            (pathlib.Path(paths[1]) / "commits" / name).unlink(missing_ok=True)
+    assert calls == list(range(FILES))
+
+
 def test_poll_runs_until_stopped(spark, events, paths):
     everything = stream.read_messages(spark, events, spark.read.parquet(events).schema, None)
     lines = messages.route(fx.message_columns(everything))

@@ -130,3 +130,79 @@ def test_kept_columns(spark, partitions):
                          keep=["spec_id", "task_id"])
     assert done.columns == ["spec_id", "task_id", "status", "error", "n"]
     assert sorted(r["n"] for r in done.collect()) == [1, 2]
+
+
+def test_tasks_are_called_by_name(spark):
+    call = tasks.by_name({"double": lambda p: 2 * int(p["n"]), "size": lambda p: len(p)}, default="size")
+    df = params_frame(spark, [{"task": "double", "n": "4"}, {"task": "nobody"}, {"a": "1"}, {}])
+    rows = {r["task_id"]: (r["status"], r["error"], r["v"])
+            for r in tasks.run_map(df, call, "v int").collect()}
+    assert rows == {"0": ("SUCCESS", None, 8), "1": ("FAILURE", "UnknownTask: nobody", None),
+                    "2": ("SUCCESS", None, 1), "3": ("SUCCESS", None, 0)}
+
+
+def test_supervised_tasks_end_alone(spark):
+    import os
+    import time
+
+    def work(params):
+        kind = params["k"]
+        if kind == "exit":
+            os._exit(3)
+        if kind == "hang":
+            time.sleep(600)
+        if kind == "grow":
+            return {"v": len(bytearray(2_000_000_000))}
+        if kind == "leave":
+            raise SystemExit("bye")
+        if kind == "raise":
+            raise ValueError("no")
+        return ({"v": i} for i in range(25_000)) if kind == "many" else 7
+
+    kinds = ["exit", "hang", "grow", "leave", "raise", "many", "fine", "exit"]
+    done = tasks.run_map(params_frame(spark, [{"k": k} for k in kinds]), work, "v bigint",
+                         limits=tasks.Limits(seconds=3, megabytes=500)).cache()
+    failed = {r["task_id"]: r["error"] for r in done.where("status = 'FAILURE'").collect()}
+    assert failed == {"0": "TaskEnded: exit code 3", "1": "TaskEnded: no answer in 3 seconds",
+                      "2": "MemoryError: ", "3": "SystemExit: bye", "4": "ValueError: no",
+                      "7": "TaskEnded: exit code 3"}
+    assert done.where("task_id = '5'").count() == 25_000
+    assert done.where("task_id = '6'").first()["v"] == 7
+
+
+def test_interrupted_sweep_goes_on(spark, tmp_path):
+    """Killed in its third batch; the rerun calls only what was not committed."""
+    specs, calls, stop = tmp_path / "specs", tmp_path / "calls", tmp_path / "stop"
+    specs.mkdir()
+    calls.mkdir()
+    (specs / "a.yaml").write_text("# spec a\nn: !!python/tuple [0, 40]\n")
+    stop.write_text("")
+
+    def work(params):
+        import os
+        import uuid
+        if os.path.exists(str(stop)) and len(os.listdir(str(calls))) >= 22:
+            os._exit(1)  # takes its worker along, and so the job
+        open(f"{calls}/{params['n']}-{uuid.uuid4().hex}", "w").close()
+        return {"v": int(params["n"])}
+
+    def sweep(**more):
+        return job.run_sweep(spark, str(specs), str(tmp_path / "out"), work, "v int",
+                             partitions=1, batches=8, **more)
+
+    with pytest.raises(Exception):
+        sweep()
+    committed = job._committed(spark, str(tmp_path / "out")).count()
+    assert 0 < committed < 40
+    before = {p.name.split("-")[0] for p in calls.iterdir()}
+    stop.unlink()
+    done = sweep(resume=True)
+    assert sorted(r["v"] for r in done.results.collect()) == list(range(40))
+    names = [p.name.split("-")[0] for p in calls.iterdir()]
+    again = {n for n in names if names.count(n) > 1}
+    assert set(names) == {str(i) for i in range(40)}
+    assert len(again) == len(before) - committed < 10
+    total = len(names)
+    assert sweep(resume=True).results.count() == 40
+    assert len(list(calls.iterdir())) == total
+    assert done.log.where("kind = 'header'").count() == 40
