@@ -1,6 +1,7 @@
 """Streams over several micro-batches against the batch operators."""
 
 import pathlib
+
 import pytest
 from pyspark.sql import functions as F
 
