@@ -17,8 +17,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 
 def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = documents(spark, sf_dir)
-    return licenses.scan(docs, licenses.train(docs))
+    return licenses.scan(documents(spark, sf_dir), licenses.fit())
 
 
 def op2_token_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -390,28 +390,89 @@ def test_probabilities_sum_to_one():
 
 # licences
 
-def test_licences_equal_plain_python(spark, empty):
-    lines = [t for ts in licenses.TEMPLATES.values() for t in ts] + licenses.GENERIC + [
-        "", "plain words here", "mit", "Licensed under the Foo License."]
-    rows = [(i, "first line\n" + t + "\nlast") for i, t in enumerate(lines)]
-    rows += [(100, None), (101, ""), (102, " ".join(some_words(3, 5000)) + "\n" + lines[0]),
-             (None, lines[0])]
-    df = spark.createDataFrame(rows, "doc_id long, text string")
-    model = licenses.train(df)
+def wrapped(text, width=60, sign="# "):
+    import textwrap
+    return "\n".join(sign + line for line in textwrap.wrap(text, width))
+
+
+#: Whole notices as they stand in files, and what they are.
+NOTICES = [
+    ("Copyright (c) 2020 Jane Doe\n\nPermission is hereby granted, free of charge, to any person "
+     "obtaining a copy\nof this software and associated documentation files (the \"Software\"), to "
+     "deal\nin the Software without restriction, including without limitation the rights\nto use, "
+     "copy, modify, merge, publish, distribute, sublicense, and/or sell\ncopies of the Software, and "
+     "to permit persons to whom the Software is\nfurnished to do so, subject to the following "
+     "conditions:", {"MIT"}),
+    (wrapped("This program is free software: you can redistribute it and/or modify it under the "
+             "terms of the GNU General Public License as published by the Free Software "
+             "Foundation, either version 3 of the License, or (at your option) any later version."),
+     {"GPL"}),
+    (wrapped("This library is free software; you can redistribute it and/or modify it under the "
+             "terms of the GNU Lesser General Public License as published by the Free Software "
+             "Foundation; either version 2.1 of the License.", 50, " * "), {"LGPL"}),
+    (wrapped('Licensed under the Apache License, Version 2.0 (the "License"); you may not use this '
+             "file except in compliance with the License. You may obtain a copy of the License at "
+             "http://www.apache.org/licenses/LICENSE-2.0", 72, "// "), {"Apache-2.0"}),
+    ("ISC License", {"ISC"}), ("SPDX-License-Identifier: MIT", {"MIT"}),
+    ("/* SPDX-License-Identifier: GPL-2.0-only */", {"GPL"}),
+    ("Licensed under CC BY-NC 4.0.", {"CC-BY-NC"}), ("Licensed under CC BY 4.0.", {"CC-BY"}),
+    ("This text is licensed under a Creative Commons Attribution-ShareAlike 4.0 International "
+     "License.", {"CC-BY-SA"}),
+    ("See http://creativecommons.org/licenses/by-nd/4.0/ for the terms.", {"CC-BY-ND"}),
+    ("This Source Code Form is subject to the terms of the Mozilla Public\nLicense, v. 2.0. If a copy "
+     "of the MPL was not distributed with this\nfile, You can obtain one at "
+     "https://mozilla.org/MPL/2.0/.", {"MPL-2.0"}),
+    ("Redistribution and use in source and binary forms, with or without\nmodification, are permitted "
+     "provided that the following conditions are met:", {"BSD"}),
+    ("This is free and unencumbered software released into the public domain.", {"Unlicense"}),
+    ("Licensed under the Foo License.", {"unknown"}),
+    ("Released under the Hyperion Public License, version 1.0.", {"unknown"}),
+    ("He renewed his license in the spring.", set()), ("The copyright office was closed.", set()),
+    ("Plain words stand here, nothing else.", set()), ("mit der Version 2.0 kam er", set()),
+]
+
+
+def test_licences_equal_plain_python(spark, empty, odd):
+    prose = " ".join(some_words(3, 400))
+    rows = [(i, text) for i, (text, _) in enumerate(NOTICES)]
+    rows += [(100 + i, f"{prose}\n{text}\n{prose}") for i, (text, _) in enumerate(NOTICES)]
+    rows += [(300, None), (301, ""), (302, " \n \n"), (303, " ".join(some_words(3, 5000)) + "\n" +
+             NOTICES[7][0] + " " + prose), (304, "\n\n".join(t for t, _ in NOTICES)),
+             (305, NOTICES[5][0] + "\nLicensed under the Foo License."), (None, NOTICES[4][0])]
+    df = spark.createDataFrame([(*r, "x", 1.0) for r in rows],
+                               "doc_id long, text string, family string, probability double")
+    model = licenses.fit()
+    found = licenses.scan(df.repartition(3), model).collect()
     got = sorted((r["doc_id"] if r["doc_id"] is not None else -1, r["paragraph"], r["family"],
-                  r["similarity"]) for r in licenses.scan(df, model).collect())
-    want = sorted((-1 if i is None else i, p, f, s) for i, t in rows
-                  for p, f, _, s in licenses.scan_one(t, model))
+                  round(r["probability"], 4), r["similarity"]) for r in found)
+    want = sorted((-1 if i is None else i, p, f, round(v, 4), s) for i, t in rows
+                  for p, f, v, s in licenses.scan_one(t, model))
     assert got == want
-    families = {(d, f) for d, _, f, _ in got}
-    assert {(0, "MIT"), (3, "Apache-2.0"), (102, "MIT"), (-1, "MIT")} <= families
-    assert (len(lines) - 1, "unknown") in families
-    assert not any(d == len(lines) - 3 for d, _ in families)
+    families = {}
+    for d, _, f, *_ in got:
+        families.setdefault(d, set()).add(f)
+    for i, (text, expected) in enumerate(NOTICES):
+        assert families.get(i, set()) >= expected, text
+        assert expected or i not in families, text
+        assert families.get(100 + i, set()) == families.get(i, set()) - {"unknown"} or (
+            expected == {"unknown"}), text
+    assert families[303] == {"CC-BY-NC"} and families[305] == {"MIT"} and families[-1] == {"ISC"}
     assert licenses.scan(empty, model).count() == 0
+    twice = spark.createDataFrame([(1, NOTICES[4][0])] * 2, "doc_id long, text string")
+    assert [r["family"] for r in licenses.scan(twice, model).collect()] == ["ISC", "ISC"]
+
+
+def test_planted_licences_are_all_found(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = licenses.scan(docs, licenses.fit()).select("doc_id", "family").collect()
+    planted = {r["doc_id"]: r["text"] for r in docs.where("text rlike '[Ll]icense'").collect()}
+    names = {"GNU General": "GPL", "CC BY-NC": "CC-BY-NC", "MIT": "MIT", "Apache": "Apache-2.0"}
+    want = {(i, f) for i, t in planted.items() for n, f in names.items() if n in t}
+    assert {(r["doc_id"], r["family"]) for r in rows} == want != set()
 
 
 def test_licence_scan_runs_no_python(docs):
-    model = licenses.fit([])
+    model = licenses.fit()
     for df in (licenses.scan(docs, model), exact.exact_duplicates(docs)):
         plan = df._jdf.queryExecution().executedPlan().toString()
         assert "Python" not in plan and "InArrow" not in plan and "Pandas" not in plan
