@@ -1,8 +1,10 @@
 """Mixing sources to target weights by iterative proportional fitting.
 
 Tokens are counted per cell (source, language and topic), and the cells' weights are raked until
-their sums per source, per language and per topic meet the targets. A document is sampled with
-the probability of its cell, by a hash of its id.
+their sums per source, per language and per topic meet the targets. A cell's weight is how many
+copies of each of its documents the mixture holds on average: a document gets the whole part for
+certain, and one copy more with the probability of the rest, by a hash of its id. So targets are met
+also where they ask for more than the data hold once, and nothing is cut.
 
 Values without a target count as ``OTHER``; cells are thus at most as many as the product of the
 target lists' lengths, whatever the data, and only their sums reach the driver.
@@ -84,46 +86,52 @@ def _uniform(doc_id: Column, seed: str) -> Column:
     return F.conv(F.substring(digest, 1, 13), 16, 10).cast("long") / F.lit(float(2**52))
 
 
-def probabilities(rows: DataFrame, targets: dict[str, dict[str, float]] = TARGETS,
-                  share: float = SHARE, rounds: int = ROUNDS, seed: str = SEED) -> DataFrame:
-    """``rows`` of ``measured`` with ``probability`` and ``kept``.
-
-    A cell's probability is ``share`` times its factor, at most 1, so that cells which the
-    targets ask to grow beyond the data are kept whole.
-    """
+def _weights(rows: DataFrame, targets: dict[str, dict[str, float]], share: float,
+             rounds: int) -> DataFrame:
+    """``weight`` of each cell of ``rows`` of ``measured``: ``share`` times its factor."""
     dims = list(targets)
     cells = {tuple(r[:-1]): float(r[-1]) for r in
              rows.groupBy(*dims).agg(F.sum("n_tokens")).collect()}
-    factors = rake(cells, dims, targets, rounds)
-    table = rows.sparkSession.createDataFrame(
-        [(*k, float(min(1.0, round(share * f, 9)))) for k, f in factors.items()],
-        ", ".join(f"{d} string" for d in dims) + ", probability double")
-    return rows.join(F.broadcast(table), dims).withColumn(
-        "kept", _uniform(F.col("doc_id"), seed) < F.col("probability"))
+    return rows.sparkSession.createDataFrame(
+        [(*k, float(round(share * f, 9))) for k, f in rake(cells, dims, targets, rounds).items()],
+        ", ".join(f"{d} string" for d in dims) + ", weight double")
+
+
+def _copies(doc_id: Column, weight: Column, seed: str) -> Column:
+    whole = F.floor(weight)
+    return (whole + (_uniform(doc_id, seed) < weight - whole).cast("long")).cast("long")
 
 
 def mixed(docs: DataFrame, targets: dict[str, dict[str, float]] = TARGETS, share: float = SHARE,
           rounds: int = ROUNDS, seed: str = SEED) -> DataFrame:
-    """``doc_id, source, lang, topic, n_tokens, probability, kept`` for each row of ``docs``.
+    """``doc_id, source, lang, topic, n_tokens, weight, copies, kept`` for each row of ``docs``.
 
     ``docs`` has doc_id, text, source and lang; null values of source and lang count as
-    ``OTHER``, null texts as empty. Rows of one doc_id and cell share their fate; rows without
+    ``OTHER``, null texts as empty. The mixture holds ``copies`` of a row, ``weight`` on average;
+    it has about ``share`` of all tokens. Rows of one doc_id and cell share their fate; rows without
     doc_id are drawn together. Other columns are ignored; an empty table gives no rows.
     """
-    return probabilities(written(measured(docs, targets), "mix-rows"), targets, share, rounds, seed)
+    rows = written(measured(docs, targets), "mix-rows")
+    weighed = rows.join(F.broadcast(_weights(rows, targets, share, rounds)), list(targets))
+    copies = _copies(F.col("doc_id"), F.col("weight"), seed)
+    return weighed.withColumn("copies", copies).withColumn("kept", F.col("copies") > 0)
 
 
 def sample(docs: DataFrame, targets: dict[str, dict[str, float]] = TARGETS, share: float = SHARE,
            rounds: int = ROUNDS, seed: str = SEED) -> DataFrame:
-    """The sampled rows of ``docs``, all columns."""
-    drawn = (mixed(docs, targets, share, rounds, seed).where("kept")
-             .select(F.col("doc_id").alias("__id"), F.col("source").alias("__source"),
-                     F.col("lang").alias("__lang"), F.col("topic").alias("__topic")).distinct())
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("__id"))
-    for dim, value in (("source", F.col("source")), ("lang", F.col("lang")),
-                       ("topic", topic_of(F.coalesce(F.col("text"), F.lit(""))))):
-        same = same & (_value(value, targets[dim]) == F.col(f"__{dim}"))
-    return docs.join(drawn, same, "left_semi")
+    """The mixture: rows of ``docs``, all columns, each as often as ``mixed`` says.
+
+    A row's cell and draw follow from the row and the broadcast weights; no row is shuffled.
+    """
+    cells = _weights(measured(docs, targets), targets, share, rounds).toDF(
+        *[f"__{d}" for d in targets], "__weight")
+    own = {"source": F.col("source"), "lang": F.col("lang"),
+           "topic": topic_of(F.coalesce(F.col("text"), F.lit("")))}
+    known = docs.withColumns({f"__{d}": _value(own[d], targets[d]) for d in targets})
+    drawn = known.join(F.broadcast(cells), [f"__{d}" for d in targets])
+    copies = _copies(F.col("doc_id").cast("long"), F.col("__weight"), seed).cast("int")
+    return drawn.withColumn("__copy", F.explode(F.array_repeat(F.lit(0), copies))).select(
+        *[F.col(c) for c in docs.columns])
 
 
 def _sql() -> str:
@@ -162,12 +170,14 @@ def _sql() -> str:
     parts.append(f"factors AS (SELECT source, lang, topic, w / sum(w) OVER () * sum(n) OVER () / n "
                  f"AS f FROM r{step})")
     return ("WITH " + ", ".join(parts) + f"""
-    , p AS (SELECT m.*, least(1.0, round({SHARE} * coalesce(f, 1.0), 9))::DOUBLE AS probability
+    , p AS (SELECT m.*, round({SHARE} * coalesce(f, 1.0), 9)::DOUBLE AS weight
             FROM measured m LEFT JOIN factors USING (source, lang, topic))
-    SELECT doc_id, source, lang, topic, n_tokens, probability,
+    , drawn AS (SELECT *, (floor(weight) + CASE WHEN
            ('0x' || substr(md5(coalesce(doc_id::VARCHAR, 'none') || ':{SEED}'), 1, 13))::BIGINT
-             / 4503599627370496.0 < probability AS kept
-    FROM p""")
+             / 4503599627370496.0 < weight - floor(weight) THEN 1 ELSE 0 END)::BIGINT AS copies
+      FROM p)
+    SELECT doc_id, source, lang, topic, n_tokens, weight, copies, copies > 0 AS kept
+    FROM drawn""")
 
 
 SQL = _sql()

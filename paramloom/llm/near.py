@@ -2,14 +2,15 @@
 
 Each text becomes the set of its distinct five-word shingles. The k smallest hashes of a set are
 its sketch. Inverted lists over the retained values propose pairs, the sketch of the union
-filters them (after a coarse look at sizes and 128-bit signatures), and the full sets decide: ``100 * intersection >= 85 * union``.
+filters them (after a coarse look at sizes and 128-bit signatures), and the full sets decide:
+``100 * intersection >= percent * union``, with 80 percent or more.
 
 A list is kept per run of neighbouring retained values and not per single value: a passage that
 a third of all documents hold would otherwise make one list of a third of all documents. Two
-sets of the threshold's similarity have at least 85 % of the union's smallest values in common,
-so they share a run of four: always when both sets fit into the sketch, else with all but a
-5e-9 chance (k = 64). Sets of six and seven shingles also use runs of three, as one odd shingle
-may split them.
+sets of the threshold's similarity have at least 80 or 85 % of the union's smallest values in
+common, so they share a run of four: always when both sets fit into the sketch and have enough
+values (``_short_runs``: smaller sets also use shorter runs, as a few odd shingles may split
+them), else with all but a 1e-8 chance for 85 % and 1e-6 for 80 % (k = 64).
 
 No list is ever expanded into all its pairs at once. First every document of a list is
 compared with the list's smallest document, and what is similar is joined into components.
@@ -35,13 +36,45 @@ from paramloom.llm.words import mix, shingle_sets, slices, words_of
 SHINGLE = 5
 RETAINED = 64
 PERCENT = 85
-LEAST_ESTIMATE = 0.6
-MOST_BITS = 28
 WIDE = 256
 MARGIN = 6
 SMALL_LIST = 2_000
 RUN = 4
 BUCKETS = 1 << 16
+LEAST_PERCENT = 80
+
+
+def _short_runs(percent: int) -> dict[int, int]:
+    """Length of a run shorter than ``RUN`` -> the largest union whose sets may need it.
+
+    Of u values at least ``percent`` are common; the others split them into stretches, the
+    longest of which has at least as many values as this counts with.
+    """
+    out: dict[int, int] = {}
+    for union in range(2, 64):
+        odd = union * (100 - percent) // 100
+        if odd:
+            longest = -(-(union - odd) // (odd + 1))
+            if longest < RUN:
+                out[longest] = union
+    return out
+
+
+def _least_size(percent: int) -> int:
+    """Sets of fewer values reach ``percent`` only with equal sets."""
+    return next(n for n in range(1, 101) if 100 * n >= percent * (n + 1))
+
+
+def _most_bits(percent: int) -> int:
+    """How many of the 128 bits of two sets' signatures may differ: six standard deviations."""
+    share = (100 - percent) / 200
+    return int(128 * share + 6 * (128 * share * (1 - share)) ** 0.5)
+
+
+def _least_estimate(percent: int, retained: int) -> float:
+    """The least share on a union's sketch that is looked at further: five deviations less."""
+    share = percent / 100
+    return share - 5 * (share * (1 - share) / retained) ** 0.5
 
 
 def _bits(values: np.ndarray) -> np.ndarray:
@@ -93,14 +126,19 @@ def profiles(docs: DataFrame, shingle: int = SHINGLE, retained: int = RETAINED)
         "doc_id long, n_shingles long, set_id binary, sketch array<long>, low long, high long")
 
 
-def _listed(nodes: DataFrame, run: int) -> DataFrame:
-    """``pos, key, node, n``: one row for each run of ``run`` neighbouring retained values."""
+def _listed(nodes: DataFrame, run: int, percent: int) -> DataFrame:
+    """``pos, key, node, n``: one row for each run of ``run`` neighbouring retained values.
+
+    Runs of small sets that are shorter than ``run`` come behind the others.
+    """
     def keys(length):
         places = F.sequence(F.lit(1), F.size("sketch") - length + 1)
         return F.transform(places, lambda i: F.xxhash64(F.lit(length), F.slice("sketch", i, length)))
     longer = F.when(F.size("sketch") >= run, keys(run)).otherwise(F.array().cast("array<long>"))
-    longer = F.when(F.size("sketch").between(6, 7), F.concat(longer, keys(3))).otherwise(longer)
-    return nodes.where("n >= 6").select(
+    for length, largest in _short_runs(percent).items():
+        longer = F.when(F.size("sketch").between(length, largest),
+                        F.concat(longer, keys(length))).otherwise(longer)
+    return nodes.where(F.col("n") >= _least_size(percent)).select(
         F.posexplode(longer).alias("pos", "key"), "node", "n")
 
 
@@ -113,22 +151,23 @@ def _shared(listed: DataFrame, nodes: DataFrame) -> DataFrame:
             .join(side.toDF("leader", "n_leader", "low_leader", "high_leader"), "leader"))
 
 
-def _plausible(left: tuple[str, str, str], right: tuple[str, str, str]) -> F.Column:
+def _plausible(left: tuple[str, str, str], right: tuple[str, str, str],
+               percent: int) -> F.Column:
     """Whether sizes and signatures (n, low, high) let two sets reach the threshold.
 
     A shingle in one set only changes at most one bit, and that half of the time: at 85 %
-    similarity 9.6 bits of 128 differ on average, and more than ``MOST_BITS`` with a chance
-    below 1e-6 (never in sets of less than 190 shingles).
+    similarity 9.6 bits of 128 differ on average, at 80 % 12.8, and more than ``_most_bits`` with
+    a chance below 1e-6 (never in sets of less than 140 shingles).
     """
     (n, low, high), (m, low2, high2) = left, right
     differing = (F.bit_count(F.col(low).bitwiseXOR(F.col(low2)))
                  + F.bit_count(F.col(high).bitwiseXOR(F.col(high2))))
-    return (PERCENT * F.greatest(n, m) <= 100 * F.least(n, m)) & (differing <= MOST_BITS)
+    return (percent * F.greatest(n, m) <= 100 * F.least(n, m)) & (differing <= _most_bits(percent))
 
 
-def _to_leader(shared: DataFrame) -> DataFrame:
+def _to_leader(shared: DataFrame, percent: int) -> DataFrame:
     return (shared.where((F.col("node") != F.col("leader")) & _plausible(
-        ("n", "low", "high"), ("n_leader", "low_leader", "high_leader")))
+        ("n", "low", "high"), ("n_leader", "low_leader", "high_leader"), percent))
         .select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct())
 
 
@@ -159,9 +198,10 @@ def _common(owner: np.ndarray, values: np.ndarray, m: int,
     return common
 
 
-def _earlier_runs(padded: np.ndarray, pos: np.ndarray, live: pa.ListArray, length: int):
+def _earlier_runs(padded: np.ndarray, pos: np.ndarray, live: pa.ListArray, length: int,
+                  retained: int):
     """Owner and hash of each run of a node that has a list and stands before the node's ``pos``."""
-    runs = RETAINED - length + 1
+    runs = retained - length + 1
     hashes = np.zeros((len(pos), runs), np.uint64)
     for t in range(length):
         hashes = mix(hashes + padded[:, t:t + runs].astype(np.int64).view(np.uint64))
@@ -207,10 +247,11 @@ def _likely(nodes, n, sizes, padded, i, j, both, percent: int) -> pa.Table:
                      "b": np.maximum(nodes[i], nodes[j])[keep]})
 
 
-def _list_pairs(percent: int, length: int):
+def _list_pairs(percent: int, length: int, retained: int):
     """Pairs of a list, in different components, that may reach ``percent``.
 
-    A pair is put out in the first list only that both nodes are in.
+    A pair is put out in the first list only that both nodes are in. Lists of shorter runs put
+    out all.
     """
     def run(key, table):
         m = len(table)
@@ -218,8 +259,9 @@ def _list_pairs(percent: int, length: int):
             table.column(c).to_numpy() for c in ("node", "n", "component", "pos"))
         sizes, owner, values, padded = _wide_sketches(table)
         common = _common(owner, values, m)
-        earlier = _common(*_earlier_runs(
-            padded, pos, table.column("live").combine_chunks(), length), m)
+        short = pos > np.minimum(n, retained) - length
+        earlier = np.zeros((m, m)) if short.any() else _common(*_earlier_runs(
+            padded, pos, table.column("live").combine_chunks(), length, retained), m)
         i, j = np.nonzero(np.triu(component[:, None] != component[None, :], 1)
                           & (100 * np.minimum(n[:, None], n[None, :])
                              >= percent * np.maximum(n[:, None], n[None, :]))
@@ -229,7 +271,8 @@ def _list_pairs(percent: int, length: int):
     return run
 
 
-def _across(rows: DataFrame, sets: DataFrame, percent: int, length: int) -> DataFrame:
+def _across(rows: DataFrame, sets: DataFrame, percent: int, length: int,
+            retained: int) -> DataFrame:
     """Pairs of a list's nodes that are in different components and similar by wide sketches.
 
     A wide sketch has the ``WIDE`` smallest values, for sets up to that size all of them; for
@@ -238,7 +281,7 @@ def _across(rows: DataFrame, sets: DataFrame, percent: int, length: int) -> Data
     live = rows.groupBy("node").agg(F.collect_list("pos").alias("live"))
     rows = rows.join(live, "node").join(_wide(sets), "node")
     return rows.groupBy("key").applyInArrow(
-        _list_pairs(percent, length), "a long, b long").distinct()
+        _list_pairs(percent, length, retained), "a long, b long").distinct()
 
 
 def _wide(sets: DataFrame) -> DataFrame:
@@ -332,13 +375,13 @@ def _across_rare(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         _rare_pairs(percent), "a long, b long").distinct()
 
 
-def _estimated(pairs: DataFrame, nodes: DataFrame, retained: int) -> DataFrame:
+def _estimated(pairs: DataFrame, nodes: DataFrame, retained: int, percent: int) -> DataFrame:
     """Pairs whose similarity, estimated on the union's sketch, may reach the threshold."""
     side = nodes.select("node", "sketch")
     both = pairs.join(side.toDF("a", "sa"), "a").join(side.toDF("b", "sb"), "b")
     union = F.slice(F.sort_array(F.array_union("sa", "sb")), 1, retained)
     share = F.size(F.array_intersect(union, F.array_intersect("sa", "sb"))) / F.size(union)
-    return both.where(share >= LEAST_ESTIMATE).select("a", "b")
+    return both.where(share >= _least_estimate(percent, retained)).select("a", "b")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -355,10 +398,10 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, shingle: int = SHIN
     Null and empty texts, and texts without words, have no shingles and link with nothing.
     Rows with the same doc_id count as one document. A row without doc_id links with nothing
     and is kept, its component_id is null. Other columns are ignored; an empty table gives an
-    empty result. ``percent`` may be 85 or more.
+    empty result. ``percent`` may be 80 or more.
     """
-    if percent < PERCENT:
-        raise ValueError(f"runs of retained values are made for at least {PERCENT} percent")
+    if percent < LEAST_PERCENT:
+        raise ValueError(f"runs of retained values are made for at least {LEAST_PERCENT} percent")
     table = written(profiles(docs, shingle, retained), "near-profiles")
     classes = (table.where("n_shingles > 0 and doc_id is not null")
                .groupBy("set_id").agg(F.min("doc_id").alias("node")))
@@ -367,7 +410,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, shingle: int = SHIN
         "node", F.col("n_shingles").alias("n"), "sketch", "low", "high")
     nodes = written(nodes, "near-nodes")
 
-    shared = written(_shared(_listed(nodes, RUN), nodes), "near-lists")
+    shared = written(_shared(_listed(nodes, RUN, percent), nodes), "near-lists")
     wanted = shared.select(F.col("node").alias("doc_id")).distinct()
     texts = docs.select(F.col("doc_id").cast("long"), "text").join(
         wanted.hint("shuffle_hash"), "doc_id", "left_semi")
@@ -375,25 +418,27 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, shingle: int = SHIN
                    "near-sets")
 
     def decided(pairs):
-        return _verified(_estimated(pairs, nodes, retained), sets, percent)
+        return _verified(_estimated(pairs, nodes, retained, percent), sets, percent)
 
-    labels = components(decided(_to_leader(shared)))
+    labels = components(decided(_to_leader(shared, percent)))
     rows = written(_open_lists(shared, labels), "near-open")
     short = rows.where(F.col("length") <= SMALL_LIST)
-    labels = relabelled(labels, _verified(_across(short, sets, percent, RUN), sets, percent))
+    labels = relabelled(labels, _verified(_across(short, sets, percent, RUN, retained), sets, percent))
     large = rows.where(F.col("length") > SMALL_LIST).select("node").distinct()
     if not large.isEmpty():
         among = nodes.join(large, "node", "left_semi")
         shared = written(_shared(_rare(among.select("node", "n"), sets, percent), among),
                          "near-lists")
-        labels = relabelled(labels, decided(_to_leader(shared)))
+        labels = relabelled(labels, decided(_to_leader(shared, percent)))
         rows = _open_lists(shared, labels)
         labels = relabelled(labels, _verified(_across_rare(rows, sets, percent), sets, percent))
 
-    same = table.where("doc_id is not null").select("doc_id", "set_id").join(classes, "set_id")
-    placed = same.join(labels, "node", "left").select(
-        "set_id", F.coalesce("component", "node").alias("component_id")).distinct()
-    out = table.join(placed, "set_id", "left").withColumn(
-        "component_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")))
+    placed = classes.join(labels, "node", "left").select(
+        "set_id", F.coalesce("component", "node").alias("component_id"))
+    # Rows without shingles are no group that would meet in one task.
+    linked = (F.col("n_shingles") > 0) & F.col("doc_id").isNotNull()
+    out = table.where(linked).join(placed, "set_id").select(
+        "doc_id", "n_shingles", "component_id").unionByName(
+        table.where(~linked).select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
     return out.select("doc_id", "n_shingles", "component_id",
                       F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))

@@ -80,18 +80,48 @@ def test_near_duplicates_in_lists_longer_than_the_small_ones(docs, monkeypatch):
     assert got == brute.near_duplicates(texts())
 
 
-@pytest.mark.parametrize("n", [6, 7, 8, 13, 14, 20, 27, 40])
-def test_near_duplicates_of_small_sets(spark, n):
-    """Sets with exactly as many odd shingles as the threshold allows."""
-    rows, rng = [], random.Random(n)
-    for i in range(12):
-        words = some_words(1000 + i, n + 4)
-        rows.append((2 * i, " ".join(words)))
-        cut = rng.randrange(1, 1 + max(1, n * 15 // 100))
-        rows.append((2 * i + 1, " ".join(words[cut:])))
-    df = spark.createDataFrame(rows, "doc_id long, text string")
-    got = by_id(near.near_duplicates(df), "n_shingles", "component_id", "kept")
-    assert got == brute.near_duplicates(rows)
+@pytest.mark.parametrize("percent", [80, 85])
+def test_near_duplicates_of_small_sets(spark, percent):
+    """Sets with exactly as many odd shingles as the threshold allows, or one more."""
+    rows, rng = [], random.Random(percent)
+    for n in (*range(4, 24), 27, 30, 40, 55):
+        for i in range(6):
+            words = some_words(1000 * n + i, n + 4)
+            odd = max(1, n * (100 - percent) // 100 + rng.randrange(2))
+            begin = len(rows)
+            rows.append((begin, " ".join(words)))
+            if i % 3 == 0:
+                other = words[odd:]
+            elif i % 3 == 1:
+                other = words[:-odd]
+            else:
+                other = some_words(77_000 + begin, odd) + words
+            rows.append((begin + 1, " ".join(other)))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = by_id(near.near_duplicates(df, percent), "n_shingles", "component_id", "kept")
+    want = brute.near_duplicates(rows, percent)
+    assert got == want
+    assert 20 < sum(not kept for _, _, kept in want.values()) < len(rows) // 2
+
+
+def test_near_duplicates_at_eighty_equal_brute_force(spark):
+    """Large sets just above and below the threshold, and families around a common passage."""
+    rows, rng = [], random.Random(80)
+    passage = some_words(5, 60)
+    for i in range(60):
+        words = some_words(20_000 + i, 400)
+        rows.append((2 * i, " ".join(words + passage)))
+        other = list(words)
+        for at in range(3, 400, rng.choice([44, 48, 52, 60])):  # each change makes five odd shingles
+            other[at] = f"odd{i}x{at}"
+        rows.append((2 * i + 1, " ".join(other + passage)))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = by_id(near.near_duplicates(df, 80), "n_shingles", "component_id", "kept")
+    want = brute.near_duplicates(rows, 80)
+    assert got == want
+    assert want != brute.near_duplicates(rows, 85)
+    with pytest.raises(ValueError):
+        near.near_duplicates(df, 79)
 
 
 @pytest.mark.parametrize("small_list", [1, 3])
@@ -306,12 +336,33 @@ def test_mixing_of_all_rows(docs, odd, empty):
     assert {r["doc_id"]: r["n_tokens"] for r in rows} == {
         i: len(brute.words(t)) for i, t in texts()}
     assert {r["lang"] for r in rows} == {"en", "other"}
-    kept = {r["doc_id"] for r in rows if r["kept"]}
+    assert all(r["weight"] - 1 < r["copies"] < r["weight"] + 1 for r in rows)
+    drawn = sorted(i for r in rows for i in [r["doc_id"]] * r["copies"])
     sampled = mixing.sample(docs)
     assert sampled.columns == docs.columns
-    assert {r["doc_id"] for r in sampled.collect()} == kept
-    assert mixing.mixed(odd).count() == 5
-    assert mixing.mixed(empty).count() == 0
+    assert sorted(r["doc_id"] for r in sampled.collect()) == drawn
+    plan = sampled._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange hashpartitioning" not in plan and "BroadcastHashJoin" in plan
+    strange = [(r["doc_id"], r["source"], r["n_tokens"], r["kept"], r["copies"] > 0)
+               for r in mixing.mixed(odd).collect()]
+    assert sorted((i or 0, s, n) for i, s, n, *_ in strange) == [
+        (0, "other", 0), (0, "other", 60), (5, "src1", 60), (5, "src1", 60), (6, "src1", 61)]
+    assert all(kept == some for *_, kept, some in strange)
+    assert mixing.mixed(empty).count() == 0 and mixing.sample(empty).count() == 0
+
+
+def test_drawn_marginals_meet_the_targets(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    rows = mixing.mixed(docs).groupBy(*mixing.TARGETS).agg(
+        F.sum(F.col("n_tokens") * F.col("copies")).alias("n"), F.sum("n_tokens").alias("all")).collect()
+    total = sum(r["n"] for r in rows)
+    assert total / sum(r["all"] for r in rows) == pytest.approx(mixing.SHARE, abs=0.02)
+    for dim, targets in mixing.TARGETS.items():
+        there = {r[dim] for r in rows if r["all"]}
+        whole = sum(w for v, w in targets.items() if v in there)
+        for value in there:
+            share = sum(r["n"] for r in rows if r[dim] == value) / total
+            assert share == pytest.approx(targets[value] / whole, abs=0.01), (dim, value)
 
 
 # pieces
