@@ -29,14 +29,14 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies; documents without doc_id stay."""
-    dropped = near.near_duplicates(docs).where("not kept").select(
+    """One document of each group of near copies, 80 % alike; documents without doc_id stay."""
+    dropped = near.near_duplicates(docs, percent=80).where("not kept").select(
         F.col("doc_id").alias("near_doc_id")).distinct()
     return docs.join(dropped, docs["doc_id"].cast("long") == F.col("near_doc_id"), "left_anti")
 
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents drawn so that tokens meet the targets per source, language and topic."""
+    """Documents so that tokens meet the targets per source, language and topic, some repeated."""
     return mixing.sample(docs)
 
 
