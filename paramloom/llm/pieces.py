@@ -31,6 +31,7 @@ from paramloom.llm.words import slices
 
 ESCAPE = "▁"
 KNOWN_WORDS = 200_000
+KNOWN_BORDERS = 500_000
 LETTERS = "".join(chr(c) for c in range(ord("A"), 0x250) if chr(c).isalpha())
 
 
@@ -55,7 +56,6 @@ class Transducer:
             raise ValueError("only normalisers that escape spaces and change nothing else")
         if len(self.byte_ids) != 256:
             raise ValueError("a model with byte fallback is needed")
-        self.starts = {p[:n] for p in self.ids for n in range(1, len(p) + 1)}
         # Signs that no piece joins to a letter before them; a line end, that none joins at all.
         joined = {a + b for p in self.ids for a, b in zip(p, p[1:])}
         signs = "".join(c for c in ".,;:!?" if not any(x + c in joined for x in LETTERS))
@@ -76,8 +76,13 @@ class Transducer:
             self.out[source.unk_id()] = " ⁇ ".encode()
         self.known: dict[str, bytes] = {}
         self.before: dict[str, bytes] = {}
+        self.borders: dict[str, dict[str, bool]] = {}
+        self.n_borders = 0
         found = {p: self._halves(p) for p in self.ids if len(p) > 1}
         self.halves = {p: h for p, h in found.items() if h is not None}
+        # Arcs by spelling: whether a longer piece may begin so (False), or a piece is it (True).
+        self.arcs = {p[:n]: False for p in self.ids for n in range(1, len(p) + 1)}
+        self.arcs.update(dict.fromkeys(self.halves, True))
 
     def normalised(self, text: str) -> str:
         return ESCAPE + text.replace(" ", ESCAPE) if text else ""
@@ -126,21 +131,30 @@ class Transducer:
         """
         n = len(word)
         last: list[str | None] = [""] + [None] * n
-        starts, halves, follows = self.starts, self.halves, self.follows
+        arcs, follows = self.arcs, self.follows
+        if self.n_borders > KNOWN_BORDERS:
+            self.borders, self.n_borders = {}, 0
         for i in range(n):
             left = last[i]
             if left is None:
                 continue
-            if last[i + 1] is None:
-                part = word[i]
-                if not left or follows(left, part):
-                    last[i + 1] = part
-            for j in range(i + 2, n + 1):
+            fits = self.borders.setdefault(left, {})
+            j, part, piece = i + 1, word[i], True
+            while True:
+                if piece and last[j] is None:
+                    fit = fits.get(part) if left else True
+                    if fit is None:
+                        fit = fits[part] = follows(left, part)
+                        self.n_borders += 1
+                    if fit:
+                        last[j] = part
+                j += 1
+                if j > n:
+                    break
                 part = word[i:j]
-                if part not in starts:
+                piece = arcs.get(part)
+                if piece is None:
                     break
-                if last[j] is None and part in halves and (not left or follows(left, part)):
-                    last[j] = part
         parts, at = [], n
         while at:
             parts.append(last[at])
@@ -150,8 +164,9 @@ class Transducer:
     def _word_ids(self, word: str) -> bytes:
         found: list[int] = []
         for part in self.path(word):
-            if part in self.ids:
-                found.append(self.ids[part])
+            known = self.ids.get(part)
+            if known is not None:
+                found.append(known)
             else:
                 found += [self.byte_ids[b] for b in part.encode()]
         return np.array(found, "<i4").tobytes()

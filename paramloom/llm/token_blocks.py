@@ -38,7 +38,7 @@ BLOCK = 1024
 COVERED = 0.95
 END_ID = 2
 FILE_BYTES = 64 << 20
-KNOWN_PIECES = 200_000
+KNOWN_PIECES = 300_000
 AT_ONCE = 1 << 16
 MAGIC = b"PFOR1\0\0\0"
 _INDEX = np.dtype([("offset", "<u8"), ("low", "<u4"), ("n", "<u2"), ("width", "u1"), ("pad", "u1"),
@@ -154,8 +154,8 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.added = re.compile("|".join(map(re.escape, added))) if added else None
-        self.known: dict[str, bytes] = {}
-        self.before: dict[str, bytes] = {}
+        self.known: dict[bytes, bytes] = {}
+        self.before: dict[bytes, bytes] = {}
         # A token of a byte-level vocabulary is spelled with one character per byte.
         vocabulary = self.tokenizer.get_vocab()
         self.bytes_of = np.zeros(max(vocabulary.values()) + 1, np.int64)
@@ -165,39 +165,43 @@ class Encoder:
     def _ids(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
 
-    def _learn(self, pieces: list[str]) -> None:
-        held, size = [], 0
+    def _learn(self, pieces: list[bytes]) -> None:
+        held, size, known, before = [], 0, self.known, self.before
         for piece in pieces:
-            if piece in self.known:
+            if piece in known:
                 continue
-            if piece in self.before:
-                self.known[piece] = self.before[piece]
+            found = before.get(piece)
+            if found is not None:
+                known[piece] = found
                 continue
-            if piece[:1] in (" ", "\n") and not piece[-1:].isspace():
+            first, last = piece[0], piece[-1]
+            if last >= 0x80:
+                solid = not piece.decode()[-1].isspace()
+            else:
+                solid = 0x20 < last < 0x7F
+            if solid and (first == 0x20 or first == 0x0A):
                 held.append(piece)
                 size += len(piece)
-            elif piece[0] in _SIGNS and not piece[-1:].isspace():
-                held += [" a", piece]  # a sign is parted from the letter before it
+            elif solid and first < 0x80 and _IS_SIGN[first]:
+                held += [b" a", piece]  # a sign is parted from the letter before it
                 size += len(piece) + 2
             else:
-                self.known[piece] = self._ids(piece).tobytes()
+                known[piece] = self._ids(piece.decode()).tobytes()
             if size > AT_ONCE:
                 self._learn_joined(held)
                 held, size = [], 0
         if held:
             self._learn_joined(held)
 
-    def _learn_joined(self, pieces: list[str]) -> None:
-        ids = self._ids("".join(pieces))
+    def _learn_joined(self, pieces: list[bytes]) -> None:
+        ids = self._ids(b"".join(pieces).decode())
         ends = np.cumsum(self.bytes_of[ids])
-        lengths = np.cumsum([len(p.encode()) for p in pieces])
+        lengths = np.cumsum(list(map(len, pieces)))
         cuts = np.searchsorted(ends, lengths) + 1
         if not (ends[cuts - 1] == lengths).all():
             raise ValueError("a token reaches over a cut: no byte-level tokenizer of this kind")
-        begin = 0
-        for piece, end in zip(pieces, cuts.tolist()):
-            self.known[piece] = ids[begin:end].tobytes()
-            begin = end
+        raw, cuts = ids.tobytes(), (4 * cuts).tolist()
+        self.known.update(zip(pieces, [raw[a:b] for a, b in zip([0, *cuts], cuts)]))
 
     def _pieces(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """Where pieces begin. Characters beyond Latin letters are taken for white space."""
@@ -220,10 +224,10 @@ class Encoder:
         _, first, which = np.unique(run_hashes(data, starts, ends), return_index=True,
                                     return_inverse=True)
         raw = data.tobytes()
-        pieces = [raw[a:b].decode() for a, b in zip(starts[first].tolist(), ends[first].tolist())]
+        pieces = [raw[a:b] for a, b in zip(starts[first].tolist(), ends[first].tolist())]
         self._learn(pieces)
-        found = [self.known[p] for p in pieces]
-        lengths = np.array([len(f) // 4 for f in found], np.int64)
+        found = list(map(self.known.__getitem__, pieces))
+        lengths = np.array(list(map(len, found)), np.int64) // 4
         counts = lengths[which]
         total = np.r_[0, np.cumsum(counts)]
         place = np.repeat((np.cumsum(lengths) - lengths)[which] - total[:-1], counts)
@@ -238,6 +242,16 @@ class Encoder:
         return np.concatenate(parts), np.array([len(p) for p in parts], np.int64)
 
 
+_encoders: dict[str, Encoder] = {}
+
+
+def encoder_of(path: str) -> Encoder:
+    """A file's encoder, built once in a Python worker; tasks share the pieces it knows."""
+    if path not in _encoders:
+        _encoders[path] = Encoder(path)
+    return _encoders[path]
+
+
 class _File:
     """A file being written; blocks that are complete go out at once."""
 
@@ -271,7 +285,7 @@ class _File:
 
 def _write(folder: str, tokenizer: str, end_id: int, block: int, file_bytes: int):
     def run(batches):
-        encoder = Encoder(tokenizer)
+        encoder = encoder_of(tokenizer)
         file, number = None, 0
         for batch in batches:
             texts = batch.column(1)
