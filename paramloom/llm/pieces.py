@@ -30,7 +30,7 @@ from pyspark.sql.types import (ArrayType, IntegerType, LongType, StringType, Str
 from paramloom.llm.words import slices
 
 ESCAPE = "▁"
-KNOWN_WORDS = 200_000
+KNOWN_WORDS = 500_000
 KNOWN_BORDERS = 500_000
 LETTERS = "".join(chr(c) for c in range(ord("A"), 0x250) if chr(c).isalpha())
 
