@@ -1,19 +1,29 @@
 """Scores by a masked language model: every word predicted from both sides.
 
-A word is one of 64 x 64 hash buckets. For each place the vectors of the ``REACH`` words on the
-left and of as many on the right are summed, pass a tanh layer, and predict the bucket in two
-steps of 64 (its row, then its place in the row), so that probabilities are exact. A text's
-score is the sum of the logarithms over all its places: the pseudo-likelihood.
-
-Training covers every word of every document. Each task descends over its own texts from the
-same start; the tasks' networks are averaged, weighted by words, in groups of ``FAN_IN`` until
-one is left. What is gathered grows with the number of tasks, what reaches the driver is one
-network of fixed size.
+The probability of a word between its neighbours has two factors. A network predicts the word's
+class, one of 64 x 64 hash classes: the vectors of the ``REACH`` words on the left and of as many
+on the right are summed, pass a tanh layer, and predict the class in two steps of 64 (its row,
+then its place in the row). Within its class a word has its share of the class's words in the
+corpus, with room for words that the corpus doesn't hold (as many as the class has distinct
+ones). Both factors are exact, so that all words and the unknown one of each class sum to one.
+A text's score is the sum of the logarithms over all its places: the pseudo-likelihood.
+
+Texts are dealt by a hash into blocks of about ``BLOCK_BYTES``; the order in a block is that of
+the hash, too. A block is one row: its distinct words, their counts, and the texts as numbers of
+those words. Nothing thereafter depends on how the input is stored. The vocabulary, a row per
+distinct word of the corpus, is a table and stays one: blocks meet their words' counts in a join.
+
+Training covers every word of every document once, in rounds whose number grows with the
+logarithm of the number of blocks. In a round each block descends from the round's start; the
+blocks' networks and step sizes are averaged, weighted by words, in groups of ``FAN_IN`` tasks
+until one is left, the start of the next round. What reaches the driver is one network of fixed
+size a round.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -22,6 +32,7 @@ from pyspark.sql import functions as F
 
 from paramloom.llm.tables import written
 from paramloom.llm.words import Words, slices, words_of
+from paramloom.session import work_path
 
 SIDE = 64
 UNITS = 16
@@ -29,11 +40,27 @@ REACH = 4
 BATCH = 8_192
 FAN_IN = 16
 RATE = 0.15
-ROUNDS = 1
+BLOCK_BYTES = 4 << 20
+#: A text's share of a block beside its bytes, so that empty texts fill blocks, too.
+ROW_BYTES = 16
+#: Words in so many blocks that fewer than this number of words can be are broadcast.
+HOT_WORDS = 10_000
 _PAD = SIDE * SIDE
 
 Network = dict[str, np.ndarray]
 
+_BLOCK = ("block long, round int, doc_ids array<long>, lengths array<long>, "
+          "vocabulary array<long>, counts array<long>, ids binary")
+
+
+@dataclass
+class Model:
+    """A network, the corpus's words (``word, n, n_blocks``) and, per class, all and distinct ones."""
+
+    network: Network
+    vocabulary: DataFrame
+    totals: np.ndarray
+
 
 def new_network(seed: int = 7) -> Network:
     rng = np.random.default_rng(seed)
@@ -48,28 +75,37 @@ def new_network(seed: int = 7) -> Network:
     return network
 
 
-def packed(network: Network) -> bytes:
-    return b"".join(network[k].astype("<f4").tobytes() for k in sorted(network))
+def _flat(network: Network, seen: Network) -> np.ndarray:
+    return np.concatenate([part[k].ravel() for part in (network, seen) for k in sorted(part)])
 
 
-def unpacked(data: bytes) -> Network:
-    network, at = new_network(), 0
-    for k in sorted(network):
-        size = network[k].size
-        network[k] = np.frombuffer(data, "<f4", size, at).reshape(network[k].shape).copy()
-        at += 4 * size
-    return network
+def _parts(flat: np.ndarray) -> tuple[Network, Network]:
+    shapes, at, parts = new_network(), 0, ({}, {})
+    for part in parts:
+        for k in sorted(shapes):
+            size = shapes[k].size
+            part[k] = flat[at:at + size].reshape(shapes[k].shape).astype(np.float32)
+            at += size
+    return parts
 
 
-def stream(words: Words) -> tuple[np.ndarray, np.ndarray]:
-    """Buckets of all words with ``REACH`` pads before and behind each text; the words' places."""
-    buckets = (words.hash >> np.uint64(52)).astype(np.int64)
-    places = np.arange(len(buckets)) + REACH * (words.text_of_word() + 1)
-    out = np.full(len(buckets) + REACH * (len(words) + 1), _PAD)
-    out[places] = buckets
+def _class_of(hashes: np.ndarray) -> np.ndarray:
+    return (hashes >> np.uint64(52)).astype(np.int64)
+
+
+def _padded(classes: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    text = np.repeat(np.arange(len(lengths)), lengths)
+    places = np.arange(len(classes)) + REACH * (text + 1)
+    out = np.full(len(classes) + REACH * (len(lengths) + 1), _PAD)
+    out[places] = classes
     return out, places
 
 
+def stream(words: Words) -> tuple[np.ndarray, np.ndarray]:
+    """Classes of all words with ``REACH`` pads before and behind each text; the words' places."""
+    return _padded(_class_of(words.hash), np.diff(words.first))
+
+
 def _softmax(logits: np.ndarray) -> np.ndarray:
     logits -= logits.max(axis=1, keepdims=True)
     np.exp(logits, out=logits)
@@ -97,7 +133,7 @@ def _by_row(rows: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
 
 
 def log_probabilities(network: Network, ids: np.ndarray, places: np.ndarray) -> np.ndarray:
-    """The logarithm of each word's probability between its neighbours."""
+    """The logarithm of the probability of each word's class between its neighbours."""
     out = np.zeros(len(places), np.float64)
     for begin in range(0, len(places), 16 * BATCH):
         part = places[begin:begin + 16 * BATCH]
@@ -148,9 +184,9 @@ def _gradients(network: Network, ids: np.ndarray, places: np.ndarray) -> Network
 class Descent:
     """Steps with a rate per weight, smaller where gradients were large."""
 
-    def __init__(self, network: Network):
+    def __init__(self, network: Network, seen: Network):
         self.network = {k: v.copy() for k, v in network.items()}
-        self.seen = {k: np.full_like(v, 1e-6) for k, v in network.items()}
+        self.seen = {k: v.copy() for k, v in seen.items()}
         self.words = 0
 
     def learn(self, ids: np.ndarray, places: np.ndarray) -> None:
@@ -162,73 +198,150 @@ class Descent:
             self.words += len(part)
 
 
-def _train(start: bytes):
+def _block(rounds: int):
+    def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        table = table.sort_by([("text_hash", "ascending"), ("doc_id", "ascending")])
+        texts = table.column("text").combine_chunks()
+        parts = [words_of(texts.slice(begin, end - begin)) for begin, end in slices(texts)]
+        hashes = np.concatenate([w.hash for w in parts])
+        lengths = np.concatenate([np.diff(w.first) for w in parts])
+        known, ids, counts = np.unique(hashes, return_inverse=True, return_counts=True)
+        block = key[0].as_py()
+        return pa.table({
+            "block": pa.array([block], pa.int64()), "round": pa.array([block % rounds], pa.int32()),
+            "doc_ids": pa.array([table.column("doc_id").to_pylist()], pa.list_(pa.int64())),
+            "lengths": pa.array([lengths], pa.list_(pa.int64())),
+            "vocabulary": pa.array([known.view(np.int64)], pa.list_(pa.int64())),
+            "counts": pa.array([counts], pa.list_(pa.int64())),
+            "ids": pa.array([ids.astype("<u4").tobytes()], pa.binary())})
+    return run
+
+
+def blocks_of(docs: DataFrame) -> DataFrame:
+    """All texts of ``docs`` in blocks, a row each, written to the shared folder by rounds."""
+    size = docs.select(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + ROW_BYTES)).first()[0]
+    number = -(-(size or 1) // BLOCK_BYTES)
+    doc_id = F.col("doc_id").cast("long")
+    dealt = docs.select(
+        F.pmod(F.xxhash64(doc_id, "text"), F.lit(number)).alias("block"), doc_id.alias("doc_id"),
+        "text", F.xxhash64("text").alias("text_hash"))
+    blocks = dealt.groupBy("block").applyInArrow(_block(number.bit_length()), _BLOCK)
+    path = work_path(docs.sparkSession, "blocks")
+    blocks.write.partitionBy("round").parquet(path)
+    return docs.sparkSession.read.schema(_BLOCK).parquet(path)
+
+
+def _descend(start: bytes):
     def run(batches):
-        descent = Descent(unpacked(start))
+        network, seen = _parts(np.frombuffer(start, "<f4"))
+        total, words = 0.0, 0
         for batch in batches:
-            texts = batch.column(0)
-            for begin, end in slices(texts):
-                descent.learn(*stream(words_of(texts.slice(begin, end - begin))))
-        if descent.words:
+            for row in range(batch.num_rows):
+                hashes = batch.column("vocabulary")[row].values.to_numpy().view(np.uint64)
+                ids = np.frombuffer(batch.column("ids")[row].as_py(), "<u4")
+                descent = Descent(network, seen)
+                descent.learn(*_padded(_class_of(hashes)[ids],
+                                       batch.column("lengths")[row].values.to_numpy()))
+                total = total + descent.words * _flat(descent.network, descent.seen).astype("<f8")
+                words += descent.words
+        if words:
             yield pa.RecordBatch.from_arrays(
-                [pa.array([descent.words], pa.int64()),
-                 pa.array([packed(descent.network)], pa.binary())], ["words", "network"])
+                [pa.array([words], pa.int64()), pa.array([total.tobytes()], pa.binary())],
+                ["words", "total"])
     return run
 
 
-def _average(table: pa.Table) -> pa.Table:
-    weights = table.column("words").to_numpy()
-    total = np.zeros(len(table.column("network")[0].as_py()) // 4)
-    for weight, data in zip(weights, table.column("network")):
-        total += weight * np.frombuffer(data.as_py(), "<f4")
-    total /= max(weights.sum(), 1)
-    return pa.table({"words": pa.array([int(weights.sum())], pa.int64()),
-                     "network": pa.array([total.astype("<f4").tobytes()], pa.binary())})
+def _sum(table: pa.Table) -> pa.Table:
+    total = sum(np.frombuffer(data.as_py(), "<f8") for data in table.column("total"))
+    words = sum(table.column("words").to_pylist())
+    return pa.table({"words": pa.array([words], pa.int64()),
+                     "total": pa.array([total.tobytes()], pa.binary())})
 
 
-def train(docs: DataFrame, rounds: int = ROUNDS) -> Network:
-    """The network after ``rounds`` over all texts of ``docs``; without words the start."""
+def _network(blocks: DataFrame) -> Network:
     network = new_network()
-    for _ in range(rounds):
-        table = written(docs.select("text").mapInArrow(
-            _train(packed(network)), "words long, network binary"), "networks")
+    seen = {k: np.full_like(v, 1e-6) for k, v in network.items()}
+    rounds = sorted(r["round"] for r in blocks.select("round").distinct().collect())
+    for number in rounds:
+        start = _flat(network, seen).astype("<f4").tobytes()
+        table = written(
+            blocks.where(F.col("round") == number).select("lengths", "vocabulary", "ids")
+            .mapInArrow(_descend(start), "words long, total binary"), "networks")
         count = table.count()
         while count > 1:
-            part = F.pmod(F.xxhash64("words", F.xxhash64("network")), F.lit(-(-count // FAN_IN)))
+            part = F.pmod(F.xxhash64("words", "total"), F.lit(-(-count // FAN_IN)))
             table = written(table.withColumn("part", part).groupBy("part").applyInArrow(
-                lambda t: _average(t), "words long, network binary"), "networks")
+                lambda t: _sum(t), "words long, total binary"), "networks")
             count = table.count()
-        best = table.first()
-        if best is not None:
-            network = unpacked(bytes(best["network"]))
+        found = table.first()
+        if found is not None:
+            network, seen = _parts(np.frombuffer(found["total"], "<f8") / found["words"])
     return network
 
 
-def _scored(data: bytes):
-    def run(batches):
-        network = unpacked(data)
-        for batch in batches:
-            texts = batch.column(1)
-            for begin, end in slices(texts):
-                words = words_of(texts.slice(begin, end - begin))
-                logs = np.r_[0, np.cumsum(log_probabilities(network, *stream(words)))]
-                totals = logs[words.first[1:]] - logs[words.first[:-1]]
-                counts = np.diff(words.first)
-                mean = totals / np.maximum(counts, 1)
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(begin, end - begin), pa.array(counts, pa.int64()),
-                     pa.array(totals), pa.array(mean, mask=counts == 0)],
-                    ["doc_id", "n_tokens", "log_likelihood", "per_token"])
+def train(docs: DataFrame, blocks: DataFrame | None = None) -> Model:
+    """The model of all texts of ``docs``; without words the start.
+
+    ``blocks`` are those of ``docs`` where they are there already.
+    """
+    blocks = blocks_of(docs) if blocks is None else blocks
+    pairs = blocks.select(F.explode(F.arrays_zip("vocabulary", "counts")).alias("pair"))
+    vocabulary = written(pairs.groupBy(F.col("pair.vocabulary").alias("word")).agg(
+        F.sum("pair.counts").alias("n"), F.count("*").alias("n_blocks")), "vocabulary")
+    classes = vocabulary.groupBy(F.shiftrightunsigned("word", 52).cast("int").alias("class")).agg(
+        F.sum("n").alias("n"), F.count("*").alias("distinct"))
+    totals = np.zeros((_PAD, 2))
+    for row in classes.collect():  # a row per class
+        totals[row["class"]] = row["n"], row["distinct"]
+    return Model(_network(blocks), vocabulary, totals)
+
+
+def _within(hashes: np.ndarray, n: np.ndarray, totals: np.ndarray) -> np.ndarray:
+    """The logarithm of each word's share of its class; ``n`` is 0 for words not in the corpus."""
+    every, distinct = totals[_class_of(hashes)].T
+    return np.log(np.where(n > 0, n, np.maximum(distinct, 1)) / np.maximum(every + distinct, 1))
+
+
+def _scored(network: Network, totals: np.ndarray):
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        hashes = right.column("word").to_numpy().view(np.uint64)
+        order = np.argsort(hashes)
+        hashes = hashes[order]
+        n = right.column("n").to_numpy()[order]
+        lengths = left.column("lengths")[0].values.to_numpy()
+        ids = np.frombuffer(left.column("ids")[0].as_py(), "<u4")
+        logs = log_probabilities(network, *_padded(_class_of(hashes)[ids], lengths))
+        logs += _within(hashes, n, totals)[ids]
+        ends = np.cumsum(lengths)
+        sums = np.r_[0, np.cumsum(logs)]
+        found = sums[ends] - sums[ends - lengths]
+        mean = found / np.maximum(lengths, 1)
+        return pa.table({"doc_id": left.column("doc_ids")[0].values,
+                         "n_tokens": pa.array(lengths, pa.int64()), "log_likelihood": found,
+                         "per_token": pa.array(mean, mask=lengths == 0)})
     return run
 
 
-def scores(docs: DataFrame, network: Network) -> DataFrame:
+def scores(docs: DataFrame, model: Model, blocks: DataFrame | None = None) -> DataFrame:
     """``doc_id, n_tokens, log_likelihood, per_token`` for each row of ``docs``.
 
     Null and empty texts have no tokens, the likelihood 0 and a null mean. Repeated rows and
-    rows without doc_id are scored like others. Other columns are ignored; an empty table gives
-    no rows.
+    rows without doc_id are scored like others; a very long text is a block of its own size, in
+    one task. Other columns are ignored; an empty table gives no rows. Words of very many blocks
+    are looked up by broadcast, fewer than ``HOT_WORDS`` of them. ``blocks`` as in ``train``.
     """
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(
-        _scored(packed(network)),
-        "doc_id long, n_tokens long, log_likelihood double, per_token double")
+    blocks = blocks_of(docs) if blocks is None else blocks
+    words = blocks.select("block", F.explode("vocabulary").alias("word"))
+    known = model.vocabulary
+    rows = known.agg(F.sum("n_blocks")).first()[0] or 0
+    hot = F.col("n_blocks") > rows // HOT_WORDS + 1
+    common = F.broadcast(known.where(hot).select("word", "n"))
+    rare = words.join(common.select("word"), "word", "left_anti").join(
+        known.where(~hot).select("word", "n"), "word", "left")
+    counted = words.join(common, "word").unionByName(rare).select(
+        "block", "word", F.coalesce("n", F.lit(0)).alias("n"))
+    home = F.col("block").alias("home")
+    return (blocks.select(home, "doc_ids", "lengths", "ids").groupBy("home")
+            .cogroup(counted.groupBy("block"))
+            .applyInArrow(_scored(model.network, model.totals),
+                          "doc_id long, n_tokens long, log_likelihood double, per_token double"))

@@ -61,7 +61,8 @@ def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_pseudo_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
-    return pseudo_lm.scores(docs, pseudo_lm.train(docs))
+    blocks = pseudo_lm.blocks_of(docs)
+    return pseudo_lm.scores(docs, pseudo_lm.train(docs, blocks), blocks)
 
 
 def op11_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
