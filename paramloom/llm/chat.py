@@ -131,7 +131,7 @@ def link(calls: DataFrame, results: DataFrame, schemas: dict = SCHEMAS) -> DataF
                .join(one.select("conv_id", F.col("call_id").alias("need")),
                      ["conv_id", "need"], "left_anti").select(*key).distinct()
                .withColumn("missing", F.lit(True)))
-    placed = (one.join(answers, key, "left").join(_levels(one), key, "left")
+    placed = (one.join(answers.hint("shuffle_hash"), key, "left").join(_levels(one), key, "left")
               .join(missing, key, "left"))
     status = (F.when(F.col("level").isNull(), "circle").when(F.col("missing"), "missing need")
               .when(F.col("result").isNull(), "no result").otherwise("linked"))
