@@ -198,6 +198,15 @@ class Descent:
             self.words += len(part)
 
 
+def _planes(ids: np.ndarray) -> bytes:
+    """Whole numbers as their lowest bytes, then the next ones: small numbers compress well."""
+    return ids.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
+
+
+def _numbers(planes: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(4, -1).T).view("<u4").ravel()
+
+
 def _block(rounds: int):
     def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         table = table.sort_by([("text_hash", "ascending"), ("doc_id", "ascending")])
@@ -206,14 +215,17 @@ def _block(rounds: int):
         hashes = np.concatenate([w.hash for w in parts])
         lengths = np.concatenate([np.diff(w.first) for w in parts])
         known, ids, counts = np.unique(hashes, return_inverse=True, return_counts=True)
+        order = np.argsort(-counts, kind="stable")
+        rank = np.empty(len(order), "<u4")
+        rank[order] = np.arange(len(order))
         block = key[0].as_py()
         return pa.table({
             "block": pa.array([block], pa.int64()), "round": pa.array([block % rounds], pa.int32()),
             "doc_ids": pa.array([table.column("doc_id").to_pylist()], pa.list_(pa.int64())),
             "lengths": pa.array([lengths], pa.list_(pa.int64())),
-            "vocabulary": pa.array([known.view(np.int64)], pa.list_(pa.int64())),
-            "counts": pa.array([counts], pa.list_(pa.int64())),
-            "ids": pa.array([ids.astype("<u4").tobytes()], pa.binary())})
+            "vocabulary": pa.array([known[order].view(np.int64)], pa.list_(pa.int64())),
+            "counts": pa.array([counts[order]], pa.list_(pa.int64())),
+            "ids": pa.array([_planes(rank[ids])], pa.binary())})
     return run
 
 
@@ -234,28 +246,42 @@ def blocks_of(docs: DataFrame) -> DataFrame:
 def _descend(start: bytes):
     def run(batches):
         network, seen = _parts(np.frombuffer(start, "<f4"))
-        total, words = 0.0, 0
+        mean = _Mean()
         for batch in batches:
             for row in range(batch.num_rows):
                 hashes = batch.column("vocabulary")[row].values.to_numpy().view(np.uint64)
-                ids = np.frombuffer(batch.column("ids")[row].as_py(), "<u4")
+                ids = _numbers(batch.column("ids")[row].as_py())
                 descent = Descent(network, seen)
                 descent.learn(*_padded(_class_of(hashes)[ids],
                                        batch.column("lengths")[row].values.to_numpy()))
-                total = total + descent.words * _flat(descent.network, descent.seen).astype("<f8")
-                words += descent.words
-        if words:
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([words], pa.int64()), pa.array([total.tobytes()], pa.binary())],
-                ["words", "total"])
+                mean.add(descent.words, _flat(descent.network, descent.seen))
+        yield from mean.rows()
     return run
 
 
-def _sum(table: pa.Table) -> pa.Table:
-    total = sum(np.frombuffer(data.as_py(), "<f8") for data in table.column("total"))
-    words = sum(table.column("words").to_pylist())
-    return pa.table({"words": pa.array([words], pa.int64()),
-                     "total": pa.array([total.tobytes()], pa.binary())})
+class _Mean:
+    """Networks averaged by words, of any number of tasks."""
+
+    def __init__(self):
+        self.words, self.total = 0, 0.0
+
+    def add(self, words: int, state: np.ndarray) -> None:
+        self.words, self.total = self.words + words, self.total + words * state.astype("<f8")
+
+    def rows(self) -> Iterator[pa.RecordBatch]:
+        if self.words:
+            state = (self.total / self.words).astype("<f4").tobytes()
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([self.words], pa.int64()), pa.array([state], pa.binary())],
+                ["words", "state"])
+
+
+def _averaged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    mean = _Mean()
+    for batch in batches:
+        for words, state in zip(batch.column(0).to_pylist(), batch.column(1)):
+            mean.add(words, np.frombuffer(state.as_py(), "<f4"))
+    yield from mean.rows()
 
 
 def _network(blocks: DataFrame) -> Network:
@@ -266,16 +292,15 @@ def _network(blocks: DataFrame) -> Network:
         start = _flat(network, seen).astype("<f4").tobytes()
         table = written(
             blocks.where(F.col("round") == number).select("lengths", "vocabulary", "ids")
-            .mapInArrow(_descend(start), "words long, total binary"), "networks")
+            .mapInArrow(_descend(start), "words long, state binary"), "networks")
         count = table.count()
         while count > 1:
-            part = F.pmod(F.xxhash64("words", "total"), F.lit(-(-count // FAN_IN)))
-            table = written(table.withColumn("part", part).groupBy("part").applyInArrow(
-                lambda t: _sum(t), "words long, total binary"), "networks")
+            table = written(table.coalesce(-(-count // FAN_IN)).mapInArrow(
+                _averaged, "words long, state binary"), "networks")
             count = table.count()
         found = table.first()
         if found is not None:
-            network, seen = _parts(np.frombuffer(found["total"], "<f8") / found["words"])
+            network, seen = _parts(np.frombuffer(found["state"], "<f4"))
     return network
 
 
@@ -296,22 +321,21 @@ def train(docs: DataFrame, blocks: DataFrame | None = None) -> Model:
     return Model(_network(blocks), vocabulary, totals)
 
 
-def _within(hashes: np.ndarray, n: np.ndarray, totals: np.ndarray) -> np.ndarray:
+def _within(classes: np.ndarray, n: np.ndarray, totals: np.ndarray) -> np.ndarray:
     """The logarithm of each word's share of its class; ``n`` is 0 for words not in the corpus."""
-    every, distinct = totals[_class_of(hashes)].T
+    every, distinct = totals[classes].T
     return np.log(np.where(n > 0, n, np.maximum(distinct, 1)) / np.maximum(every + distinct, 1))
 
 
 def _scored(network: Network, totals: np.ndarray):
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        hashes = right.column("word").to_numpy().view(np.uint64)
-        order = np.argsort(hashes)
-        hashes = hashes[order]
-        n = right.column("n").to_numpy()[order]
+        classes = left.column("classes")[0].values.to_numpy().astype(np.int64)
+        n = np.zeros(len(classes))
+        n[right.column("pos").to_numpy()] = right.column("n").to_numpy()
         lengths = left.column("lengths")[0].values.to_numpy()
-        ids = np.frombuffer(left.column("ids")[0].as_py(), "<u4")
-        logs = log_probabilities(network, *_padded(_class_of(hashes)[ids], lengths))
-        logs += _within(hashes, n, totals)[ids]
+        ids = _numbers(left.column("ids")[0].as_py())
+        logs = log_probabilities(network, *_padded(classes[ids], lengths))
+        logs += _within(classes, n, totals)[ids]
         ends = np.cumsum(lengths)
         sums = np.r_[0, np.cumsum(logs)]
         found = sums[ends] - sums[ends - lengths]
@@ -331,7 +355,7 @@ def scores(docs: DataFrame, model: Model, blocks: DataFrame | None = None) -> Da
     are looked up by broadcast, fewer than ``HOT_WORDS`` of them. ``blocks`` as in ``train``.
     """
     blocks = blocks_of(docs) if blocks is None else blocks
-    words = blocks.select("block", F.explode("vocabulary").alias("word"))
+    words = blocks.select("block", F.posexplode("vocabulary").alias("pos", "word"))
     known = model.vocabulary
     rows = known.agg(F.sum("n_blocks")).first()[0] or 0
     hot = F.col("n_blocks") > rows // HOT_WORDS + 1
@@ -339,9 +363,10 @@ def scores(docs: DataFrame, model: Model, blocks: DataFrame | None = None) -> Da
     rare = words.join(common.select("word"), "word", "left_anti").join(
         known.where(~hot).select("word", "n"), "word", "left")
     counted = words.join(common, "word").unionByName(rare).select(
-        "block", "word", F.coalesce("n", F.lit(0)).alias("n"))
-    home = F.col("block").alias("home")
-    return (blocks.select(home, "doc_ids", "lengths", "ids").groupBy("home")
+        "block", "pos", F.coalesce("n", F.lit(0)).alias("n"))
+    classes = F.transform("vocabulary", lambda w: F.shiftrightunsigned(w, 52).cast("smallint"))
+    return (blocks.select(F.col("block").alias("home"), "doc_ids", "lengths", "ids",
+                          classes.alias("classes")).groupBy("home")
             .cogroup(counted.groupBy("block"))
             .applyInArrow(_scored(model.network, model.totals),
                           "doc_id long, n_tokens long, log_likelihood double, per_token double"))

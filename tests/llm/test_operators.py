@@ -418,17 +418,110 @@ def test_scores_prefer_what_was_learned(spark, docs, odd, empty):
     train = spark.createDataFrame(
         [(i, " ".join(["red", "green", "blue", "white"] * 200)) for i in range(60)],
         "doc_id long, text string").repartition(2)
-    network = pseudo_lm.train(train)
+    model = pseudo_lm.train(train)
     test = spark.createDataFrame([(1, "red green blue white red green blue white"),
                                   (2, "white white red red stone stone green stone"), (3, None)],
                                  "doc_id long, text string")
-    got = by_id(pseudo_lm.scores(test, network), "n_tokens", "log_likelihood", "per_token")
+    got = by_id(pseudo_lm.scores(test, model), "n_tokens", "log_likelihood", "per_token")
     assert got[1][2] > got[2][2] + 1
     assert got[3] == (0, 0.0, None)
-    assert pseudo_lm.scores(odd, network).count() == 5
+    assert pseudo_lm.scores(odd, model).count() == 5
     assert pseudo_lm.scores(docs, pseudo_lm.train(empty)).count() == len(texts())
 
 
+def in_blocks(monkeypatch, size):
+    monkeypatch.setattr(pseudo_lm, "BLOCK_BYTES", size)
+
+
+def test_scores_equal_a_plain_loop(spark, docs, monkeypatch):
+    """Blocks, rounds, averages, counts and scores as one program would get them."""
+    import pyarrow as pa
+    import xxhash
+    from paramloom.llm.words import words_of
+    in_blocks(monkeypatch, 20_000)
+    rows = [(i, t) for i, t in texts() if t is not None]
+    rows += [(None, "one two three"), (3, rows[0][1]), (5, ""), (5, "")]
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    size = sum(len(t.encode()) + pseudo_lm.ROW_BYTES for _, t in rows)
+    number = -(-size // 20_000)
+    key = lambda t: xxhash.xxh64_intdigest(t.encode(), 42)
+    signed = lambda h: h - 2**64 if h >= 2**63 else h
+    blocks = {}
+    for i, t in rows:
+        h = 42 if i is None else xxhash.xxh64_intdigest(int(i).to_bytes(8, "little", signed=True), 42)
+        h = xxhash.xxh64_intdigest(t.encode(), h)
+        blocks.setdefault(signed(h) % number, []).append((signed(key(t)), i, t))
+    assert len(blocks) > 3
+    streams = {}
+    for b, part in blocks.items():
+        part.sort(key=lambda r: (r[0], r[1] is None, r[1]))
+        streams[b] = words_of(pa.array([t for _, _, t in part]))
+    network = pseudo_lm.new_network()
+    seen = {k: np.full_like(v, 1e-6) for k, v in network.items()}
+    for number_of_round in range(number.bit_length()):
+        done = []
+        for b in sorted(streams):
+            if b % number.bit_length() == number_of_round and len(streams[b].hash):
+                descent = pseudo_lm.Descent(network, seen)
+                descent.learn(*pseudo_lm.stream(streams[b]))
+                done.append(descent)
+        total = sum(d.words for d in done)
+        if done:
+            network, seen = ({k: sum(d.words * getattr(d, part)[k].astype(float) for d in done) / total
+                              for k in network} for part in ("network", "seen"))
+            network, seen = ({k: v.astype(np.float32) for k, v in p.items()} for p in (network, seen))
+    counts = {}
+    for words in streams.values():
+        for h in words.hash.tolist():
+            counts[h] = counts.get(h, 0) + 1
+    every, distinct = np.zeros(4096), np.zeros(4096)
+    for h, n in counts.items():
+        every[h >> 52] += n
+        distinct[h >> 52] += 1
+    expected = []
+    for b, part in blocks.items():
+        words = streams[b]
+        logs = (pseudo_lm.log_probabilities(network, *pseudo_lm.stream(words))
+                if len(words.hash) else np.zeros(0))
+        shares = [np.log(counts[h] / (every[h >> 52] + distinct[h >> 52]))
+                  for h in words.hash.tolist()]
+        for at, (_, i, _) in enumerate(part):
+            run = slice(words.first[at], words.first[at + 1])
+            expected.append((-1 if i is None else i, len(logs[run]),
+                             float(logs[run].sum() + sum(shares[run]))))
+    for layout in (table.repartition(1), table.repartition(7)):
+        got = [(-1 if r["doc_id"] is None else r["doc_id"], r["n_tokens"], r["log_likelihood"])
+               for r in pseudo_lm.scores(layout, pseudo_lm.train(layout)).collect()]
+        assert [r[:2] for r in sorted(got)] == [r[:2] for r in sorted(expected)]
+        assert [r[2] for r in sorted(got)] == pytest.approx([r[2] for r in sorted(expected)], rel=1e-5)
+
+
+def test_scores_beat_frequencies_on_other_texts(spark, sf_dir):
+    """Held-out texts are likelier than by the words' frequencies alone."""
+    table = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    model = pseudo_lm.train(table.where("doc_id % 5 <> 0"))
+    plain = pseudo_lm.Model({k: np.zeros_like(v) for k, v in model.network.items()},
+                            model.vocabulary, model.totals)
+    every = model.totals[:, 0].sum()
+    rows = np.maximum(model.totals[:, 0], 0.5).reshape(64, 64)
+    plain.network["rows_bias"][:] = np.log(rows.sum(axis=1) / every)
+    plain.network["places_bias"][:] = np.log(rows / rows.sum(axis=1, keepdims=True))
+    held = table.where("doc_id % 5 = 0")
+    trained, frequencies = (pseudo_lm.scores(held, m).groupBy().sum("log_likelihood").first()[0]
+                            for m in (model, plain))
+    assert trained > frequencies
+
+
+def test_hot_words_are_looked_up_like_others(spark, docs, monkeypatch):
+    in_blocks(monkeypatch, 20_000)
+    model = pseudo_lm.train(docs)
+    usual = by_id(pseudo_lm.scores(docs, model), "n_tokens", "log_likelihood")
+    monkeypatch.setattr(pseudo_lm, "HOT_WORDS", 10**9)
+    assert by_id(pseudo_lm.scores(docs, model), "n_tokens", "log_likelihood") == usual
+    monkeypatch.setattr(pseudo_lm, "HOT_WORDS", 1)
+    assert by_id(pseudo_lm.scores(docs, model), "n_tokens", "log_likelihood") == usual
+
+
 def test_probabilities_sum_to_one():
     network = pseudo_lm.new_network()
     ids = np.full(12, 7)
