@@ -106,11 +106,13 @@ def stream(words: Words) -> tuple[np.ndarray, np.ndarray]:
     return _padded(_class_of(words.hash), np.diff(words.first))
 
 
-def _softmax(logits: np.ndarray) -> np.ndarray:
-    logits -= logits.max(axis=1, keepdims=True)
+def _softmax(h: np.ndarray, weights: np.ndarray, bias: np.ndarray) -> np.ndarray:
+    logits = weights.T @ h.T  # places side by side: maxima and sums run along memory
+    logits += bias[:, None]
+    logits -= logits.max(axis=0)
     np.exp(logits, out=logits)
-    logits /= logits.sum(axis=1, keepdims=True)
-    return logits
+    logits /= logits.sum(axis=0)
+    return logits.T
 
 
 def _hidden(network: Network, ids: np.ndarray, places: np.ndarray) -> np.ndarray:
@@ -139,9 +141,9 @@ def log_probabilities(network: Network, ids: np.ndarray, places: np.ndarray) ->
         part = places[begin:begin + 16 * BATCH]
         h, target = _hidden(network, ids, part), ids[part]
         rows, cells = target // SIDE, target % SIDE
-        p = _softmax(h @ network["rows"] + network["rows_bias"])[np.arange(len(part)), rows]
+        p = _softmax(h, network["rows"], network["rows_bias"])[np.arange(len(part)), rows]
         for r, at in _by_row(rows):
-            q = _softmax(h[at] @ network["places"][r] + network["places_bias"][r])
+            q = _softmax(h[at], network["places"][r], network["places_bias"][r])
             p[at] *= q[np.arange(len(at)), cells[at]]
         out[begin:begin + len(part)] = np.log(np.maximum(p, 1e-30))
     return out
@@ -151,14 +153,14 @@ def _gradients(network: Network, ids: np.ndarray, places: np.ndarray) -> Network
     n = len(places)
     h, target = _hidden(network, ids, places), ids[places]
     rows, cells = target // SIDE, target % SIDE
-    d = _softmax(h @ network["rows"] + network["rows_bias"])
+    d = _softmax(h, network["rows"], network["rows_bias"])
     d[np.arange(n), rows] -= 1
     g: Network = {"rows": h.T @ d / n, "rows_bias": d.mean(axis=0),
                   "places": np.zeros_like(network["places"]),
                   "places_bias": np.zeros_like(network["places_bias"])}
     dh = d @ network["rows"].T
     for r, at in _by_row(rows):
-        e = _softmax(h[at] @ network["places"][r] + network["places_bias"][r])
+        e = _softmax(h[at], network["places"][r], network["places_bias"][r])
         e[np.arange(len(at)), cells[at]] -= 1
         g["places"][r] = h[at].T @ e / n
         g["places_bias"][r] = e.sum(axis=0) / n
@@ -214,8 +216,10 @@ def _block(rounds: int):
         parts = [words_of(texts.slice(begin, end - begin)) for begin, end in slices(texts)]
         hashes = np.concatenate([w.hash for w in parts])
         lengths = np.concatenate([np.diff(w.first) for w in parts])
-        known, ids, counts = np.unique(hashes, return_inverse=True, return_counts=True)
-        order = np.argsort(-counts, kind="stable")
+        words = pa.array(hashes, pa.uint64()).dictionary_encode()
+        known, ids = words.dictionary.to_numpy(), words.indices.to_numpy()
+        counts = np.bincount(ids, minlength=len(known))
+        order = np.lexsort((known, -counts))
         rank = np.empty(len(order), "<u4")
         rank[order] = np.arange(len(order))
         block = key[0].as_py()
@@ -239,7 +243,7 @@ def blocks_of(docs: DataFrame) -> DataFrame:
         "text", F.xxhash64("text").alias("text_hash"))
     blocks = dealt.groupBy("block").applyInArrow(_block(number.bit_length()), _BLOCK)
     path = work_path(docs.sparkSession, "blocks")
-    blocks.write.partitionBy("round").parquet(path)
+    blocks.write.partitionBy("round").option("compression", "zstd").parquet(path)
     return docs.sparkSession.read.schema(_BLOCK).parquet(path)
 
 
