@@ -522,6 +522,12 @@ def test_hot_words_are_looked_up_like_others(spark, docs, monkeypatch):
     assert by_id(pseudo_lm.scores(docs, model), "n_tokens", "log_likelihood") == usual
 
 
+def test_calls_and_results_meet_in_a_hash_join(spark, sf_dir):
+    table = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    plan = chat.link(*chat.calls_of(table))._jdf.queryExecution().executedPlan().toString()
+    assert "ShuffledHashJoin" in plan
+
+
 def test_probabilities_sum_to_one():
     network = pseudo_lm.new_network()
     ids = np.full(12, 7)
