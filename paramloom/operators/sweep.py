@@ -2,11 +2,13 @@
 
 ``threshold_sweep`` covers combinations of comparisons (``column <= parameter``):
 its cost does not grow with the number of combinations per row.
-``predicate_sweep`` takes any condition.
+``parameter_sweep`` takes a grid read from files and any condition per parameter and value,
+``predicate_sweep`` any condition per combination.
 """
 
 from __future__ import annotations
 
+import json
 import math
 from collections.abc import Callable
 from dataclasses import dataclass
@@ -16,8 +18,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from paramloom.functions.buckets import search_sorted
 from paramloom.operators.grid import grid_range
 
-# Combinations from files that one plan may hold as conditions.
-MOST_COMBINATIONS = 10_000
+# Conditions that one plan may hold: values of all parameters together, not combinations.
+MOST_CONDITIONS = 10_000
 
 
 @dataclass(frozen=True)
@@ -150,36 +152,94 @@ def _results(measures: dict[str, Measure]) -> list[Column]:
     return columns
 
 
+def _matched(facts: DataFrame, dims: dict[str, list[Column]], measures: dict[str, Measure],
+             prune: Callable[[DataFrame, list[str]], DataFrame] = lambda cells, names: cells
+             ) -> DataFrame:
+    """Partial measures per choice of one condition from each of ``dims``, by positions in its
+    list; choices that no row matches are left out.
+
+    A row is asked every condition once and then stands for its answers: rows of equal answers
+    are added up map-side, and only those sums are given to conditions, dimension by dimension.
+    """
+    parts = _partials(measures)
+    asked = {name: f"__asked_{k}" for k, name in enumerate(dims)}
+    cells = (
+        facts.select(*[F.array(*dims[name]).alias(answers) for name, answers in asked.items()],
+                     *[column.alias(part) for part, (_, column) in parts.items()])
+        .groupBy(*asked.values())
+        .agg(*[getattr(F, kind)(part).alias(part) for part, (kind, _) in parts.items()]))
+    done: list[str] = []
+    for name in dims:
+        answers = asked.pop(name)
+        kept = [*done, *asked.values()]
+        chosen = cells.select(*kept, *parts, F.posexplode(answers).alias(name, "__holds")) \
+            .where("__holds").drop("__holds")
+        done.append(name)
+        if asked:
+            chosen = prune(chosen, done)
+        cells = chosen.groupBy(*kept, name).agg(
+            *[_MERGE[kind](part).alias(part) for part, (kind, _) in parts.items()])
+    return cells
+
+
 def predicate_sweep(facts: DataFrame, combinations: list[dict],
                     condition: Callable[[dict], Column],
                     measures: dict[str, Measure]) -> DataFrame:
     """``(combo_id, <measure>…)`` for any condition built from a combination.
 
-    The facts are scanned once, whatever the number of combinations: a row lists the
-    combinations it matches, and its measures are added up per combination map-side, so
-    that one row per combination and task is shuffled.
+    The facts are scanned once, whatever the number of combinations, and only the sums of rows
+    that match the same combinations are given to these. The plan holds every condition; grids
+    whose parameters have conditions of their own are for ``parameter_sweep``.
     """
-    matched = F.array_compact(F.array(*[
-        F.when(condition(c), F.lit(i).cast("bigint")) for i, c in enumerate(combinations)]))
-    tall = facts.select(F.explode(matched).alias("combo_id"), *[
-        (F.lit(1) if m.column is None else m.column).alias(f"__{name}")
-        for name, m in measures.items()])
-    added = tall.groupBy("combo_id").agg(*[
-        getattr(F, m.how)(f"__{name}").alias(name) for name, m in measures.items()])
-    every = facts.sparkSession.range(len(combinations)).withColumnRenamed("id", "combo_id")
-    zero = F.lit(0).cast("bigint")
-    return every.join(added, "combo_id", "left").select("combo_id", *[
-        (F.coalesce(name, zero) if m.how == "count" else F.col(name)).alias(name)
-        for name, m in measures.items()])
-
-
-def combinations_of(grid: DataFrame, most: int = MOST_COMBINATIONS) -> list[dict[str, str]]:
-    """The combinations of ``grid`` rows, in order, as ``predicate_sweep`` takes them.
-
-    They become conditions of one plan, so they must be known while it is built; more than
-    ``most`` are refused.
+    spark = facts.sparkSession
+    every = spark.range(len(combinations)).withColumnRenamed("id", "combo_id")
+    if not combinations:
+        return every.select("combo_id", *[F.lit(None).alias(name) for name in measures])
+    added = _matched(facts, {"combo_id": [condition(c) for c in combinations]}, measures)
+    return every.join(added, "combo_id", "left").select("combo_id", *_results(measures))
+
+
+def parameter_sweep(facts: DataFrame, grid: DataFrame,
+                    conditions: dict[str, Callable[[str], Column]],
+                    measures: dict[str, Measure]) -> DataFrame:
+    """``(<id columns of the grid>…, <measure>…)`` for the combinations of ``grid`` rows.
+
+    ``grid`` has a column ``params`` (map of texts) beside its ids. ``conditions`` gives, for a
+    parameter, the condition that a value of it stands for; a combination matches the rows for
+    which those of all its parameters hold. A parameter that a combination lacks, or has no
+    condition, asks nothing. A combination that matches nothing keeps its row.
+
+    The plan holds a condition per parameter and value, so these must be known while it is
+    built (more than ``MOST_CONDITIONS`` are refused); combinations stay a table of any length.
     """
-    rows = grid.orderBy("spec_id", "combo_id").select("params").limit(most + 1).collect()
-    if len(rows) > most:
-        raise ValueError(f"more than {most} combinations for one plan")
-    return [dict(row["params"]) for row in rows]
+    if not conditions:
+        raise ValueError("a sweep needs a condition")
+    value = {name: F.col("params")[name] for name in conditions}
+    listed = grid.select(F.explode(F.array(*[
+        F.struct(F.lit(name).alias("name"), v.alias("value")) for name, v in value.items()])
+    ).alias("asked")).select("asked.*").distinct().limit(MOST_CONDITIONS + 1).collect()
+    if len(listed) > MOST_CONDITIONS:
+        raise ValueError(f"more than {MOST_CONDITIONS} values for one plan")
+    ids = [c for c in grid.columns if c != "params"]
+    if not listed:  # no combinations
+        return grid.select(*ids, *[F.lit(None).alias(name) for name in measures])
+    dims: dict[str, list[Column]] = {}
+    positions: list[Column] = []
+    for k, (name, condition) in enumerate(conditions.items()):
+        values = sorted((r["value"] for r in listed if r["name"] == name),
+                        key=lambda v: (v is not None, v))
+        dims[f"__value_{k}"] = [F.lit(True) if v is None else condition(v) for v in values]
+        # A combination's value is known by its place in the list; a lacking one comes first.
+        texts = F.from_json(F.lit(json.dumps([v for v in values if v is not None])), "array<string>")
+        lacking = int(values[0] is None)
+        positions.append(F.coalesce(F.array_position(texts, value[name]) - 1 + lacking, F.lit(0))
+                         .cast("int").alias(f"__value_{k}"))
+    wanted = grid.select(*ids, *positions)
+
+    def prune(cells: DataFrame, names: list[str]) -> DataFrame:
+        """Leaves choices out that no combination begins with; one value alone always does."""
+        return cells if len(names) == 1 else cells.join(
+            wanted.select(*names).distinct(), names, "left_semi")
+
+    added = _matched(facts, dims, measures, prune)
+    return wanted.join(added, list(dims), "left").select(*ids, *_results(measures))

@@ -7,7 +7,7 @@ import os
 from pyspark.sql import functions as F
 
 from paramloom.operators import folds, grid, specs, tasks
-from paramloom.operators.sweep import (Measure, Threshold, combinations_of, predicate_sweep,
+from paramloom.operators.sweep import (Measure, Threshold, parameter_sweep, predicate_sweep,
                                        threshold_sweep)
 from paramloom.plans import fixtures as fx
 from paramloom.plans.parameter_space import fx_grid
@@ -107,13 +107,41 @@ def run_sweep_from_spec(spark, sf_dir):
     """From a parameter file to its combinations to a sweep of the table."""
     path = work_path(spark, "sweep-spec")
     spark.createDataFrame([(SWEEP_FILE,)], "value string").write.text(path)
-    combinations = combinations_of(grid.grid(specs.param_dimensions(read_specs(spark, path))))
-    swept = predicate_sweep(
+    combinations = grid.grid(specs.param_dimensions(read_specs(spark, path)))
+    swept = parameter_sweep(
         table(spark, sf_dir, "lineitem"), combinations,
-        lambda c: (F.col("l_discount") <= float(c["l_discount"]))
-        & (F.col("l_quantity") < float(c["l_quantity"])),
+        {"l_discount": lambda v: F.col("l_discount") <= float(v),
+         "l_quantity": lambda v: F.col("l_quantity") < float(v)},
         {"n": Measure("count"), "price": Measure("sum", F.col("l_extendedprice"))})
-    return swept.withColumn("price", F.round("price", 2))
+    return swept.select("combo_id", "n", F.round("price", 2).alias("price"))
+
+
+WIDE_SWEEP_FILE = """# spec wide
+divisor: !!python/tuple [2, 102, 1]
+part: !!python/tuple [0, 100, 1]
+"""
+
+
+@query("run_sweep_wide", """
+    SELECT cast(a.d * 100 + b.p AS bigint) AS combo_id, count(l_orderkey) AS n,
+           round(sum(l_extendedprice), 2) AS price, max(l_quantity) AS most
+    FROM range(0, 100) a(d) CROSS JOIN range(0, 100) b(p)
+         LEFT JOIN lineitem
+         ON l_partkey % 100 = b.p AND (l_orderkey + l_linenumber) % (a.d + 2) = 0
+    GROUP BY ALL
+""")
+def run_sweep_wide(spark, sf_dir):
+    """10,000 combinations of conditions that are no thresholds, in one scan."""
+    path = work_path(spark, "wide-spec")
+    spark.createDataFrame([(WIDE_SWEEP_FILE,)], "value string").write.text(path)
+    combinations = grid.grid(specs.param_dimensions(read_specs(spark, path)))
+    swept = parameter_sweep(
+        table(spark, sf_dir, "lineitem"), combinations,
+        {"divisor": lambda v: (F.col("l_orderkey") + F.col("l_linenumber")) % int(v) == 0,
+         "part": lambda v: F.col("l_partkey") % 100 == int(v)},
+        {"n": Measure("count"), "price": Measure("sum", F.col("l_extendedprice")),
+         "most": Measure("max", F.col("l_quantity"))})
+    return swept.select("combo_id", "n", F.round("price", 2).alias("price"), "most")
 
 
 def _describe(params: dict) -> dict:

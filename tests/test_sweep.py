@@ -8,7 +8,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from paramloom.operators import folds
-from paramloom.operators.sweep import Measure, Threshold, predicate_sweep, threshold_sweep
+from paramloom.operators import sweep
+from paramloom.operators.sweep import (Measure, Threshold, parameter_sweep, predicate_sweep,
+                                       threshold_sweep)
 
 OPS = {"<=": operator.le, "<": operator.lt, ">=": operator.ge, ">": operator.gt,
        "=": operator.eq}
@@ -97,3 +99,68 @@ def test_many_predicates_are_one_scan(spark, sf_dir):
         {"n": Measure("count"), "price": Measure("sum", F.col("l_extendedprice"))})
     assert swept._jdf.queryExecution().executedPlan().toString().count("FileScan") == 1
     assert swept.count() == 1000
+
+
+def _grid(spark, combos):
+    return spark.createDataFrame([(f"s{i % 2}", i, c) for i, c in enumerate(combos)],
+                                 "spec_id string, combo_id bigint, params map<string,string>")
+
+
+CONDITIONS = {"m": lambda v: F.col("a") % int(v) == 0, "r": lambda v: F.col("b") > int(v),
+              "odd": lambda v: (F.col("v") % 2 == 1) == (v == "true")}
+PLAIN = {"m": lambda a, b, v, x: a is not None and a % int(x) == 0,
+         "r": lambda a, b, v, x: b is not None and b > int(x),
+         "odd": lambda a, b, v, x: v is not None and (v % 2 == 1) == (x == "true")}
+
+
+@pytest.mark.parametrize("combos", [
+    [{"m": str(m), "r": str(r), "odd": o} for m in range(1, 20) for r in (0, 3, 3, 50)
+     for o in ("true", "false")],                                     # full, a value twice
+    [{"m": "2", "r": "1", "odd": "true"}, {"m": "3", "r": "4", "odd": "false"}],   # no product
+    [{"m": "2"}, {"r": "5", "other": "x"}, {}, {"m": "2"}],           # lacking, unknown, repeated
+])
+def test_parameter_sweep(spark, data, combos):
+    df = spark.createDataFrame(data, "a int, b int, v int")
+    swept = parameter_sweep(df, _grid(spark, combos), CONDITIONS, {
+        "n": Measure("count"), "s": Measure("sum", F.col("v")), "lo": Measure("min", F.col("v")),
+        "hi": Measure("max", F.col("v")), "mean": Measure("avg", F.col("v"))})
+    got = {(r["spec_id"], r["combo_id"]): r[2:] for r in swept.collect()}
+    assert len(got) == len(combos)
+    for i, c in enumerate(combos):
+        hit = [v for a, b, v in data
+               if all(PLAIN[n](a, b, v, x) for n, x in c.items() if n in PLAIN)]
+        known = [v for v in hit if v is not None]
+        mean = sum(known) / len(known) if known else None
+        assert got[f"s{i % 2}", i] == (len(hit), sum(known) if known else None, min(known, default=None),
+                                       max(known, default=None), mean)
+
+
+def test_parameter_sweep_without_rows_or_combinations(spark, data):
+    df = spark.createDataFrame(data, "a int, b int, v int")
+    n = {"n": Measure("count")}
+    assert parameter_sweep(df, _grid(spark, [{}]).limit(0), CONDITIONS, n).collect() == []
+    assert predicate_sweep(df, [], lambda c: F.lit(True), n).collect() == []
+    empty = parameter_sweep(df.limit(0), _grid(spark, [{"m": "2"}]), CONDITIONS, n)
+    assert [tuple(r) for r in empty.collect()] == [("s0", 0, 0)]
+
+
+def test_rows_are_added_up_before_they_meet_combinations(spark, sf_dir):
+    """Many combinations are one scan, and what is shuffled first is sums of rows."""
+    facts = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    combos = [{"m": str(m), "r": str(r)} for m in range(100) for r in range(100)]
+    swept = parameter_sweep(
+        facts, _grid(spark, combos),
+        {"m": lambda v: F.col("l_quantity") < float(v), "r": lambda v: F.col("l_linenumber") == int(v)},
+        {"n": Measure("count")})
+    plan = swept._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 1
+    assert "Cartesian" not in plan and "NestedLoop" not in plan
+    assert swept.count() == 10_000
+
+
+def test_too_many_conditions_are_refused(spark, data, monkeypatch):
+    monkeypatch.setattr(sweep, "MOST_CONDITIONS", 2)
+    df = spark.createDataFrame(data, "a int, b int, v int")
+    with pytest.raises(ValueError):
+        parameter_sweep(df, _grid(spark, [{"m": str(m)} for m in range(1, 5)]), CONDITIONS,
+                        {"n": Measure("count")})
