@@ -77,8 +77,8 @@ def st_state(spark, sf_dir):
     path, checkpoint = _paths(spark, "st-state")
     log = fx.message_columns(_events(spark, sf_dir)).where(F.col("out").isNotNull()).select(
         "task_id", F.col("seq").alias("line_no"), F.col("out").alias("line"))
-    stream.keep_updates(stream.output_state(log, fx.PIECE), path, checkpoint)
-    return stream.latest(spark, path, ["task_id", "piece"])
+    stream.append_output(log, path, checkpoint)
+    return stream.read_output(spark, path, fx.PIECE)
 
 
 @query("st_dedup", """
@@ -87,7 +87,7 @@ def st_state(spark, sf_dir):
 def st_dedup(spark, sf_dir):
     path, checkpoint = _paths(spark, "st-dedup")
     received = fx.redelivered(fx.message_columns(_events(spark, sf_dir))).drop("ts")
-    once = stream.without_redelivery(received)
+    once = stream.without_redelivery_by_ranges(received)
     with stream.disk_state(spark):
         stream.append_files(once, path, checkpoint)
     return spark.read.schema(once.schema).parquet(path)

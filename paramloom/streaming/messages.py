@@ -10,12 +10,15 @@ from __future__ import annotations
 from collections.abc import Callable
 from contextlib import contextmanager
 
+import numpy as np
 import pyarrow as pa
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupStateTimeout
 
 from paramloom.operators.history import LINES_PER_PIECE, accumulate
+from paramloom.operators.ordering import whole
 
 # How long a poll waits, how many waiting inputs are taken at once.
 POLL_SECONDS = 5
@@ -93,6 +96,23 @@ def output_state(log: DataFrame, lines_per_piece: int = LINES_PER_PIECE) -> Data
     return accumulate(log, lines_per_piece)
 
 
+def append_output(log: DataFrame, path: str, checkpoint: str, until_done: bool = True
+                  ) -> StreamingQuery:
+    """The lines of ``log``, each written once and never again, whatever comes later.
+
+    What a micro-batch writes follows its new lines, not the texts so far; ``read_output``
+    puts them together.
+    """
+    return append_files(log.select("task_id", "line_no", "line"), path, checkpoint, until_done)
+
+
+def read_output(spark: SparkSession, path: str, lines_per_piece: int = LINES_PER_PIECE
+                ) -> DataFrame:
+    """``(task_id, piece, text)`` of what ``append_output`` has written so far, in line order."""
+    lines = spark.read.schema("task_id string, line_no bigint, line string").parquet(path)
+    return accumulate(lines, lines_per_piece)
+
+
 def _drop_near_copies(keys: list[str]):
     """Task function: each key once per Arrow batch."""
     def run(batches):
@@ -121,6 +141,77 @@ def without_redelivery(messages: DataFrame, horizon: str | None = None) -> DataF
             .withWatermark("ts", horizon).dropDuplicatesWithinWatermark(keys))
 
 
+# Message numbers that one state covers.
+NUMBERS_PER_STATE = 1 << 16
+
+
+def _joined(lows: np.ndarray, highs: np.ndarray, numbers: np.ndarray
+            ) -> tuple[np.ndarray, np.ndarray]:
+    """Ranges ``lows`` to ``highs`` with further numbers, which lie in none of them."""
+    lows, highs = np.concatenate([lows, numbers]), np.concatenate([highs, numbers])
+    order = np.argsort(lows)
+    lows, highs = lows[order], highs[order]
+    apart = lows[1:] > highs[:-1] + 1
+    return lows[np.append(True, apart)], highs[np.append(apart, True)]
+
+
+def _unseen(key, frames, state):
+    """Messages of one task and block whose number is in none of the ranges seen so far."""
+    ranges = np.frombuffer(state.get[0], np.int32) if state.exists else np.zeros(0, np.int32)
+    lows, highs = np.split(ranges, 2)
+    for frame in frames:
+        numbers, first = np.unique(frame["__number"].to_numpy(np.int32), return_index=True)
+        below = np.searchsorted(lows, numbers, side="right")
+        new = numbers > np.append(np.int32(-1), highs)[below]
+        if new.any():
+            lows, highs = _joined(lows, highs, numbers[new])
+            yield frame.iloc[first[new]].drop(columns=["__block", "__number"])
+    state.update((np.concatenate([lows, highs]).astype(np.int32).tobytes(),))
+
+
+def _through_text(schema: T.StructType) -> tuple[list[Column], list[Column]]:
+    """Columns as pandas keeps them whole (numbers as text, times as counts), and back."""
+    there, back = [], []
+    for field in schema:
+        column, kind = F.col(field.name), field.dataType
+        if isinstance(kind, T.TimestampType):
+            there.append(F.unix_micros(column).cast("string").alias(field.name))
+            back.append(F.timestamp_micros(column.cast("bigint")).alias(field.name))
+        elif isinstance(kind, T.NumericType):
+            there.append(column.cast("string").alias(field.name))
+            back.append(column.cast(kind).alias(field.name))
+        else:
+            there.append(column)
+            back.append(column)
+    return there, back
+
+
+def without_redelivery_by_ranges(messages: DataFrame, numbers: int = NUMBERS_PER_STATE
+                                 ) -> DataFrame:
+    """Each message once, by ``task_id`` and the whole number ``seq``, in any order of arrival.
+
+    State holds, per task and block of ``numbers`` message numbers, the ranges of numbers seen.
+    A task that sent all its numbers so far has one range a block, so state follows tasks, not
+    messages; a block with gaps has at most ``numbers / 2`` ranges. Messages of one task are
+    spread by blocks. Messages without a task count as one task's, those of a task without a
+    number as one message. Columns may be of plain types; those named ``__block`` or
+    ``__number`` are refused.
+    """
+    if {"__block", "__number"} & set(messages.columns):
+        raise ValueError("columns __block and __number are used here")
+    there, back = _through_text(messages.schema)
+    thinned = messages.mapInArrow(_drop_near_copies(["task_id", "seq"]), messages.schema)
+    # Blocks of negative numbers reach downwards from 0, as division cuts towards it.
+    placed = thinned.withColumns({
+        "__block": F.struct(whole(F.col("seq"), numbers), F.col("seq") < 0).cast("string"),
+        "__number": F.coalesce(F.abs(F.col("seq") % numbers), F.lit(0)).cast("int")})
+    kept = placed.select(*there, "__block", "__number")
+    schema = T.StructType([f for f in kept.schema if f.name not in ("__block", "__number")])
+    once = kept.groupBy("task_id", "__block").applyInPandasWithState(
+        _unseen, schema, "ranges binary", "append", GroupStateTimeout.NoTimeout)
+    return once.select(*back)
+
+
 @contextmanager
 def disk_state(spark: SparkSession):
     """Streams started inside keep their state in RocksDB, not in executor memory."""

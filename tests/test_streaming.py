@@ -2,6 +2,7 @@
 
 import pathlib
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -80,6 +81,59 @@ def test_redelivery_over_batches(spark, events, source, paths, disk):
          tasks.without_redelivery(received(spark, events)).drop("ts"))
 
 
+def _state_rows(query):
+    return query.lastProgress["stateOperators"][0]["numRowsTotal"]
+
+
+@pytest.mark.parametrize("disk", [False, True])
+@pytest.mark.parametrize("numbers", [stream.NUMBERS_PER_STATE, 64])
+def test_redelivery_by_ranges(spark, events, source, paths, disk, numbers):
+    """State follows tasks and blocks of numbers, not messages."""
+    rows = fx.message_columns(source).drop("ts")
+    once = stream.without_redelivery_by_ranges(rows, numbers)
+    assert once.schema == rows.schema
+    if disk:
+        with stream.disk_state(spark):
+            query = stream.append_files(once, *paths)
+    else:
+        query = stream.append_files(once, *paths)
+    expected = tasks.without_redelivery(received(spark, events)).drop("ts")
+    same(spark.read.parquet(paths[0]), expected)
+    groups = expected.select("task_id", F.call_function("div", "seq", F.lit(numbers))).distinct()
+    assert _state_rows(query) == groups.count() < expected.count()
+
+
+def test_ranges_keep_every_value(spark, paths, tmp_path):
+    """Negative and missing numbers, no task, and numbers, times and flags beside nulls."""
+    import datetime
+    import decimal
+    schema = ("task_id string, seq bigint, big bigint, x double, d decimal(30,2), ok boolean, "
+              "ts timestamp, day date")
+    when, day = datetime.datetime(1600, 1, 2, 3, 4, 5, 678901), datetime.date(1500, 1, 1)
+    rows = [("a", n, 2 ** 62 + 1, float("nan"), decimal.Decimal("1.10"), True, when, day)
+            for n in (-3, 3, 0, -64, 64, 63, -63, 2 ** 62)]
+    rows += [(t, n, None, None, None, None, None, None) for t, n in
+             [("b", 1), (None, 1), (None, None), ("b", None), ("", 1)]]
+    path = str(tmp_path / "in")
+    for part in (rows[::2], rows[1::2], rows, rows[::-1]):
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(path)
+    source = stream.read_messages(spark, path, spark.read.parquet(path).schema, queue_bound=1)
+    stream.append_files(stream.without_redelivery_by_ranges(source, 64), *paths)
+    kept = spark.read.parquet(paths[0]).collect()
+    assert sorted(map(repr, map(tuple, kept))) == sorted(map(repr, rows))  # NaN equals no NaN
+
+
+def test_joined_ranges():
+    import random
+    rng, lows, highs, seen = random.Random(1), *[np.zeros(0, np.int32)] * 2, set()
+    for _ in range(30):
+        new = sorted({rng.randrange(200) for _ in range(9)} - seen)
+        seen |= set(new)
+        lows, highs = stream._joined(lows, highs, np.array(new, np.int32))
+        assert [n for a, b in zip(lows, highs) for n in range(a, b + 1)] == sorted(seen)
+        assert (lows[1:] > highs[:-1] + 1).all()
+
+
 def test_redelivery_with_horizon(spark, events, source, paths):
     once = stream.without_redelivery(fx.message_columns(source), horizon="3650 days")
     stream.append_files(once, *paths)
@@ -113,6 +167,19 @@ def test_output_in_line_order(spark, events, source, paths):
          history.accumulate(log(spark.read.parquet(events)), 100))
 
 
+def test_appended_output_is_written_once(spark, events, source, paths):
+    """Every line is on disk once, however many micro-batches a piece gets lines from."""
+    def log(rows):
+        return rows.where("event_id % 7 <> 0").select(
+            F.col("event_type").alias("task_id"), F.col("event_id").alias("line_no"),
+            F.col("props").alias("line"))
+
+    lines = log(spark.read.parquet(events))
+    stream.append_output(log(source), *paths)
+    same(stream.read_output(spark, paths[0], 100), history.accumulate(lines, 100))
+    assert spark.read.parquet(paths[0]).count() == lines.count()
+
+
 def test_progress(spark, events, source, paths):
     stream.keep_updates(stream.ended_state(fx.message_columns(source)), *paths)
     newest = stream.latest(spark, paths[0], ["task_id"])
