@@ -81,18 +81,31 @@ def st_state(spark, sf_dir):
     return stream.read_output(spark, path, fx.PIECE)
 
 
-@query("st_dedup", """
+DEDUP_SQL = """
     SELECT task_id, seq, status, "out", err, text, result, detail FROM fx_message
-""", ("fx_message",))
-def st_dedup(spark, sf_dir):
+"""
+
+
+def _once(spark, sf_dir, without_redelivery):
     path, checkpoint = _paths(spark, "st-dedup")
     received = fx.redelivered(fx.message_columns(_events(spark, sf_dir))).drop("ts")
-    once = stream.without_redelivery_by_ranges(received)
+    once = without_redelivery(received)
     with stream.disk_state(spark):
         stream.append_files(once, path, checkpoint)
     return spark.read.schema(once.schema).parquet(path)
 
 
+@query("st_dedup", DEDUP_SQL, ("fx_message",))
+def st_dedup(spark, sf_dir):
+    return _once(spark, sf_dir, stream.without_redelivery)
+
+
+@query("st_dedup_ranges", DEDUP_SQL, ("fx_message",))
+def st_dedup_ranges(spark, sf_dir):
+    """The same with state that follows tasks, not messages."""
+    return _once(spark, sf_dir, stream.without_redelivery_by_ranges)
+
+
 @query("st_progress", """
     SELECT count(*) AS total, count(*) FILTER (ended) AS finished,
            count(*) FILTER (NOT ended) AS open
