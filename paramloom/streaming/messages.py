@@ -7,10 +7,12 @@ own folder and overwrite it, so a batch that is run again leaves one copy.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 from contextlib import contextmanager
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
@@ -141,8 +143,9 @@ def without_redelivery(messages: DataFrame, horizon: str | None = None) -> DataF
             .withWatermark("ts", horizon).dropDuplicatesWithinWatermark(keys))
 
 
-# Message numbers that one state covers.
-NUMBERS_PER_STATE = 1 << 16
+# Message numbers that one state covers, and groups that tasks are dealt to by a hash.
+NUMBERS_PER_STATE = 1 << 18
+TASK_GROUPS = 1 << 10
 
 
 def _joined(lows: np.ndarray, highs: np.ndarray, numbers: np.ndarray
@@ -156,17 +159,30 @@ def _joined(lows: np.ndarray, highs: np.ndarray, numbers: np.ndarray
 
 
 def _unseen(key, frames, state):
-    """Messages of one task and block whose number is in none of the ranges seen so far."""
-    ranges = np.frombuffer(state.get[0], np.int32) if state.exists else np.zeros(0, np.int32)
-    lows, highs = np.split(ranges, 2)
+    """Messages of a group of tasks and a block whose number is in no range of their task.
+
+    Bounds of ranges are numbers behind the task's place in the list of the group's tasks, so
+    that all tasks of the group are searched at once.
+    """
+    places, lows, highs = {}, *[np.zeros(0, np.int64)] * 2
+    if state.exists:
+        tasks, ranges = state.get
+        places = {task: place for place, task in enumerate(json.loads(tasks))}
+        lows, highs = np.split(np.frombuffer(ranges, np.int64), 2)
+    changed = False
     for frame in frames:
-        numbers, first = np.unique(frame["__number"].to_numpy(np.int32), return_index=True)
+        codes, tasks = pd.factorize(frame["__task"])
+        place = np.array([places.setdefault(t, len(places)) for t in tasks], np.int64)
+        numbers, first = np.unique(place[codes] << 32 | frame["__number"].to_numpy(np.int64),
+                                   return_index=True)
         below = np.searchsorted(lows, numbers, side="right")
-        new = numbers > np.append(np.int32(-1), highs)[below]
+        new = numbers > np.append(np.int64(-1), highs)[below]
         if new.any():
+            changed = True
             lows, highs = _joined(lows, highs, numbers[new])
-            yield frame.iloc[first[new]].drop(columns=["__block", "__number"])
-    state.update((np.concatenate([lows, highs]).astype(np.int32).tobytes(),))
+            yield frame.iloc[first[new]].drop(columns=_PLACED)
+    if changed:
+        state.update((json.dumps(list(places)), np.concatenate([lows, highs]).tobytes()))
 
 
 def _through_text(schema: T.StructType) -> tuple[list[Column], list[Column]]:
@@ -186,29 +202,40 @@ def _through_text(schema: T.StructType) -> tuple[list[Column], list[Column]]:
     return there, back
 
 
-def without_redelivery_by_ranges(messages: DataFrame, numbers: int = NUMBERS_PER_STATE
-                                 ) -> DataFrame:
+# Columns of this module: group of tasks, block of numbers, task as text, number in the block.
+_PLACED = ["__group", "__block", "__task", "__number"]
+
+
+def without_redelivery_by_ranges(messages: DataFrame, numbers: int = NUMBERS_PER_STATE,
+                                 groups: int = TASK_GROUPS) -> DataFrame:
     """Each message once, by ``task_id`` and the whole number ``seq``, in any order of arrival.
 
-    State holds, per task and block of ``numbers`` message numbers, the ranges of numbers seen.
-    A task that sent all its numbers so far has one range a block, so state follows tasks, not
-    messages; a block with gaps has at most ``numbers / 2`` ranges. Messages of one task are
-    spread by blocks. Messages without a task count as one task's, those of a task without a
-    number as one message. Columns may be of plain types; those named ``__block`` or
-    ``__number`` are refused.
+    State holds the ranges of numbers seen, by task, in one row per group of tasks (``groups``,
+    by a hash) and block of ``numbers`` message numbers. A task that sent all its numbers so far
+    has one range a block, so state follows tasks, not messages; a task with gaps has at most
+    ``numbers / 2`` ranges a block. Messages of one task are spread by blocks. A call of Python
+    costs about a millisecond, so many tasks share one; with hundreds of thousands of tasks per
+    group give more groups, as a row is written whole when one of its tasks sends something
+    new. Messages without a task count as one task's, those of a task without a number as one
+    message. Columns may be of plain types; those named as ``_PLACED`` says are refused.
     """
-    if {"__block", "__number"} & set(messages.columns):
-        raise ValueError("columns __block and __number are used here")
+    if set(_PLACED) & set(messages.columns):
+        raise ValueError(f"columns {', '.join(_PLACED)} are used here")
     there, back = _through_text(messages.schema)
     thinned = messages.mapInArrow(_drop_near_copies(["task_id", "seq"]), messages.schema)
+    task = there[messages.columns.index("task_id")]
+    if isinstance(messages.schema["task_id"].dataType, T.BinaryType):
+        task = F.hex(task)
     # Blocks of negative numbers reach downwards from 0, as division cuts towards it.
-    placed = thinned.withColumns({
-        "__block": F.struct(whole(F.col("seq"), numbers), F.col("seq") < 0).cast("string"),
-        "__number": F.coalesce(F.abs(F.col("seq") % numbers), F.lit(0)).cast("int")})
-    kept = placed.select(*there, "__block", "__number")
-    schema = T.StructType([f for f in kept.schema if f.name not in ("__block", "__number")])
-    once = kept.groupBy("task_id", "__block").applyInPandasWithState(
-        _unseen, schema, "ranges binary", "append", GroupStateTimeout.NoTimeout)
+    placed = thinned.select(
+        *there,
+        F.pmod(F.xxhash64("task_id"), F.lit(groups)).cast("int").alias("__group"),
+        F.struct(whole(F.col("seq"), numbers), F.col("seq") < 0).cast("string").alias("__block"),
+        F.coalesce(F.concat(F.lit("="), task.cast("string")), F.lit("")).alias("__task"),
+        F.coalesce(F.abs(F.col("seq") % numbers), F.lit(0)).cast("int").alias("__number"))
+    schema = T.StructType([f for f in placed.schema if f.name not in _PLACED])
+    once = placed.groupBy("__group", "__block").applyInPandasWithState(
+        _unseen, schema, "tasks string, ranges binary", "append", GroupStateTimeout.NoTimeout)
     return once.select(*back)
 
 

@@ -103,6 +103,23 @@ def test_redelivery_by_ranges(spark, events, source, paths, disk, numbers):
     assert _state_rows(query) == groups.count() < expected.count()
 
 
+def test_states_of_ranges_are_fewer_than_tasks(spark, paths, tmp_path):
+    """Tasks of a few messages each share states; each keeps its own ranges."""
+    path = str(tmp_path / "in")
+    sent = spark.range(6000).selectExpr("cast(id % 3000 as string) AS task_id", "id AS seq")
+    for part in (sent.where("seq % 3 > 0"), sent, sent.where("seq < 2000")):
+        part.coalesce(1).write.mode("append").parquet(path)
+    # The same numbers from other tasks are other messages.
+    spark.range(6000).selectExpr("concat(id % 3000, '!') AS task_id", "id AS seq") \
+        .coalesce(1).write.mode("append").parquet(path)
+    source = stream.read_messages(spark, path, sent.schema, queue_bound=1)
+    query = stream.append_files(stream.without_redelivery_by_ranges(source, groups=16), *paths)
+    kept = spark.read.parquet(paths[0])
+    assert kept.count() == kept.distinct().count() == 12000
+    assert kept.where("seq % 3000 = int(replace(task_id, '!', ''))").count() == 12000
+    assert _state_rows(query) == 16
+
+
 def test_ranges_keep_every_value(spark, paths, tmp_path):
     """Negative and missing numbers, no task, and numbers, times and flags beside nulls."""
     import datetime
