@@ -612,6 +612,23 @@ def test_licences_equal_plain_python(spark, empty, odd):
     assert [r["family"] for r in licenses.scan(twice, model).collect()] == ["ISC", "ISC"]
 
 
+def test_windows_without_anchors_are_judged(spark):
+    """A notice without any of the anchors is found, also behind long prose of its own paragraph;
+    a word of the vocabulary alone, prose, or a line that names no licence is none."""
+    notice = ("Anyone is free to copy, modify, publish, use, compile, sell, or distribute this "
+              "software, either in source code form or as a compiled binary, for any purpose.")
+    assert not set(licenses._tokens(notice)) & set(licenses.ANCHORS)
+    prose = "der Hund geht mit der Katze in den Wald "
+    texts = [notice, prose * 40 + notice + " " + prose * 40, prose * 40, "mit", "All rights reserved."]
+    model = licenses.fit()
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = licenses.scan(df, model).collect()
+    assert {(r["doc_id"], r["family"]) for r in found} == {
+        (0, "Unlicense"), (1, "Unlicense")}
+    assert sorted((r["doc_id"], r["family"], r["similarity"]) for r in found) == sorted(
+        (i, f, v) for i, t in enumerate(texts) for _, f, _, v in licenses.scan_one(t, model))
+
+
 def test_planted_licences_are_all_found(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     rows = licenses.scan(docs, licenses.fit()).select("doc_id", "family").collect()
