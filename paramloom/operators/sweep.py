@@ -152,29 +152,55 @@ def _results(measures: dict[str, Measure]) -> list[Column]:
     return columns
 
 
+# Choices that a row is given to at once; a row of more is added up with those of equal answers.
+FEW_CHOICES = 32
+
+
 def _matched(facts: DataFrame, dims: dict[str, list[Column]], measures: dict[str, Measure],
              prune: Callable[[DataFrame, list[str]], DataFrame] = lambda cells, names: cells
              ) -> DataFrame:
     """Partial measures per choice of one condition from each of ``dims``, by positions in its
     list; choices that no row matches are left out.
 
-    A row is asked every condition once and then stands for its answers: rows of equal answers
-    are added up map-side, and only those sums are given to conditions, dimension by dimension.
+    A row is asked every condition once. One that few choices match is added to these at once,
+    map-side, so that its answers are no key. Any other stands for its answers: rows of equal
+    answers are added up map-side, and only those sums are given to conditions, dimension by
+    dimension. Both go through the same shuffle.
     """
     parts = _partials(measures)
     asked = {name: f"__asked_{k}" for k, name in enumerate(dims)}
+    # Each condition is a column of its own: rows of so many columns are made by small methods,
+    # which the JVM optimises, unlike a long one that asks all conditions.
+    answer = {name: [f"__asked_{k}_{i}" for i in range(len(dims[name]))]
+              for k, name in enumerate(dims)}
+    rows = facts.select(*[condition.alias(a) for name in dims
+                          for condition, a in zip(dims[name], answer[name])],
+                        *[column.alias(part) for part, (_, column) in parts.items()])
+    # Positions of the conditions that hold; a row of many choices has them as its answers.
+    held = {name: F.array_remove(F.array(*[F.when(F.col(a), position).otherwise(-1)
+                                           for position, a in enumerate(answer[name])]), -1)
+            for name in dims}
+    choices = math.prod(F.size(held[name]).cast("double") for name in dims)
+    cells = rows.select(*[held[name].alias(answers) for name, answers in asked.items()],
+                        choices.alias("__choices"), *parts)
+    few = F.col("__choices") <= FEW_CHOICES
+    for name, answers in asked.items():
+        # A row without choices is left with NULL, which is no position.
+        cells = cells.withColumn(name, F.explode_outer(
+            F.when(few, F.col(answers)).otherwise(F.array(F.lit(-1)))))
     cells = (
-        facts.select(*[F.array(*dims[name]).alias(answers) for name, answers in asked.items()],
-                     *[column.alias(part) for part, (_, column) in parts.items()])
-        .groupBy(*asked.values())
+        cells.select(*dims, *[F.when(~few, F.col(answers)).alias(answers)
+                              for answers in asked.values()], *parts)
+        .groupBy(*dims, *asked.values())
         .agg(*[getattr(F, kind)(part).alias(part) for part, (kind, _) in parts.items()]))
     done: list[str] = []
     for name in dims:
         answers = asked.pop(name)
-        kept = [*done, *asked.values()]
-        chosen = cells.select(*kept, *parts, F.posexplode(answers).alias(name, "__holds")) \
-            .where("__holds").drop("__holds")
+        position = F.explode(F.coalesce(answers, F.array(name)))
         done.append(name)
+        later = [n for n in dims if n not in done]
+        kept = [*[n for n in done if n != name], *later, *asked.values()]
+        chosen = cells.select(*kept, *parts, position.alias(name))
         if asked:
             chosen = prune(chosen, done)
         cells = chosen.groupBy(*kept, name).agg(

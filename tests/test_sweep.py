@@ -164,3 +164,22 @@ def test_too_many_conditions_are_refused(spark, data, monkeypatch):
     with pytest.raises(ValueError):
         parameter_sweep(df, _grid(spark, [{"m": str(m)} for m in range(1, 5)]), CONDITIONS,
                         {"n": Measure("count")})
+
+
+@pytest.mark.parametrize("few", [0, 3, 32])
+def test_rows_of_few_and_of_many_choices(spark, monkeypatch, few):
+    """Rows are added to the same combinations at once or by their answers, NULL answers too."""
+    monkeypatch.setattr(sweep, "FEW_CHOICES", few)
+    rows = [(i, None if i % 9 == 4 else i % 7, float(i)) for i in range(60)] + [(None, 1, 1.0)]
+    facts = spark.createDataFrame(rows, "a int, b int, x double")
+    divisors, limits = range(1, 7), range(0, 6, 2)
+    grid = spark.createDataFrame(
+        [(10 * d + m, {"d": str(d), "m": str(m)}) for d in divisors for m in limits],
+        "combo_id int, params map<string,string>")
+    swept = sweep.parameter_sweep(
+        facts, grid, {"d": lambda v: F.col("a") % int(v) == 0, "m": lambda v: F.col("b") > int(v)},
+        {"n": sweep.Measure("count"), "x": sweep.Measure("sum", F.col("x"))})
+    held = {10 * d + m: [x for a, b, x in rows if a is not None and a % d == 0
+                         and b is not None and b > m] for d in divisors for m in limits}
+    assert {r["combo_id"]: (r["n"], r["x"]) for r in swept.collect()} == {
+        c: (len(xs), sum(xs) if xs else None) for c, xs in held.items()}
